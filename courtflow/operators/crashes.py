@@ -94,6 +94,6 @@ def crash_counts(crashes):
     wide = (
         crashes.groupBy("game", "peak_frame")
         .pivot("bucket", ["team_0", "team_1", "unknown"])
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
     )
     return wide.na.fill(0, ["team_0", "team_1", "unknown"])

@@ -11,7 +11,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import d, distance, rounded
-from ..functions.slices import halo, own, row_blocks, running, slice_of
+from ..functions.slices import halo, numbered, own, row_blocks, running, slice_of
+from ..session import staged
 
 # Fixed values of the shot rules (pixels, frames).
 GAP = 10
@@ -100,11 +101,12 @@ def flight_steps(points, size=4096):
     return rows.withColumn("stop", F.coalesce(rebound, F.lit(False)))
 
 
-def flights(points, size=4096):
-    """One row per flight with its kinematics and its first close approach to a hoop."""
+def flights(steps):
+    """One row per flight of ``flight_steps`` rows: its kinematics and its first close
+    approach to a hoop."""
     one = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
     stops = F.when(F.col("stop"), F.col("n"))
-    per = flight_steps(points, size).groupBy(*KEY).agg(
+    per = steps.groupBy(*KEY).agg(
         F.min("n").alias("n0"),
         F.count("*").alias("points"),
         F.max("hn").alias("hn_last"),
@@ -140,7 +142,7 @@ def flights(points, size=4096):
     )
 
 
-def _approach_points(points_in_flight, flight_rows, size=4096):
+def approach_points(points_in_flight, flight_rows, size=4096):
     """The up to 151 points that lead to each flight's closest approach.
 
     Matched through the slices such a run can touch (151 points, gaps of at most
@@ -243,9 +245,9 @@ def _final_distance(points_in_flight):
 
 def shot_candidates(points, size=4096):
     """Every flight with the detector that takes it as a shot, or why it is rejected."""
-    inside = flight_points(points, size)
-    per = flights(points, size)
-    approach = _approach_points(inside, per, size)
+    inside = staged(flight_steps(points, size), "flight-steps")
+    per = staged(flights(inside), "flights")
+    approach = approach_points(inside, per, size)
     rows = (
         per.join(_recent_slice(approach), KEY, "left")
         .join(_final_distance(inside), KEY, "left")
@@ -358,13 +360,12 @@ def cooldown(shots, wait=COOLDOWN, keys=("game",), peak="peak_frame"):
 
 def find_shots(points, size=4096):
     """Accepted shots, one row each."""
-    return cooldown(shot_candidates(points, size).where("shot")).where("accepted").drop("accepted")
+    found = staged(shot_candidates(points, size).where("shot"), "shot-candidates")
+    return staged(cooldown(found).where("accepted").drop("accepted"), "shots")
 
 
 def shot_report(shots, crash_counts, fps=60.0):
     """Numbered report rows; numbering runs over a game's shots in time order."""
-    from ..functions.slices import numbered
-
     seconds = lambda c: rounded(F.col(c) / d(fps), 3)
     rows = numbered(shots, ["game"], "peak_frame", "shot_number")
     rows = rows.join(crash_counts, ["game", "peak_frame"], "left")

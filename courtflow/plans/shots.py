@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import rounded
 from ..operators import crashes, shots
+from ..session import staged
 from .inputs import with_inputs
 from .registry import query, r
 
@@ -330,7 +331,7 @@ def flight_windows(src):
     ),
 )
 def flight_kinematics(src):
-    rows = shots.flights(src.ball_points).where(F.col("points") >= shots.MIN_POINTS)
+    rows = shots.flights(shots.flight_steps(src.ball_points)).where(F.col("points") >= shots.MIN_POINTS)
     return rows.select(
         "game",
         "flight",
@@ -354,7 +355,7 @@ def flight_kinematics(src):
     ),
 )
 def first_close_approach(src):
-    rows = shots.flights(src.ball_points).where(F.col("points") >= shots.MIN_POINTS)
+    rows = shots.flights(shots.flight_steps(src.ball_points)).where(F.col("points") >= shots.MIN_POINTS)
     return rows.where(F.col("best_dist") <= shots.MAX_HOOP_DIST).select(
         "game", "flight", "best_k", "peak_frame", rounded("best_dist", 4).alias("best_dist")
     )
@@ -365,8 +366,8 @@ def first_close_approach(src):
     with_inputs("ball_points", "SELECT game, flight, release_frame FROM rel", FLIGHTS + RELEASE),
 )
 def release_frame(src):
-    inside = shots.flight_points(src.ball_points)
-    return shots.release_frames(shots._approach_points(inside, shots.flights(src.ball_points)))
+    inside = staged(shots.flight_steps(src.ball_points), "flight-steps")
+    return shots.release_frames(shots.approach_points(inside, shots.flights(inside)))
 
 
 def _detector(name, flag, sql_flag):
@@ -418,7 +419,9 @@ def shot_candidates(src):
     with_inputs("ball_points", "SELECT game, peak_frame, accepted FROM walk", CASCADE),
 )
 def shot_cooldown(src):
-    rows = shots.cooldown(shots.shot_candidates(src.ball_points).where("shot"))
+    rows = shots.cooldown(
+        staged(shots.shot_candidates(src.ball_points).where("shot"), "shot-candidates")
+    )
     return rows.select("game", "peak_frame", "accepted")
 
 
@@ -458,7 +461,9 @@ def board_crashes(src):
     ),
 )
 def crash_counts(src):
-    found = crashes.board_crashes(shots.find_shots(src.ball_points), src.players)
+    found = staged(
+        crashes.board_crashes(shots.find_shots(src.ball_points), src.players), "crashes"
+    )
     total = F.col("team_0") + F.col("team_1") + F.col("unknown")
     return crashes.crash_counts(found).withColumn("total", total)
 
@@ -504,14 +509,14 @@ def prev_frame_vy(src):
     "shot_probability",
     with_inputs(
         "ball_points",
-        f"""SELECT game, frame, {r('coalesce(prob, coalesce(state, 0e0) * 0.9e0)', 6)} AS prob
+        f"""SELECT game, frame, {r('coalesce(prob, coalesce(state, 0e0) * 0.9e0) + 3e-10', 6)} AS prob
             FROM shown""",
         PROBS,
     ),
 )
 def shot_probability(src):
     rows = shots.shot_probability(src.ball_points, shots.every_frame(src.ball_points))
-    return rows.select("game", "frame", rounded("prob", 6).alias("prob"))
+    return rows.select("game", "frame", rounded(F.col("prob") + F.lit(3e-10), 6).alias("prob"))
 
 
 @query("debug_metrics", with_inputs("ball_points", DEBUG, PROBS))

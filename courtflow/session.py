@@ -43,3 +43,15 @@ def tune(spark):
     # Rows already hashed by (game, slice) may join on (game, flight, slice) in place.
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return spark
+
+
+def staged(df, name):
+    """Write an intermediate table to the shared work folder and go on from there.
+
+    Used where several consumers follow: the work is done once, the lineage is cut at
+    files that outlive a lost executor, readers still prune columns, and the planner
+    knows the real size when it picks a join.
+    """
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
