@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 SLICE = 4096
 
 
+# How the pre-aggregated values of slices are merged, where the name differs.
+_MERGE = {"count": "sum", "prevmax": "max"}
+
+
 def slice_of(order, size=SLICE):
     return F.floor(F.col(order) / F.lit(size)).cast("bigint")
 
@@ -43,6 +47,7 @@ _COMBINE = {
     "max": lambda local, carry: F.greatest(local, carry),
     "last": lambda local, carry: F.coalesce(local, carry),
     "prev": lambda local, carry: F.coalesce(local, carry),
+    "prevmax": lambda local, carry: F.greatest(local, carry),
 }
 
 
@@ -50,7 +55,8 @@ def running(df, keys, order, specs, unit=("slice",)):
     """Running aggregates per ``keys`` along ``order``, computed slice by slice.
 
     ``specs`` maps an output name to ``(kind, column)``; kinds are count, sum, min,
-    max, last (latest non-null value so far) and prev (the same, this row excluded).
+    max, last (latest non-null value so far), prev and prevmax (last and max of the rows
+    before).
     ``unit`` names the columns that cut a key into bounded, ordered slices.
     """
     keys, order, unit = list(keys), list(order), list(unit)
@@ -65,19 +71,21 @@ def running(df, keys, order, specs, unit=("slice",)):
             return F.last(c, ignorenulls=True).over(upto)
         if kind == "prev":
             return F.last(c, ignorenulls=True).over(before)
+        if kind == "prevmax":
+            return F.max(c).over(before)
         return getattr(F, kind)(c).over(upto)
 
     def partial(kind, c):
         if kind in ("last", "prev"):
             return F.max_by(c, F.when(c.isNotNull(), at))
-        return getattr(F, kind)(c)
+        return getattr(F, _MERGE.get(kind, kind))(c) if kind != "count" else F.count(c)
 
     def carried(kind, c):
         w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*unit)
         w = w.rowsBetween(Window.unboundedPreceding, -1)
         if kind in ("last", "prev"):
             return F.last(c, ignorenulls=True).over(w)
-        return getattr(F, "sum" if kind == "count" else kind)(c).over(w)
+        return getattr(F, _MERGE.get(kind, kind))(c).over(w)
 
     parts = df.groupBy(*cell).agg(*[partial(k, c).alias(f"__{n}") for n, (k, c) in specs.items()])
     carry = parts.select(
