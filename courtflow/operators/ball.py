@@ -1,5 +1,8 @@
 """The ball: best detection, validation, spike removal, gap filling, smoothing."""
 
+import itertools
+import math
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -173,11 +176,15 @@ def ball_validate(dets, hoops, profile="export", heads=None):
         rows = rows.withColumn("heads", F.lit(None).cast("array<struct<tid:bigint,dx:double,dy:double>>"))
 
     def walk(pdf):
-        pdf = pdf.sort_values(["frame", "seq"], kind="stable")
-        keep = strict_walk(pdf, jump) if strict else export_walk(pdf, jump)
+        pdf = pdf.sort_values(["run", "frame", "seq"], kind="stable", ignore_index=True)
+        keep = []
+        for _, run in itertools.groupby(pdf.itertuples(), key=lambda row: row.run):
+            keep += strict_walk(run, jump) if strict else export_walk(run, jump)
         return pdf.loc[keep, ["game", "frame", "seq", "cx", "cy", "conf"]]
 
-    return rows.groupBy("game", "run").applyInPandas(
+    # the runs that start in one slice share a task call; each starts from a blank state
+    rows = rows.withColumn("part", slice_of("run"))
+    return rows.groupBy("game", "part").applyInPandas(
         walk, "game bigint, frame bigint, seq bigint, cx double, cy double, conf double"
     )
 
@@ -186,13 +193,26 @@ def _hoop(row):
     return None if pd.isna(row.hoop_top) else row.hoop_top
 
 
-def export_walk(pdf, jump):
+def _frames(rows):
+    return itertools.groupby(rows, key=lambda row: row.frame)
+
+
+def _hoop(row):
+    return None if row.hoop_top is None or row.hoop_top != row.hoop_top else row.hoop_top
+
+
+def _plausible(state, rows, frame, jump):
+    return [
+        row for row in rows
+        if steps.plausible(state, frame, row.cx, row.cy, jump, FRAME_W, FRAME_H)
+    ]
+
+
+def export_walk(run, jump):
+    """Row labels of one run's valid detections; the largest one becomes the reference."""
     state, keep = steps.NOWHERE, []
-    for frame, rows in pdf.groupby("frame", sort=True):
-        valid = [
-            row for row in rows.itertuples()
-            if steps.plausible(state, frame, row.cx, row.cy, jump, FRAME_W, FRAME_H)
-        ]
+    for frame, rows in _frames(run):
+        valid = _plausible(state, rows, frame, jump)
         if valid:
             best = max(valid, key=lambda row: row.area)
             state = steps.accept(state, frame, (best.cx, best.cy, _hoop(best), best.hoop_x))
@@ -200,31 +220,28 @@ def export_walk(pdf, jump):
     return keep
 
 
-def strict_walk(pdf, jump):
+def strict_walk(run, jump):
+    """Row labels of one run's balls: at most the surest detection of a frame."""
     state, keep, recent, history = steps.NOWHERE, [], [], {}
-    last_call = None
-    for frame, rows in pdf.groupby("frame", sort=True):
+    last_call, slots = None, steps.RECENT_SLOTS
+    for frame, rows in _frames(run):
         # every frame without a candidate fills a slot of the recent ones
-        idle = steps.RECENT_SLOTS if last_call is None else min(steps.RECENT_SLOTS, frame - last_call - 1)
-        recent = (recent + [None] * idle)[-steps.RECENT_SLOTS:]
-        last_call = frame
-        valid = [
-            row for row in rows.itertuples()
-            if steps.plausible(state, frame, row.cx, row.cy, jump, FRAME_W, FRAME_H)
-        ]
+        idle = slots if last_call is None else min(slots, frame - last_call - 1)
+        valid = _plausible(state, rows, frame, jump)
         best = max(valid, key=lambda row: row.conf) if valid else None
-        recent = (recent + [None if best is None else (best.cx, best.cy)])[-steps.RECENT_SLOTS:]
+        seen = None if best is None else (best.cx, best.cy)
+        recent, last_call = (recent + [None] * idle + [seen])[-slots:], frame
         if best is None:
             continue
         gap = None if state[0] is None else frame - state[2]
         going = gap is not None and gap <= steps.GRACE and (
-            ((best.cx - state[0]) ** 2 + (best.cy - state[1]) ** 2) ** 0.5 <= jump * gap
+            math.sqrt((best.cx - state[0]) ** 2 + (best.cy - state[1]) ** 2) <= jump * gap
         )
         if not going and not steps.supported(recent, best.cx, best.cy, SUPPORT_RADIUS * SCALE):
             continue
-        heads = best.heads if isinstance(best.heads, (list, tuple)) or hasattr(best.heads, "__len__") else []
+        heads = () if best.heads is None else best.heads
         offsets = {h["tid"]: (h["dx"], h["dy"]) for h in heads}
-        if steps.head_locked(history, offsets, HEAD_SPREAD * SCALE):
+        if offsets and steps.head_locked(history, offsets, HEAD_SPREAD * SCALE):
             history, recent = {}, []
             state = (None, None, None) + state[3:]
             continue

@@ -1,10 +1,12 @@
 """Player tracks: overlaps, velocities, ghosts, re-identification, poses, summaries."""
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import center_x, center_y, d, distance, iou
 from ..functions.slices import halo, own, row_blocks, running, slice_of
+from ..session import staged
 
 # Fixed values of the track rules (frames, pixels).
 OVERLAP_IOU = 0.40
@@ -225,21 +227,21 @@ def _number_contacts(dets, lost, locks, keep=REID_FRAMES):
 
 
 def take_over(contacts):
-    """Walk one group's contacts in order; each track and each entry is used once."""
+    """Walk one group's contacts in order; each track and each entry is used once.
+
+    A known equal number beats any distance; entries of a number are tried oldest first,
+    others nearest first.
+    """
     taken, done, out = set(), set(), []
-    order = contacts.sort_values(["frame", "seq", "tid"], kind="stable")
-    for (frame, _, tid), rows in order.groupby(["frame", "seq", "tid"], sort=True):
-        if tid in done:
-            continue
-        free = rows[[e not in taken for e in zip(rows.old_tid, rows.lost_frame)]]
-        worn = free[free.gap.isna()].sort_values(["lost_frame", "old_tid"])
-        close = free[free.gap.notna()].sort_values(["gap", "lost_frame", "old_tid"])
-        pick = worn if len(worn) else close
-        if len(pick):
-            best = pick.iloc[0]
+    rows = [
+        (c.frame, c.seq, c.tid, c.gap if c.gap == c.gap else -1.0, c.lost_frame, c.old_tid, c.game)
+        for c in contacts.itertuples()
+    ]
+    for frame, _, tid, _, lost_frame, old_tid, game in sorted(rows):
+        if tid not in done and (old_tid, lost_frame) not in taken:
             done.add(tid)
-            taken.add((best.old_tid, best.lost_frame))
-            out.append((rows.game.iloc[0], tid, frame, best.old_tid))
+            taken.add((old_tid, lost_frame))
+            out.append((game, tid, frame, old_tid))
     return out
 
 
@@ -253,10 +255,13 @@ def reid_match(dets, lost, locks=None):
     contacts = reid_candidates(dets, lost)
     if locks is not None:
         contacts = contacts.unionByName(_number_contacts(dets, lost, locks))
+    contacts = staged(contacts, "contacts")
     rivals = contacts.groupBy("game").agg(F.count_distinct("tid").alias("rivals"))
     w = Window.partitionBy("game", "tid").orderBy("frame")
     contacts = contacts.withColumn("rk", F.rank().over(w)).join(rivals, "game")
-    contacts = contacts.where(F.col("rk") <= F.col("rivals")).drop("rk", "rivals")
+    contacts = staged(
+        contacts.where(F.col("rk") <= F.col("rivals")).drop("rk", "rivals"), "first-contacts"
+    )
 
     span = lambda keys: contacts.groupBy("game", *keys).agg(
         F.min("frame").alias("lo"), F.max("frame").alias("hi")
@@ -273,8 +278,6 @@ def reid_match(dets, lost, locks=None):
     runs = spans.where("tid IS NOT NULL").select("game", "tid", "run")
 
     def walk(pdf):
-        import pandas as pd
-
         return pd.DataFrame(take_over(pdf), columns=["game", "tid", "frame", "old_tid"])
 
     return contacts.join(runs, ["game", "tid"]).groupBy("game", "run").applyInPandas(
