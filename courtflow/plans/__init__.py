@@ -1,13 +1,6 @@
 """Registered queries, grouped by the part of the work they belong to."""
 
-import importlib
-
+from . import ball, geometry, labels, shots, streams, tables, teams, tracks  # noqa: F401
 from .registry import ORACLES, QUERIES
 
-for _part in ("geometry", "shots", "labels", "tracks", "ball", "teams", "tables", "streams"):
-    try:
-        importlib.import_module(f"{__name__}.{_part}")
-    except ModuleNotFoundError:
-        pass
-
 __all__ = ["QUERIES", "ORACLES"]
