@@ -61,6 +61,8 @@ def running(df, keys, order, specs, unit=("slice",)):
     """
     keys, order, unit = list(keys), list(order), list(unit)
     cell = keys + unit
+    # Spelled out for both branches below, so that they can share one exchange.
+    df = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in cell))
     here = Window.partitionBy(*cell).orderBy(*order)
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
     before = here.rowsBetween(Window.unboundedPreceding, -1)

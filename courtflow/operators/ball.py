@@ -54,18 +54,30 @@ def neighbor_asof(boxes, look=LOOK):
     ).drop("slice")
 
 
+def _hoops_of_frame(hoops):
+    """The few hoops of each frame as one array in listed order."""
+    hoop = F.struct("idx", "x1", "y1", "x2", "y2", center_x().alias("hx"), center_y().alias("hy"))
+    return hoops.groupBy("game", "frame").agg(F.array_sort(F.collect_list(hoop)).alias("hoops"))
+
+
+def _first_near_hoop(x="cx", y="cy", margin=FRAME_W * HOOP_MARGIN):
+    near = F.filter(
+        "hoops",
+        lambda h: (F.abs(F.col(x) - h["hx"]) < margin) & (F.abs(F.col(y) - h["hy"]) < margin),
+    )
+    return F.get(near, 0)
+
+
 def near_hoop_asof(points, hoops, memory=steps.HOOP_MEMORY):
     """The latest hoop that the ball was near within the ``memory`` frames before."""
-    margin = FRAME_W * HOOP_MARGIN
-    box = F.struct("x1", "y1", "x2", "y2")
-    at = points.join(hoops, ["game", "frame"], "left")
-    near = (F.abs(F.col("cx") - center_x()) < margin) & (F.abs(F.col("cy") - center_y()) < margin)
-    rows = at.groupBy("game", "frame").agg(F.min_by(box, F.when(near, F.col("idx"))).alias("hoop"))
+    rows = points.join(_hoops_of_frame(hoops), ["game", "frame"], "left")
+    rows = rows.select("game", "frame", _first_near_hoop().alias("hoop"))
     rows = rows.withColumn("seen", F.when(F.col("hoop").isNotNull(), F.struct("frame", "hoop")))
     w = Window.partitionBy("game", "slice").orderBy("frame").rangeBetween(-memory, -1)
     rows = halo(rows, before=memory).withColumn("seen", F.last("seen", ignorenulls=True).over(w))
     return own(rows).where("seen IS NOT NULL").select(
-        "game", "frame", F.col("seen.frame").alias("hoop_frame"), "seen.hoop.*"
+        "game", "frame", F.col("seen.frame").alias("hoop_frame"),
+        *[F.col(f"seen.hoop.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")],
     )
 
 
@@ -114,21 +126,6 @@ def temporal_support(best, slots=steps.RECENT_SLOTS, radius=SUPPORT_RADIUS * SCA
     return rows.select("game", "frame", F.size(near).cast("bigint").alias("support"))
 
 
-def _with_own_hoop(dets, hoops):
-    """Each candidate with the top and middle of the first hoop it is near to, if any."""
-    margin = FRAME_W * HOOP_MARGIN
-    at = hoops.select(
-        "game", "frame", "idx", F.col("y1").alias("top"), center_x().alias("hx"), center_y().alias("hy")
-    )
-    near = (F.abs(F.col("cx") - F.col("hx")) < margin) & (F.abs(F.col("cy") - F.col("hy")) < margin)
-    rows = dets.join(at, ["game", "frame"], "left")
-    keys = [c for c in dets.columns]
-    hoop = F.min_by(F.struct("top", "hx"), F.when(near, F.col("idx"))).alias("hoop")
-    return rows.groupBy(*keys).agg(hoop).select(
-        *keys, F.col("hoop.top").cast("double").alias("hoop_top"), F.col("hoop.hx").alias("hoop_x")
-    )
-
-
 def _validation_runs(cands):
     """Cut candidates where nothing before can matter: no candidate in the last 10 frames
     (teleport check) and none near a hoop in the last 30 (backboard check)."""
@@ -150,8 +147,10 @@ def court_candidates(dets, hoops):
         {"cx": center_x(), "cy": center_y(),
          "area": (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))}
     ).where(in_court_column("cx", "cy"))
-    return _with_own_hoop(
-        rows.select("game", "frame", "seq", "conf", "cx", "cy", "area"), hoops
+    rows = rows.join(_hoops_of_frame(hoops), ["game", "frame"], "left")
+    keep = ["game", "frame", "seq", "conf", "cx", "cy", "area"]
+    return rows.select(*keep, _first_near_hoop().alias("hoop")).select(
+        *keep, F.col("hoop.y1").cast("double").alias("hoop_top"), F.col("hoop.hx").alias("hoop_x")
     )
 
 

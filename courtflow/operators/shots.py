@@ -92,7 +92,7 @@ def flight_steps(points, size=4096):
     rows = flight_points(points, size)
     here = F.when(
         F.col("dist").isNotNull(),
-        F.struct("dist", "n", "frame", "cx", "cy", "hoop_x", "hoop_y"),
+        F.struct("dist", "n", "frame"),
     )
     rows = running(
         rows, KEY, ["frame"], {"near": ("min", here), "dist_prev": ("prev", F.col("dist"))}
@@ -135,10 +135,6 @@ def flights(steps):
         best["n"].alias("best_n"),
         best["dist"].alias("best_dist"),
         best["frame"].alias("peak_frame"),
-        best["cx"].alias("peak_x"),
-        best["cy"].alias("peak_y"),
-        best["hoop_x"].alias("peak_hoop_x"),
-        best["hoop_y"].alias("peak_hoop_y"),
     )
 
 
@@ -199,7 +195,7 @@ def release_frames(approach):
 
 
 def _recent_slice(approach):
-    """Figures of the last 41 points up to the closest approach, one row per flight."""
+    """The closest approach and figures of the 41 points up to it, one row per flight."""
     w = Window.partitionBy(*KEY).orderBy("n")
     whole = Window.partitionBy(*KEY)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -218,7 +214,12 @@ def _recent_slice(approach):
     rows = rows.withColumn("peak_i", F.min(F.when(turn, F.col("p") - 1)).over(whole))
     one = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
     mono = F.col("dist") <= F.col("point_prev") + 2
+    peak = F.col("n") == F.col("best_n")
     return rows.groupBy(*KEY).agg(
+        F.max(F.when(peak, F.col("cx"))).alias("peak_x"),
+        F.max(F.when(peak, F.col("cy"))).alias("peak_y"),
+        F.max(F.when(peak, F.col("hoop_x"))).alias("peak_hoop_x"),
+        F.max(F.when(peak, F.col("hoop_y"))).alias("peak_hoop_y"),
         F.min("frame").alias("r_first"),
         F.count("*").alias("r_points"),
         F.count("dist").alias("r_hoops"),

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import functions as F
 
 from ..functions.slices import running, slice_of
-from ..session import tune
+from ..session import staged, tune
 
 # name -> (SQL, tables and inputs it reads)
 ROWWISE = {
@@ -240,6 +240,11 @@ ORACLE_ONLY = {
     "label_sources": ("SELECT *, ord % 3 AS source FROM label_rows", ["label_rows"]),
 }
 
+# Tracking tables proper: derived once per session and data folder and kept as written
+# tables, as a user would have them.  The other inputs are cheap projections of these.
+WRITTEN = ("ball_points", "players", "player_dets", "track_dets", "label_rows")
+_written = {}
+
 TABLES = {
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -283,15 +288,29 @@ class Inputs:
         if name not in self._made:
             if name in TABLES:
                 self._made[name] = self.table(name)
+            elif name in WRITTEN:
+                self._made[name] = self._kept(name)
             elif name in ROWWISE:
-                sql, needs = ROWWISE[name]
-                self._made[name] = self.spark.sql(sql, **{n: getattr(self, n) for n in needs})
+                self._made[name] = self._derive(name)
             else:
                 raise AttributeError(name)
         return self._made[name]
 
-    @cached_property
-    def label_rows(self):
+    def _derive(self, name):
+        if name == "label_rows":
+            return self._label_rows()
+        sql, needs = ROWWISE[name]
+        return self.spark.sql(sql, **{n: getattr(self, n) for n in needs})
+
+    def _kept(self, name):
+        key = (self.spark.sparkContext.applicationId, os.path.abspath(self.sf_dir), name)
+        if key not in _written:
+            made = staged(self._derive(name), name)
+            _written[key] = (made.inputFiles()[0].rsplit("/", 1)[0], made.schema)
+        path, schema = _written[key]
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _label_rows(self):
         """Label rows in file order; ``ord`` is counted slice by slice, not by a global sort."""
         path = F.concat(
             F.lit("data/x/frames/game_0"),
