@@ -1,6 +1,5 @@
 """The ball: best detection, validation, spike removal, gap filling, smoothing."""
 
-import itertools
 import math
 
 import pandas as pd
@@ -18,6 +17,7 @@ from ..functions.geometry import (
     in_court_column,
     trunc,
 )
+from ..functions.settle import settle
 from ..functions.slices import halo, numbered, own, row_blocks, running, slice_of
 
 # Fixed values of the ball rules; pixel values hold for a 1920 wide frame and are scaled.
@@ -126,21 +126,6 @@ def temporal_support(best, slots=steps.RECENT_SLOTS, radius=SUPPORT_RADIUS * SCA
     return rows.select("game", "frame", F.size(near).cast("bigint").alias("support"))
 
 
-def _validation_runs(cands):
-    """Cut candidates where nothing before can matter: no candidate in the last 10 frames
-    (teleport check) and none near a hoop in the last 30 (backboard check)."""
-    w = Window.partitionBy("game", "slice").orderBy("frame")
-    rows = halo(cands, before=steps.HOOP_MEMORY)
-    seen = F.max("frame").over(w.rangeBetween(-steps.GRACE, -1))
-    hoop = F.max(F.when(F.col("hoop_top").isNotNull(), F.col("frame"))).over(
-        w.rangeBetween(-steps.HOOP_MEMORY, -1)
-    )
-    rows = own(rows.withColumn("cut", seen.isNull() & hoop.isNull()))
-    return running(
-        rows, ["game"], ["frame", "seq"], {"run": ("last", F.when(F.col("cut"), F.col("frame")))}
-    )
-
-
 def court_candidates(dets, hoops):
     """Detections in the court column with centre, size and the hoop they are near to."""
     rows = dets.withColumns(
@@ -154,50 +139,42 @@ def court_candidates(dets, hoops):
     )
 
 
-def ball_validate(dets, hoops, profile="export", heads=None):
-    """Plausible ball detections.
+CANDIDATE = ["game", "frame", "seq", "conf", "cx", "cy", "area", "hoop_top", "hoop_x"]
+VALID = "game bigint, frame bigint, seq bigint, cx double, cy double, conf double"
+
+
+def ball_validate(dets, hoops, profile="export", heads=None, size=4096):
+    """Plausible ball detections, decided frame by frame on what was accepted before.
 
     ``export`` keeps every detection that passes the column, teleport and backboard
     checks; ``strict`` keeps at most the surest one, asks for support by recent frames
     when it is not continuing a track, and rejects balls that are locked to a head
-    (``heads`` from ``nearest_keypoint``).  The sequential part runs over independent
-    runs of candidates; a lock history is not carried from one run to the next.
+    (``heads`` from ``nearest_keypoint``).
     """
-    rows = _validation_runs(court_candidates(dets, hoops))
+    rows = court_candidates(dets, hoops)
     jump = TELEPORT[profile] * SCALE
-    strict = profile == "strict"
-    if strict and heads is not None:
-        offsets = heads.groupBy("game", "frame").agg(
-            F.collect_list(F.struct("tid", "dx", "dy")).alias("heads")
+    if profile == "export":
+        return settle(
+            rows.select(*CANDIDATE), lambda: list(steps.NOWHERE), export_step(jump), age_core,
+            VALID, ["frame", "seq"], size,
         )
-        rows = rows.join(offsets, ["game", "frame"], "left")
+    offsets = "array<struct<tid:bigint,dx:double,dy:double>>"
+    if heads is None:
+        rows = rows.withColumn("heads", F.lit(None).cast(offsets))
     else:
-        rows = rows.withColumn("heads", F.lit(None).cast("array<struct<tid:bigint,dx:double,dy:double>>"))
-
-    def walk(pdf):
-        pdf = pdf.sort_values(["run", "frame", "seq"], kind="stable", ignore_index=True)
-        keep = []
-        for _, run in itertools.groupby(pdf.itertuples(), key=lambda row: row.run):
-            keep += strict_walk(run, jump) if strict else export_walk(run, jump)
-        return pdf.loc[keep, ["game", "frame", "seq", "cx", "cy", "conf"]]
-
-    # the runs that start in one slice share a task call; each starts from a blank state
-    rows = rows.withColumn("part", slice_of("run"))
-    return rows.groupBy("game", "part").applyInPandas(
-        walk, "game bigint, frame bigint, seq bigint, cx double, cy double, conf double"
+        per = heads.groupBy("game", "frame").agg(
+            F.array_sort(F.collect_list(F.struct("tid", "dx", "dy"))).alias("heads")
+        )
+        rows = rows.join(per, ["game", "frame"], "left")
+    return settle(
+        rows.select(*CANDIDATE, "heads"), blank_strict, strict_step(jump), age_strict,
+        VALID, ["frame", "seq"], size,
     )
 
 
 def _hoop(row):
-    return None if pd.isna(row.hoop_top) else row.hoop_top
-
-
-def _frames(rows):
-    return itertools.groupby(rows, key=lambda row: row.frame)
-
-
-def _hoop(row):
-    return None if row.hoop_top is None or row.hoop_top != row.hoop_top else row.hoop_top
+    missing = row.hoop_top is None or row.hoop_top != row.hoop_top
+    return (None, None) if missing else (float(row.hoop_top), float(row.hoop_x))
 
 
 def _plausible(state, rows, frame, jump):
@@ -207,46 +184,83 @@ def _plausible(state, rows, frame, jump):
     ]
 
 
-def export_walk(run, jump):
-    """Row labels of one run's valid detections; the largest one becomes the reference."""
-    state, keep = steps.NOWHERE, []
-    for frame, rows in _frames(run):
+def _accept(state, frame, best):
+    return list(steps.accept(tuple(state), frame, (float(best.cx), float(best.cy), *_hoop(best))))
+
+
+def _out(row, frame):
+    return (row.game, frame, row.seq, row.cx, row.cy, row.conf)
+
+
+def age_core(state, frame):
+    """Drop a position too old for the teleport check and a hoop too old for the backboard one."""
+    x, y, last, hoop_frame, top, hoop_x = state
+    if last is None or frame - last > steps.GRACE:
+        x = y = last = None
+    if hoop_frame is None or frame - hoop_frame > steps.HOOP_MEMORY:
+        hoop_frame = top = hoop_x = None
+    return [x, y, last, hoop_frame, top, hoop_x]
+
+
+def export_step(jump):
+    """All plausible detections of a frame; the largest becomes the reference."""
+
+    def step(state, frame, rows):
         valid = _plausible(state, rows, frame, jump)
         if valid:
-            best = max(valid, key=lambda row: row.area)
-            state = steps.accept(state, frame, (best.cx, best.cy, _hoop(best), best.hoop_x))
-            keep += [row.Index for row in valid]
-    return keep
-
-
-def strict_walk(run, jump):
-    """Row labels of one run's balls: at most the surest detection of a frame."""
-    state, keep, recent, history = steps.NOWHERE, [], [], {}
-    last_call, slots = None, steps.RECENT_SLOTS
-    for frame, rows in _frames(run):
-        # every frame without a candidate fills a slot of the recent ones
-        idle = slots if last_call is None else min(slots, frame - last_call - 1)
-        valid = _plausible(state, rows, frame, jump)
+            state = _accept(state, frame, max(valid, key=lambda row: row.area))
+        return state, [_out(row, frame) for row in valid]
+
+    return step
+
+
+def blank_strict():
+    return {"core": list(steps.NOWHERE), "recent": [None] * steps.RECENT_SLOTS, "call": None, "heads": {}}
+
+
+def _fill_slots(state, frame):
+    """Frames without a candidate fill slots of the recent ones, too."""
+    idle = 0 if state["call"] is None else min(steps.RECENT_SLOTS, frame - state["call"] - 1)
+    return (state["recent"] + [None] * idle)[-steps.RECENT_SLOTS:]
+
+
+def age_strict(state, frame):
+    recent = _fill_slots(state, frame)
+    seen = any(r is not None for r in recent)
+    return {
+        "core": age_core(state["core"], frame), "recent": recent,
+        "call": frame - 1 if seen else None, "heads": state["heads"],
+    }
+
+
+def strict_step(jump):
+    """At most the surest plausible detection, if supported and not locked to a head."""
+
+    def step(state, frame, rows):
+        core, heads = state["core"], {int(t): v for t, v in state["heads"].items()}
+        valid = _plausible(core, rows, frame, jump)
         best = max(valid, key=lambda row: row.conf) if valid else None
-        seen = None if best is None else (best.cx, best.cy)
-        recent, last_call = (recent + [None] * idle + [seen])[-slots:], frame
+        seen = None if best is None else [float(best.cx), float(best.cy)]
+        recent = (_fill_slots(state, frame) + [seen])[-steps.RECENT_SLOTS:]
+        new = lambda core, recent: {
+            "core": core, "recent": recent, "call": frame, "heads": {str(t): v for t, v in heads.items()}
+        }
         if best is None:
-            continue
-        gap = None if state[0] is None else frame - state[2]
+            return new(core, recent), []
+        gap = None if core[0] is None else frame - core[2]
         going = gap is not None and gap <= steps.GRACE and (
-            math.sqrt((best.cx - state[0]) ** 2 + (best.cy - state[1]) ** 2) <= jump * gap
+            math.sqrt((best.cx - core[0]) ** 2 + (best.cy - core[1]) ** 2) <= jump * gap
         )
         if not going and not steps.supported(recent, best.cx, best.cy, SUPPORT_RADIUS * SCALE):
-            continue
-        heads = () if best.heads is None else best.heads
-        offsets = {h["tid"]: (h["dx"], h["dy"]) for h in heads}
-        if offsets and steps.head_locked(history, offsets, HEAD_SPREAD * SCALE):
-            history, recent = {}, []
-            state = (None, None, None) + state[3:]
-            continue
-        state = steps.accept(state, frame, (best.cx, best.cy, _hoop(best), best.hoop_x))
-        keep.append(best.Index)
-    return keep
+            return new(core, recent), []
+        near = [] if best.heads is None else best.heads
+        offsets = {int(h["tid"]): [float(h["dx"]), float(h["dy"])] for h in near}
+        if offsets and steps.head_locked(heads, offsets, HEAD_SPREAD * SCALE):
+            heads = {}
+            return new([None, None, None] + core[3:], [None] * steps.RECENT_SLOTS), []
+        return new(_accept(core, frame, best), recent), [_out(best, frame)]
+
+    return step
 
 
 # ---- repair -------------------------------------------------------------------------
@@ -290,6 +304,62 @@ def spike_reject(boxes, profile="export"):
     return own(rows).drop("slice", "cx", "cy")
 
 
+def spike_reject_in_order(boxes, profile="export", size=4096):
+    """``spike_reject`` where each removal is seen by the rows after it in the same pass.
+
+    What lies ahead of a row is looked up natively; only the last row that stayed is state.
+    """
+    coherent = TELEPORT[profile] * SCALE * 0.3
+    names = boxes.columns
+    ddl = ", ".join(f"{n} {t}" for n, t in boxes.dtypes)
+    w = Window.partitionBy("game", "slice").orderBy("frame")
+    rows = boxes
+    for run in (1, 2, 3):
+        ahead = LOOK if run == 1 else LOOK + run
+        part = halo(rows.withColumns({"cx": center_x(), "cy": center_y()}), after=ahead, size=size)
+        at = lambda k, c: F.lead(c, k).over(w) if k else F.col(c)
+        gap = lambda k: distance(at(k, "cx"), at(k, "cy"), at(k + 1, "cx"), at(k + 1, "cy"))
+        ok = F.lead("frame", run).over(w) - F.col("frame") <= ahead
+        for k in range(1, run):
+            ok = ok & (at(k, "frame") == F.col("frame") + k) & (gap(k - 1) <= coherent)
+        part = part.withColumns(
+            {
+                "ok": F.coalesce(ok, F.lit(False)),
+                "ex": at(run - 1, "cx"), "ey": at(run - 1, "cy"), "nx": at(run, "cx"), "ny": at(run, "cy"),
+            }
+        )
+        rows = settle(
+            own(part).drop("slice"), lambda: [None, None, None, None], _spike_step(run, names), _age_spike,
+            ddl, ["frame"], size,
+        )
+    return rows
+
+
+def _age_spike(state, frame):
+    last, x, y, until = state
+    if last is None or frame - last > LOOK:
+        last = x = y = None
+    return [last, x, y, until if until is not None and until >= frame else None]
+
+
+def _spike_step(run, names):
+    def step(state, frame, rows):
+        last, x, y, until = state
+        row = rows[0]
+        if until is not None and frame <= until:
+            return state, []
+        if row.ok and last is not None and frame - last <= LOOK:
+            to_before = math.sqrt((row.cx - x) ** 2 + (row.cy - y) ** 2)
+            to_after = math.sqrt((row.ex - row.nx) ** 2 + (row.ey - row.ny) ** 2)
+            apart = math.sqrt((x - row.nx) ** 2 + (y - row.ny) ** 2)
+            if max(to_before, to_after) > apart * 3 + 20 and to_before > 30 and to_after > 30:
+                return [last, x, y, frame + run - 1], []
+        kept = tuple(getattr(row, n) for n in names)
+        return [frame, float(row.cx), float(row.cy), None], [kept]
+
+    return step
+
+
 def gap_fill(boxes, profile="export", most=MAX_FILL):
     """Fill gaps of up to 8 frames: straight for short ones, along an arc for longer ones."""
     teleport = TELEPORT[profile] * SCALE

@@ -53,16 +53,28 @@ def team_majority(rows, keys=("game", "peak_frame", "tid")):
 def board_crashes(shots, players):
     """Players that crash the boards: (game, peak_frame, tid, bucket, distances)."""
     rows = players_after_shot(shots, players)
-    ends = rows.groupBy("game", "peak_frame", "tid").agg(
+    shot_player = ["game", "peak_frame", "tid"]
+    # votes and end points come out of one pass: first per team voted for, then per player
+    per_vote = rows.groupBy(*shot_player, "team").agg(
+        F.count("*").alias("votes"),
+        F.min("frame").alias("first"),
+        F.max("frame").alias("last"),
         F.min_by(F.struct("cx", "cy", "hoop_x", "hoop_y"), "frame").alias("a"),
         F.max_by(F.struct("cx", "cy"), "frame").alias("b"),
     )
+    rank = F.when(F.col("team").isNotNull(), F.struct("votes", -F.col("first")))
+    ends = per_vote.groupBy(*shot_player).agg(
+        F.min_by("a", "first").alias("a"),
+        F.max_by("b", "last").alias("b"),
+        F.max_by("team", rank).alias("team"),
+    )
     start = distance("a.cx", "a.cy", "a.hoop_x", "a.hoop_y")
     end = distance("b.cx", "b.cy", "a.hoop_x", "a.hoop_y")
     ends = ends.select(
         "game",
         "peak_frame",
         "tid",
+        "team",
         start.alias("start_dist"),
         (start - end).alias("moved"),
         F.col("a.cx").alias("start_x"),
@@ -73,7 +85,6 @@ def board_crashes(shots, players):
         & ~((F.col("start_dist") < UNDER) & (F.col("moved") < UNDER_MOVE))
         & ((F.col("start_dist") <= ZONE) | (F.col("moved") >= EFFORT))
     )
-    crash = crash.join(team_majority(rows), ["game", "peak_frame", "tid"], "left")
     bucket = F.when(
         F.col("team").isin(0, 1), F.concat(F.lit("team_"), F.col("team").cast("string"))
     ).otherwise(F.lit("unknown"))

@@ -160,79 +160,86 @@ def approach_points(points_in_flight, flight_rows, size=4096):
     )
 
 
-def release_frames(approach):
-    """Start of the final arc: the latest step away from the hoop that is followed by
-    mostly closing steps, else the first point with a hoop (or simply the first one)."""
-    w = Window.partitionBy(*KEY).orderBy("n")
-    whole = Window.partitionBy(*KEY)
-    rest = w.rowsBetween(1, Window.unboundedFollowing)
-    prev = F.lag("dist").over(w)
-    hoop = approach.where("dist IS NOT NULL").withColumns(
-        {
-            "i": F.row_number().over(w) - 1,
-            "pairs": F.count("*").over(whole),
-            "away": prev < F.col("dist"),
-            "ok": (F.col("dist") <= prev + 8).cast("int"),
-        }
-    )
-    hoop = hoop.withColumn("ok_after", F.coalesce(F.sum("ok").over(rest), F.lit(0)))
-    steps_after = F.col("pairs") - F.col("i") - 1
-    turn = (F.col("i") >= 1) & F.col("away") & (steps_after >= 2) & (
-        F.col("ok_after") > d(0.65) * steps_after
-    )
-    found = hoop.groupBy(*KEY).agg(
-        F.max("pairs").alias("pairs"),
-        F.max(F.when(turn, F.col("frame"))).alias("turn_frame"),
-        F.min("frame").alias("hoop_frame"),
-    )
-    first = approach.groupBy(*KEY).agg(F.min("frame").alias("first_frame"))
-    return first.join(found, KEY, "left").select(
-        *KEY,
-        F.when(F.col("pairs") >= 4, F.coalesce("turn_frame", "hoop_frame"))
-        .otherwise(F.col("first_frame"))
-        .alias("release_frame"),
-    )
-
+def approach_figures(approach):
+    """What the points before each flight's closest approach say, one row per flight.
 
-def _recent_slice(approach):
-    """The closest approach and figures of the 41 points up to it, one row per flight."""
+    ``r_*`` describe the last 41 points, ``release_frame`` the start of the final arc: the
+    latest step away from the hoop that is followed by mostly closing steps, else the
+    first point with a hoop, or simply the first one when hardly any has a hoop.  One
+    exchange serves all windows and the aggregation.
+    """
     w = Window.partitionBy(*KEY).orderBy("n")
     whole = Window.partitionBy(*KEY)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = approach.where(F.col("n") >= F.col("best_n") - RECENT_POINTS).withColumns(
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rest = w.rowsBetween(1, Window.unboundedFollowing)
+    c = F.col
+    recent = c("n") >= c("best_n") - RECENT_POINTS
+    rows = approach.withColumns(
         {
-            "p": F.row_number().over(w) - 1,
-            "m": F.count("*").over(whole),
+            "recent": recent,
+            "p": F.sum(recent.cast("int")).over(upto) - 1,
+            "m": F.sum(recent.cast("int")).over(whole),
+            "i": F.count("dist").over(upto) - 1,
+            "pairs": F.count("dist").over(whole),
             "hoop_prev": F.last("dist", ignorenulls=True).over(before),
+            "r_hoop_prev": F.last(F.when(recent, c("dist")), ignorenulls=True).over(before),
             "point_prev": F.lag("dist").over(w),
+            "vy_before": F.lag("vy").over(w),
         }
     )
-    rows = rows.withColumn("rvy", F.when(F.col("p") >= 1, F.col("vy"))).withColumn(
-        "rvy_prev", F.lag("rvy").over(w)
+    rows = rows.withColumns(
+        {
+            "ok": (c("dist") <= c("hoop_prev") + 8).cast("int"),
+            "rvy": F.when(c("recent") & (c("p") >= 1), c("vy")),
+            "rvy_prev": F.when(c("recent") & (c("p") >= 2), c("vy_before")),
+        }
     )
-    turn = (F.col("rvy_prev") < -0.1) & (F.col("rvy") >= -0.05)
-    rows = rows.withColumn("peak_i", F.min(F.when(turn, F.col("p") - 1)).over(whole))
-    one = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
-    mono = F.col("dist") <= F.col("point_prev") + 2
-    peak = F.col("n") == F.col("best_n")
-    return rows.groupBy(*KEY).agg(
-        F.max(F.when(peak, F.col("cx"))).alias("peak_x"),
-        F.max(F.when(peak, F.col("cy"))).alias("peak_y"),
-        F.max(F.when(peak, F.col("hoop_x"))).alias("peak_hoop_x"),
-        F.max(F.when(peak, F.col("hoop_y"))).alias("peak_hoop_y"),
-        F.min("frame").alias("r_first"),
-        F.count("*").alias("r_points"),
-        F.count("dist").alias("r_hoops"),
-        one(F.col("dist") <= F.col("hoop_prev") + 3).alias("r_closing"),
-        F.max((F.col("rvy_prev") < -0.05) & (F.col("rvy") > 0.05)).alias("r_turn"),
-        F.min("dist").alias("r_min"),
-        F.max("dist").alias("r_max"),
-        F.min_by("dist", F.when(F.col("dist").isNotNull(), F.col("n"))).alias("r_dist_first"),
-        F.max(F.col("rvy") < -0.1).alias("r_up"),
-        F.max(F.col("rvy") > 0.1).alias("r_down"),
+    first_turn = F.when((c("rvy_prev") < -0.1) & (c("rvy") >= -0.05), c("p") - 1)
+    rows = rows.withColumns(
+        {
+            "ok_after": F.coalesce(F.sum("ok").over(rest), F.lit(0)),
+            "peak_i": F.min(first_turn).over(whole),
+        }
+    )
+    steps_after = c("pairs") - c("i") - 1
+    turn = (
+        c("dist").isNotNull()
+        & (c("i") >= 1)
+        & (c("hoop_prev") < c("dist"))
+        & (steps_after >= 2)
+        & (c("ok_after") > d(0.65) * steps_after)
+    )
+    one = lambda cond: F.sum(F.when(c("recent") & cond, 1).otherwise(0)).cast("bigint")
+    any_ = lambda cond: F.max(c("recent") & cond)
+    near = F.when(c("recent"), c("dist"))
+    mono = (c("p") >= 1) & (c("dist") <= c("point_prev") + 2)
+    peak = lambda v: F.max(F.when(c("n") == c("best_n"), c(v)))
+    hooped = F.when(c("dist").isNotNull(), c("frame"))
+    out = rows.groupBy(*KEY).agg(
+        *[peak(v).alias(n) for v, n in (("cx", "peak_x"), ("cy", "peak_y"),
+                                        ("hoop_x", "peak_hoop_x"), ("hoop_y", "peak_hoop_y"))],
+        F.min(F.when(c("recent"), c("frame"))).alias("r_first"),
+        F.max("m").alias("r_points"),
+        F.count(near).alias("r_hoops"),
+        one(c("dist") <= c("r_hoop_prev") + 3).alias("r_closing"),
+        any_((c("rvy_prev") < -0.05) & (c("rvy") > 0.05)).alias("r_turn"),
+        F.min(near).alias("r_min"),
+        F.max(near).alias("r_max"),
+        F.min_by("dist", F.when(near.isNotNull(), c("n"))).alias("r_dist_first"),
+        any_(c("rvy") < -0.1).alias("r_up"),
+        any_(c("rvy") > 0.1).alias("r_down"),
         F.max("peak_i").alias("r_peak_i"),
-        one(mono & (F.col("p") < F.col("peak_i"))).alias("r_mono_before"),
-        one(mono & (F.col("p") > F.col("peak_i"))).alias("r_mono_after"),
+        one(mono & (c("p") < c("peak_i"))).alias("r_mono_before"),
+        one(mono & (c("p") > c("peak_i"))).alias("r_mono_after"),
+        F.max("pairs").alias("pairs"),
+        F.max(F.when(turn, c("frame"))).alias("turn_frame"),
+        F.min(hooped).alias("hoop_frame"),
+        F.min("frame").alias("first_frame"),
+    )
+    release = F.when(c("pairs") >= 4, F.coalesce("turn_frame", "hoop_frame")).otherwise(c("first_frame"))
+    return out.withColumn("release_frame", release).drop(
+        "pairs", "turn_frame", "hoop_frame", "first_frame"
     )
 
 
@@ -249,10 +256,8 @@ def shot_candidates(points, size=4096):
     inside = staged(flight_steps(points, size), "flight-steps")
     per = staged(flights(inside), "flights")
     approach = approach_points(inside, per, size)
-    rows = (
-        per.join(_recent_slice(approach), KEY, "left")
-        .join(_final_distance(inside), KEY, "left")
-        .join(release_frames(approach), KEY, "left")
+    rows = per.join(approach_figures(approach), KEY, "left").join(
+        _final_distance(inside), KEY, "left"
     )
     c = F.col
     steps = c("points") - 1

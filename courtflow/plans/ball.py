@@ -262,6 +262,11 @@ def spike_reject(src):
     return ball.spike_reject(best(src))
 
 
+@query("spike_reject_in_order")
+def spike_reject_in_order(src):
+    return ball.spike_reject_in_order(best(src))
+
+
 FILL_T = "(j / CAST(gap + 1 AS DOUBLE))"
 
 

@@ -367,7 +367,8 @@ def first_close_approach(src):
 )
 def release_frame(src):
     inside = staged(shots.flight_steps(src.ball_points), "flight-steps")
-    return shots.release_frames(shots.approach_points(inside, shots.flights(inside)))
+    found = shots.approach_figures(shots.approach_points(inside, shots.flights(inside)))
+    return found.select("game", "flight", "release_frame")
 
 
 def _detector(name, flag, sql_flag):

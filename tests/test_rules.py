@@ -195,31 +195,38 @@ def box_gap(a, b):
     return math.hypot((a[0] + a[2] - b[0] - b[2]) / 2, (a[1] + a[3] - b[1] - b[3]) / 2)
 
 
-def test_spikes_against_passes_over_a_dense_list(spark):
+def spiky_boxes(spark):
     rnd, rows = random.Random(9), []
     for f in range(600):
         if rnd.random() < 0.35:
             continue
         jump = 150 if f % 23 in (5, 6) or f % 31 in (3, 4, 5) or f % 17 == 2 else 0
         rows.append((0, f, 300 + f + jump, 200, 330 + f + jump, 230))
+    return rows, spark.createDataFrame(rows, "game bigint, frame bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint")
+
+
+@pytest.mark.parametrize("in_order", [False, True])
+def test_spikes_against_passes_over_a_dense_list(spark, in_order):
+    rows, boxes = spiky_boxes(spark)
     dense = {f: box for _, f, *box in rows}
     for run in (1, 2, 3):
         doomed = set()
-        for f in dense:
-            line = [dense.get(f + k) for k in range(run)]
+        for f in list(dense):
+            seen = {k: v for k, v in dense.items() if k not in doomed} if in_order else dense
+            line = [seen.get(f + k) for k in range(run)]
             if None in line or any(box_gap(p, q) > 250 * 1280 / 1920 * 0.3 for p, q in zip(line, line[1:])):
                 continue
-            before = next((dense[f - k] for k in range(1, 8) if f - k in dense), None)
+            before = next((seen[f - k] for k in range(1, 8) if f - k in seen), None)
             reach = 8 if run == 1 else 9
-            after = next((dense[f + run - 1 + k] for k in range(1, reach) if f + run - 1 + k in dense), None)
+            after = next((seen[f + run - 1 + k] for k in range(1, reach) if f + run - 1 + k in seen), None)
             if before is None or after is None:
                 continue
             a, b = box_gap(line[0], before), box_gap(line[-1], after)
             if max(a, b) > 3 * box_gap(before, after) + 20 and a > 30 and b > 30:
                 doomed |= {f + k for k in range(run)}
         dense = {f: v for f, v in dense.items() if f not in doomed}
-    boxes = spark.createDataFrame(rows, "game bigint, frame bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint")
-    got = {r.frame for r in ball.spike_reject(boxes).collect()}
+    how = (lambda t: ball.spike_reject_in_order(t, size=50)) if in_order else ball.spike_reject
+    got = {r.frame for r in how(boxes).collect()}
     assert got == set(dense) and len(got) < len(rows)
 
 
@@ -296,3 +303,34 @@ def test_hot_frame_pairs_come_out_once(spark):
     boxes = spark.createDataFrame(rows, "game bigint, frame bigint, seq bigint, tid bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint")
     got = tracks.pair_overlap(boxes).collect()
     assert len({(r.seq_a, r.seq_b) for r in got}) == len(got) == 60 * 59 // 2
+
+
+def random_candidates(spark, seed, n=900):
+    """A ball path with decoys and few gaps, so that state matters across slice borders."""
+    rnd, frame, rows, heads = random.Random(seed), 0, [], []
+    for _ in range(n):
+        frame += rnd.choice([1, 1, 1, 1, 2, 3])
+        x, y = int(640 + 250 * math.sin(frame / 30)), int(320 + 200 * math.cos(frame / 45))
+        rows.append((0, frame, 0, rnd.random(), x - 15, y - 15, x + 15, y + 15))
+        if rnd.random() < 0.5:
+            dx, dy = rnd.choice([-260, -90, 60, 120, 240]), rnd.choice([-90, 0, 90])
+            rows.append((0, frame, 1, rnd.random(), x + dx - 16, y + dy - 16, x + dx + 16, y + dy + 16))
+        if (frame // 50) % 2:
+            heads.append((0, frame, 1, 4.0 + rnd.random(), 12.0))
+    hoops = [(0, f, 0, 850, 200, 910, 240) for f in range(frame + 1)]
+    box = "x1 bigint, y1 bigint, x2 bigint, y2 bigint"
+    return (
+        spark.createDataFrame(rows, f"game bigint, frame bigint, seq bigint, conf double, {box}"),
+        spark.createDataFrame(hoops, f"game bigint, frame bigint, idx bigint, {box}"),
+        spark.createDataFrame(heads, "game bigint, frame bigint, tid bigint, dx double, dy double"),
+    )
+
+
+@pytest.mark.parametrize("profile,size", [("export", 5), ("export", 40), ("strict", 40)])
+def test_validation_in_slices_equals_one_walk(spark, profile, size):
+    """Slices shorter than the memory of the checks must be repaired, not just guessed."""
+    dets, hoops, heads = random_candidates(spark, 11, n=50 if size == 5 else 300)
+    want = ball.ball_validate(dets, hoops, profile, heads, size=100000)
+    got = ball.ball_validate(dets, hoops, profile, heads, size=size)
+    a, b = ({(r.frame, r.seq) for r in t.collect()} for t in (got, want))
+    assert a == b and len(a) > 10
