@@ -8,6 +8,7 @@ the like stand for the given tables.
 import os
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions.slices import running, slice_of
@@ -304,11 +305,15 @@ class Inputs:
 
     def _kept(self, name):
         key = (self.spark.sparkContext.applicationId, os.path.abspath(self.sf_dir), name)
-        if key not in _written:
-            made = staged(self._derive(name), name)
-            _written[key] = (made.inputFiles()[0].rsplit("/", 1)[0], made.schema)
-        path, schema = _written[key]
-        return self.spark.read.schema(schema).parquet(path)
+        if key in _written:
+            path, schema = _written[key]
+            try:
+                return self.spark.read.schema(schema).parquet(path)
+            except AnalysisException:
+                pass  # the work folder was cleared in between
+        made = staged(self._derive(name), name)
+        _written[key] = (os.path.dirname(made.inputFiles()[0]), made.schema)
+        return made
 
     def _label_rows(self):
         """Label rows in file order; ``ord`` is counted slice by slice, not by a global sort."""
