@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from courtflow.llm import passages
+from courtflow.llm import passages, quality, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -22,3 +22,18 @@ def op1_substring_dedup(spark, sf_dir):
     """Words left when every 13-word passage stays in its first document only."""
     kept = passages.strip_passages(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op5_simhash(spark, sf_dir):
+    """SimHash classes over 4-word shingles at 4 bits."""
+    near = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_quality_rules(spark, sf_dir):
+    """Base counts and the verdict of the risk-controlled rules, per document."""
+    judged = quality.verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *base, "base_failed", "kept")

@@ -42,18 +42,29 @@ def mix(h):
     return h ^ (h >> np.uint64(32))
 
 
-def pieces(batch, column, limit=1 << 20):
-    """Cut a record batch into slices of about ``limit`` bytes of text, one row at least."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+def _cuts(column, limit):
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes.astype(np.int64))
     at = 0
-    while at < batch.num_rows:
+    while at < len(ends):
         before = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
-        yield batch.slice(at, to - at)
+        yield at, to - at
         at = to
 
 
+def pieces(batch, column, limit=1 << 20):
+    """Cut a record batch into slices of about ``limit`` bytes of text, one row at least."""
+    for at, n in _cuts(batch.column(column), limit):
+        yield batch.slice(at, n)
+
+
+def cut(column, limit=1 << 20):
+    """Cut a text column in the same way."""
+    for at, n in _cuts(column, limit):
+        yield column.slice(at, n)
+
+
 class Text:
     """The bytes of a text column (null: empty) and where its words begin and end."""
 
