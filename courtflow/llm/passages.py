@@ -8,10 +8,10 @@ sequence also starts in a document with a smaller id are removed, judged on the
 2. Every window has an anchor: the least hash among its runs of ``ANCHOR`` words. Anchors, one row per block, are
    compared over the corpus; equal windows have equal anchors, so only windows whose anchor occurs in two documents
    can recur.
-3. Those windows are compared over the corpus by a 128-bit hash: the recurring passages are confirmed and get
+3. Those windows are compared over the corpus by a 96-bit hash: the recurring passages are confirmed and get
    the smallest document id they start in.
 4. Each block compiles Aho-Corasick automata of the confirmed passages that concern it, sharded by ``SHARD``
-   patterns, and streams all its documents through them to locate every occurrence. One character stands for one word.
+   patterns, and streams all its documents through them to locate every occurrence.
 
 A passage that a third of all documents share costs one row per block in each shuffle, not one per document.
 """
@@ -112,9 +112,9 @@ def _anchor_rows(length):
                         pa.array(np.full(len(begin), blocks[start])),
                         pa.array(signed(anchors[order][begin])),
                         pa.array(low),
-                        pa.array(high),
+                        pa.array(high - low),
                     ],
-                    ["block", "anchor", "low", "high"],
+                    ["block", "anchor", "low", "span"],
                 )
 
     return run
@@ -126,23 +126,24 @@ def _placed(table):
 
 def _window_rows(length):
     """Windows of a block whose anchor recurs: hash, ids, and where one of them stands."""
-    names = ["block", "h1", "h2", "low", "high", "word"]
+    names = ["block", "h1", "h2", "low", "span", "word", "repeated"]
 
     def run(key, texts, anchors):
         text, ids, hashes, at, own = _anchored(_placed(texts), length)
         at = at[np.isin(signed(own), anchors.column("anchor").to_numpy())]
         h1 = windows(hashes, length)[at]
-        h2 = windows(text.hashes(1), length, 1)[at]
+        h2 = windows(text.hashes(1), length, 1)[at].view(np.int32)[::2].copy()
         order, begin, low, high = _extent([h1, h2], ids[text.rows()[at]])
         pick = order[begin]
         return pa.table(
             [
                 pa.array(np.full(len(pick), key[0].as_py())),
                 pa.array(signed(h1[pick])),
-                pa.array(signed(h2[pick])),
+                pa.array(h2[pick]),
                 pa.array(low),
-                pa.array(high),
+                pa.array(high - low),
                 pa.array(at[pick]),
+                pa.array(np.diff(np.append(begin, len(order))) > 1),
             ],
             names,
         )
@@ -150,11 +151,32 @@ def _window_rows(length):
     return run
 
 
-def _characters(codes):
-    """One valid character per code, as a string; 0 stays for words of no pattern."""
-    points = codes.astype(np.uint32)
-    points[points >= 0xD800] += 0x800
-    return points.tobytes().decode("utf-32-le")
+def _characters(codes, bits):
+    """Two characters per code, each digit from an alphabet of its own; code 0 is a word of no pattern.
+
+    An automaton looks a character up among the children of a node one by one, so the alphabet is
+    small; the separate alphabets let no match begin inside a word.
+    """
+    digits = np.empty((len(codes), 2), np.uint32)
+    digits[:, 0] = (codes >> bits) + (1 << bits) + 1
+    digits[:, 1] = (codes & (1 << bits) - 1) + 1
+    digits[codes == 0] = 0
+    return digits.tobytes().decode("utf-32-le")
+
+
+def _needed(words, repeated, length):
+    """Which patterns, ordered by word, to compile.
+
+    Of a run of passages that begin one word after another and stand only there in the block, those that
+    cover the run's words suffice; passages with more places in the block are all compiled.
+    """
+    single = ~repeated
+    joined = np.zeros(len(words), bool)
+    joined[1:] = single[1:] & single[:-1] & (np.diff(words) == 1)
+    heads = np.flatnonzero(~joined)
+    offset = np.arange(len(words)) - np.repeat(heads, np.diff(np.append(heads, len(words))))
+    last = np.append(~joined[1:], True)[: len(words)]
+    return repeated | last | (offset % length == 0)
 
 
 def _locate(codes, stops, words, owners, length):
@@ -164,28 +186,29 @@ def _locate(codes, stops, words, owners, length):
     """
     import ahocorasick
 
-    starts, owned = [], []
+    # a character of no word between the documents, so that no match crosses their border
+    spaced = np.arange(len(codes)) + np.searchsorted(stops, np.arange(len(codes)), side="right")
+    starts, owned = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for low in range(0, len(words), SHARD):
         heads, own = words[low : low + SHARD], owners[low : low + SHARD]
         vocabulary = np.unique(codes[(heads[:, None] + np.arange(length)).ravel()])
+        bits = (len(vocabulary).bit_length() + 1) // 2
         renamed = np.zeros(codes.max() + 1, np.int64)
-        renamed[vocabulary] = np.arange(len(vocabulary)) + 2
-        stream = _characters(renamed[codes])
+        renamed[vocabulary] = np.arange(len(vocabulary)) + 1
+        renamed = renamed[codes]
+        stream = _characters(renamed, bits)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, head in enumerate(heads.tolist()):
-            automaton.add_word(stream[head : head + length], i)
+        for i, head in enumerate((heads * 2).tolist()):
+            automaton.add_word(stream[head : head + 2 * length], i)
         automaton.make_automaton()
-        # a character of no word between the documents, so that no match crosses their border
-        shift = np.searchsorted(stops, np.arange(len(codes)), side="right")
-        spaced = np.full(len(codes) + len(stops), 1, np.int64)
-        spaced[np.arange(len(codes)) + shift] = renamed[codes]
-        found = np.fromiter((x for pair in automaton.iter(_characters(spaced)) for x in pair), np.int64).reshape(-1, 2)
-        last = found[:, 0]
+        apart = np.zeros(len(codes) + len(stops), np.int64)
+        apart[spaced] = renamed
+        pairs = automaton.iter(_characters(apart, bits))
+        found = np.fromiter((x for pair in pairs for x in pair), np.int64).reshape(-1, 2)
+        last = found[:, 0] // 2
         row = np.searchsorted(stops + np.arange(len(stops)), last, side="right")
         starts.append(last - row - length + 1)
         owned.append(own[found[:, 1]])
-    if not starts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(starts), np.concatenate(owned)
 
 
@@ -196,6 +219,9 @@ def _strip(length):
         ids = texts.column("doc_id")
         covered = np.zeros(len(text.starts) + 1, np.int64)
         if patterns.num_rows:
+            patterns = patterns.sort_by("word")
+            need = _needed(patterns.column("word").to_numpy(), patterns.column("repeated").to_numpy(), length)
+            patterns = patterns.filter(pa.array(need))
             codes = text.tokens().dictionary_encode().indices.to_numpy().astype(np.int64)
             starts, owners = _locate(
                 codes,
@@ -243,11 +269,11 @@ def strip_passages(docs, length=13):
     if length <= ANCHOR:
         raise ValueError(f"a passage has more than {ANCHOR} words")
     laid = _layout(docs)
-    anchors = laid.mapInArrow(_anchor_rows(length), "block long, anchor long, low long, high long")
+    anchors = laid.mapInArrow(_anchor_rows(length), "block long, anchor long, low long, span long")
     same = Window.partitionBy("anchor")
     recurring = (
         anchors.withColumn("least", F.min("low").over(same))
-        .withColumn("most", F.max("high").over(same))
+        .withColumn("most", F.max(F.expr("low + span")).over(same))
         .where("least < most")
         .select("block", "anchor")
     )
@@ -255,12 +281,12 @@ def strip_passages(docs, length=13):
         laid.groupBy("block")
         .cogroup(recurring.groupBy("block"))
         .applyInArrow(
-            _window_rows(length), "block long, h1 long, h2 long, low long, high long, word long"
+            _window_rows(length), "block long, h1 long, h2 int, low long, span long, word long, repeated boolean"
         )
     )
     confirmed = (
         candidates.withColumn("owner", F.min("low").over(Window.partitionBy("h1", "h2")))
-        .where("high > owner")
-        .select("block", "word", "owner")
+        .where("low + span > owner")
+        .select("block", "word", "owner", "repeated")
     )
     return laid.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(_strip(length), _KEPT)
