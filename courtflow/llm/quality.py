@@ -1,12 +1,12 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule rejects a document whose statistic lies above a cutoff. The cutoffs come from labelled documents, per stratum
-(language): one half of them proposes the cutoff that gains most, the other half, the holdout, certifies it. A
-cutoff is certified when the exact (Clopper-Pearson) upper bound on the share of good documents that
-it rejects stays within the rule's part of ``risk``. Cutoffs of a rule are tested from the loosest on and testing
-stops at the first failure, which keeps the error of the whole sequence; the proposed rules of all strata share ``error``
-by Bonferroni, those of one stratum share ``risk``. A rule without a certified cutoff rejects nothing. So with
-probability 1 - error, at most the share ``risk`` of good documents is rejected by the rules in every stratum.
+(language): one half of them proposes, for every rule, the cutoff that gains most; the other half, the holdout,
+certifies the stratum's cutoffs together. They are certified when the exact (Clopper-Pearson) upper bound on the
+share of good documents that any of them rejects is at most ``risk``. They are tested from much looser ones
+on, all cutoffs times a common slack, and testing stops at the first failure, which keeps the error of the
+whole sequence; the strata share ``error`` by Bonferroni. A stratum in which nothing is certified rejects nothing. So
+with probability 1 - error, the rules reject at most the share ``risk`` of good documents in every stratum.
 """
 
 import math
@@ -103,10 +103,11 @@ RULES = {
     "digit_share": "n_digits / word_chars",
     "dup_line_share": "n_dup_lines / n_lines",
     "repeat_share": "n_repeat_words / n_words",
-    "long_words": "word_chars / n_words / 100",
 }
 #: cutoffs tried, from loose to tight
 CUTOFFS = [round(4.0 * 0.88**i, 6) for i in range(60)]
+#: factors on the proposed cutoffs, in the order of testing
+SLACKS = [8.0, 4.0, 2.0, 1.5, 1.25, 1.1, 1.0]
 
 
 def upper_bound(bad, n, error):
@@ -141,26 +142,33 @@ def _beyond(counts):
     return every.cumsum()
 
 
-def choose(table, risk, error, cost=20.0):
-    """Cutoffs by stratum and rule from {(stratum, rule, half, quality): {bin: documents}}."""
-    proposed = {}
-    for stratum in {key[0] for key in table}:
+def propose(table, cost=100.0):
+    """Cutoffs {stratum: {rule: cutoff}} from {(stratum, rule, quality): {bin: documents}}.
+
+    A good document lost weighs ``cost`` times a bad one caught.
+    """
+    out = {stratum: {} for stratum in {POOLED} | {key[0] for key in table}}
+    for stratum, found in out.items():
         for rule in RULES:
-            good, bad = (table.get((stratum, rule, 0, q), {}) for q in (1, 0))
+            good, bad = (table.get((stratum, rule, q), {}) for q in (1, 0))
             n_good, n_bad = sum(good.values()), sum(bad.values())
             if n_good and n_bad:
                 gain = _beyond(bad) / n_bad - cost * _beyond(good) / n_good
                 if gain.max() > 0:
-                    proposed[stratum, rule] = int(gain.argmax())
+                    found[rule] = CUTOFFS[int(gain.argmax())]
+    return out
+
+
+def certify(proposed, tested, risk, error):
+    """Keep each stratum's cutoffs at the tightest certified slack; ``tested`` is {stratum: (n, [lost per slack])}."""
     out = {}
-    for (stratum, rule), best in proposed.items():
-        held = table.get((stratum, rule, 1, 1), {})
-        share = risk / sum(s == stratum for s, _ in proposed)
-        lost = _beyond(held)
-        for i in range(best + 1):
-            if upper_bound(int(lost[i]), sum(held.values()), error / len(proposed)) > share:
+    for stratum, found in proposed.items():
+        out[stratum] = {}
+        n, lost = tested.get(stratum, (0, []))
+        for slack, bad in zip(SLACKS, lost, strict=False):
+            if not n or upper_bound(bad, n, error / len(proposed)) > risk:
                 break
-            out[stratum, rule] = CUTOFFS[i]
+            out[stratum] = {rule: slack * cutoff for rule, cutoff in found.items()}
     return out
 
 
@@ -174,40 +182,48 @@ def _measured(docs):
 
 
 def cutoffs(measured, labels, risk=0.02, error=0.05, max_strata=32):
-    """Certified cutoffs, {(stratum, rule): cutoff}.
+    """Certified cutoffs, {stratum: {rule: cutoff}}.
 
-    The ``max_strata`` languages with most labels are strata of their own; the rest, and null, take those of the pooled
-    stratum of all. What reaches the driver is one count per stratum, rule, half, label and bin.
+    The ``max_strata`` languages with most labels are strata with cutoffs of their own only; the rest, and null,
+    take those of the pooled stratum of all. What reaches the driver is one count per stratum, rule, label and bin.
     """
     known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     rows = measured.join(known.where("doc_id is not null and quality in (0, 1)"), "doc_id")
     rows = rows.where("n_words > 0").withColumn("half", F.expr("crc32(cast(doc_id as string)) % 2"))
+    rows = staged(rows, "labelled")
+    sizes = rows.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    own = [r.lang for r in sizes.limit(max_strata).collect()]
+    stratum = F.when(F.col("lang").isin(own), F.col("lang")).otherwise(POOLED) if own else F.lit(POOLED)
     bins = [
         F.expr(f"size(filter(array({','.join(f'{c}D' for c in CUTOFFS)}), c -> coalesce({sql}, 0) > c))").alias(rule)
         for rule, sql in RULES.items()
     ]
-    rows = rows.select("lang", "half", "quality", *bins)
-    rows = rows.unpivot(["lang", "half", "quality"], list(RULES), "rule", "bin")
-    rows = staged(rows.groupBy("lang", "half", "quality", "rule", "bin").count(), "quality")
-    largest = rows.where("lang is not null").groupBy("lang").agg(F.sum("count").alias("n"))
-    own = {r.lang for r in largest.orderBy(F.desc("n"), "lang").limit(max_strata).collect()}
-    stratum = F.when(F.col("lang").isin(*own), F.col("lang")) if own else F.lit(None)
-    summed = rows.withColumn("lang", stratum).groupBy("lang", "half", "quality", "rule", "bin").agg(F.sum("count").alias("n"))
+    binned = rows.where("half = 0").select(stratum.alias("stratum"), "quality", *bins)
+    binned = binned.unpivot(["stratum", "quality"], list(RULES), "rule", "bin")
     table = defaultdict(lambda: defaultdict(int))
-    for r in summed.collect():
-        for name in {r.lang, POOLED} - {None}:
-            table[name, r.rule, r.half, r.quality][r.bin] += r.n
-    return choose(table, risk, error)
+    for r in binned.groupBy("stratum", "quality", "rule", "bin").count().collect():
+        for name in {r.stratum, POOLED}:
+            table[name, r.rule, r.quality][r.bin] += r["count"]
+    proposed = propose(table)
+    held = rows.where("half = 1 and quality = 1")
+    tested = {}
+    for found, key in ((proposed, stratum), ({POOLED: proposed[POOLED]}, F.lit(POOLED))):
+        losses = [
+            F.sum(_rejected({k: {r: slack * c for r, c in v.items()} for k, v in found.items()}).cast("long"))
+            for slack in SLACKS
+        ]
+        for r in held.groupBy(key.alias("stratum")).agg(F.count("*"), *losses).collect():
+            tested[r[0]] = (r[1], list(r[2:]))
+    return certify(proposed, tested, risk, error)
 
 
 def _rejected(found):
     """SQL condition under which some rule with a certified cutoff rejects."""
-    strata = sorted({s for s, _ in found} - {POOLED})
     terms = []
     for rule, sql in RULES.items():
-        own = F.lit(found.get((POOLED, rule), math.inf))
-        for s in strata:
-            own = F.when(F.col("lang") == s, F.lit(found.get((s, rule), math.inf))).otherwise(own)
+        own = F.lit(found[POOLED].get(rule, math.inf))
+        for stratum in sorted(set(found) - {POOLED}):
+            own = F.when(F.col("lang") == stratum, F.lit(found[stratum].get(rule, math.inf))).otherwise(own)
         terms.append(F.coalesce(F.expr(sql), F.lit(0.0)) > own)
     out = terms[0]
     for term in terms[1:]:
