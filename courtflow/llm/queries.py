@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from courtflow.llm import passages, quality, simhash
+from courtflow.llm import passages, quality, simhash, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -37,3 +37,10 @@ def op9_quality_rules(spark, sf_dir):
     judged = quality.verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *base, "base_failed", "kept")
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    """Score of every document, learned from the labelled ones that are not held out."""
+    scored = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
