@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from courtflow.llm import passages, quality, simhash, toxicity
+from courtflow.llm import passages, quality, simhash, toxicity, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -44,3 +44,26 @@ def op10_toxicity(spark, sf_dir):
     """Score of every document, learned from the labelled ones that are not held out."""
     scored = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op2_warc(spark, sf_dir):
+    """A WARC record per page, written, indexed and read back."""
+    records = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+ORACLES["op2_warc"] = """
+with rows as (
+  select page_id, url, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages
+), firsts as (
+  select hex, max(page_id) as first from rows group by hex
+)
+select page_id, octet_length(encode(html)) as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(hex, (10 * (i // 8) + 1)::int, 10))::bigint >> (35 - 5 * (i % 8))::int) & 31) + 1)::int, 1)), '')
+    as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id = first then null else first end as refers_to, url
+from rows join firsts using (hex)
+"""
