@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from courtflow.llm import passages, quality, simhash, toxicity, warc
+from courtflow.llm import passages, quality, simhash, styletree, toxicity, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -67,3 +67,10 @@ select page_id, octet_length(encode(html)) as payload_bytes,
   case when page_id = first then null else first end as refers_to, url
 from rows join firsts using (hex)
 """
+
+
+@query
+def op7_html_extraction(spark, sf_dir):
+    """Main text of every page, judged by its host's style tree."""
+    found = styletree.main_text(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
