@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from courtflow.llm import passages, quality, simhash, styletree, toxicity, warc
+from courtflow.llm import passages, pivots, quality, simhash, styletree, toxicity, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -74,3 +74,9 @@ def op7_html_extraction(spark, sf_dir):
     """Main text of every page, judged by its host's style tree."""
     found = styletree.main_text(_table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op8_embedding_dedup(spark, sf_dir):
+    """Links, components and representatives of all embeddings at cosine 0.9."""
+    return pivots.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
