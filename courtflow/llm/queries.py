@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from courtflow.llm import passages, pivots, quality, simhash, styletree, toxicity, warc
+from courtflow.llm import mixing, passages, pivots, quality, simhash, styletree, toxicity, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -80,3 +80,10 @@ def op7_html_extraction(spark, sf_dir):
 def op8_embedding_dedup(spark, sf_dir):
     """Links, components and representatives of all embeddings at cosine 0.9."""
     return pivots.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+@query
+def op6_source_mix(spark, sf_dir):
+    """Words that the mix takes of every document."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
