@@ -1,8 +1,9 @@
 """The registered queries of this subpackage: each applies one operator to its whole table."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from courtflow.llm import mixing, passages, pivots, quality, simhash, styletree, toxicity, warc
+from courtflow.llm import mixing, packing, passages, pivots, quality, simhash, styletree, toxicity, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -87,3 +88,12 @@ def op6_source_mix(spark, sf_dir):
     """Words that the mix takes of every document."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query
+def op4_packing(spark, sf_dir):
+    """Where each piece of every document lies in the packed sequences."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = packing.tokenize(_table(spark, sf_dir, "documents"), path)
+    packed = packing.pack(found.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
