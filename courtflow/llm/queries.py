@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from courtflow.llm import mixing, packing, passages, pivots, quality, simhash, styletree, toxicity, warc
+from courtflow.llm import mixing, packing, passages, pivots, quality, secret_scan, simhash, styletree, toxicity, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -97,3 +97,12 @@ def op4_packing(spark, sf_dir):
     found = packing.tokenize(_table(spark, sf_dir, "documents"), path)
     packed = packing.pack(found.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op3_secret_scan(spark, sf_dir):
+    """Every candidate of every document with the forest's verdict; secrets by digest only."""
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret"
+    )
