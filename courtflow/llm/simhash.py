@@ -14,6 +14,7 @@ of shrinking arrays and n - 1 edges.
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from courtflow.llm.components import components
@@ -56,17 +57,20 @@ def _fingerprint_rows(shingle):
                     text.n,
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"]
+                    [part.column("doc_id"), part.column("key"), pa.array(found.view(np.int64))], ["doc_id", "key", "fp"]
                 )
 
     return run
 
 
+def _key():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def fingerprints(docs, shingle=4):
-    """doc_id and 64-bit fingerprint ``fp`` of each row; texts without words, and null, have 0."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _fingerprint_rows(shingle), "doc_id long, fp long"
-    )
+    """doc_id, key (hash of id and text) and 64-bit fingerprint ``fp`` of each row; texts without words have 0."""
+    rows = docs.select(F.col("doc_id").cast("long"), _key().alias("key"), F.col("text").cast("string"))
+    return rows.mapInArrow(_fingerprint_rows(shingle), "doc_id long, key long, fp long")
 
 
 def ring(distance):
@@ -203,7 +207,7 @@ def _edge_rows(distance, width):
 
 
 def classes(prints, distance=4):
-    """Classes of fingerprints: fp and component_id, the smallest doc_id of any document reachable by links.
+    """Classes of fingerprints: fp, root (a fingerprint of the class) and component_id, the smallest doc_id reachable by links.
 
     ``prints`` has doc_id and fp. Links join fingerprints that differ in ``distance`` bits or fewer; none is lost.
     """
@@ -221,7 +225,7 @@ def classes(prints, distance=4):
     roots = components(edges).select(F.col("node").alias("fp"), "root")
     rooted = each.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs, shingle=4, distance=4):
@@ -234,3 +238,13 @@ def near_duplicates(docs, shingle=4, distance=4):
     """
     prints = staged(fingerprints(docs, shingle), "fingerprints")
     return prints.join(classes(prints, distance), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs, shingle=4, distance=4):
+    """One row of ``docs`` for each class: the one with the smallest doc_id (null last), all columns unchanged."""
+    prints = staged(fingerprints(docs, shingle), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")
+    chosen = prints.join(classes(prints, distance), "fp").groupBy("root").agg(first).select("first.key").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key().alias("key"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return rows.join(chosen, "key").withColumn("nth", nth).where("nth = 1").select("row.*")
