@@ -9,6 +9,7 @@ ranks are counted in parts, so a length that a third of all pieces have is no si
 """
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,33 +23,88 @@ from courtflow.session import staged
 WINDOW = 4096
 END = 2
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
-_KNOWN = 200_000
-
-
-def _word_ids(words, tokenizer, known):
-    """Ids of each distinct word, flat, and their counts. Words seen before are looked up."""
-    missing = [w for w in words if w not in known]
-    if missing:
-        if len(known) + len(missing) > _KNOWN:
-            known.clear()
-            missing = words
-        for low in range(0, len(missing), 5000):
-            some = missing[low : low + 5000]
-            for word, said in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = np.array(said.ids, np.uint32)
-    ids = [known[w] for w in words]
-    return (np.concatenate(ids) if ids else np.empty(0, np.uint32)), np.fromiter(map(len, ids), np.int64, len(ids))
+_KNOWN = 400_000
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: 1 letter, 2 digit, 3 other sign; 0 for what is not split off: other than ASCII, and the apostrophe of contractions
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = 3
+_CLASS[48:58] = 2
+_CLASS[65:91] = _CLASS[97:123] = 1
+_CLASS[39] = 0
+_PROBES = ["Abc", "a.b", "x1y22z", "a--b!?c", "Don't. stop'S", "é.a1É-"]
+
+
+def _separable(tokenizer):
+    """Whether ids stay the same when letters are lower-cased and letters, digits and signs are taken apart."""
+
+    def ids(text):
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    for probe in _PROBES:
+        parts = _units(Text(pa.array([probe])), True)[0].to_pylist()
+        if ids(probe) != [i for part in parts for i in ids(part)]:
+            return False
+    return True
+
+
+def _units(text, separable):
+    """What is looked up, as an Arrow array, and the place of each row's first unit."""
+    if not separable or b"<|" in text.data.tobytes():  # special tokens are matched as they are written
+        return text.tokens(), text.first
+    kind = _CLASS[text.data]
+    apart = text.inside.copy()
+    apart[1:] &= (kind[1:] != 0) & (kind[:-1] != 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & text.inside[:-1]
+    if len(apart):
+        apart[0] = False
+    apart[text.starts] = True
+    data = _LOWER[text.data[text.inside]]
+    bounds = np.append(np.flatnonzero(apart[text.inside]), len(data)).astype(np.int64)
+    units = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data))
+    return units, np.searchsorted(np.flatnonzero(apart), text.bounds)
+
+
+def _encoder(tokenizer):
+    """Ids of one unit by the tokenizer's own parts, which saves the making of encodings."""
+    model, normal, split = tokenizer.model, tokenizer.normalizer, tokenizer.pre_tokenizer
+
+    def ids(unit):
+        if "<|" in unit or normal is None or split is None:
+            return tuple(tokenizer.encode(unit, add_special_tokens=False).ids)
+        if unit.isascii() and unit.isalpha() and unit.islower():
+            return tuple([t.id for t in model.tokenize(unit)])
+        said = split.pre_tokenize_str(normal.normalize_str(unit))
+        return tuple([t.id for piece, _ in said for t in model.tokenize(piece)])
+
+    return ids
+
+
+def _unit_ids(units, ids, known):
+    """Ids of each distinct unit, flat, and their counts. Units seen before are looked up."""
+    found = []
+    for unit in units:
+        said = known.get(unit)
+        if said is None:
+            if len(known) >= _KNOWN:
+                known.clear()
+            known[unit] = said = ids(unit)
+        found.append(said)
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
 
 def _token_rows(path, window):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer, known = Tokenizer.from_file(path), {}
+        separable, ids_of = _separable(tokenizer), _encoder(tokenizer)
         for batch in batches:
             for part in pieces(batch, "text", 2 << 20):
-                text = Text(part.column("text"))
-                coded = text.tokens().dictionary_encode()
-                flat, lengths = _word_ids(coded.dictionary.to_pylist(), tokenizer, known)
+                units, first = _units(Text(part.column("text")), separable)
+                coded = units.dictionary_encode()
+                flat, lengths = _unit_ids(coded.dictionary.to_pylist(), ids_of, known)
                 starts = np.cumsum(lengths) - lengths
                 codes = coded.indices.to_numpy()
                 each = lengths[codes]
@@ -56,7 +112,7 @@ def _token_rows(path, window):
                 tokens = flat[np.arange(upto[-1]) + np.repeat(starts[codes] - upto[:-1], each)]
                 columns = {name: [] for name in ("doc_id", "start", "length", "doc_tokens", "ids")}
                 for row, doc_id in enumerate(part.column("doc_id").to_pylist()):
-                    ids = tokens[upto[text.first[row]] : upto[text.first[row + 1]]]
+                    ids = tokens[upto[first[row]] : upto[first[row + 1]]]
                     ids = np.append(ids, np.uint32(END)).astype("<u4")
                     for at in range(0, len(ids), window):
                         piece = ids[at : at + window]
