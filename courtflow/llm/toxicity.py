@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from courtflow.session import staged
+
 SHORTEST, LONGEST = 3, 12
 #: fixed values: look-alikes of Latin letters in Greek and Cyrillic, after lower-casing
 _HOMOGLYPHS = dict(
@@ -59,17 +61,13 @@ def fold(text):
     return " " + codes[codes != _GONE].tobytes().decode("utf-32-le") + " "
 
 
-def _terms(text, known=None):
-    """Beginnings of the text's words."""
-    out = set()
-    for word in set(fold(text).split()):
-        for k in range(SHORTEST, min(LONGEST, len(word)) + 1):
-            out.add(word[:k])
-    return out if known is None else out & known
+def _word_sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in texts:
+        yield pa.array([" ".join(sorted(set(fold(t or "").split()))) for t in column.to_pylist()], pa.string())
 
 
 def _count_rows(known=None):
-    """Documents per word beginning and label, summed per task."""
+    """Documents per word beginning and label, summed per task; ``words`` holds a document's distinct folded words."""
 
     def run(batches):
         found = Counter()
@@ -86,8 +84,9 @@ def _count_rows(known=None):
             )
 
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                found.update((t, toxic) for t in _terms(text, known))
+            for words, toxic in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                terms = {w[:k] for w in words.split() for k in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+                found.update((t, toxic) for t in (terms if known is None else terms & known))
                 if len(found) > 500_000:
                     yield rows()
                     found.clear()
@@ -97,7 +96,7 @@ def _count_rows(known=None):
 
 
 def _counted(rows, known=None):
-    counts = rows.select("text", "toxic").mapInArrow(_count_rows(known), "term string, toxic int, n long")
+    counts = rows.select("words", "toxic").mapInArrow(_count_rows(known), "term string, toxic int, n long")
     return counts.groupBy("term", "toxic").agg(F.sum("n").alias("n"))
 
 
@@ -108,7 +107,7 @@ def _evidence(n, c, base):
 
 
 def learn(rows, share=0.01, weight=3.0, evidence=14.0):
-    """Lexicon {word beginning: weight} from ``rows`` (text, toxic); weight 0 marks a learned exception.
+    """Lexicon {word beginning: weight} from ``rows`` (words, toxic), words distinct and folded; weight 0 marks a learned exception.
 
     Candidates begin a word in at least ``share`` of the toxic documents, so their number is bounded by the length of a
     document over ``share``, whatever the corpus. All rows are counted. A beginning is taken as long as it can be
@@ -227,16 +226,17 @@ def score(docs, labels, phrases=EXCEPTIONS):
     )
     marks = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marks = marks.agg(F.max("toxic").cast("int").alias("toxic")).where("doc_id is not null")
-    train = rows.where("not held_out").join(marks, "doc_id")
-    lexicon = learn(train)
-    found = burdens(F.col("text"), lexicon, phrases)
-    at = F.least(F.round(F.log1p(found) * 40).cast("int"), F.lit(_BINS)).alias("bin")
-    counts = {(r.bin, r.toxic): r["count"] for r in train.select("toxic", at).groupBy("bin", "toxic").count().collect()}
+    # one shuffle of the distinct words, none of the texts; the same join at every size
+    words = rows.where("not held_out").select("doc_id", F.arrow_udf(_word_sets, "string")("text").alias("words"))
+    lexicon = learn(staged(words.join(marks.hint("merge"), "doc_id").select("words", "toxic"), "words"))
+    found = staged(rows.select("doc_id", "held_out", burdens(F.col("text"), lexicon, phrases).alias("burden")), "burdens")
+    at = F.least(F.round(F.log1p("burden") * 40).cast("int"), F.lit(_BINS)).alias("bin")
+    binned = found.where("not held_out").join(marks, "doc_id").select("toxic", at).groupBy("bin", "toxic").count()
+    counts = {(r.bin, r.toxic): r["count"] for r in binned.collect()}
     a, b = calibrate(counts) if counts else (-1.0, 0.0)
     chance = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log1p(F.col("burden")))))
     return (
-        rows.select("doc_id", "held_out", found.alias("burden"))
-        .withColumn("score", chance)
+        found.withColumn("score", chance)
         .withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
         .select("doc_id", "held_out", "score", "predicted", "burden")
     )
