@@ -1,6 +1,6 @@
 """SimHash near-duplicates with pigeonring candidate search.
 
-The 64 bits of a fingerprint form a ring of ``distance + 1`` segments. If two fingerprints differ in at most
+The 64 bits of a fingerprint form a ring of ``distance + 1`` segments, three at least. If two fingerprints differ in at most
 ``distance`` bits, the strong form of the pigeonring principle gives a start on the ring from which every chain of
 l consecutive segments differs in at most ``l * distance / segments`` bits. So some segment is equal and the next one
 differs in one bit at most: that much is looked up, by a key of both segments, with the one-bit neighbours of the second.
@@ -75,7 +75,7 @@ def fingerprints(docs, shingle=4):
 
 def ring(distance):
     """(first bit, number of bits) of the segments."""
-    m = distance + 1
+    m = max(3, distance + 1)
     bounds = [64 * i // m for i in range(m + 1)]
     return list(zip(bounds[:-1], np.diff(bounds).tolist(), strict=True))
 

@@ -113,7 +113,7 @@ def parse(page):
             continue
         tag = tag.lower()
         if m["close"]:
-            if tag not in _INLINE and any(n.tag == tag for n in stack[1:]):
+            if any(n.tag == tag for n in stack[1:]):
                 while stack.pop().tag != tag:
                     pass
             continue
@@ -123,12 +123,13 @@ def parse(page):
             continue
         if tag in _BREAK:
             stack[-1].parts.append(" ")
-        if tag in _VOID or tag in _INLINE and not m["attrs"].strip():
+        # inline elements are part of the text around them, but for those that hold none of the main text
+        if tag in _VOID or tag in _INLINE and not stack[-1].never and not m["attrs"].strip():
             continue
         attrs = _attributes(m["attrs"])
         inside = any(n.main for n in stack)
         key, never, main = _named(tag, attrs, inside)
-        if tag in _INLINE and not never:
+        if tag in _INLINE and not never and not stack[-1].never:
             continue
         if tag in _CLOSES_P and stack[-1].tag == "p":
             stack.pop()

@@ -1,0 +1,377 @@
+"""Operators on documents against plain loops, and on odd rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from courtflow.llm import mixing, packing, passages, quality, secret_scan, simhash, toxicity
+from courtflow.llm.queries import QUERIES
+from courtflow.llm.words import Text, sliding_min
+
+WORDS = re.compile("[^\x20\x09-\x0d]+")
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+TOKENS = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+
+
+def stripped(rows, length=13):
+    """(n_words, n_removed, kept) per row by looking every window up."""
+    first = {}
+    for i, t in rows:
+        w = (t or "").encode().split()
+        for a in range(len(w) - length + 1):
+            key = tuple(w[a : a + length])
+            if i is not None and first.get(key, i) >= i:
+                first[key] = i
+    out = []
+    for i, t in rows:
+        w = (t or "").encode().split()
+        gone = [False] * len(w)
+        for a in range(len(w) - length + 1):
+            if i is not None and first[tuple(w[a : a + length])] < i:
+                gone[a : a + length] = [True] * length
+        kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((i, len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_words_match_the_pattern(odd_docs):
+    import pyarrow as pa
+
+    texts = [r.text for r in odd_docs.collect()] + ["", "a", " a", "a ", "é b c"]
+    text = Text(pa.array(texts, pa.string()))
+    said = text.tokens().to_pylist()
+    assert said == [w for t in texts for w in WORDS.findall(t or "")]
+    assert text.counts().tolist() == [len(WORDS.findall(t or "")) for t in texts]
+    assert sliding_min(np.array([3, 1, 2, 5, 4]), 3).tolist() == [1, 1, 2]
+
+
+def test_op1_all_documents(spark, sf, docs):
+    got = QUERIES["op1_substring_dedup"](spark, sf).collect()
+    assert Counter(map(tuple, got)) == Counter(stripped(list(zip(docs.doc_id.tolist(), docs.text, strict=True))))
+
+
+def test_passages_random_overlaps(spark):
+    rng = random.Random(4)
+    pool = [" ".join(rng.choice("abc") + str(rng.randrange(40)) for _ in range(40)) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randrange(4)):
+            words = rng.choice(pool).split()
+            low = rng.randrange(20)
+            parts += words[low : low + rng.randrange(8, 30)] + [f"own{i}"]
+        rows.append((rng.randrange(30), " ".join(parts)))
+    got = passages.strip_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    got = got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+    assert Counter(map(tuple, got.collect())) == Counter(stripped(rows))
+
+
+def test_passages_odd_rows(odd_docs, no_docs):
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    got = passages.strip_passages(odd_docs)
+    spans = {r.doc_id: r.removed for r in got.collect() if r.n_removed}
+    assert {i: [(s.start, s.end) for s in x] for i, x in spans.items()} == {2: [(0, 60)]}
+    got = got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+    assert Counter(map(tuple, got.collect())) == Counter(stripped(rows))
+    assert passages.strip_passages(no_docs).count() == 0
+
+
+def prints(texts, shingle=4):
+    out = []
+    for t in texts:
+        w = (t or "").encode().translate(LOWER).split()
+        n = max(1, len(w) - shingle + 1)
+        h = [xxhash.xxh64_intdigest(b" ".join(w[a : a + shingle]), 42) for a in range(n)] if w else []
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > n) if h else 0)
+    return out
+
+
+def linked(values, ids, near):
+    """Smallest id of each value's component."""
+    parent = list(range(len(values)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a in range(len(values)):
+        for b in range(a):
+            if near(values[a], values[b]):
+                parent[find(a)] = find(b)
+    least = {}
+    for i in range(len(values)):
+        known = [x for x in (least.get(find(i)), ids[i]) if x is not None]
+        least[find(i)] = min(known) if known else None
+    return [least[find(i)] for i in range(len(values))]
+
+
+def test_op5_all_documents(spark, sf, docs):
+    found = prints(docs.text)
+    names = linked(found, docs.doc_id.tolist(), lambda a, b: (a ^ b).bit_count() <= 4)
+    want = Counter(zip(docs.doc_id.tolist(), (f"{f:016x}" for f in found), names, strict=True))
+    assert Counter(map(tuple, QUERIES["op5_simhash"](spark, sf).collect())) == want
+
+
+@pytest.mark.parametrize("distance", [1, 2, 4, 7])
+def test_simhash_classes_lose_no_link(spark, distance):
+    rng = random.Random(distance)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    values = []
+    for i in range(400):
+        v = rng.choice(base[:3]) if i < 200 else rng.choice(base)
+        for _ in range(rng.randrange(distance + 4)):
+            v ^= 1 << rng.randrange(64)
+        values.append(v)
+    rows = [(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)]
+    got = simhash.classes(spark.createDataFrame(rows, "doc_id long, fp long"), distance)
+    got = {r.fp: r.component_id for r in got.collect()}
+    want = linked(values, list(range(400)), lambda a, b: (a ^ b).bit_count() <= distance)
+    assert [got[fp] for _, fp in rows] == want
+
+
+def test_simhash_odd_rows(odd_docs, no_docs):
+    rows = odd_docs.select("doc_id", "text").collect()
+    got = simhash.near_duplicates(odd_docs)
+    found = prints([r.text for r in rows])
+    names = linked(found, [r.doc_id for r in rows], lambda a, b: (a ^ b).bit_count() <= 4)
+    signed = [f - (1 << 64) if f >> 63 else f for f in found]
+    assert Counter(map(tuple, got.collect())) == Counter(zip([r.doc_id for r in rows], signed, names, strict=True))
+    kept = simhash.keep_one(odd_docs)
+    classes = set(linked(found, list(range(len(found))), lambda a, b: (a ^ b).bit_count() <= 4))
+    assert kept.columns == odd_docs.columns and kept.count() == len(classes)
+    assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
+
+
+def base_counts(t):
+    w = WORDS.findall(t or "")
+    seen = Counter(tuple(w[a : a + 8]) for a in range(len(w) - 7))
+    mark = [0] * len(w)
+    for a in range(len(w) - 7):
+        if seen[tuple(w[a : a + 8])] > 1:
+            mark[a : a + 8] = [1] * 8
+    lines = [x for x in (t or "").split("\n") if WORDS.search(x)]
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), sum(mark))
+
+
+def test_op9_base(spark, sf, docs):
+    got = {r[0]: tuple(r)[1:] for r in QUERIES["op9_quality_rules"](spark, sf).collect()}
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        want = base_counts(t)
+        failed = want[0] < 20 or 100 * want[4] > 30 * want[0]
+        assert got[i][:6] == (*want, failed) and not (failed and got[i][6])
+
+
+def test_quality_bound_is_exact():
+    assert quality.upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05**0.01, abs=1e-9)
+    p = quality.upper_bound(3, 50, 0.01)
+    assert sum(math.comb(50, k) * p**k * (1 - p) ** (50 - k) for k in range(4)) == pytest.approx(0.01, abs=1e-9)
+    assert quality.upper_bound(5, 5, 0.01) == 1.0
+
+
+def test_quality_certifies_only_with_enough_labels(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, labels = [], []
+    for i in range(3000):
+        bad = i % 5 == 0
+        rows.append((i, " ".join(word() + ("###" if bad else "") for _ in range(25)), "xx"))
+        labels.append((i, 0 if bad else 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = quality.verdicts(docs, marks).select("doc_id", "kept").collect()
+    assert all(r.kept == (r.doc_id % 5 != 0) for r in got)
+    few = quality.verdicts(docs, marks.where("doc_id < 60"))
+    assert few.where("not kept").count() == 0
+    kept = quality.keep_good(docs, marks)
+    assert kept.columns == docs.columns and kept.count() == 2400
+
+
+def test_quality_odd_rows(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
+    got = quality.verdicts(odd_docs, labels).collect()
+    want = Counter(base_counts(r.text) for r in odd_docs.collect())
+    assert Counter((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
+    assert quality.keep_good(odd_docs, labels).columns == odd_docs.columns
+    assert quality.verdicts(no_docs, labels.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text", ["1d10t", "іdіot", "IDIOT!", "ｉｄｉｏｔ", "i​di­ot", "Ìdìot"]
+)
+def test_toxicity_folds(text):
+    found = toxicity._automaton({toxicity.fold("idiot").strip(): 5.0}, toxicity.EXCEPTIONS)
+    assert toxicity.burden("an " + text + " here", found) > 0
+    assert toxicity.burden("an idiot proof lock", found) == 0 == toxicity.burden(None, found)
+
+
+def test_op10_held_out(spark, sf):
+    large = sf.replace("sf0.001", "sf0.1")
+    got = QUERIES["op10_toxicity"](spark, large).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in got)
+    assert all(r.predicted == (r.score >= 0.7) for r in got)
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{large}/labels.parquet").collect()}
+    held = [(marks[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in marks]
+    caught = sum(p for y, p in held if y) / sum(y for y, _ in held)
+    wrong = sum(p for y, p in held if not y) / sum(1 - y for y, _ in held)
+    assert caught > 0.75 and wrong < 0.01
+
+
+def test_toxicity_odd_rows(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.score(odd_docs, labels).count() == odd_docs.count()
+    assert toxicity.score(odd_docs, labels.limit(0)).where("score is null or predicted = 1").count() == 0
+    assert toxicity.score(no_docs, labels).count() == 0
+
+
+def check_mix(rows, sizes):
+    """Targets by sharing excess again and again; taken words meet them."""
+    total = {}
+    for source, size in sizes:
+        total[source] = total.get(source, 0) + size
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, free = {}, set(order)
+    while free:
+        rest = 1.5 * sum(total.values()) - sum(target.values())
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 2 * total[s]]
+        target |= {s: 2.0 * total[s] for s in over} or share
+        free = free - set(over) if over else set()
+    taken = Counter()
+    for r in rows:
+        assert r.source_size == total[r.source] and r.target == pytest.approx(target[r.source])
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[r.source] += r.taken
+    return {s: abs(taken[s] - target[s]) for s in total}
+
+
+def test_op6_meets_targets_and_reruns_agree(spark, sf, docs):
+    rows = QUERIES["op6_source_mix"](spark, sf).collect()
+    sizes = [(s, len(WORDS.findall(t or ""))) for s, t in zip(docs.source, docs.text, strict=True)]
+    assert Counter((r.source, r["size"]) for r in rows) == Counter(sizes)
+    assert max(check_mix(rows, sizes).values()) <= 1
+    again = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet").repartition(7)).collect()
+    assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)
+
+
+def test_rounding_keeps_expectations(spark):
+    rows = [("s", i, i % 7 + 1, 1, float(i % 7 + 1), 0.3 * (i % 7 + 1)) for i in range(1000)]
+    units = spark.createDataFrame(rows, "source string, doc_id long, size long, n long, a double, m double")
+    times = Counter()
+    for seed in range(8):
+        got = mixing.rounded(units, seed).collect()
+        assert len(got) == 1000 and abs(sum(r.extra for r in got) - 0.3 * sum(r[2] for r in rows)) <= 1
+        assert sum(r.extra not in (0, r["size"]) for r in got) <= 1
+        times.update(r["size"] for r in got if r.extra == r["size"])
+    for size in range(1, 8):  # each size is taken in three of ten cases
+        assert abs(times[size] / 8 / sum(r[2] == size for r in rows) - 0.3) < 0.06
+
+
+def test_mix_odd_rows(odd_docs, no_docs):
+    rows = mixing.mix(odd_docs).collect()
+    sizes = [(r.source, len(WORDS.findall(r.text or ""))) for r in odd_docs.collect()]
+    assert Counter((r.source, r["size"]) for r in rows) == Counter(sizes)
+    assert max(check_mix(rows, sizes).values()) <= 1
+    assert mixing.copies(odd_docs).columns == odd_docs.columns
+    assert mixing.mix(no_docs).count() == 0 and mixing.copies(no_docs).count() == 0
+
+
+def test_mix_runs_no_python(odd_docs):
+    plan = mixing.mix(odd_docs)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def check_packing(rows, texts, window=4096):
+    tokenizer = Tokenizer.from_file(TOKENS)
+    ids = {
+        i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in texts.items()
+    }
+    covered, sequences = Counter(), {}
+    for r in rows:
+        piece = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(piece) == r.length and zlib.crc32(piece.tobytes()) == r.ids_crc32
+        assert r.doc_tokens == len(ids[r.doc_id])
+        covered[r.doc_id] += r.length
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= window
+    assert sorted(sequences) == list(range(len(sequences)))
+    return covered, ids
+
+
+def test_op4_all_documents(spark, sf, docs):
+    rows = QUERIES["op4_packing"](spark, sf).collect()
+    covered, ids = check_packing(rows, dict(zip(docs.doc_id.tolist(), docs.text, strict=True)))
+    assert covered == {i: len(x) for i, x in ids.items()}
+
+
+def test_packing_odd_texts(spark, odd_docs, no_docs):
+    texts = [
+        "don't STOP'S a.b,c ..x1y22Z", "<|endoftext|> <|ENDOFTEXT|>x", "é ≠  b c", "“.”.a",
+        "naïve Ünïcode 中文 😀!", "a\x1cb", "''s 's s'", "x" * 30_000, "", None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packed = packing.pack(packing.tokenize(rows, TOKENS).withColumn("ids_crc32", F.crc32("ids")))
+    covered, ids = check_packing(packed.collect(), dict(enumerate(texts)))
+    assert covered == {i: len(x) for i, x in ids.items()}
+    whole = {r.sequence_id: r.ids for r in packing.sequences(packed).collect()}
+    assert sum(map(len, whole.values())) == 4 * sum(map(len, ids.values()))
+    assert packing.pack(packing.tokenize(odd_docs, TOKENS)).count() >= odd_docs.count()
+    assert packing.pack(packing.tokenize(no_docs, TOKENS)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plans_use_every_piece_with_little_padding(seed):
+    rng = random.Random(seed)
+    lengths = [min(4096, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(5000)] + [1] * 2000 * seed
+    templates = packing.plan(Counter(lengths))
+    used = Counter()
+    for parts, times in templates:
+        assert sum(x * n for x, n in parts.items()) <= 4096 and times > 0
+        for x, n in parts.items():
+            used[x] += n * times
+    assert used == Counter(lengths)
+    sequences = sum(times for _, times in templates)
+    assert sum(lengths) / (4096 * sequences) > 0.98
+
+
+def test_op3_finds_planted_tokens(spark, sf):
+    large = sf.replace("sf0.001", "sf0.01")
+    got = {(r.doc_id, r.start, r.end) for r in QUERIES["op3_secret_scan"](spark, large).where("is_secret").collect()}
+    want = set()
+    for r in spark.read.parquet(f"{large}/documents.parquet").collect():
+        want |= {(r.doc_id, *m.span(1)) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text)}
+    assert want and got == want
+
+
+def test_secret_scan_odd_rows(spark, odd_docs, no_docs):
+    assert secret_scan.scan(odd_docs).where("is_secret").count() == 0
+    clean = secret_scan.redact(odd_docs)
+    assert clean.columns == odd_docs.columns
+    assert Counter(map(tuple, clean.collect())) == Counter(map(tuple, odd_docs.collect()))
+    assert secret_scan.scan(no_docs).count() == 0 and secret_scan.redact(no_docs).count() == 0
+    rows = [(1, 'x api_key="q9Zt27LmKp01xYvB44" y', "p", 33), (2, "call 123456789012345 now", None, 9), (1, None, "p", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    got = {r.text for r in secret_scan.redact(docs).collect()}
+    assert got == {'x api_key="<SECRET>" y', "call 123456789012345 now", None}
