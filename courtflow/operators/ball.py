@@ -143,13 +143,15 @@ CANDIDATE = ["game", "frame", "seq", "conf", "cx", "cy", "area", "hoop_top", "ho
 VALID = "game bigint, frame bigint, seq bigint, cx double, cy double, conf double"
 
 
-def ball_validate(dets, hoops, profile="export", heads=None, size=4096):
+def ball_validate(dets, hoops, profile="export", heads=None, size=4096, posed=None):
     """Plausible ball detections, decided frame by frame on what was accepted before.
 
     ``export`` keeps every detection that passes the column, teleport and backboard
     checks; ``strict`` keeps at most the surest one, asks for support by recent frames
     when it is not continuing a track, and rejects balls that are locked to a head
-    (``heads`` from ``nearest_keypoint``).
+    (``heads`` from ``nearest_keypoint``).  A frame with poses (``posed``: game, frame; by
+    default those in ``heads``) but no head near the ball breaks every lock; a frame without
+    any pose leaves them as they are.
     """
     rows = court_candidates(dets, hoops)
     jump = TELEPORT[profile] * SCALE
@@ -160,14 +162,17 @@ def ball_validate(dets, hoops, profile="export", heads=None, size=4096):
         )
     offsets = "array<struct<tid:bigint,dx:double,dy:double>>"
     if heads is None:
-        rows = rows.withColumn("heads", F.lit(None).cast(offsets))
+        rows = rows.withColumns({"heads": F.lit(None).cast(offsets), "posed": F.lit(False)})
     else:
         per = heads.groupBy("game", "frame").agg(
             F.array_sort(F.collect_list(F.struct("tid", "dx", "dy"))).alias("heads")
         )
+        shown = (heads if posed is None else posed).select("game", "frame").distinct()
         rows = rows.join(per, ["game", "frame"], "left")
+        rows = rows.join(shown.withColumn("posed", F.lit(True)), ["game", "frame"], "left")
+        rows = rows.withColumn("posed", F.coalesce("posed", F.lit(False)))
     return settle(
-        rows.select(*CANDIDATE, "heads"), blank_strict, strict_step(jump), age_strict,
+        rows.select(*CANDIDATE, "heads", "posed"), blank_strict, strict_step(jump), age_strict,
         VALID, ["frame", "seq"], size,
     )
 
@@ -255,7 +260,7 @@ def strict_step(jump):
             return new(core, recent), []
         near = [] if best.heads is None else best.heads
         offsets = {int(h["tid"]): [float(h["dx"]), float(h["dy"])] for h in near}
-        if offsets and steps.head_locked(heads, offsets, HEAD_SPREAD * SCALE):
+        if best.posed and steps.head_locked(heads, offsets, HEAD_SPREAD * SCALE):
             heads = {}
             return new([None, None, None] + core[3:], [None] * steps.RECENT_SLOTS), []
         return new(_accept(core, frame, best), recent), [_out(best, frame)]

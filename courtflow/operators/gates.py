@@ -105,7 +105,7 @@ def scale_coords(labels, w=FRAME_W, h=FRAME_H, to_w=MODEL_W, to_h=MODEL_H):
 def polygon_centroid(lines, cls=BALL, w=MODEL_W, h=MODEL_H):
     """Vertex mean of each file's first polygon of a class with at least two vertices."""
     parts = F.split(F.trim("line"), r"\s+")
-    coords = F.transform(F.slice(parts, 2, 1 << 20), lambda v: v.cast("double"))
+    coords = F.transform(F.slice(parts, 2, 1 << 20), lambda v: v.try_cast("double"))
     rows = lines.select("file", "line_no", parts[0].cast("int").alias("cls"), coords.alias("at"))
     rows = rows.where((F.col("cls") == cls) & (F.size("at") >= 4))
     first = rows.groupBy("file").agg(F.min_by("at", "line_no").alias("at"))

@@ -241,19 +241,19 @@ def label_demote(labels, dets, conf=DEMOTE_CONF, radius=DEMOTE_DIST):
         "game", "frame", ((F.col("x1") + F.col("x2")) / d(2)).alias("dx"),
         ((F.col("y1") + F.col("y2")) / d(2)).alias("dy"),
     )
-    shown = labels.where("visibility > 0")
-    near = distance(shown.x, shown.y, sure.dx, sure.dy) <= radius
-    same = (shown.game == sure.game) & (shown.frame == sure.frame)
-    lost = shown.join(sure, same & near, "left_anti").select("ord", F.lit(True).alias("lost"))
-    hidden = F.coalesce(F.col("lost"), F.lit(False))
-    return labels.join(lost, "ord", "left").withColumns(
+    per = sure.groupBy("game", "frame").agg(F.collect_list(F.struct("dx", "dy")).alias("sure"))
+    near = F.exists("sure", lambda p: distance("x", "y", p["dx"], p["dy"]) <= radius)
+    hidden = (F.col("visibility") > 0) & ~F.coalesce(near, F.lit(False))
+    return labels.join(per, ["game", "frame"], "left").select(
+        *labels.columns, F.coalesce(hidden, F.lit(False)).alias("hidden")
+    ).withColumns(
         {
-            "demoted": hidden,
-            "visibility": F.when(hidden, F.lit(0).cast("bigint")).otherwise(F.col("visibility")),
-            "x": F.when(hidden, d(-1)).otherwise(F.col("x")),
-            "y": F.when(hidden, d(-1)).otherwise(F.col("y")),
+            "demoted": F.col("hidden"),
+            "visibility": F.when(F.col("hidden"), F.lit(0).cast("bigint")).otherwise(F.col("visibility")),
+            "x": F.when(F.col("hidden"), d(-1)).otherwise(F.col("x")),
+            "y": F.when(F.col("hidden"), d(-1)).otherwise(F.col("y")),
         }
-    ).drop("lost")
+    ).drop("hidden")
 
 
 # ---- files and images ---------------------------------------------------------------

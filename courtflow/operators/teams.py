@@ -69,13 +69,16 @@ def range_ratio(samples):
     return per.withColumn("visible", F.col("share") >= WOOD_SHARE)
 
 
-def team_kmeans(features, columns=("hue", "sat"), seed=7):
-    """Two teams from colour features (k-means, k-means|| start, fixed seed)."""
+def team_kmeans(features, columns=("hue", "sat"), seed=7, starts=10):
+    """Two teams from colour features: the best of ``starts`` k-means runs, clusters in the order of their centres."""
     vec = features.withColumn(
         "features", array_to_vector(F.array(*[F.col(c).cast("double") for c in columns]))
     )
-    model = KMeans(k=2, maxIter=100, seed=seed, featuresCol="features", predictionCol="team").fit(vec)
-    return model.transform(vec).drop("features")
+    fit = lambda k: KMeans(k=2, maxIter=100, seed=seed + k, featuresCol="features", predictionCol="team").fit(vec)
+    model = min((fit(k) for k in range(starts)), key=lambda m: m.summary.trainingCost)
+    centers = [tuple(c) for c in model.clusterCenters()]
+    teams = model.transform(vec).drop("features")
+    return teams.withColumn("team", 1 - F.col("team")) if centers != sorted(centers) else teams
 
 
 def team_rolling_vote(votes, window=VOTE_WINDOW):

@@ -115,7 +115,8 @@ def exit_match(dets, episodes, reach=EXIT_DIST):
 
     The missing track is expected at its last place moved by its velocity at the start
     of the overlap; the first detection nearby inherits its identity.  If several
-    overlaps of a track end at once, the one that began last counts.
+    overlaps of a track end at once, the one that began last counts.  A detection inherits
+    one identity only: the smallest of the tracks it could stand for.
     """
     side = lambda s: episodes.select(
         "game", F.col(f"tid_{s}").alias("tid"), "start", "end",
@@ -133,7 +134,10 @@ def exit_match(dets, episodes, reach=EXIT_DIST):
                     center_x().alias("cx"), center_y().alias("cy")),
         ["game", "frame"],
     ).where(distance("cx", "cy", F.col("px") + F.col("vx"), F.col("py") + F.col("vy")) < reach)
-    return near.groupBy("game", "frame", "tid").agg(F.min_by("new_tid", "seq").alias("new_tid"))
+    heir = near.groupBy("game", "frame", "tid").agg(F.min_by("new_tid", "seq").alias("new_tid"))
+    return heir.groupBy("game", "frame", "new_tid").agg(F.min("tid").alias("tid")).select(
+        "game", "frame", "tid", "new_tid"
+    )
 
 
 def _with_next(dets, reach):
@@ -241,21 +245,33 @@ def take_over(contacts):
         if tid not in done and (old_tid, lost_frame) not in taken:
             done.add(tid)
             taken.add((old_tid, lost_frame))
-            out.append((game, tid, frame, old_tid))
+            out.append((game, tid, frame, old_tid, lost_frame))
     return out
 
 
-def reid_match(dets, lost, locks=None):
-    """Which lost track each track takes over: (game, tid, frame, old_tid).
+def _first_contacts(contacts):
+    """One contact per track and entry: the earliest, by number before by distance on one frame."""
+    first = F.min(F.struct("frame", F.coalesce("gap", d(-1)).alias("gap"), "seq")).alias("c")
+    rows = contacts.groupBy("game", "tid", "old_tid", "lost_frame").agg(first)
+    return rows.select(
+        "game", "tid", "old_tid", "lost_frame", "c.frame", "c.seq", F.expr("nullif(c.gap, -1D)").alias("gap")
+    )
 
-    The choice is sequential, but only first contacts matter, and of those only as many
-    per track as there are tracks to compete with.  They are cut into groups at frames
-    that no track's and no entry's contacts span; each group is walked on its own.
+
+def reid_match(dets, lost, locks=None):
+    """Which lost track each track takes over: (game, tid, frame, old_tid, lost_frame).
+
+    The choice is sequential, but only the first contact of a track with an entry matters: there
+    either the track takes something over or the entry is gone for it.  A track fails at a
+    contact only if another track has taken that entry, and every other track takes one
+    at most; so among its contacts with as many different entries as there are tracks one must
+    succeed, and later ones can be left out without loss.  The rest is cut into groups at
+    frames that no track's and no entry's contacts span; each group is walked on its own.
     """
     contacts = reid_candidates(dets, lost)
     if locks is not None:
         contacts = contacts.unionByName(_number_contacts(dets, lost, locks))
-    contacts = staged(contacts, "contacts")
+    contacts = staged(_first_contacts(contacts), "contacts")
     rivals = contacts.groupBy("game").agg(F.count_distinct("tid").alias("rivals"))
     w = Window.partitionBy("game", "tid").orderBy("frame")
     contacts = contacts.withColumn("rk", F.rank().over(w)).join(rivals, "game")
@@ -278,13 +294,46 @@ def reid_match(dets, lost, locks=None):
     runs = spans.where("tid IS NOT NULL").select("game", "tid", "run")
 
     def walk(pdf):
-        return pd.DataFrame(take_over(pdf), columns=["game", "tid", "frame", "old_tid"])
+        return pd.DataFrame(take_over(pdf), columns=["game", "tid", "frame", "old_tid", "lost_frame"])
 
     return contacts.join(runs, ["game", "tid"]).groupBy("game", "run").applyInPandas(
-        walk, "game bigint, tid bigint, frame bigint, old_tid bigint"
+        walk, "game bigint, tid bigint, frame bigint, old_tid bigint, lost_frame bigint"
     )
 
 
+def identities(matches):
+    """The identity that each take-over ends in: (game, tid, frame, identity).
+
+    A taken-over track may have taken over another before it was lost; such chains run back
+    in time, so they end, and are followed by doubling: a chain of n links takes log2(n) rounds.
+    """
+    m = matches.select("game", "tid", "frame", "old_tid", "lost_frame")
+    older = m.select("game", F.col("tid").alias("old_tid"), F.col("frame").alias("since"))
+    rows = m.join(older, ["game", "old_tid"], "left")
+    rows = rows.select(
+        "game", "tid", "frame", F.col("old_tid").alias("identity"),
+        F.when(F.col("since") < F.col("lost_frame"), F.col("old_tid")).alias("next"),
+    )
+    rows = staged(rows, "identities")
+    while not rows.where("next IS NOT NULL").isEmpty():
+        then = rows.select(
+            "game", F.col("tid").alias("next"), F.col("identity").alias("then"), F.col("next").alias("after")
+        )
+        rows = rows.join(then, ["game", "next"], "left").select(
+            "game", "tid", "frame", F.coalesce("then", "identity").alias("identity"), F.col("after").alias("next")
+        )
+        rows = staged(rows, "identities")
+    return rows.drop("next")
+
+
+def apply_identities(dets, matches):
+    """Detections with the identity they stand for from the frame of the take-over on."""
+    known = identities(matches).withColumnRenamed("frame", "since")
+    rows = dets.join(known, ["game", "tid"], "left")
+    taken = F.col("frame") >= F.col("since")
+    return rows.withColumn("identity", F.when(taken, F.col("identity")).otherwise(F.col("tid"))).drop("since")
+
+
 def pose_player_match(poses, players, referees):
     """The player each pose belongs to: best IoU above 0.12 and above every referee's.
 

@@ -251,7 +251,7 @@ def ball_validate(src):
 @query("ball_validate_strict")
 def ball_validate_strict(src):
     heads = ball.nearest_keypoint(src.ball_points, src.keypoints)
-    return ball.ball_validate(src.ball_dets, src.hoops, "strict", heads)
+    return ball.ball_validate(src.ball_dets, src.hoops, "strict", heads, posed=src.keypoints)
 
 
 @query(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.geometry import rounded
-from ..operators import gates, metrics, shots
+from ..operators import ball, gates, metrics, shots
 from ..session import work_folder
 from ..sources import labels as label_files
 from ..sources import tracking
@@ -16,8 +16,11 @@ from .registry import query, r
 MID = "CAST(trunc((x1 + x2) / 2e0) AS BIGINT) AS cx, CAST(trunc((y1 + y2) / 2e0) AS BIGINT) AS cy"
 
 
+FIRST = "SELECT * FROM ball_dets QUALIFY row_number() OVER (PARTITION BY game, frame ORDER BY conf DESC, seq) = 1"
+
+
 def first_balls(src):
-    return src.ball_dets.where("seq = 0")
+    return ball.best_detection(src.ball_dets)
 
 
 @query(
@@ -25,7 +28,7 @@ def first_balls(src):
     with_inputs(
         "ball_dets hoops players",
         f"""SELECT 'ball' AS kind, game, frame, CAST(0 AS BIGINT) AS id, {MID}, x1, y1, x2, y2, CAST(NULL AS BIGINT) AS team
-              FROM ball_dets WHERE seq = 0
+              FROM ({FIRST}) f
             UNION ALL SELECT 'hoop', game, frame, idx, {MID}, x1, y1, x2, y2, NULL FROM hoops
             UNION ALL SELECT 'player', game, frame, tid, {MID.replace('AS cx', '').replace('AS cy', '')},
               CAST(x1 AS BIGINT), CAST(y1 AS BIGINT), CAST(x2 AS BIGINT), CAST(y2 AS BIGINT), team FROM players""",
@@ -60,7 +63,7 @@ BOXED = """{{{head}'center': [CAST(trunc((x1 + x2) / 2e0) AS BIGINT), CAST(trunc
              'players': coalesce(ps, [])}) AS VARCHAR) AS line
            FROM b FULL JOIN h USING (game, frame) FULL JOIN p USING (game, frame)""",
         [
-            ("b", f"SELECT game, frame, {BOXED.format(head='', tail='')} AS ball FROM ball_dets WHERE seq = 0"),
+            ("b", f"SELECT game, frame, {BOXED.format(head='', tail='')} AS ball FROM ({FIRST}) f"),
             ("h", f"SELECT game, frame, list({BOXED.format(head='', tail='')} ORDER BY idx) AS hs FROM hoops GROUP BY game, frame"),
             (
                 "p",

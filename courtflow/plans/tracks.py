@@ -131,7 +131,8 @@ def ended_pairs(src):
              WHERE NOT EXISTS (SELECT 1 FROM track_dets x WHERE x.game = m.game AND x.tid = m.tid AND x.frame = m."end" + 1)
                AND sqrt(((d.x1 + d.x2) / 2e0 - p.cx - m.vx) * ((d.x1 + d.x2) / 2e0 - p.cx - m.vx)
                  + ((d.y1 + d.y2) / 2e0 - p.cy - m.vy) * ((d.y1 + d.y2) / 2e0 - p.cy - m.vy)) < 80) a
-           GROUP BY game, frame, tid""",
+           GROUP BY game, frame, tid
+           QUALIFY row_number() OVER (PARTITION BY game, frame, arg_min(new_tid, seq) ORDER BY tid) = 1""",
         EPISODES
         + [
             (
@@ -194,8 +195,16 @@ def reid_candidates(src):
 
 @query("reid_match")
 def reid_match(src):
-    dets = staged(src.track_dets, "track-dets")
-    return tracks.reid_match(dets, tracks.lost_registry(dets), teams.jersey_lock(src.reads))
+    dets = src.track_dets
+    matches = tracks.reid_match(dets, tracks.lost_registry(dets), teams.jersey_lock(src.reads))
+    return matches.select("game", "tid", "frame", "old_tid")
+
+
+@query("reid_applied")
+def reid_applied(src):
+    dets = src.track_dets
+    matches = tracks.reid_match(dets, tracks.lost_registry(dets), teams.jersey_lock(src.reads))
+    return tracks.apply_identities(dets, staged(matches, "matches")).select("game", "frame", "seq", "tid", "identity")
 
 
 @query(

@@ -115,8 +115,9 @@ def read_review_list(spark, path):
 
 
 def write_snapshot(labels, path, snapshot):
-    """Keep a copy of a label table under a snapshot id; earlier ones stay untouched."""
-    labels.withColumn("snapshot", F.lit(snapshot)).write.mode("append").partitionBy("snapshot").parquet(path)
+    """Keep a copy of a label table under a snapshot id; others stay untouched, a retry replaces its own."""
+    rows = labels.withColumn("snapshot", F.lit(snapshot)).write.mode("overwrite")
+    rows.option("partitionOverwriteMode", "dynamic").partitionBy("snapshot").parquet(path)
 
 
 def read_snapshots(spark, path, schema):

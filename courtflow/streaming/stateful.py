@@ -19,8 +19,6 @@ from ..functions.geometry import FRAME_H, FRAME_W
 from ..functions.slices import halo
 from .runner import frame_of
 
-KALMAN_WARM_FRAMES = 1024
-
 
 class Walk(StatefulProcessor):
     """Runs a step function per key; the state is kept as one JSON value."""
@@ -70,8 +68,7 @@ def kalman_stream_step(jump):
         state, out = None if state is None else tuple(state), []
         for row in rows:
             state = steps.kalman_step(state, int(row.frame), float(row.cx), float(row.cy), jump)
-            if row.own:
-                out.append((row.game, row.frame, *state[:4]))
+            out.append((row.game, row.frame, *state[:4]))
         return state, out
 
     return step
@@ -239,10 +236,13 @@ def sliding_triplet(stream):
 
 
 def kalman(stream, jump):
-    """Smoothing per slice after a warm-up of 1024 frames, which leaves no trace of the start."""
-    rows = halo(stream.select("game", "frame", "cx", "cy"), before=KALMAN_WARM_FRAMES)
+    """Smoothing of each game's ball; the filter carries on over gaps of any length.
+
+    The state is one position with its speed and spread per game.
+    """
+    rows = stream.select("game", "frame", "cx", "cy")
     schema = "game bigint, frame bigint, sx double, svx double, sy double, svy double"
-    return walk(rows, ["game", "slice"], kalman_stream_step(jump), schema)
+    return walk(rows, ["game"], kalman_stream_step(jump), schema)
 
 
 def ghosts(stream, max_age):
