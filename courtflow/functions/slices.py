@@ -6,7 +6,10 @@ game alone.  A key's rows are cut into *slices* of its order column, and
 * ``halo`` copies the few rows next to a border into the neighbour slice, which
   makes bounded look-back and look-ahead exact inside a slice;
 * ``running`` computes unbounded running aggregates as slice-local windows plus a
-  carry that is scanned over one pre-aggregated row per slice;
+  carry that is scanned in levels: over one pre-aggregated row per slice inside a group of
+  ``SLICES`` slices, and over one row per group;
+* ``per_slice`` hands a key's own values (its size, its last frame) to each of its slices, so that
+  they can be joined without hashing all rows by the key;
 * ``row_blocks`` numbers rows and cuts them into blocks of a fixed row count with
   a fixed number of warm-up rows, for look-back measured in rows.
 """
@@ -15,6 +18,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 SLICE = 4096
+SLICES = 1024
 
 
 # How the pre-aggregated values of slices are merged, where the name differs.
@@ -40,6 +44,15 @@ def own(df):
     return df.where("own").drop("own")
 
 
+def per_slice(df, keys, order, size=SLICE, name="slice", **values):
+    """``values`` aggregated per ``keys``, one row for each slice of the key's ``order``."""
+    of = df.groupBy(*keys).agg(
+        *[v.alias(k) for k, v in values.items()], F.min(order).alias("__lo"), F.max(order).alias("__hi")
+    )
+    every = F.sequence(slice_of("__lo", size), slice_of("__hi", size))
+    return of.withColumn(name, F.explode(every)).drop("__lo", "__hi")
+
+
 _COMBINE = {
     "count": lambda local, carry: F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0)),
     "sum": lambda local, carry: F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0)),
@@ -82,16 +95,33 @@ def running(df, keys, order, specs, unit=("slice",)):
             return F.max_by(c, F.when(c.isNotNull(), at))
         return getattr(F, _MERGE.get(kind, kind))(c) if kind != "count" else F.count(c)
 
-    def carried(kind, c):
-        w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*unit)
-        w = w.rowsBetween(Window.unboundedPreceding, -1)
+    def merged(kind, c):
+        if kind in ("last", "prev"):
+            return F.max_by(c, F.when(c.isNotNull(), F.col(unit[-1])))
+        return getattr(F, _MERGE.get(kind, kind))(c)
+
+    def carried(kind, c, by, along):
+        w = Window.partitionBy(*by).orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
         if kind in ("last", "prev"):
             return F.last(c, ignorenulls=True).over(w)
         return getattr(F, _MERGE.get(kind, kind))(c).over(w)
 
+    def both(kind, near, far):
+        return F.when(near.isNotNull() | far.isNotNull(), _COMBINE[kind](near, far))
+
+    top = unit[:-1] + ["__top"]
     parts = df.groupBy(*cell).agg(*[partial(k, c).alias(f"__{n}") for n, (k, c) in specs.items()])
-    carry = parts.select(
-        *cell, *[carried(k, F.col(f"__{n}")).alias(f"__{n}") for n, (k, _) in specs.items()]
+    parts = parts.withColumn("__top", slice_of(unit[-1], SLICES))
+    groups = parts.groupBy(*keys, *top).agg(*[merged(k, F.col(f"__{n}")).alias(f"__{n}") for n, (k, _) in specs.items()])
+    above = groups.select(
+        *keys, *top, *[carried(k, F.col(f"__{n}"), keys, top).alias(f"__t_{n}") for n, (k, _) in specs.items()]
+    )
+    beside = parts.select(
+        *cell, "__top",
+        *[carried(k, F.col(f"__{n}"), keys + top, [unit[-1]]).alias(f"__{n}") for n, (k, _) in specs.items()],
+    )
+    carry = beside.join(above, keys + top).select(
+        *cell, *[both(k, F.col(f"__{n}"), F.col(f"__t_{n}")).alias(f"__{n}") for n, (k, _) in specs.items()]
     )
     # A slice with nothing to inherit needs no carry row; that leaves very few for short keys.
     held = F.lit(False)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.geometry import FRAME_H, FRAME_W, d, distance, rounded
-from ..functions.slices import halo, numbered, own, running, slice_of
+from ..functions.slices import halo, numbered, own, per_slice, running, slice_of
 from .gates import BALL, scale_coords
 
 # Fixed values of the label rules.
@@ -44,11 +44,11 @@ def split_tail(labels, share=VAL_SHARE, keys=("game",)):
     """Last max(1, floor(share * n)) rows of each game, in file order, become ``val``."""
     keys = list(keys)
     rows = numbered(labels, keys, "ord", "row")
-    size = labels.groupBy(*keys).agg(F.count("*").alias("n"))
+    size = per_slice(labels, keys, "ord", name="__slice", n=F.count("*"))
     held = F.greatest(F.lit(1), F.floor(F.col("n") * d(share)))
-    return rows.join(size, keys).withColumn(
+    return rows.withColumn("__slice", slice_of("ord")).join(size, [*keys, "__slice"]).withColumn(
         "split", F.when(F.col("row") > F.col("n") - held, "val").otherwise("train")
-    ).drop("row", "n")
+    ).drop("row", "n", "__slice")
 
 
 def split_block(labels, offset, share=VAL_SHARE):

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import center_x, center_y, d, distance, iou
-from ..functions.slices import halo, own, row_blocks, running, slice_of
+from ..functions.slices import halo, own, per_slice, row_blocks, running, slice_of
 from ..session import staged
 
 # Fixed values of the track rules (frames, pixels).
@@ -144,8 +144,8 @@ def _with_next(dets, reach):
     """Each sighting with the track's next one, if that lies within ``reach`` frames."""
     w = Window.partitionBy("game", "tid", "slice").orderBy("frame")
     rows = halo(dets, after=reach).withColumn("next", F.lead("frame").over(w))
-    last = dets.groupBy("game").agg(F.max("frame").alias("last"))
-    return own(rows).drop("slice").join(last, "game")
+    last = per_slice(dets, ["game"], "frame", last=F.max("frame"))
+    return own(rows).join(last, ["game", "slice"]).drop("slice")
 
 
 def ghost_tracks(dets, max_age=GHOST_AGE):
@@ -272,11 +272,12 @@ def reid_match(dets, lost, locks=None):
     if locks is not None:
         contacts = contacts.unionByName(_number_contacts(dets, lost, locks))
     contacts = staged(_first_contacts(contacts), "contacts")
-    rivals = contacts.groupBy("game").agg(F.count_distinct("tid").alias("rivals"))
+    rivals = per_slice(contacts, ["game"], "frame", rivals=F.count_distinct("tid"))
     w = Window.partitionBy("game", "tid").orderBy("frame")
-    contacts = contacts.withColumn("rk", F.rank().over(w)).join(rivals, "game")
+    contacts = contacts.withColumns({"rk": F.rank().over(w), "slice": slice_of("frame")})
+    contacts = contacts.join(rivals, ["game", "slice"])
     contacts = staged(
-        contacts.where(F.col("rk") <= F.col("rivals")).drop("rk", "rivals"), "first-contacts"
+        contacts.where(F.col("rk") <= F.col("rivals")).drop("rk", "rivals", "slice"), "first-contacts"
     )
 
     span = lambda keys: contacts.groupBy("game", *keys).agg(
@@ -357,19 +358,24 @@ def pose_player_match(poses, players, referees):
     )
 
 
-def frame_summary(dets, locks, poses, balls):
-    """Players, known numbers, poses and ball per frame: one union, one aggregation."""
+def summary_parts(dets, locks, poses, balls):
+    """One row per detection, pose and ball with what it adds to its frame's counts."""
     known = dets.join(locks.select("game", "tid", "lock_frame"), ["game", "tid"], "left")
     one, none = F.lit(1), F.lit(0)
     part = lambda t, **v: t.select(
         "game", "frame", *[v.get(k, none).alias(k) for k in ("players", "numbers", "poses", "balls")]
     )
     worn = F.coalesce(F.col("lock_frame") < F.col("frame"), F.lit(False)).cast("int")
-    rows = (
+    return (
         part(known, players=one, numbers=worn)
         .unionByName(part(poses, poses=one))
         .unionByName(part(balls, balls=one))
     )
+
+
+def frame_summary(dets, locks, poses, balls):
+    """Players, known numbers, poses and ball per frame: one union, one aggregation."""
+    rows = summary_parts(dets, locks, poses, balls)
     per = rows.groupBy("game", "frame").agg(*[F.sum(k).alias(k) for k in ("players", "numbers", "poses", "balls")])
     return per.select(
         "game", "frame", "players", "numbers", "poses", (F.col("balls") > 0).alias("ball"),

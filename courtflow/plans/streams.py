@@ -25,15 +25,12 @@ def late(rows):
 
 @query(
     "stream_frame_summary",
-    with_inputs(
-        "ball_points",
-        """SELECT game, CAST(floor(frame / 30) * 30 AS BIGINT) AS first_frame, CAST(count(*) AS BIGINT) AS points,
-             CAST(count(*) FILTER (conf >= 0.5e0) AS BIGINT) AS sure FROM ball_points GROUP BY 1, 2""",
-    ),
+    with_inputs("track_dets reads pose_dets ball_points", track_plans.SUMMARY, team_plans.LOCKS),
 )
 def stream_frame_summary(src):
-    rows = src.ball_points.select("game", "frame", "conf")
-    return drain(rows, stateful.frame_summary, "stream-summary", closing=late(rows))
+    rows = tracks.summary_parts(src.track_dets, teams.jersey_lock(src.reads), src.pose_dets, src.ball_points)
+    none = {k: F.lit(0) for k in ("players", "numbers", "poses", "balls")}
+    return drain(rows, stateful.frame_summary, "stream-summary", closing=late(rows).withColumns(none))
 
 
 @query(

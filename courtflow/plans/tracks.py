@@ -68,6 +68,13 @@ LOST = NEXT + [
     ),
 ]
 
+SUMMARY = """SELECT game, frame, CAST(coalesce(players, 0) AS BIGINT) AS players, CAST(coalesce(numbers, 0) AS BIGINT) AS numbers,
+             CAST(coalesce(poses, 0) AS BIGINT) AS poses, coalesce(ball, false) AS ball, frame % 30 = 0 AS progress
+           FROM (SELECT d.game, d.frame, count(*) AS players, count(*) FILTER (lock_frame < d.frame) AS numbers
+                 FROM track_dets d LEFT JOIN locks l ON l.game = d.game AND l.tid = d.tid GROUP BY 1, 2) a
+           FULL JOIN (SELECT game, frame, count(*) AS poses FROM pose_dets GROUP BY 1, 2) b USING (game, frame)
+           FULL JOIN (SELECT game, frame, true AS ball FROM ball_points) c USING (game, frame)"""
+
 
 @query(
     "pair_overlap",
@@ -233,12 +240,7 @@ def pose_player_match(src):
     "frame_summary",
     with_inputs(
         "track_dets reads pose_dets ball_points",
-        """SELECT game, frame, CAST(coalesce(players, 0) AS BIGINT) AS players, CAST(coalesce(numbers, 0) AS BIGINT) AS numbers,
-             CAST(coalesce(poses, 0) AS BIGINT) AS poses, coalesce(ball, false) AS ball, frame % 30 = 0 AS progress
-           FROM (SELECT d.game, d.frame, count(*) AS players, count(*) FILTER (lock_frame < d.frame) AS numbers
-                 FROM track_dets d LEFT JOIN locks l ON l.game = d.game AND l.tid = d.tid GROUP BY 1, 2) a
-           FULL JOIN (SELECT game, frame, count(*) AS poses FROM pose_dets GROUP BY 1, 2) b USING (game, frame)
-           FULL JOIN (SELECT game, frame, true AS ball FROM ball_points) c USING (game, frame)""",
+        SUMMARY,
         LOCKS,
     ),
 )

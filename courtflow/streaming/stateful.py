@@ -215,12 +215,17 @@ def reid_step(reach, keep):
 # ---- streams ------------------------------------------------------------------------
 
 
-def frame_summary(stream, every=30):
-    """Rows and sure rows per game and tumbling window of ``every`` frames."""
-    per = stream.groupBy("game", F.window("event_time", f"{every} seconds").alias("w")).agg(
-        F.count("*").alias("points"), F.count_if(F.col("conf") >= 0.5).alias("sure")
+def frame_summary(stream):
+    """``operators.tracks.frame_summary`` over the parts of ``summary_parts``: a window per frame."""
+    kinds = ("players", "numbers", "poses", "balls")
+    per = stream.groupBy("game", F.window("event_time", "1 second").alias("w")).agg(
+        *[F.sum(k).alias(k) for k in kinds]
+    )
+    frame = frame_of("w.start")
+    return per.where("players + numbers + poses + balls > 0").select(
+        "game", frame.alias("frame"), "players", "numbers", "poses", (F.col("balls") > 0).alias("ball"),
+        (frame % 30 == 0).alias("progress"),
     )
-    return per.select("game", frame_of("w.start").alias("first_frame"), "points", "sure")
 
 
 def flight_sessions(stream, gap=10):
