@@ -263,7 +263,7 @@ def _text_rows(batches):
         )
 
 
-def main_text(pages, least_importance=0.3, least_pages=8, salts=16):
+def main_text(pages, least_importance=0.3, least_pages=8):
     """page_id, url and main text of each row of ``pages`` (page_id, url, html).
 
     Equal pages of a host count once in its style tree. A branch is removed where at least ``least_pages`` pages show it
@@ -283,11 +283,10 @@ def main_text(pages, least_importance=0.3, least_pages=8, salts=16):
     )
     shown = shown.distinct().drop("page")
     low = importance(shown).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
+    # one row per host on the right: Spark splits the pages of a large host at run time, whatever its size
     low = low.groupBy("host").agg(F.collect_list("path").alias("low"))
-    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
     return (
-        salted.join(low, ["host", "salt"], "left")
+        rows.join(low, "host", "left")
         .select("page_id", "url", "html", "low")
         .mapInArrow(_text_rows, "page_id long, url string, text string")
     )
