@@ -263,6 +263,13 @@ def _text_rows(batches):
         )
 
 
+def _large_hosts(rows, share=0.001):
+    """Hosts with more than ``share`` of all pages, so 1 / share at most; their pages are dealt over all partitions."""
+    counts = rows.where("host is not null").groupBy("host").count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return [r.host for r in counts.where(F.col("count") > share * total).collect()]
+
+
 def main_text(pages, least_importance=0.3, least_pages=8):
     """page_id, url and main text of each row of ``pages`` (page_id, url, html).
 
@@ -283,10 +290,14 @@ def main_text(pages, least_importance=0.3, least_pages=8):
     )
     shown = shown.distinct().drop("page")
     low = importance(shown).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
-    # one row per host on the right: Spark splits the pages of a large host at run time, whatever its size
     low = low.groupBy("host").agg(F.collect_list("path").alias("low"))
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = F.col("host").isin(_large_hosts(rows))
+    low = low.withColumn("salt", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    salt = F.when(large, F.pmod(F.xxhash64("page_id", "url"), F.lit(parts)).cast("int")).otherwise(0)
     return (
-        rows.join(low, "host", "left")
+        rows.withColumn("salt", salt)
+        .join(low, ["host", "salt"], "left")
         .select("page_id", "url", "html", "low")
         .mapInArrow(_text_rows, "page_id long, url string, text string")
     )
