@@ -60,14 +60,20 @@ def settle(rows, blank, step, age, columns, order, size=SLICE):
 
     sliced = halo(rows, before=min(size, WARM_UP), size=size).drop("own")
     first = sliced.withColumn("seed", F.lit(None).cast("string"))
-    done = staged(first.groupBy("game", "slice").applyInPandas(walk, schema), "walked")
+    done = staged(first.groupBy("game", "slice").applyInPandas(walk, schema), "walked").withColumn("round", F.lit(0))
     w = Window.partitionBy("game").orderBy("slice")
+    turn = 0
     while True:
-        states = done.where("is_state").select("game", "slice", "started", "ended", "aged")
+        newest = F.max(F.struct("round", "started", "ended", "aged")).alias("s")
+        states = done.where("is_state").groupBy("game", "slice").agg(newest).select("game", "slice", "s.*")
         near = F.lag("slice").over(w) == F.col("slice") - 1
         truth = F.when(near, F.lag("ended").over(w)).otherwise(F.lag("aged").over(w))
         wrong = states.withColumn("seed", truth).where("seed <> started").select("game", "slice", "seed")
         if wrong.isEmpty():
-            return done.where("NOT is_state").select(*names)
+            rows = done.where("NOT is_state")
+            if turn:  # of a repaired slice, the last walk counts
+                rows = rows.join(states.select("game", "slice", "round"), ["game", "slice", "round"], "left_semi")
+            return rows.select(*names)
+        turn += 1
         redo = sliced.join(wrong, ["game", "slice"]).groupBy("game", "slice").applyInPandas(walk, schema)
-        done = staged(done.join(wrong, ["game", "slice"], "left_anti").unionByName(redo), "walked")
+        done = done.unionByName(staged(redo, "walked").withColumn("round", F.lit(turn)))

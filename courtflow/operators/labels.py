@@ -297,6 +297,7 @@ def oversample_class(files, existing, name="ball", factor=8):
 
 
 def class_counts(lines):
+    """Annotations per class, as reported next to oversampling."""
     return lines.groupBy("cls").agg(F.count("*").alias("n"))
 
 

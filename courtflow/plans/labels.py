@@ -391,6 +391,17 @@ def oversample_class(src):
     return labels.oversample_class(rows, rows.select("stem").unionByName(copies))
 
 
+@query(
+    "class_counts",
+    with_inputs(
+        "polygons",
+        "SELECT CAST(split_part(line, ' ', 1) AS INTEGER) AS cls, count(*) AS n FROM polygons GROUP BY 1",
+    ),
+)
+def class_counts(src):
+    return labels.class_counts(src.polygons.select(F.split("line", " ")[0].cast("int").alias("cls")))
+
+
 @query(
     "balance_visible",
     with_inputs(
