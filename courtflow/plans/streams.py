@@ -17,10 +17,8 @@ LATE = 1_000_000
 
 
 def late(rows):
-    """A sentinel per game far behind the last frame: it lets the watermark pass all others."""
-    return rows.groupBy("game").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "game"]), "frame").alias("v")).select(
-        "game", "v.*"
-    ).withColumn("frame", F.col("frame") + LATE)
+    """A sentinel far behind the last frame of all games: it lets the watermark pass all others, not itself."""
+    return rows.orderBy(F.desc("frame")).limit(1).withColumn("frame", F.col("frame") + LATE)
 
 
 @query(
@@ -52,7 +50,7 @@ def stream_flight_sessions(src):
 )
 def stream_sliding_triplet(src):
     rows = src.ball_points.select("game", "frame")
-    return drain(rows, stateful.sliding_triplet, "stream-triplets", watermark=None)
+    return drain(rows, stateful.sliding_triplet, "stream-triplets", closing=late(rows))
 
 
 @query(
@@ -66,7 +64,7 @@ def stream_sliding_triplet(src):
 def stream_kalman(src):
     rows = ball_plans.best(src).select("game", "frame", center_x().alias("cx"), center_y().alias("cy"))
     build = lambda s: stateful.kalman(s, ball.TELEPORT["strict"])
-    out = drain(rows, build, "stream-kalman", watermark=None)
+    out = drain(rows, build, "stream-kalman", closing=late(rows))
     return out.select("game", "frame", *[rounded(c, 3).alias(c) for c in ("sx", "svx", "sy", "svy")])
 
 
@@ -87,8 +85,9 @@ def stream_ghosts(src):
     end = rows.select("game", "tid").distinct().join(last, "game").select(
         "game", "frame", "tid", *[zero.alias(c) for c in ("x1", "y1", "x2", "y2")]
     )
+    rows = rows.unionByName(end)
     build = lambda s: stateful.ghosts(s, tracks.GHOST_AGE)
-    return drain(rows, build, "stream-ghosts", closing=end, watermark=None)
+    return drain(rows, build, "stream-ghosts", closing=late(rows))
 
 
 @query(
@@ -98,7 +97,7 @@ def stream_ghosts(src):
 def stream_jersey_lock(src):
     rows = gates.digit_read_gate(src.reads).select("game", "tid", "frame", "num")
     build = lambda s: stateful.jersey_lock(s, teams.CONFIRM_READS)
-    return drain(rows, build, "stream-locks", watermark=None)
+    return drain(rows, build, "stream-locks", closing=late(rows))
 
 
 @query(
@@ -114,7 +113,7 @@ def stream_jersey_lock(src):
 def stream_team_vote(src):
     rows = src.players.where("team IS NOT NULL").select("game", "frame", "tid", "team")
     build = lambda s: stateful.team_vote(s, teams.VOTE_WINDOW)
-    return drain(rows, build, "stream-votes", watermark=None)
+    return drain(rows, build, "stream-votes", closing=late(rows))
 
 
 @query(
@@ -136,7 +135,7 @@ def stream_gap_fill(src):
     rows = ball_plans.best(src).select("game", "frame", "x1", "y1", "x2", "y2")
     teleport = ball.TELEPORT["export"] * ball.SCALE
     build = lambda s: stateful.gap_fill(s, teleport, ball.MAX_FILL, ball.LINEAR_FILL)
-    return drain(rows, build, "stream-fill", watermark=None)
+    return drain(rows, build, "stream-fill", closing=late(rows))
 
 
 @query(
@@ -146,14 +145,14 @@ def stream_gap_fill(src):
 def stream_cooldown(src):
     rows = shots.shot_candidates(src.ball_points).where("shot")
     rows = rows.select("game", F.col("peak_frame").alias("frame"))
-    return drain(rows, lambda s: stateful.cooldown(s, shots.COOLDOWN), "stream-cooldown", watermark=None)
+    return drain(rows, lambda s: stateful.cooldown(s, shots.COOLDOWN), "stream-cooldown", closing=late(rows))
 
 
 @query("stream_reid")
 def stream_reid(src):
     rows = src.track_dets.select("game", "frame", "seq", "tid", "x1", "y1", "x2", "y2")
     build = lambda s: stateful.reid(s, tracks.REID_DIST, tracks.REID_FRAMES)
-    return drain(rows, build, "stream-reid", watermark=None)
+    return drain(rows, build, "stream-reid", closing=late(rows))
 
 
 @query(
@@ -168,4 +167,4 @@ def stream_reid(src):
 def stream_ball_validate(src):
     rows = ball.court_candidates(src.ball_dets, src.hoops)
     build = lambda s: stateful.ball_validate(s, ball.TELEPORT["export"] * ball.SCALE)
-    return drain(rows, build, "stream-validate", watermark=None)
+    return drain(rows, build, "stream-validate", closing=late(rows))

@@ -25,22 +25,24 @@ def frame_of(ts):
     return (F.unix_timestamp(ts) - start).cast("bigint")
 
 
-def drain(rows, build, name, parts=2, closing=None, watermark="1 second"):
+def drain(rows, build, name, closing, parts=2, disorder=40, watch=None):
     """Stream ``rows`` in ``parts`` stretches of frames through ``build``; returns the output.
 
-    ``closing`` rows (an end marker or a late sentinel) arrive after all others, twice if a
-    watermark has to pass.  ``build`` turns the streaming input into the streaming output.
+    Rows arrive up to ``disorder`` frames late, out of order and across the stretches; the watermark waits
+    for that long. ``closing`` rows, far behind all others, arrive last and let the watermark pass.
+    ``build`` turns the streaming input into the streaming output; ``watch`` sees each finished query.
     """
     spark = rows.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     base = work_folder(spark, name)
     into, out, state = (os.path.join(base, p) for p in ("in", "out", "state"))
     top = rows.agg(F.max("frame")).first()[0]
+    timed = with_event_time(rows)
+    schema = timed.schema
 
-    def run():
-        source = spark.readStream.schema(schema).parquet(into)
-        if watermark is not None:
-            source = source.withWatermark("event_time", watermark)
+    def run(new):
+        new.write.mode("append").parquet(into)
+        source = spark.readStream.schema(schema).parquet(into).withWatermark("event_time", f"{disorder} seconds")
         query = (
             build(source)
             .writeStream.outputMode("append")
@@ -50,14 +52,12 @@ def drain(rows, build, name, parts=2, closing=None, watermark="1 second"):
             .start(out)
         )
         query.awaitTermination()
+        if watch is not None:
+            watch(query)
 
-    timed = with_event_time(rows)
-    schema = timed.schema
+    arrival = F.col("frame") + F.pmod(F.xxhash64(*rows.columns), F.lit(disorder))
     for k in range(parts):
-        lo, hi = (top + 1) * k // parts, (top + 1) * (k + 1) // parts
-        timed.where((F.col("frame") >= lo) & (F.col("frame") < hi)).write.mode("append").parquet(into)
-        run()
-    for _ in range(0 if closing is None else (1 if watermark is None else 2)):
-        with_event_time(closing).select(*schema.names).write.mode("append").parquet(into)
-        run()
+        lo, hi = ((top + disorder) * n // parts for n in (k, k + 1))
+        run(timed.where((arrival >= lo) & (arrival < hi)))
+    run(with_event_time(closing).select(*schema.names))
     return spark.read.parquet(out)

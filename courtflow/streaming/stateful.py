@@ -3,12 +3,13 @@
 Every step is ``step(state, rows) -> (state, output rows)`` on plain values; ``Walk`` runs
 it under a key with the state in the state store.  Keys are (game, track) or (game, slice)
 wherever the look-back is bounded: a slice also receives the few rows before it (``halo``),
-so a long game is spread over many keys.  Rows of one key and one micro-batch are sorted in
-memory; the trigger bounds how many that are.
+so a long game is spread over many keys.  Rows wait until the watermark has passed them and are
+walked in order then, however they arrived; later ones are dropped by the watermark.
 """
 
 import json
 import math
+from collections import namedtuple
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -19,34 +20,64 @@ from ..functions.geometry import FRAME_H, FRAME_W
 from ..functions.slices import halo
 from .runner import frame_of
 
+#: frames without a row after which the state of a key is given up: two hours of 30 frames per second
+FORGET = 216_000
+
 
 class Walk(StatefulProcessor):
-    """Runs a step function per key; the state is kept as one JSON value."""
+    """Runs a step function per key, in order of event time.
+
+    ``waiting`` holds one entry per micro-batch, the rows that the watermark has not passed, and ``state`` the
+    step's state (JSON) with the time of its last row. A timer at the last row of a batch
+    wakes the key when its rows are due; another one clears it once it has been silent for ``forget``.
+    """
 
-    def __init__(self, step, order, columns):
-        self.step, self.order, self.columns = step, order, columns
+    def __init__(self, step, order, names, columns, forget):
+        self.step, self.order, self.names, self.columns, self.forget = step, order, names, columns, forget
 
     def init(self, handle):
-        self.state = handle.getValueState("state", "data string")
-
-    def handleInputRows(self, key, rows, timer_values):
-        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        old = json.loads(self.state.get()[0]) if self.state.exists() else None
-        new, out = self.step(old, list(pdf.itertuples(index=False)))
-        self.state.update((json.dumps(new),))
-        yield pd.DataFrame(out, columns=self.columns)
+        self.handle = handle
+        self.state = handle.getValueState("state", "at long, data string")
+        self.waiting = handle.getListState("waiting", "data string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows))
+        self.waiting.appendValue((json.dumps(list(zip(*(pdf[c].tolist() for c in self.names)))),))
+        self.handle.registerTimer(int(pdf["at"].max()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs()
+        row = namedtuple("Row", self.names)
+        rows = [row(*v) for (part,) in self.waiting.get() for v in json.loads(part)] if self.waiting.exists() else []
+        due = sorted((r for r in rows if r.at <= mark), key=lambda r: [getattr(r, c) for c in self.order])
+        at, data = self.state.get() if self.state.exists() else (None, "null")
+        if due:
+            new, out = self.step(json.loads(data), due)
+            self.state.update((due[-1].at, json.dumps(new)))
+            self.waiting.clear()
+            rest = [r for r in rows if r.at > mark]
+            if rest:
+                self.waiting.appendValue((json.dumps(rest),))
+            self.handle.registerTimer(max(due[-1].at + self.forget, mark + 1))
+            yield pd.DataFrame(out, columns=self.columns)
+        elif at is not None and not rows and at + self.forget <= mark:
+            self.state.clear()
 
     def close(self):
         pass
 
 
-def walk(stream, keys, step, schema, order=("frame",)):
+def walk(stream, keys, step, schema, order=("frame",), forget=FORGET):
+    """``step`` per key over a stream with ``event_time``; ``forget`` counts frames (a second of event time each)."""
     columns = [c.strip().split()[0] for c in schema.split(",")]
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=Walk(step, list(order), columns),
+    rows = stream.withColumn("at", F.unix_millis("event_time"))
+    names = [c for c in rows.columns if c != "event_time"]
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=Walk(step, list(order), names, columns, forget * 1000),
         outputStructType=schema,
         outputMode="append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
@@ -236,7 +267,7 @@ def flight_sessions(stream, gap=10):
 
 
 def sliding_triplet(stream):
-    rows = halo(stream.select("game", "frame"), before=2)
+    rows = halo(stream.select("game", "frame", "event_time"), before=2)
     return walk(rows, ["game", "slice"], triplet_step, "game bigint, frame bigint")
 
 
@@ -245,46 +276,46 @@ def kalman(stream, jump):
 
     The state is one position with its speed and spread per game.
     """
-    rows = stream.select("game", "frame", "cx", "cy")
+    rows = stream.select("game", "frame", "cx", "cy", "event_time")
     schema = "game bigint, frame bigint, sx double, svx double, sy double, svy double"
     return walk(rows, ["game"], kalman_stream_step(jump), schema)
 
 
 def ghosts(stream, max_age):
     schema = "game bigint, frame bigint, tid bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint, age bigint"
-    rows = stream.select("game", "tid", "frame", "x1", "y1", "x2", "y2")
+    rows = stream.select("game", "tid", "frame", "x1", "y1", "x2", "y2", "event_time")
     return walk(rows, ["game", "tid"], ghost_step(max_age), schema)
 
 
 def jersey_lock(stream, confirm):
-    rows = stream.select("game", "tid", "frame", "num")
+    rows = stream.select("game", "tid", "frame", "num", "event_time")
     return walk(rows, ["game", "tid"], lock_step(confirm), "game bigint, tid bigint, num string, lock_ord bigint")
 
 
 def team_vote(stream, window):
-    rows = stream.select("game", "tid", "frame", "team")
+    rows = stream.select("game", "tid", "frame", "team", "event_time")
     return walk(rows, ["game", "tid"], vote_step(window), "game bigint, frame bigint, tid bigint, voted bigint")
 
 
 def gap_fill(stream, teleport, most, linear):
-    rows = halo(stream.select("game", "frame", "x1", "y1", "x2", "y2"), after=most + 1)
+    rows = halo(stream.select("game", "frame", "x1", "y1", "x2", "y2", "event_time"), after=most + 1)
     schema = "game bigint, frame bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint"
     return walk(rows, ["game", "slice"], fill_step(teleport, most, linear), schema)
 
 
 def cooldown(stream, wait):
-    rows = stream.select("game", "frame")
+    rows = stream.select("game", "frame", "event_time")
     return walk(rows, ["game"], cooldown_step(wait), "game bigint, peak_frame bigint, accepted boolean")
 
 
 def ball_validate(stream, jump):
     """Candidates (see ``operators.ball.court_candidates``) checked in frame order per game."""
-    rows = stream.select("game", "frame", "seq", "conf", "cx", "cy", "area", "hoop_top", "hoop_x")
+    rows = stream.select("game", "frame", "seq", "conf", "cx", "cy", "area", "hoop_top", "hoop_x", "event_time")
     schema = "game bigint, frame bigint, seq bigint, cx double, cy double, conf double"
     return walk(rows, ["game"], validate_step(jump), schema, order=("frame", "seq"))
 
 
 def reid(stream, reach, keep):
-    rows = stream.select("game", "tid", "frame", "seq", "x1", "y1", "x2", "y2")
+    rows = stream.select("game", "tid", "frame", "seq", "x1", "y1", "x2", "y2", "event_time")
     schema = "game bigint, tid bigint, frame bigint, old_tid bigint"
     return walk(rows, ["game"], reid_step(reach, keep), schema, order=("frame", "seq"))

@@ -10,6 +10,7 @@ from courtflow.functions import steps
 from courtflow.operators import ball, gates, labels, shots, teams, tracks
 from courtflow.plans.inputs import Inputs
 from courtflow.plans.registry import QUERIES
+from courtflow.plans.streams import late
 from courtflow.sources import labels as label_files
 from courtflow.streaming import stateful
 from courtflow.streaming.runner import drain
@@ -369,11 +370,29 @@ def test_stream_kalman_carries_on_over_long_gaps(spark):
     )
     want = {r.frame: (r.sx, r.svx, r.sy, r.svy) for r in ball.kalman_smooth(boxes).collect()}
     rows = boxes.selectExpr("game", "frame", "(x1 + x2) / 2D AS cx", "(y1 + y2) / 2D AS cy")
-    out = drain(rows, lambda s: stateful.kalman(s, ball.TELEPORT["strict"]), "kalman-gaps", watermark=None)
+    out = drain(rows, lambda s: stateful.kalman(s, ball.TELEPORT["strict"]), "kalman-gaps", closing=late(rows))
     got = {r.frame: (r.sx, r.svx, r.sy, r.svy) for r in out.collect()}
     assert got == want
 
 
+def test_stream_rows_out_of_order_give_the_batch_answer_and_leave_no_state(spark):
+    """Sightings arrive in any order within the watermark; silent keys are given up."""
+    frames = [f for f in range(400) if f % 5 not in (2, 3)]
+    boxes = spark.createDataFrame(
+        [(0, f, 0, 0.9, 600 + f % 9, 300, 630 + f % 9, 330) for f in frames],
+        "game bigint, frame bigint, seq bigint, conf double, x1 bigint, y1 bigint, x2 bigint, y2 bigint",
+    )
+    rows = boxes.select("game", "frame", "x1", "y1", "x2", "y2")
+    teleport, kept = ball.TELEPORT["export"] * ball.SCALE, []
+    watch = lambda q: kept.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    build = lambda s: stateful.gap_fill(s, teleport, ball.MAX_FILL, ball.LINEAR_FILL)
+    closing = late(rows).unionByName(late(late(rows)))
+    out = drain(rows, build, "fill-disorder", closing=closing, parts=4, disorder=100, watch=watch)
+    # a seen frame is never filled, a missing one once
+    assert sorted(r.frame for r in out.collect()) == [f for f in range(400) if f % 5 in (2, 3)]
+    assert kept[-1] == 2  # one value per sentinel; the state of the game's slice is given up
+
+
 def test_strict_validation_needs_support_and_rejects_locked_heads(spark):
     det = "game bigint, frame bigint, seq bigint, conf double, x1 bigint, y1 bigint, x2 bigint, y2 bigint"
     rows = [(0, f, 0, 0.9, 600 + f, 300, 630 + f, 330) for f in range(60)]
