@@ -37,18 +37,8 @@ def first_balls(src):
 def src_tracking_json(src):
     path = work_folder(src.spark, "tracking-docs")
     tracking.write_documents(tracking.frame_records(first_balls(src), src.hoops, src.players), path)
-    frames = tracking.read_documents(src.spark, path)
-    sides = ["cx", "cy", "x1", "y1", "x2", "y2"]
-    game = F.regexp_extract("video", r"(\d+)$", 1).cast("bigint").alias("game")
-    none = F.lit(None).cast("bigint").alias("team")
-    pick = lambda t, kind, key, team: t.select(
-        F.lit(kind).alias("kind"), game, "frame", key.alias("id"), *sides, team
-    )
-    return (
-        pick(tracking.ball_table(frames), "ball", F.lit(0).cast("bigint"), none)
-        .unionByName(pick(tracking.hoop_table(frames), "hoop", F.col("idx"), none))
-        .unionByName(pick(tracking.player_table(frames), "player", F.col("tid"), F.col("team")))
-    )
+    rows = tracking.read_objects(src.spark, path)
+    return rows.withColumn("game", F.regexp_extract("video", r"(\d+)$", 1).cast("bigint")).drop("video")
 
 
 BOXED = """{{{head}'center': [CAST(trunc((x1 + x2) / 2e0) AS BIGINT), CAST(trunc((y1 + y2) / 2e0) AS BIGINT)],
@@ -113,18 +103,14 @@ def sink_label_csv(src):
     with_inputs(
         "label_rows pred_rows",
         """SELECT split, category, ord, frame_path, label_x, label_y, pred_x, pred_y, pred_conf, distance_px
-           FROM diff WHERE split = 'train' AND category <> 'false_negatives'""",
+           FROM diff""",
         label_plans.AUDIT,
     ),
 )
 def sink_disagreement_csv(src):
     path = work_folder(src.spark, "disagreements")
     label_files.write_disagreements(label_plans.audit_rows(src), path)
-    parts = [
-        label_files.read_disagreements(src.spark, path, "train", c)
-        for c in ("false_positives", "position_mismatch")
-    ]
-    return parts[0].unionByName(parts[1])
+    return label_files.read_disagreements(src.spark, path)
 
 
 @query(
@@ -154,14 +140,14 @@ def src_polygon_labels(src):
     with_inputs(
         "review_keys",
         """SELECT ['false_negatives', 'false_positives', 'position_mismatch'][ord % 3 + 1] AS category, folder, stem
-           FROM review_keys WHERE ord % 5 <> 0""",
+           FROM review_keys""",
     ),
 )
 def src_review_listing(src):
     path = work_folder(src.spark, "review-listing")
     kinds = F.array(*[F.lit(c) for c in ("false_negatives", "false_positives", "position_mismatch")])
     line = F.concat_ws("/", F.lit("review"), F.element_at(kinds, (F.col("ord") % 3 + 1).cast("int")), "folder", "stem")
-    rows = src.review_keys.where(F.col("ord") % 5 != 0)
+    rows = src.review_keys
     rows.select(F.concat(line, F.lit(".jpg")).alias("value")).unionAll(
         rows.where(F.col("ord") % 50 == 1).select(F.concat(line, F.lit(".txt")))
     ).write.text(path)
@@ -286,15 +272,14 @@ PEAKS = [
         "heat_cells",
         f"""SELECT label, CAST(count(*) AS BIGINT) AS maps, {r('avg(margin)', 9)} AS margin FROM (
               SELECT k.vec_id, k.label, max(k.pp) - coalesce(max(c.p) FILTER (abs(c.x - k.px) > 2 OR abs(c.y - k.py) > 2), 0e0) AS margin
-              FROM heat_cells c JOIN peaks k USING (vec_id) WHERE k.vec_id % 3 <> 0 GROUP BY k.vec_id, k.label) a
+              FROM heat_cells c JOIN peaks k USING (vec_id) GROUP BY k.vec_id, k.label) a
             GROUP BY label""",
         PEAKS,
     ),
 )
 def peak_margin(src):
-    """Mean margin over the maps with a visible ball, per label."""
-    seen = src.heat_cells.where("vec_id % 3 <> 0")
-    per = metrics.peak_margin(seen, radius=2, keys=("vec_id", "label"))
+    """Mean margin over all maps, per label."""
+    per = metrics.peak_margin(src.heat_cells, radius=2, keys=("vec_id", "label"))
     return per.groupBy("label").agg(F.count("*").alias("maps"), F.avg("margin").alias("margin")).withColumn(
         "margin", rounded("margin", 9)
     )

@@ -23,6 +23,7 @@ DOCUMENT = (
     f"frames MAP<STRING, STRUCT<{NESTED}>>"
 )
 SIDES = ("x1", "y1", "x2", "y2")
+KINDS = "array<struct<kind:string,id:bigint,cx:bigint,cy:bigint,x1:bigint,y1:bigint,x2:bigint,y2:bigint,team:bigint>>"
 
 
 def _boxed():
@@ -90,23 +91,26 @@ def read_documents(spark, path, multi_line=False):
     return rows.select("video", F.col("frame").cast("bigint").alias("frame"), "v.ball", "v.hoops", "v.players")
 
 
-def _flat(c):
-    at = lambda k, i: F.element_at(F.col(f"{c}.{k}"), i)
-    return [
-        at("center", 1).alias("cx"), at("center", 2).alias("cy"),
-        *[at("box", i + 1).alias(s) for i, s in enumerate(SIDES)],
-    ]
+def read_objects(spark, path, multi_line=False):
+    """All objects of tracking documents, one row each: video, kind, frame, id, cx, cy, x1, y1, x2, y2, team.
 
+    ``id`` is 0 for the ball, the place in the frame for hoops and the track for players. A document is
+    parsed once, whatever the number of kinds asked for; a filter on ``kind`` comes after that.
+    """
 
-def ball_table(frames):
-    return frames.where("ball IS NOT NULL").select("video", "frame", *_flat("ball"))
-
-
-def hoop_table(frames):
-    rows = frames.select("video", "frame", F.posexplode("hoops").alias("idx", "o"))
-    return rows.select("video", "frame", F.col("idx").cast("bigint").alias("idx"), *_flat("o"))
-
+    def thing(kind, o, id_, team=None):
+        at = lambda k, i: F.get(o[k], i)
+        return F.struct(
+            F.lit(kind).alias("kind"), id_.cast("bigint").alias("id"),
+            at("center", 0).alias("cx"), at("center", 1).alias("cy"),
+            *[at("box", i).alias(s) for i, s in enumerate(SIDES)],
+            (F.lit(None) if team is None else team).cast("bigint").alias("team"),
+        )
 
-def player_table(frames):
-    rows = frames.select("video", "frame", F.explode("players").alias("o"))
-    return rows.select("video", "frame", "o.tid", *_flat("o"), "o.team")
+    ball = F.when(F.col("ball").isNotNull(), F.array(thing("ball", F.col("ball"), F.lit(0))))
+    hoops = F.transform("hoops", lambda o, i: thing("hoop", o, i))
+    players = F.transform("players", lambda o: thing("player", o, o["tid"], o["team"]))
+    none = F.array().cast(KINDS)
+    every = F.concat(*[F.coalesce(a, none) for a in (ball, hoops, players)])
+    frames = read_documents(spark, path, multi_line)
+    return frames.select("video", "frame", F.explode(every).alias("o")).select("video", "frame", "o.*")
