@@ -89,17 +89,22 @@ def _corpus_rows(batches):
     yield rows("pair", {chr(k >> 8) + chr(k & 255): int(pairs[k]) for k in at})
 
 
-def corpus(docs, vocabulary=20_000):
-    """(letter-pair log odds, dictionary) counted over all documents; the ``vocabulary`` commonest words are kept."""
+def corpus(docs, share=2e-5):
+    """(letter-pair log odds, dictionary) counted over all documents.
+
+    Every word that makes up ``share`` of all words or more is in the dictionary, so 1 / ``share`` words at most.
+    """
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
         _corpus_rows, "kind string, key string, n long"
     )
     counted = staged(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "corpus")
     pairs = {r.key: r.n for r in counted.where("kind = 'pair'").collect()}
-    top = counted.where("kind = 'word'").orderBy(F.desc("n"), "key").limit(vocabulary)
+    words = counted.where("kind = 'word'")
+    least = share * (words.agg(F.sum("n")).first()[0] or 0)
+    common = words.where(F.col("n") >= least).select("key")
     total = sum(pairs.values()) or 1
     odds = {k: math.log(n / total * 676) for k, n in pairs.items()}
-    return odds, {r.key for r in top.collect()}
+    return odds, {r.key for r in common.collect()}
 
 
 def _coverage(word, dictionary):
@@ -222,7 +227,7 @@ def train(findings, most=20_000, trees=40, depth=8, seed=11):
     return forest.fit(rows)
 
 
-def scan(docs, labelled=None, threshold=0.5, path="source", vocabulary=20_000, most=20_000):
+def scan(docs, labelled=None, threshold=0.5, path="source", share=2e-5, most=20_000):
     """All candidates of ``docs`` (doc_id, text and the ``path`` column) with the forest's verdict.
 
     Returns doc_id, key (hash of the row's id and text), start, end (characters), value, probability and is_secret.
@@ -236,7 +241,7 @@ def scan(docs, labelled=None, threshold=0.5, path="source", vocabulary=20_000, m
         F.col(path).cast("string").alias("path"),
         F.col("text").cast("string").alias("text"),
     )
-    odds, dictionary = corpus(docs, vocabulary)
+    odds, dictionary = corpus(docs, share)
     schema = "doc_id long, key long, start long, end long, value string, label int, " + ", ".join(
         f"{f} double" for f in FEATURES
     )
