@@ -11,6 +11,7 @@ is to go by on hosts with few pages. Where a page marks its article, only that i
 import hashlib
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -59,16 +60,16 @@ _NEVER_NAMES = set(
     "widget widgets".split()
 )
 _TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "article", "main", "body", "html", "blockquote", "pre"}
-#: elements nested deeper are read as if they were empty and followed by their content
-DEEPEST = 200
 _SPACES = re.compile(r"[\W_]+")
 
 
 class _Node:
-    __slots__ = ("tag", "key", "path", "never", "main", "parts", "shape")
+    """``path`` is a running hash of the keys from the root on, so that its length does not grow with the depth."""
 
-    def __init__(self, tag, key, path, never, main):
-        self.tag, self.key, self.path, self.never, self.main = tag, key, path, never, main
+    __slots__ = ("tag", "key", "path", "never", "main", "inside", "parts", "shape")
+
+    def __init__(self, tag, key, path, never, main, inside):
+        self.tag, self.key, self.path, self.never, self.main, self.inside = tag, key, path, never, main, inside
         self.parts, self.shape = [], []
 
 
@@ -97,9 +98,16 @@ def _named(tag, attrs, inside):
 
 def parse(page):
     """The nodes of a page in order, the root first. ``parts`` holds text (str) and child nodes."""
-    root = _Node("", "", "", False, False)
+    root = _Node("", "", "", False, False, False)
     nodes, stack, at = [root], [root], 0
+    opened = Counter()
     end = len(page)
+
+    def leave():
+        gone = stack.pop().tag
+        opened[gone] -= 1
+        return gone
+
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -113,8 +121,8 @@ def parse(page):
             continue
         tag = tag.lower()
         if m["close"]:
-            if any(n.tag == tag for n in stack[1:]):
-                while stack.pop().tag != tag:
+            if opened[tag]:
+                while leave() != tag:
                     pass
             continue
         if tag in _RAW:
@@ -127,50 +135,68 @@ def parse(page):
         if tag in _VOID or tag in _INLINE and not stack[-1].never and not m["attrs"].strip():
             continue
         attrs = _attributes(m["attrs"])
-        inside = any(n.main for n in stack)
-        key, never, main = _named(tag, attrs, inside)
+        key, never, main = _named(tag, attrs, stack[-1].inside)
         if tag in _INLINE and not never and not stack[-1].never:
             continue
         if tag in _CLOSES_P and stack[-1].tag == "p":
-            stack.pop()
+            leave()
         ends = _SIBLINGS.get(tag)
         if ends:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ends:
-                    del stack[i:]
+                    while len(stack) > i:
+                        leave()
                     break
                 if stack[i].tag in _SCOPES:
                     break
         above = stack[-1]
-        node = _Node(tag, key, f"{above.path}/{key}", never or above.never, main)
+        node = _Node(tag, key, _path(above.path, key), never or above.never, main, above.inside or main)
         above.parts.append(node)
         above.shape.append(key)
         nodes.append(node)
-        if not m["attrs"].rstrip().endswith("/") and len(stack) < DEEPEST:
+        if not m["attrs"].rstrip().endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     return nodes
 
 
-def _blocks(node, keep, out, main):
-    """Append the blocks of text under a node, as (text, in the main part)."""
-    pieces = []
+def _path(above, key):
+    return hashlib.blake2b(f"{above}/{key}".encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
+def _said(pieces):
+    """The text of a block's pieces, which are taken away."""
+    text = " ".join(html.unescape("".join(pieces)).split())
+    pieces.clear()
+    return text
 
-    def flush():
-        text = " ".join(html.unescape("".join(pieces)).split())
-        pieces.clear()
+
+def _blocks(root, keep):
+    """The blocks of text under a node, as (text, in the main part); depth is bounded by memory only."""
+    out, pieces = [], []
+
+    def flush(main):
+        text = _said(pieces)
         if text:
             out.append((text, main))
 
-    for part in node.parts:
-        if isinstance(part, str):
-            pieces.append(part)
-        elif part.tag in _INLINE and part.never:
-            pieces.append(" ")
+    stack = [(iter(root.parts), False)]
+    while stack:
+        parts, main = stack[-1]
+        for part in parts:
+            if isinstance(part, str):
+                pieces.append(part)
+            elif part.tag in _INLINE and part.never:
+                pieces.append(" ")
+            else:
+                flush(main)
+                if keep(part):
+                    stack.append((iter(part.parts), main or part.main))
+                    break
         else:
-            flush()
-            if keep(part):
-                _blocks(part, keep, out, main or part.main)
-    flush()
+            flush(main)
+            stack.pop()
+    return out
 
 
 def extract(page, low=frozenset()):
@@ -180,8 +206,7 @@ def extract(page, low=frozenset()):
     nodes = parse(page)
 
     def text(keep):
-        out = []
-        _blocks(nodes[0], keep, out, False)
+        out = _blocks(nodes[0], keep)
         marked = any(n.main for n in nodes)
         return "\n".join(t for t, main in out if main or not marked)
 
@@ -193,21 +218,52 @@ def _digest(text):
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+#: fixed values: prime and base of the hash of a sequence of blocks
+_PRIME, _BASE = (1 << 127) - 1, 0x2D358DCCAA6C78A58BB84B93962EACC9
+_NOTHING = (0, 1)
+
+
+def _then(one, two):
+    """Hash of one sequence of blocks after another, with the power of the base that its length stands for."""
+    return (one[0] * two[1] + two[0]) % _PRIME, one[1] * two[1] % _PRIME
+
+
+def _content_hashes(nodes):
+    """Hash of the blocks under each node; each piece of text is read once, however deep it lies."""
+    out = {}
+    for node in reversed(nodes):  # children come after their parents
+        if node.never:
+            continue
+        whole, pieces = _NOTHING, []
+
+        def flush(whole, pieces=pieces):
+            text = _said(pieces)
+            return _then(whole, (_digest(text) % _PRIME + 1, _BASE)) if text else whole
+
+        for part in node.parts:
+            if isinstance(part, str):
+                pieces.append(part)
+            elif part.tag in _INLINE and part.never:
+                pieces.append(" ")
+            else:
+                whole = flush(whole)
+                if not part.never:
+                    whole = _then(whole, out[id(part)])
+        out[id(node)] = flush(whole)
+    return out
+
+
 def branches(page):
     """(path, digest of its shapes, digest of its content) for each path of a page that its own words don't rule out."""
+    nodes = parse(page)
+    hashes = _content_hashes(nodes)
     shapes, contents = {}, {}
-    for node in parse(page):
-        if node.never or not node.path or _textual(node.path):
+    for node in nodes:
+        if node.never or not node.path or node.tag in _TEXTUAL:
             continue
         shapes.setdefault(node.path, []).append(",".join(node.shape))
-        said = []
-        _blocks(node, lambda n: not n.never, said, False)
-        contents.setdefault(node.path, []).extend(t for t, _ in said)
-    return [(p, _digest(";".join(shapes[p])), _digest("\n".join(contents[p]))) for p in shapes]
-
-
-def _textual(path):
-    return path.rpartition("/")[2].partition(".")[0] in _TEXTUAL
+        contents[node.path] = _then(contents.get(node.path, _NOTHING), hashes[id(node)])
+    return [(p, _digest(";".join(shapes[p])), _digest(f"{contents[p][0]:x}")) for p in shapes]
 
 
 def _branch_page_rows(batches):

@@ -92,6 +92,23 @@ def test_extract(page, text):
     assert styletree.extract(page) == text
 
 
+@pytest.mark.parametrize("depth", [190, 250, 30_000])
+def test_extract_below_a_deep_nest(depth):
+    nest = "<div>" * depth
+    page = f"<body><div><article>{nest}<p>x</p><nav>menu</nav><form>f</form><p>y</p>{nest.replace('<', '</')}<p>conclusion</p></article>after</div>"
+    assert styletree.extract(page) == "x\ny\nconclusion"
+    assert len(styletree.branches(page)) == depth + 1
+
+
+def test_branches_read_alike_for_alike_blocks():
+    one, two, three = (
+        {p: c for p, _, c in styletree.branches(f"<div class=a>{x}</div>")}
+        for x in ("<div>b</div>c", "b<div>c</div>", "<div>bc</div>")
+    )
+    top = styletree._path("", "div.a")
+    assert one[top] == two[top] != three[top]
+
+
 def test_style_tree_removes_what_a_host_repeats(spark):
     rows = [
         (i, f"https://u@Host.example:80/{i}", f"<div class=strap>Daily news<br>for all</div><div class=text>story {i} of many</div>")
