@@ -1,12 +1,13 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule rejects a document whose statistic lies above a cutoff. The cutoffs come from labelled documents, per stratum
-(language): one half of them proposes, for every rule, the cutoff that gains most; the other half, the holdout,
+(language, null being one): one half of them proposes, for every rule, the cutoff that gains most; the other half, the holdout,
 certifies the stratum's cutoffs together. They are certified when the exact (Clopper-Pearson) upper bound on the
 share of good documents that any of them rejects is at most ``risk``. They are tested from much looser ones
 on, all cutoffs times a common slack, and testing stops at the first failure, which keeps the error of the
-whole sequence; the strata share ``error`` by Bonferroni. A stratum in which nothing is certified rejects nothing. So
-with probability 1 - error, the rules reject at most the share ``risk`` of good documents in every stratum.
+whole sequence; all strata with labels share ``error`` by Bonferroni. A stratum in which nothing is certified, or that has no
+labels, rejects nothing. So with probability 1 - error, the rules reject at most the share ``risk`` of good documents
+in every stratum.
 """
 
 import math
@@ -37,7 +38,6 @@ _FIELDS = [
 ]
 _STRUCT = "struct<" + ",".join(f"{f}:bigint" for f in _FIELDS) + ">"
 REPEAT_WINDOW = 8
-POOLED = "\0pooled"
 
 
 def _repeated(text):
@@ -143,32 +143,28 @@ def _beyond(counts):
 
 
 def propose(table, cost=100.0):
-    """Cutoffs {stratum: {rule: cutoff}} from {(stratum, rule, quality): {bin: documents}}.
+    """Cutoffs of a stratum, {rule: cutoff}, from {(rule, quality): {bin: documents}}.
 
     A good document lost weighs ``cost`` times a bad one caught.
     """
-    out = {stratum: {} for stratum in {POOLED} | {key[0] for key in table}}
-    for stratum, found in out.items():
-        for rule in RULES:
-            good, bad = (table.get((stratum, rule, q), {}) for q in (1, 0))
-            n_good, n_bad = sum(good.values()), sum(bad.values())
-            if n_good and n_bad:
-                gain = _beyond(bad) / n_bad - cost * _beyond(good) / n_good
-                if gain.max() > 0:
-                    found[rule] = CUTOFFS[int(gain.argmax())]
-    return out
-
-
-def certify(proposed, tested, risk, error):
-    """Keep each stratum's cutoffs at the tightest certified slack; ``tested`` is {stratum: (n, [lost per slack])}."""
-    out = {}
-    for stratum, found in proposed.items():
-        out[stratum] = {}
-        n, lost = tested.get(stratum, (0, []))
-        for slack, bad in zip(SLACKS, lost, strict=False):
-            if not n or upper_bound(bad, n, error / len(proposed)) > risk:
-                break
-            out[stratum] = {rule: slack * cutoff for rule, cutoff in found.items()}
+    found = {}
+    for rule in RULES:
+        good, bad = (table.get((rule, q), {}) for q in (1, 0))
+        n_good, n_bad = sum(good.values()), sum(bad.values())
+        if n_good and n_bad:
+            gain = _beyond(bad) / n_bad - cost * _beyond(good) / n_good
+            if gain.max() > 0:
+                found[rule] = CUTOFFS[int(gain.argmax())]
+    return found
+
+
+def certify(n, lost, risk, error):
+    """The tightest certified slack, or None; ``lost`` has the good documents lost, of n, at each of ``SLACKS``."""
+    out = None
+    for slack, bad in zip(SLACKS, lost, strict=True):
+        if not n or upper_bound(bad, n, error) > risk:
+            break
+        out = slack
     return out
 
 
@@ -181,50 +177,70 @@ def _measured(docs):
     return base.select("doc_id", "lang", "q.*")
 
 
-def cutoffs(measured, labels, risk=0.02, error=0.05, max_strata=32):
-    """Certified cutoffs, {stratum: {rule: cutoff}}.
+_LIMITS = pa.list_(pa.float64())
+
+
+def _proposed_rows(batches):
+    for batch in batches:
+        found = []
+        for every in batch.column("counts").to_pylist():
+            table = defaultdict(dict)
+            for x in every:
+                table[x["rule"], x["quality"]][x["bin"]] = x["count"]
+            chosen = propose(table)
+            found.append([chosen.get(rule) for rule in RULES])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(found, _LIMITS)], ["stratum", "limits"])
+
 
-    The ``max_strata`` languages with most labels are strata with cutoffs of their own only; the rest, and null,
-    take those of the pooled stratum of all. What reaches the driver is one count per stratum, rule, label and bin.
+def _certified_rows(risk, error):
+    def run(batches):
+        for batch in batches:
+            found = []
+            for limits, n, lost in zip(*(batch.column(c).to_pylist() for c in ("limits", "n", "lost")), strict=True):
+                slack = certify(n, lost, risk, error)
+                found.append(None if slack is None else [None if x is None else slack * x for x in limits])
+            yield pa.RecordBatch.from_arrays([batch.column("stratum"), pa.array(found, _LIMITS)], ["stratum", "limits"])
+
+    return run
+
+
+def cutoffs(measured, labels, risk=0.02, error=0.05):
+    """Certified cutoffs: stratum and limits, one number (or null) per rule, for each stratum with any.
+
+    Every language with labels is a stratum, and so is null. They stay in Spark; what reaches the driver is their number.
     """
     known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     rows = measured.join(known.where("doc_id is not null and quality in (0, 1)"), "doc_id")
     rows = rows.where("n_words > 0").withColumn("half", F.expr("crc32(cast(doc_id as string)) % 2"))
     rows = staged(rows, "labelled")
-    sizes = rows.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang")
-    own = [r.lang for r in sizes.limit(max_strata).collect()]
-    stratum = F.when(F.col("lang").isin(own), F.col("lang")).otherwise(POOLED) if own else F.lit(POOLED)
+    strata = rows.select("lang").distinct().count()
     bins = [
         F.expr(f"size(filter(array({','.join(f'{c}D' for c in CUTOFFS)}), c -> coalesce({sql}, 0) > c))").alias(rule)
         for rule, sql in RULES.items()
     ]
-    binned = rows.where("half = 0").select(stratum.alias("stratum"), "quality", *bins)
-    binned = binned.unpivot(["stratum", "quality"], list(RULES), "rule", "bin")
-    table = defaultdict(lambda: defaultdict(int))
-    for r in binned.groupBy("stratum", "quality", "rule", "bin").count().collect():
-        for name in {r.stratum, POOLED}:
-            table[name, r.rule, r.quality][r.bin] += r["count"]
-    proposed = propose(table)
-    held = rows.where("half = 1 and quality = 1")
-    tested = {}
-    for found, key in ((proposed, stratum), ({POOLED: proposed[POOLED]}, F.lit(POOLED))):
-        losses = [
-            F.sum(_rejected({k: {r: slack * c for r, c in v.items()} for k, v in found.items()}).cast("long"))
-            for slack in SLACKS
-        ]
-        for r in held.groupBy(key.alias("stratum")).agg(F.count("*"), *losses).collect():
-            tested[r[0]] = (r[1], list(r[2:]))
-    return certify(proposed, tested, risk, error)
-
-
-def _rejected(found):
-    """SQL condition under which some rule with a certified cutoff rejects."""
-    terms = []
-    for rule, sql in RULES.items():
-        own = F.lit(found[POOLED].get(rule, math.inf))
-        for stratum in sorted(set(found) - {POOLED}):
-            own = F.when(F.col("lang") == stratum, F.lit(found[stratum].get(rule, math.inf))).otherwise(own)
-        terms.append(F.coalesce(F.expr(sql), F.lit(0.0)) > own)
+    binned = rows.where("half = 0").select("lang", "quality", *bins)
+    binned = binned.unpivot(["lang", "quality"], list(RULES), "rule", "bin")
+    counts = binned.groupBy("lang", "quality", "rule", "bin").count()
+    counts = counts.groupBy("lang").agg(F.collect_list(F.struct("rule", "quality", "bin", "count")).alias("counts"))
+    proposed = staged(counts.mapInArrow(_proposed_rows, "stratum string, limits array<double>"), "proposed")
+    held = _with_limits(rows.where("half = 1 and quality = 1"), proposed, "inner")
+    losses = [F.sum(_rejected(slack).cast("long")) for slack in SLACKS]
+    tested = held.groupBy("stratum", "limits").agg(F.count("*").alias("n"), F.array(*losses).alias("lost"))
+    certified = tested.mapInArrow(_certified_rows(risk, error / max(1, strata)), "stratum string, limits array<double>")
+    return staged(certified.where("limits is not null"), "cutoffs")
+
+
+def _with_limits(rows, limits, how="left"):
+    """``rows`` with stratum and limits of their language, null being one."""
+    return rows.join(limits, rows["lang"].eqNullSafe(limits["stratum"]), how)
+
+
+def _rejected(slack=1.0):
+    """SQL condition under which some rule rejects a row with ``limits``, times a slack."""
+    terms = [
+        F.coalesce(F.expr(sql), F.lit(0.0)) > F.coalesce(F.col("limits")[i] * slack, F.lit(math.inf))
+        for i, sql in enumerate(RULES.values())
+    ]
     out = terms[0]
     for term in terms[1:]:
         out = out | term
@@ -234,26 +250,28 @@ def _rejected(found):
 BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
 
 
-def verdicts(docs, labels, risk=0.02, error=0.05, max_strata=32):
+def verdicts(docs, labels, risk=0.02, error=0.05):
     """One row per row of ``docs`` (doc_id, text, lang): the counts, base_failed and kept.
 
     ``labels`` has doc_id and quality (1 good, 0 bad; null and other values are ignored, repeated labels count once with
     the least). Null and empty texts have no words and fail the base. Too few labels certify nothing and
-    then only the base rejects. Null ids are judged like any other row. Other columns are not read.
+    then only the base rejects, as it does in a language without labels. Null ids are judged like any other row. Other columns are not read.
     """
     measured = staged(_measured(docs), "quality")
-    found = cutoffs(measured, labels, risk, error, max_strata)
-    return measured.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn(
-        "kept", ~F.col("base_failed") & ~_rejected(found)
+    judged = _with_limits(measured, cutoffs(measured, labels, risk, error))
+    judged = judged.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn(
+        "kept", ~F.col("base_failed") & ~_rejected()
     )
+    return judged.drop("stratum", "limits")
 
 
-def keep_good(docs, labels, risk=0.02, error=0.05, max_strata=32):
+def keep_good(docs, labels, risk=0.02, error=0.05):
     """The rows of ``docs`` that the rules keep, all columns unchanged; the text is not shuffled."""
-    found = cutoffs(staged(_measured(docs), "quality"), labels, risk, error, max_strata)
+    found = cutoffs(staged(_measured(docs), "quality"), labels, risk, error)
     judged = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col("lang").cast("string").alias("lang"),
         statistics(F.col("text").cast("string")).alias("q"),
     ).select("row", "lang", "q.*")
-    return judged.where(~F.expr(BASE_FAILED) & ~_rejected(found)).select("row.*")
+    judged = _with_limits(judged.where(~F.expr(BASE_FAILED)), found)
+    return judged.where(~_rejected()).select("row.*")

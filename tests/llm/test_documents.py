@@ -203,6 +203,29 @@ def test_quality_certifies_only_with_enough_labels(spark):
     assert kept.columns == docs.columns and kept.count() == 2400
 
 
+def test_quality_certifies_every_language_by_itself(spark):
+    rng = random.Random(3)
+    rows, labels, want = [], [], {}
+
+    def add(lang, sign, quality, kept):
+        words = ("".join(rng.choice("abcdefgh") for _ in range(5)) + sign for _ in range(25))
+        rows.append((len(rows), " ".join(words), lang))
+        labels.extend([(len(rows) - 1, quality)] if quality is not None else [])
+        want[len(rows) - 1] = kept
+
+    for i in range(2500):
+        add("xx", "!!!" if i % 5 == 0 else "", int(i % 5 != 0), i % 5 != 0)
+        add(None, "###" if i % 5 == 0 else "!!!", int(i % 5 != 0), i % 5 != 0)
+    for i in range(40):
+        add("no labels", "!!!" if i % 2 else "###", None, True)
+        add(f"rare{i}", "###", 1, True)  # more languages than used to have cutoffs of their own
+        add(f"rare{i}", "!!!", 1, True)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    assert {r.doc_id: r.kept for r in quality.verdicts(docs, marks).collect()} == want
+    assert {r.doc_id for r in quality.keep_good(docs, marks).collect()} == {i for i, kept in want.items() if kept}
+
+
 def test_quality_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
     got = quality.verdicts(odd_docs, labels).collect()
