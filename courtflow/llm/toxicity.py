@@ -66,77 +66,77 @@ def _word_sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([" ".join(sorted(set(fold(t or "").split()))) for t in column.to_pylist()], pa.string())
 
 
-def _count_rows(known=None):
+def _count_rows(batches):
     """Documents per word beginning and label, summed per task; ``words`` holds a document's distinct folded words."""
-
-    def run(batches):
-        found = Counter()
-
-        def rows():
-            keys = list(found)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in keys], pa.string()),
-                    pa.array([k[1] for k in keys], pa.int32()),
-                    pa.array([found[k] for k in keys], pa.int64()),
-                ],
-                ["term", "toxic", "n"],
-            )
-
-        for batch in batches:
-            for words, toxic in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                terms = {w[:k] for w in words.split() for k in range(SHORTEST, min(LONGEST, len(w)) + 1)}
-                found.update((t, toxic) for t in (terms if known is None else terms & known))
-                if len(found) > 500_000:
-                    yield rows()
-                    found.clear()
-        yield rows()
-
-    return run
-
-
-def _counted(rows, known=None):
-    counts = rows.select("words", "toxic").mapInArrow(_count_rows(known), "term string, toxic int, n long")
-    return counts.groupBy("term", "toxic").agg(F.sum("n").alias("n"))
-
-
-def _evidence(n, c, base):
-    """Log-likelihood gained by giving a word beginning its own toxic share, n of n + c, over the base share."""
-    out = n * math.log(n / ((n + c) * base))
-    return out + (c * math.log(c / ((n + c) * (1 - base))) if c else 0.0)
+    found = Counter()
+
+    def rows():
+        keys = list(found)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in keys], pa.string()),
+                pa.array([k[1] for k in keys], pa.int32()),
+                pa.array([found[k] for k in keys], pa.int64()),
+            ],
+            ["term", "toxic", "n"],
+        )
+
+    for batch in batches:
+        for words, toxic in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            terms = {w[:k] for w in words.split() for k in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+            found.update((t, toxic) for t in terms)
+            if len(found) > 500_000:
+                yield rows()
+                found.clear()
+    yield rows()
+
+
+def _counted(rows):
+    """term, and how many toxic (n) and clean documents (c) have a word that begins so."""
+    counts = rows.select("words", "toxic").mapInArrow(_count_rows, "term string, toxic int, n long")
+    n, c = (F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias(name) for t, name in ((1, "n"), (0, "c")))
+    return counts.groupBy("term").agg(n, c)
+
+
+#: log-likelihood gained by giving a word beginning its own toxic share, n of n + c, over the base share
+_EVIDENCE = (
+    "if(n > 0, n * ln(n / ((n + c) * {base}D)), 0D) + if(c > 0, c * ln(c / ((n + c) * (1 - {base}D))), 0D)"
+)
 
 
-def learn(rows, share=0.01, weight=3.0, evidence=14.0):
+def learn(rows, weight=3.0, evidence=14.0):
     """Lexicon {word beginning: weight} from ``rows`` (words, toxic), words distinct and folded; weight 0 marks a learned exception.
 
-    Candidates begin a word in at least ``share`` of the toxic documents, so their number is bounded by the length of a
-    document over ``share``, whatever the corpus. All rows are counted. A beginning is taken as long as it can be
-    without losing a twentieth of its toxic documents; longer ones are added where they weigh clearly more.
+    All rows are counted and all beginnings tested, in Spark: what is taken gains ``evidence`` in log-likelihood, however
+    small its part of the toxic documents, and weighs ``weight`` or more. A beginning is taken as long as it can be
+    without losing a twentieth of its toxic documents; longer ones are added where they weigh clearly more. Exceptions
+    are beginnings with as much evidence for clean documents, under an entry. Only what passes reaches the driver.
     """
     sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return {}
-    often = _counted(rows.where("toxic = 1")).where(F.col("n") >= share * n_toxic)
-    toxic = {r.term: r.n for r in often.collect()}
-    clean = {r.term: r.n for r in _counted(rows.where("toxic = 0"), set(toxic)).collect()}
     base = n_toxic / (n_toxic + n_clean)
-    weights, longer = {}, defaultdict(list)
-    for t, n in toxic.items():
-        c = clean.get(t, 0)
-        weights[t] = math.log((n + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
-        if abs(weights[t]) < weight or _evidence(n, c, base) < evidence:
-            weights[t] = min(weights[t], 0.0)
-        longer[t[:-1]].append(t)
+    weighed = F.expr(f"ln((n + 0.5D) / {n_toxic + 1}D) - ln((c + 0.5D) / {n_clean + 1}D)")
+    passed = _counted(rows).withColumn("w", weighed).where(F.expr(_EVIDENCE.format(base=base)) >= evidence)
+    passed = staged(passed.where((F.col("w") >= weight) | (F.col("w") < 0)).select("term", "n", "w"), "beginnings")
+    heavy = passed.where(F.col("w") >= weight)
+    longer = heavy.groupBy(F.expr("left(term, length(term) - 1)").alias("stem")).agg(F.max("n").alias("most"))
+    kept = heavy.join(longer, F.col("term") == F.col("stem"), "left").where("most is null or most < 0.95D * n")
+    kept = staged(kept.select("term", "w"), "entries")
+    light = passed.where(f"w < 0 and length(term) > {SHORTEST}")
+    shorter = F.expr(f"transform(sequence({SHORTEST}, length(term) - 1), k -> left(term, k))")
+    light = light.select("term", "w", F.explode(shorter).alias("stem")).join(kept.select(F.col("term").alias("stem")), "stem")
+    weights = {r.term: r.w for r in kept.union(light.select("term", "w").distinct()).collect()}
     out = {}
     for term in sorted(weights, key=lambda t: (len(t), t)):
         w = weights[term]
         stem = next((out[term[:k]] for k in range(len(term) - 1, SHORTEST - 1, -1) if term[:k] in out), None)
-        if stem is None or w >= stem + 0.7:
-            if w >= weight and not any(toxic[t] >= 0.95 * toxic[term] for t in longer[term]):
-                out[term] = w
-        elif w < 0 < stem and _evidence(toxic[term], clean.get(term, 0), base) >= evidence:
-            out[term] = 0.0
+        if w < 0:
+            if stem:
+                out[term] = 0.0
+        elif stem is None or w >= stem + 0.7:
+            out[term] = w
     return out
 
 

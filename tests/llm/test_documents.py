@@ -256,6 +256,16 @@ def test_op10_held_out(spark, sf):
     assert caught > 0.75 and wrong < 0.01
 
 
+def test_toxicity_learns_rare_insults(spark):
+    rows = [(f"all{i % 50} vile{i % 3} zorgleblat" if i < 9 else f"all{i % 50} vile{i % 3}", 1) for i in range(1000)]
+    rows += [(f"all{i % 50} zebra" + (" vilest" if i % 50 == 0 else " zorro" if i % 2 else ""), 0) for i in range(6000)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "words string, toxic int").repartition(3))
+    heavy = {t for t, w in lexicon.items() if w >= 3}
+    # nine of a thousand toxic documents, of which the longest beginning that has them all stands for each word
+    assert "zorgleblat" in heavy and "vile" in heavy and not any("zebra".startswith(t) for t in heavy)
+    assert lexicon["viles"] == 0 and "vilest" not in lexicon and "zorro" not in lexicon
+
+
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
     assert toxicity.score(odd_docs, labels).count() == odd_docs.count()
