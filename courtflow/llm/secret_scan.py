@@ -1,10 +1,11 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
-A candidate is a run of characters that secrets are made of, long enough and with a digit, or very long. The
+A candidate is a run of characters that secrets are made of, long enough and with a digit, or very long; any value that
+is assigned to a credential name, whatever its length and characters; a key of a known format; the password in a URL. The
 forest sees its length, character classes and transitions (also against the letter pairs of the corpus), how much of it
 dictionary words of the corpus cover, the path it comes from and the words beside it. It is trained from labelled findings;
-where none are given they come from the candidates themselves: assignments to a credential name are secrets,
-addresses, numbers and words are none, the rest is left to the forest. Half of the findings are shown without their
+where none are given they come from the candidates themselves: assignments to a credential name, known formats and
+passwords in URLs are secrets and stay so, addresses, numbers and words are none, the rest is left to the forest. Half of the findings are shown without their
 neighbours, so that the forest also learns what a secret by itself looks like.
 """
 
@@ -35,6 +36,22 @@ _CREDENTIAL = re.compile(
 _ASSIGNED = re.compile(r"[:=]\s*[\"']?$")
 _PLACEHOLDER = re.compile(r"example|sample|dummy|test|your|placeholder|changeme|xxxx")
 _ADDRESS = re.compile(r"[^@]+@[^@]+\.[A-Za-z]{2,}|(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?|[a-z]+://.*|[\d+().:/-]+")
+_VALUE = re.compile(
+    r"(?<![A-Za-z])(?:token|secret|passw(?:or)?d|pwd|api_?key|access_?key|private_?key|key|auth|authorization|bearer|credentials?)"
+    r"[\"']?[ \t]*[:=][ \t]*(?:(?:bearer|basic)[ \t]+)?(?:\"([^\"\n]+)\"|'([^'\n]+)'|(?!//)([^\s\"'<>]+))",
+    re.I,
+)
+#: names to which nothing but secrets are assigned
+_SURE = re.compile(r"(?:secret|passw(?:or)?d|pwd|api_?key|access_?key|private_?key)[\"']?\s*[:=]\s*[\"']$")
+#: fixed values: formats of keys
+_FORMAT = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA|ABIA|ACCA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|"
+    r"glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|"
+    r"npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+)(?![A-Za-z0-9])"
+)
+_USER = re.compile(r"(?i)(?<![a-z0-9+.-])[a-z0-9+.-]+://[^\s/:@\"'<>]*:([^\s/\"'<>]+)@")
+_USER_BEFORE = re.compile(r"(?i)[a-z0-9]://[^\s/:@\"'<>]*:$")
+_PATH_TOKEN = re.compile(r"[/=](?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,}(?:[/=:%]|$)")
 FEATURES = [
     "length",
     "digits",
@@ -153,20 +170,54 @@ def features(value, before, after, path, odds, dictionary):
     ]
 
 
-def _label(value, row):
+def _label(value, row, before, after):
     """1 or 0 where the candidate itself settles it, else None."""
     at = dict(zip(FEATURES, row, strict=True))
+    if not at["placeholder"] and not _PLACEHOLDER.search(value.lower()):
+        if _FORMAT.fullmatch(value) or (after[:1] == "@" and _USER_BEFORE.search(before)):
+            return 1
+        if at["quoted"] and _SURE.search(before.lower()):
+            return 1
     if at["credential"] and at["entropy"] >= 3.0 and at["digits"] > 0 and not at["placeholder"] and at["dictionary"] < 0.5:
         return 1
+    if at["credential"] and at["assigned"]:
+        return None
+    if "://" in value and (_USER.search(value) or _PATH_TOKEN.search(value.partition("://")[2])):
+        return None
     if _ADDRESS.fullmatch(value) or (value.isalpha() and not at["assigned"]) or at["dictionary"] >= 0.5:
         return 0
     return None
 
 
+def _named_spans(text):
+    """Spans that a credential name, a known format or the shape of a URL points out, none inside another."""
+    found = [m.span() for m in _FORMAT.finditer(text)] + [m.span(1) for m in _USER.finditer(text)]
+    for m in _VALUE.finditer(text):
+        low, high = m.span(m.lastindex)
+        if m[3]:
+            high -= len(m[3]) - len(m[3].rstrip(".,;:)]}"))
+            if _USER.search(text, low, high) or "://" in m[3]:
+                continue  # a run or the part of a URL
+        if text[low:high].strip():
+            found.append((low, high))
+    end = -1
+    for low, high in sorted(found, key=lambda x: (x[0], -x[1])):
+        if low >= end:
+            yield low, high
+            end = high
+
+
 def candidates(text):
-    """(start, end) of the candidates of a text, in characters."""
+    """(start, end) of the candidates of a text, in characters; they do not overlap."""
+    named = list(_named_spans(text))
+    yield from named
+    at = 0
     for m in _RUN.finditer(text):
         low, high = m.span()
+        while at < len(named) and named[at][1] <= low:
+            at += 1
+        if at < len(named) and named[at][0] < high:
+            continue
         value = m[0]
         high -= len(value) - len(value.rstrip(_EDGES))
         low += len(value) - len(value.lstrip(_EDGES))
@@ -186,11 +237,11 @@ def _candidate_rows(odds, dictionary):
                 for doc_id, key, path, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     for low, high in candidates(text or ""):
                         value = text[low:high]
-                        row = features(
-                            value, text[max(0, low - _CONTEXT) : low], text[high : high + _CONTEXT], path, odds, dictionary
-                        )
+                        before, after = text[max(0, low - _CONTEXT) : low], text[high : high + _CONTEXT]
+                        row = features(value, before, after, path, odds, dictionary)
                         rows.append(row)
-                        for name, x in zip(out, (doc_id, key, low, high, value, _label(value, row)), strict=True):
+                        label = _label(value, row, text[max(0, low - 10 * _CONTEXT) : low], after)
+                        for name, x in zip(out, (doc_id, key, low, high, value, label), strict=True):
                             out[name].append(x)
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
                 columns = np.array(rows, float).reshape(-1, len(FEATURES)).T
@@ -256,7 +307,9 @@ def scan(docs, labelled=None, threshold=0.5, path="source", share=2e-5, most=20_
         scored = found.withColumn("probability", chance)
     else:
         scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found))
-        scored = scored.drop("label").withColumn("probability", vector_to_array("probability")[1])
+        scored = scored.withColumn("probability", vector_to_array("probability")[1])
+        if labelled is None:
+            scored = scored.withColumn("probability", F.when(F.col("label") == 1, 1.0).otherwise(F.col("probability")))
     return scored.select("doc_id", "key", "start", "end", "value", "probability").withColumn(
         "is_secret", F.col("probability") >= threshold
     )
