@@ -1,7 +1,7 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-A vector is described by its ``nearest`` reference points (pivots) in order. Near vectors see the pivots in nearly the same
-order, so they share some of the first ones. The inverted index has a list per pair of pivots; two vectors are compared
+A vector is described by the set of its ``nearest`` reference points (pivots); their order is not used. Near vectors see the
+pivots in nearly the same order, so they share some of the first ones. The inverted index has a list per pair of pivots; two vectors are compared
 in one list only, that of the two smallest pivots they share, if they share at least ``shared``. What the index brings
 together is verified by the exact cosine in double precision, blockwise inside a task: links are counted there and only a
 spanning forest of them is emitted, never all pairs of a group.
