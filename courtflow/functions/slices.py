@@ -61,6 +61,7 @@ _COMBINE = {
     "last": lambda local, carry: F.coalesce(local, carry),
     "prev": lambda local, carry: F.coalesce(local, carry),
     "prevmax": lambda local, carry: F.greatest(local, carry),
+    "bit_xor": lambda local, carry: F.coalesce(local, F.lit(0)).bitwiseXOR(F.coalesce(carry, F.lit(0))),
 }
 
 
@@ -68,7 +69,7 @@ def running(df, keys, order, specs, unit=("slice",)):
     """Running aggregates per ``keys`` along ``order``, computed slice by slice.
 
     ``specs`` maps an output name to ``(kind, column)``; kinds are count, sum, min,
-    max, last (latest non-null value so far), prev and prevmax (last and max of the rows
+    max, bit_xor, last (latest non-null value so far), prev and prevmax (last and max of the rows
     before).
     ``unit`` names the columns that cut a key into bounded, ordered slices.
     """
