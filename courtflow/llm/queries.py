@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from courtflow.llm import mixing, packing, passages, pivots, quality, secret_scan, simhash, styletree, toxicity, warc
+from courtflow.llm import fim, mixing, packing, passages, pivots, quality, secret_scan, simhash, styletree, toxicity, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -106,3 +106,35 @@ def op3_secret_scan(spark, sf_dir):
     return found.select(
         "doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret"
     )
+
+
+@query
+def op13_fill_in_middle(spark, sf_dir):
+    """Every document cut for filling in its middle, and restored."""
+    made = fim.restore(fim.fill_in_middle(_table(spark, sf_dir, "documents")))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+ORACLES["op13_fill_in_middle"] = """
+with given as (
+  select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as hex from documents
+), drawn as (
+  select *, length(text) as n, ('0x' || substr(hex, 1, 8))::bigint as h1, ('0x' || substr(hex, 9, 8))::bigint as h2,
+    ('0x' || substr(hex, 17, 8))::bigint as h3, ('0x' || substr(hex, 25, 8))::bigint as h4
+  from given
+), cut as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from drawn
+), parts as (
+  select *, substr(text, 1, a) as prefix, substr(text, a + 1, b - a) as middle, substr(text, b + 1) as suffix from cut
+)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars,
+  case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts
+"""
