@@ -3,7 +3,20 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from courtflow.llm import fim, mixing, packing, passages, pivots, quality, secret_scan, simhash, styletree, toxicity, warc
+from courtflow.llm import (
+    fim,
+    mixing,
+    packing,
+    passages,
+    pivots,
+    quality,
+    secret_scan,
+    simhash,
+    styletree,
+    toxicity,
+    trie,
+    warc,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -138,3 +151,49 @@ select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars,
   sha256(text) as restored_sha256
 from parts
 """
+
+
+@query
+def op11_conversation_trie(spark, sf_dir):
+    """Nodes of the prefix trie of the rebuilt conversations, with totals of their subtrees."""
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_conversation_trie"] = """
+with turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first) as pos,
+    {'role': coalesce(role, ''), 'text': coalesce(text, '')} as t
+  from conversations
+), whole as (
+  select conv_id, list(t order by pos) as ts from turns group by conv_id
+), bits as (
+  select *, list_reduce(range(strlen(conv_id::varchar)), lambda c, i: list_reduce(range(8),
+      lambda d, j: ((d::bigint >> 1) ^ (case when d::bigint & 1 = 1 then 3988292384 else 0 end))::bigint,
+      (c::bigint ^ ord(substr(conv_id::varchar, i::int + 1, 1)))::bigint), 4294967295::bigint) as inverted
+  from whole
+), drawn as (
+  select conv_id, ts, ((inverted::bigint ^ 4294967295) % 9)::int as h from bits
+), built as (
+  select c.conv_id, list_concat(list_slice(coalesce(b.ts, []), 1, c.h), list_slice(c.ts, c.h + 1, len(c.ts))) as path
+  from drawn c left join drawn b on b.conv_id = c.conv_id - c.conv_id % 5
+), steps as (
+  select conv_id, len(path) as n, unnest(range(len(path) + 1)) as depth, path from built
+), names as (
+  select conv_id, n, depth, list_slice(path, 1, depth) as node, path[depth] as last from steps
+), nodes as (
+  select node, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(strlen(last.text)) as bytes,
+    string_agg(case when n = depth then conv_id::varchar end, ',' order by conv_id) as ends
+  from names group by node, depth
+), family as (
+  select a.node, count(*) filter (b.depth = a.depth + 1) as n_children,
+    sum(case when b.depth > 0 then (b.n_convs - 1) * b.bytes else 0 end) as saved_tokens,
+    count(*) filter (not exists (select 1 from nodes c where c.depth = b.depth + 1 and list_slice(c.node, 1, b.depth) = b.node))
+      as n_leaves
+  from nodes a join (select *, unnest(range(depth + 1)) as up from nodes) b on a.depth = b.up and a.node = list_slice(b.node, 1, b.up)
+  group by a.node
+)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, f.n_children, f.n_leaves,
+  f.saved_tokens::bigint as saved_tokens, sha256(coalesce(n.ends, '')) as ends_sha256
+from nodes n join family f on f.node = n.node
+left join nodes p on p.depth = n.depth - 1 and p.node = list_slice(n.node, 1, n.depth - 1)
+"""
