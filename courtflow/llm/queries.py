@@ -168,11 +168,11 @@ with turns as (
   select conv_id, list(t order by pos) as ts from turns group by conv_id
 ), bits as (
   select *, list_reduce(range(strlen(conv_id::varchar)), lambda c, i: list_reduce(range(8),
-      lambda d, j: ((d::bigint >> 1) ^ (case when d::bigint & 1 = 1 then 3988292384 else 0 end))::bigint,
-      (c::bigint ^ ord(substr(conv_id::varchar, i::int + 1, 1)))::bigint), 4294967295::bigint) as inverted
+      lambda d, j: xor(d::bigint >> 1, case when d::bigint & 1 = 1 then 3988292384 else 0 end::bigint)::bigint,
+      xor(c::bigint, ord(substr(conv_id::varchar, i::int + 1, 1))::bigint)::bigint), 4294967295::bigint) as inverted
   from whole
 ), drawn as (
-  select conv_id, ts, ((inverted::bigint ^ 4294967295) % 9)::int as h from bits
+  select conv_id, ts, (xor(inverted::bigint, 4294967295) % 9)::int as h from bits
 ), built as (
   select c.conv_id, list_concat(list_slice(coalesce(b.ts, []), 1, c.h), list_slice(c.ts, c.h + 1, len(c.ts))) as path
   from drawn c left join drawn b on b.conv_id = c.conv_id - c.conv_id % 5
