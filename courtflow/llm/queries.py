@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from courtflow.llm import (
     fim,
+    kdshards,
     mixing,
     packing,
     passages,
@@ -121,6 +122,14 @@ def op3_secret_scan(spark, sf_dir):
     )
 
 
+@query
+def op12_kd_shards(spark, sf_dir):
+    """Shard and slot of every document, near equal in bytes."""
+    placed = kdshards.shard(_table(spark, sf_dir, "documents"), shards=8)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
 @query
 def op13_fill_in_middle(spark, sf_dir):
     """Every document cut for filling in its middle, and restored."""
