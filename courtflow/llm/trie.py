@@ -245,7 +245,7 @@ def _across(found, heavy, limit):
     return tops.drop("n_leaves", "saved_tokens").join(full, _ID)
 
 
-def subtree_totals(nodes, paths, fragment=1 << 14, shards=2048, band=4096, limit=100_000):
+def subtree_totals(nodes, paths, fragment=1 << 10, shards=2048, band=4096, limit=100_000):
     """n_children, n_leaves, saved_tokens and the parent's conv_id of each of ``nodes``.
 
     A fragment below holds at most ``fragment`` turns or one of ``shards`` parts of all, whatever is more; so at most
