@@ -9,7 +9,7 @@ ranks are counted in parts, so a length that a third of all pieces have is no si
 """
 
 import os
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from courtflow.session import staged
 WINDOW = 4096
 END = 2
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
-_KNOWN = 400_000
+_KNOWN = 32 << 20  # bytes of units and ids that a worker remembers, roughly
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -72,36 +72,39 @@ def _encoder(tokenizer):
 
     def ids(unit):
         if "<|" in unit or normal is None or split is None:
-            return tuple(tokenizer.encode(unit, add_special_tokens=False).ids)
+            return tokenizer.encode(unit, add_special_tokens=False).ids
         if unit.isascii() and unit.isalpha() and unit.islower():
-            return tuple([t.id for t in model.tokenize(unit)])
+            return [t.id for t in model.tokenize(unit)]
         said = split.pre_tokenize_str(normal.normalize_str(unit))
-        return tuple([t.id for piece, _ in said for t in model.tokenize(piece)])
+        return [t.id for piece, _ in said for t in model.tokenize(piece)]
 
-    return ids
+    return lambda unit: array("I", ids(unit)).tobytes()
 
 
 def _unit_ids(units, ids, known):
-    """Ids of each distinct unit, flat, and their counts. Units seen before are looked up."""
-    found = []
+    """Ids of each distinct unit, flat, and their counts. Units seen before are looked up in ``known``, [bytes held, {unit: ids}]."""
+    found, kept = [], known[1]
     for unit in units:
-        said = known.get(unit)
+        said = kept.get(unit)
         if said is None:
-            if len(known) >= _KNOWN:
-                known.clear()
-            known[unit] = said = ids(unit)
+            said = ids(unit)
+            if known[0] > _KNOWN:
+                known[0] = 0
+                kept.clear()
+            known[0] += 150 + 2 * len(unit) + len(said)
+            kept[unit] = said
         found.append(said)
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    return np.frombuffer(b"".join(found), np.uint32), lengths
 
 
 def _token_rows(path, window):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer, known = Tokenizer.from_file(path), {}
+        tokenizer, known = Tokenizer.from_file(path), [0, {}]
         separable, ids_of = _separable(tokenizer), _encoder(tokenizer)
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            for part in pieces(batch, "text"):
                 units, first = _units(Text(part.column("text")), separable)
                 coded = units.dictionary_encode()
                 flat, lengths = _unit_ids(coded.dictionary.to_pylist(), ids_of, known)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from courtflow.llm.words import IN_WORD, STARTS_CHARACTER, Text, cut, mix, windows
+from courtflow.llm.words import IN_WORD, PIECE, STARTS_CHARACTER, Text, cut, mix, windows
 from courtflow.session import staged
 
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -58,7 +58,7 @@ def _repeated(text):
     return inside[text.first[1:]] - inside[text.first[:-1]]
 
 
-def measure(column, limit=1 << 20):
+def measure(column, limit=PIECE):
     """The fields above for a text column, as an Arrow struct array."""
     parts = {f: [np.empty(0, np.int64)] for f in _FIELDS}
     for part in cut(column, limit):

@@ -16,9 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from courtflow.llm.words import pieces
@@ -98,7 +95,7 @@ def _corpus_rows(batches):
             tokens = pa.array(_WORD.findall(text)).value_counts() if text else []
             for x in tokens:
                 words[x["values"].as_py()] += x["counts"].as_py()
-            if len(words) > 300_000:
+            if len(words) > 100_000:
                 yield rows("word", words)
                 words.clear()
     yield rows("word", words)
@@ -264,6 +261,13 @@ def _sample(findings, most):
     return staged(some.withColumns(hidden).select("label", "h", *FEATURES), "findings")
 
 
+def assemble(rows):
+    """``rows`` with the vector of their features."""
+    from pyspark.ml.feature import VectorAssembler  # here, so that workers don't load it
+
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+
+
 def train(findings, most=20_000, trees=40, depth=8, seed=11):
     """A forest from labelled ``findings`` (label, value, doc_id, start and the features), or None without both labels.
 
@@ -273,7 +277,9 @@ def train(findings, most=20_000, trees=40, depth=8, seed=11):
     if some.select("label").distinct().count() < 2:
         return None
     rows = some.withColumn("label", F.col("label").cast("double")).coalesce(1).sortWithinPartitions("h", *FEATURES)
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("label", "features")
+    rows = assemble(rows).select("label", "features")
+    from pyspark.ml.classification import RandomForestClassifier
+
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=3)
     return forest.fit(rows)
 
@@ -306,7 +312,9 @@ def scan(docs, labelled=None, threshold=0.5, path="source", share=2e-5, most=20_
         chance = F.coalesce(F.col("label"), F.lit(0)).cast("double")
         scored = found.withColumn("probability", chance)
     else:
-        scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found))
+        scored = model.transform(assemble(found))
+        from pyspark.ml.functions import vector_to_array
+
         scored = scored.withColumn("probability", vector_to_array("probability")[1])
         if labelled is None:
             scored = scored.withColumn("probability", F.when(F.col("label") == 1, 1.0).otherwise(F.col("probability")))

@@ -1,7 +1,7 @@
 """Words, word hashes and window hashes of whole Arrow columns of text, in numpy.
 
 A word is a run of bytes other than ASCII white space, taken unchanged. Memory is about 60 bytes per
-byte of text at hand, so callers cut batches with ``pieces`` first.
+byte of text at hand, so callers cut batches with ``pieces`` first, and workers that live on keep little.
 """
 
 import numpy as np
@@ -17,19 +17,22 @@ _DRAWN = np.random.Generator(np.random.PCG64(20240607))
 _TABLES = [_DRAWN.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
 _BASES = [0x9E3779B97F4A7C15, 0xD1342543DE82EF95]
 _powers = {}
+PIECE = 1 << 19  # bytes of text at hand
 
 
 def _power(which, n):
-    """The first n powers of a base and of its inverse modulo 2**64, kept per process."""
+    """The first n powers of a base and of its inverse modulo 2**64; those that a piece needs are kept per process."""
     have = _powers.get(which)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, PIECE)
         out = []
         for base in (_BASES[which], pow(_BASES[which], -1, 2**64)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             out.append(np.multiply.accumulate(steps))
-        _powers[which] = have = tuple(out)
+        have = tuple(out)
+        if size == PIECE:
+            _powers[which] = have
     return have[0][:n], have[1][:n]
 
 
@@ -53,13 +56,13 @@ def _cuts(column, limit):
         at = to
 
 
-def pieces(batch, column, limit=1 << 20):
+def pieces(batch, column, limit=PIECE):
     """Cut a record batch into slices of about ``limit`` bytes of text, one row at least."""
     for at, n in _cuts(batch.column(column), limit):
         yield batch.slice(at, n)
 
 
-def cut(column, limit=1 << 20):
+def cut(column, limit=PIECE):
     """Cut a text column in the same way."""
     for at, n in _cuts(column, limit):
         yield column.slice(at, n)
