@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import center_x, center_y, rounded
 from ..operators import ball, gates, shots, teams, tracks
-from ..streaming import stateful
+from ..streaming import stateful, takeover
 from ..streaming.runner import drain
 from . import ball as ball_plans
 from . import shots as shot_plans
@@ -148,11 +148,16 @@ def stream_cooldown(src):
     return drain(rows, lambda s: stateful.cooldown(s, shots.COOLDOWN), "stream-cooldown", closing=late(rows))
 
 
-@query("stream_reid")
+@query("stream_reid", track_plans.REID)
 def stream_reid(src):
-    rows = src.track_dets.select("game", "frame", "seq", "tid", "x1", "y1", "x2", "y2")
-    build = lambda s: stateful.reid(s, tracks.REID_DIST, tracks.REID_FRAMES)
-    return drain(rows, build, "stream-reid", closing=late(rows))
+    """Take-overs by number and by distance; each track gets a row at the end of its game's video."""
+    dets = src.track_dets
+    last = dets.groupBy("game").agg((F.max("frame") + 1).alias("frame"))
+    ends = dets.select("game", "tid").distinct().join(last, "game")
+    rows = takeover.events(dets, gates.digit_read_gate(src.reads), ends)
+    build = lambda s: takeover.reid(s, tracks.REID_DIST, tracks.REID_FRAMES, teams.CONFIRM_READS)
+    out = drain(rows, build, "stream-reid", closing=late(rows.where("kind = 'd'")))
+    return out.select("game", "tid", "frame", "old_tid")
 
 
 @query(

@@ -68,6 +68,14 @@ LOST = NEXT + [
     ),
 ]
 
+OPEN_LOST = [
+    (
+        "open_lost",
+        """SELECT *, least(expires, lead(lost_frame) OVER (PARTITION BY game, tid ORDER BY lost_frame)) AS until
+           FROM lost""",
+    ),
+]
+
 SUMMARY = """SELECT game, frame, CAST(coalesce(players, 0) AS BIGINT) AS players, CAST(coalesce(numbers, 0) AS BIGINT) AS numbers,
              CAST(coalesce(poses, 0) AS BIGINT) AS poses, coalesce(ball, false) AS ball, frame % 30 = 0 AS progress
            FROM (SELECT d.game, d.frame, count(*) AS players, count(*) FILTER (lock_frame < d.frame) AS numbers
@@ -183,15 +191,7 @@ def lost_registry(src):
               FROM spd d JOIN open_lost l ON d.game = l.game AND d.frame > l.lost_frame AND d.frame <= l.until
               WHERE sqrt((d.cx - l.cx) * (d.cx - l.cx) + (d.cy - l.cy) * (d.cy - l.cy)) < 300) a
             QUALIFY row_number() OVER (PARTITION BY game, tid, old_tid, lost_frame ORDER BY frame) = 1""",
-        SPEED
-        + LOST
-        + [
-            (
-                "open_lost",
-                """SELECT *, least(expires, lead(lost_frame) OVER (PARTITION BY game, tid ORDER BY lost_frame)) AS until
-                   FROM lost""",
-            )
-        ],
+        SPEED + LOST + OPEN_LOST,
     ),
 )
 def reid_candidates(src):
@@ -200,7 +200,48 @@ def reid_candidates(src):
     return rows.select("game", "tid", "old_tid", "lost_frame", "frame", rounded("gap", 6).alias("gap"))
 
 
-@query("reid_match")
+#: contacts in their order; a round accepts those that come first for both their track and their entry
+REID = with_inputs(
+    "track_dets reads",
+    """SELECT game, tid, frame, old_tid FROM rounds WHERE took""",
+    SPEED
+    + LOST
+    + OPEN_LOST
+    + LOCKS
+    + [
+        (
+            "contacts",
+            """SELECT game, tid, old_tid, lost_frame, frame, gap, row_number() OVER (PARTITION BY game
+                 ORDER BY frame, seq, tid, gap, lost_frame, old_tid) AS rk FROM (
+               SELECT * FROM (
+                 SELECT d.game, d.tid, l.tid AS old_tid, l.lost_frame, d.frame, t.seq,
+                   sqrt((d.cx - l.cx) * (d.cx - l.cx) + (d.cy - l.cy) * (d.cy - l.cy)) AS gap
+                 FROM spd d JOIN track_dets t ON t.game = d.game AND t.tid = d.tid AND t.frame = d.frame
+                 JOIN open_lost l ON d.game = l.game AND d.frame > l.lost_frame AND d.frame <= l.until
+                 WHERE sqrt((d.cx - l.cx) * (d.cx - l.cx) + (d.cy - l.cy) * (d.cy - l.cy)) < 300
+                 UNION ALL
+                 SELECT d.game, d.tid, l.tid, l.lost_frame, d.frame, d.seq, -1e0
+                 FROM track_dets d JOIN locks a ON a.game = d.game AND a.tid = d.tid AND d.frame > a.lock_frame
+                 JOIN open_lost l ON d.game = l.game AND d.frame > l.lost_frame AND d.frame <= l.until
+                 JOIN locks b ON b.game = l.game AND b.tid = l.tid AND b.num = a.num AND d.frame > b.lock_frame) u
+               QUALIFY row_number() OVER (PARTITION BY game, tid, old_tid, lost_frame ORDER BY frame, gap) = 1) c""",
+        ),
+        (
+            "rounds",
+            """SELECT game, tid, old_tid, lost_frame, frame, rk, false AS took FROM contacts
+               UNION ALL
+               SELECT game, tid, old_tid, lost_frame, frame, rk, mine AS took FROM (
+                 SELECT *, bool_or(mine) OVER (PARTITION BY game, tid) OR bool_or(mine) OVER (PARTITION BY game, old_tid, lost_frame) AS hit
+                 FROM (SELECT *, rk = min(rk) OVER (PARTITION BY game, tid)
+                         AND rk = min(rk) OVER (PARTITION BY game, old_tid, lost_frame) AS mine
+                       FROM rounds WHERE NOT took) a) b
+               WHERE mine OR NOT hit""",
+        ),
+    ],
+)
+
+
+@query("reid_match", REID)
 def reid_match(src):
     dets = src.track_dets
     matches = tracks.reid_match(dets, tracks.lost_registry(dets), teams.jersey_lock(src.reads))

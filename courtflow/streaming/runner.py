@@ -25,6 +25,14 @@ def frame_of(ts):
     return (F.unix_timestamp(ts) - start).cast("bigint")
 
 
+_START = 1_704_067_200_000  # EPOCH in milliseconds
+
+
+def time_of(frame, mark=None):
+    """Event time of a frame in milliseconds; with ``mark``, the last frame at that time or before."""
+    return _START + 1000 * frame if mark is None else (mark - _START) // 1000
+
+
 def drain(rows, build, name, closing, parts=2, disorder=40, watch=None):
     """Stream ``rows`` in ``parts`` stretches of frames through ``build``; returns the output.
 

@@ -207,42 +207,6 @@ def validate_step(jump):
     return step
 
 
-def reid_step(reach, keep):
-    """Take-over of lost tracks, frame by frame: {track: last place}, lost entries, remap."""
-
-    def step(state, rows):
-        seen, lost, remap = state or [{}, {}, {}]
-        out = []
-        frames = {}
-        for row in rows:
-            frames.setdefault(int(row.frame), []).append(row)
-        for frame, dets in frames.items():
-            for tid in [t for t, place in seen.items() if place[0] < frame - 1]:
-                at, x, y = seen.pop(tid)
-                lost[tid] = [at + 1, x, y]
-            lost = {t: e for t, e in lost.items() if frame - e[0] <= keep}
-            for det in dets:
-                tid = str(int(det.tid))
-                x, y = (det.x1 + det.x2) / 2.0, (det.y1 + det.y2) / 2.0
-                if tid not in remap:
-                    near = [
-                        (gap, e[0], int(t))
-                        for t, e in lost.items()
-                        for gap in [math.sqrt((x - e[1]) * (x - e[1]) + (y - e[2]) * (y - e[2]))]
-                        if gap < reach
-                    ]
-                    if near:
-                        old = min(near)[2]
-                        remap[tid] = old
-                        del lost[str(old)]
-                        out.append((det.game, int(det.tid), frame, old))
-            for det in dets:
-                seen[str(int(det.tid))] = [frame, (det.x1 + det.x2) / 2.0, (det.y1 + det.y2) / 2.0]
-        return [seen, lost, remap], out
-
-    return step
-
-
 # ---- streams ------------------------------------------------------------------------
 
 
@@ -313,9 +277,3 @@ def ball_validate(stream, jump):
     rows = stream.select("game", "frame", "seq", "conf", "cx", "cy", "area", "hoop_top", "hoop_x", "event_time")
     schema = "game bigint, frame bigint, seq bigint, cx double, cy double, conf double"
     return walk(rows, ["game"], validate_step(jump), schema, order=("frame", "seq"))
-
-
-def reid(stream, reach, keep):
-    rows = stream.select("game", "tid", "frame", "seq", "x1", "y1", "x2", "y2", "event_time")
-    schema = "game bigint, tid bigint, frame bigint, old_tid bigint"
-    return walk(rows, ["game"], reid_step(reach, keep), schema, order=("frame", "seq"))

@@ -283,7 +283,8 @@ def test_reid_against_loop(spark, seed):
 
 def test_stream_reid_equals_batch(spark, sf):
     src = Inputs(spark, sf)
-    want = tracks.reid_match(src.track_dets, tracks.lost_registry(src.track_dets)).collect()
+    locks = teams.jersey_lock(src.reads)
+    want = tracks.reid_match(src.track_dets, tracks.lost_registry(src.track_dets), locks).collect()
     got = QUERIES["stream_reid"](spark, sf).select("game", "tid", "frame", "old_tid").collect()
     assert sorted(map(tuple, got)) == sorted(tuple(r)[:4] for r in want) and got
 
