@@ -18,6 +18,8 @@ from pyspark.sql.streaming import StatefulProcessor
 from ..functions import steps
 from ..functions.geometry import FRAME_H, FRAME_W
 from ..functions.slices import halo
+from ..operators import ball
+from .relay import SLICE, relay
 from .runner import frame_of
 
 #: frames without a row after which the state of a key is given up: two hours of 30 frames per second
@@ -94,17 +96,6 @@ def triplet_step(state, rows):
     return last, out
 
 
-def kalman_stream_step(jump):
-    def step(state, rows):
-        state, out = None if state is None else tuple(state), []
-        for row in rows:
-            state = steps.kalman_step(state, int(row.frame), float(row.cx), float(row.cy), jump)
-            out.append((row.game, row.frame, *state[:4]))
-        return state, out
-
-    return step
-
-
 def ghost_step(max_age):
     """Ghosts of one track between its sightings; an end marker closes the last one."""
 
@@ -189,24 +180,6 @@ def fill_step(teleport, most, linear):
     return step
 
 
-def validate_step(jump):
-    def step(state, rows):
-        state, out = steps.NOWHERE if state is None else tuple(state), []
-        frames = {}
-        for row in rows:
-            frames.setdefault(int(row.frame), []).append(row)
-        for frame, cands in frames.items():
-            valid = [c for c in cands if steps.plausible(state, frame, c.cx, c.cy, jump, FRAME_W, FRAME_H)]
-            if valid:
-                best = max(valid, key=lambda c: c.area)
-                top = None if best.hoop_top != best.hoop_top else best.hoop_top
-                state = steps.accept(state, frame, (float(best.cx), float(best.cy), top, best.hoop_x))
-                out += [(c.game, frame, c.seq, c.cx, c.cy, c.conf) for c in valid]
-        return state, out
-
-    return step
-
-
 # ---- streams ------------------------------------------------------------------------
 
 
@@ -235,14 +208,33 @@ def sliding_triplet(stream):
     return walk(rows, ["game", "slice"], triplet_step, "game bigint, frame bigint")
 
 
-def kalman(stream, jump):
+def kalman(stream, jump, size=SLICE):
     """Smoothing of each game's ball; the filter carries on over gaps of any length.
 
-    The state is one position with its speed and spread per game.
+    Walks from far apart starts forget them after some dozen sightings; they count as met within 1e-9.
     """
+
+    def step(state, frame, rows):
+        out = []
+        for row in rows:
+            state = steps.kalman_step(state, frame, float(row.cx), float(row.cy), jump)
+            out.append((row.game, frame, *state[:4]))
+        return state, out
+
+    def starts(_, border):
+        """No sighting yet, or one just before or long ago, at either corner, moving, surely or not."""
+        some = [None]
+        for x, y, v in ((0.0, 0.0, 50.0), (float(FRAME_W), float(FRAME_H), -50.0)):
+            for spread in ((5.0, 1.0, 0.5), (100.0, 0.0, 100.0)):
+                some += [(x, v, y, v, *spread, border - back) for back in (1, 6, 100_000)]
+        return some
+
+    def same(a, b):
+        return (a is None) == (b is None) and (a is None or all(abs(p - q) <= 1e-9 for p, q in zip(a, b)))
+
     rows = stream.select("game", "frame", "cx", "cy", "event_time")
     schema = "game bigint, frame bigint, sx double, svx double, sy double, svy double"
-    return walk(rows, ["game"], kalman_stream_step(jump), schema)
+    return relay(rows, step, lambda: None, starts, schema, same=same, size=size, margin=32)
 
 
 def ghosts(stream, max_age):
@@ -272,8 +264,23 @@ def cooldown(stream, wait):
     return walk(rows, ["game"], cooldown_step(wait), "game bigint, peak_frame bigint, accepted boolean")
 
 
-def ball_validate(stream, jump):
+def ball_validate(stream, jump, size=SLICE):
     """Candidates (see ``operators.ball.court_candidates``) checked in frame order per game."""
-    rows = stream.select("game", "frame", "seq", "conf", "cx", "cy", "area", "hoop_top", "hoop_x", "event_time")
-    schema = "game bigint, frame bigint, seq bigint, cx double, cy double, conf double"
-    return walk(rows, ["game"], validate_step(jump), schema, order=("frame", "seq"))
+
+    def starts(before, border):
+        """Any candidate of the last frames may have been the last one, with any hoop seen until then."""
+        hoops, some = [[None] * 3], [list(steps.NOWHERE)]
+        for frame, rows in before:
+            mine = [[frame, float(r.hoop_top), float(r.hoop_x)] for r in rows if r.hoop_top == r.hoop_top and r.hoop_top is not None]
+            for r in rows:
+                own = [[frame, float(r.hoop_top), float(r.hoop_x)]] if r.hoop_top == r.hoop_top and r.hoop_top is not None else hoops
+                some += [[float(r.cx), float(r.cy), frame, *h] for h in own]
+            hoops = hoops + mine
+        aged = [ball.age_core(s, border) for s in some]
+        return [s for k, s in enumerate(aged) if s not in aged[:k]]
+
+    rows = stream.select(*ball.CANDIDATE, "event_time")
+    return relay(
+        rows, ball.export_step(jump), lambda: list(steps.NOWHERE), starts, ball.VALID, age=ball.age_core,
+        before=steps.HOOP_MEMORY, order=("frame", "seq"), size=size,
+    )

@@ -1,12 +1,14 @@
 """Chained keyed streams against plain loops, fed out of order, and what is left of their state."""
 
 import random
+from collections import namedtuple
 
 import pytest
 from pyspark.sql import functions as F
 
-from courtflow.operators import teams, tracks
-from courtflow.streaming import takeover
+from courtflow.functions import steps
+from courtflow.operators import ball, teams, tracks
+from courtflow.streaming import stateful, takeover
 from courtflow.streaming.runner import drain
 from tests.test_rules import brute_reid
 
@@ -46,3 +48,44 @@ def test_take_over_by_number_and_distance(spark, seed):
     assert sorted(tuple(r)[:4] for r in got.collect()) == want and len(want) > 5
     # when the game is over, only the closing row's own track is left
     assert sum(held[-1]) <= 6 < max(map(sum, held[:-1]))
+
+
+def closing_row(rows, frame=10**6):
+    return rows.orderBy(F.desc("frame")).limit(1).withColumn("frame", F.lit(frame).cast("bigint"))
+
+
+def test_kalman_slices_equal_one_walk_over_a_long_gap(spark):
+    rnd, rows, x, y = random.Random(5), [], 300.0, 300.0
+    frames = [f for f in range(900) if rnd.random() < 0.8] + [f for f in range(300_500, 300_900) if rnd.random() < 0.5]
+    for f in frames:
+        x, y = (rnd.uniform(0, 1280), rnd.uniform(0, 720)) if rnd.random() < 0.02 else (x + rnd.gauss(2, 9), y + rnd.gauss(0, 9))
+        rows.append((0, f, x, y))
+    state, want = None, {}
+    for _, f, cx, cy in rows:
+        state = steps.kalman_step(state, f, cx, cy, 50)
+        want[f] = state[:4]
+    given = spark.createDataFrame(rows, "game bigint, frame bigint, cx double, cy double")
+    got = drain(given, lambda s: stateful.kalman(s, 50, size=128), "stream-filter", closing=closing_row(given))
+    got = {r.frame: r for r in got.collect()}
+    assert set(got) == set(want)
+    assert all(abs(a - b) <= 1e-9 * max(1, abs(b)) for f, w in want.items() for a, b in zip(got[f][2:], w))
+
+
+@pytest.mark.parametrize("hoops", [0.0, 0.3, 1.0])
+def test_validation_slices_equal_one_walk(spark, hoops):
+    rnd, rows = random.Random(int(10 * hoops)), []
+    frames = [f for f in range(500) if rnd.random() < 0.9] + list(range(300_600, 300_700))
+    for f in frames:
+        for seq in range(rnd.randrange(1, 4)):
+            top = (float(rnd.randrange(50, 300)), float(rnd.randrange(0, 1280))) if rnd.random() < hoops else (None, None)
+            rows.append((0, f, seq, 0.5, rnd.uniform(200, 500), rnd.uniform(0, 400), float(rnd.randrange(9)), *top))
+    schema = "game bigint, frame bigint, seq bigint, conf double, cx double, cy double, area double, hoop_top double, hoop_x double"
+    step, state, want = ball.export_step(60), list(steps.NOWHERE), []
+    row = namedtuple("Row", ball.CANDIDATE)
+    for f in frames:
+        state, out = step(state, f, [row(*r) for r in rows if r[1] == f])
+        want += out
+    given = spark.createDataFrame(rows, schema)
+    build = lambda s: stateful.ball_validate(s, 60, size=40)
+    got = drain(given, build, "stream-checks", closing=closing_row(given))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and 0 < len(want) < len(rows)
