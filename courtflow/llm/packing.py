@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from courtflow.llm.words import Text, pieces
+from courtflow.llm.words import Text, pieces, tidy
 from courtflow.session import staged
 
 WINDOW = 4096
@@ -140,7 +140,7 @@ def tokenize(docs, path, window=WINDOW):
     is cut into whole windows and a rest.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_token_rows(path, window), _PIECES)
+    return rows.mapInArrow(tidy(_token_rows(path, window)), _PIECES)
 
 
 def combinations(lengths, window, nearest=4, common=64):
@@ -283,7 +283,7 @@ def pack(rows, window=WINDOW):
     kinds = dict(ranked.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ranked.columns if c != "rank")
     places = _places(plan(histogram, window))
-    return ranked.mapInArrow(_place_rows(places), f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(_place_rows(places)), f"{schema}, sequence_id long, offset long")
 
 
 def padding(packed, window=WINDOW):

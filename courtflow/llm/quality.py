@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from courtflow.llm.words import IN_WORD, PIECE, STARTS_CHARACTER, Text, cut, mix, windows
+from courtflow.llm.words import IN_WORD, PIECE, STARTS_CHARACTER, Text, cut, give_back, mix, windows
 from courtflow.session import staged
 
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -88,6 +88,7 @@ def measure(column, limit=PIECE):
 def _statistics(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in texts:
         yield measure(column)
+    give_back()
 
 
 def statistics(column):

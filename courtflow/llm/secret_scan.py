@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from courtflow.llm.words import pieces
+from courtflow.llm.words import give_back, pieces, tidy
 from courtflow.session import staged
 
 SHORTEST, LONG = 12, 24
@@ -109,7 +109,7 @@ def corpus(docs, share=2e-5):
     Every word that makes up ``share`` of all words or more is in the dictionary, so 1 / ``share`` words at most.
     """
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
-        _corpus_rows, "kind string, key string, n long"
+        tidy(_corpus_rows), "kind string, key string, n long"
     )
     counted = staged(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "corpus")
     pairs = {r.key: r.n for r in counted.where("kind = 'pair'").collect()}
@@ -302,7 +302,7 @@ def scan(docs, labelled=None, threshold=0.5, path="source", share=2e-5, most=20_
     schema = "doc_id long, key long, start long, end long, value string, label int, " + ", ".join(
         f"{f} double" for f in FEATURES
     )
-    found = staged(rows.mapInArrow(_candidate_rows(odds, dictionary), schema), "candidates")
+    found = staged(rows.mapInArrow(tidy(_candidate_rows(odds, dictionary)), schema), "candidates")
     findings = found
     if labelled is not None:
         given = labelled.select("doc_id", "start", F.col("label").cast("int").alias("label"))
@@ -336,6 +336,7 @@ def _replaced(mark):
                     text = text[: span["start"]] + mark + text[span["end"] :]
                 out.append(text)
             yield pa.array(out, pa.string())
+        give_back()
 
     return F.arrow_udf(run, "string")
 

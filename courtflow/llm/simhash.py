@@ -18,7 +18,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from courtflow.llm.components import components
-from courtflow.llm.words import Text, pieces
+from courtflow.llm.words import Text, pieces, tidy
 from courtflow.session import staged
 
 SEED = 42
@@ -70,7 +70,7 @@ def _key():
 def fingerprints(docs, shingle=4):
     """doc_id, key (hash of id and text) and 64-bit fingerprint ``fp`` of each row; texts without words have 0."""
     rows = docs.select(F.col("doc_id").cast("long"), _key().alias("key"), F.col("text").cast("string"))
-    return rows.mapInArrow(_fingerprint_rows(shingle), "doc_id long, key long, fp long")
+    return rows.mapInArrow(tidy(_fingerprint_rows(shingle)), "doc_id long, key long, fp long")
 
 
 def ring(distance):
@@ -216,11 +216,11 @@ def classes(prints, distance=4):
     bits = [bits for _, bits in ring(distance)]
     width = max(x + y for x, y in zip(bits, bits[1:] + bits[:1], strict=True))
     each = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    keyed = each.select("fp").mapInArrow(_key_rows(distance, width), "key long, fp long")
+    keyed = each.select("fp").mapInArrow(tidy(_key_rows(distance, width)), "key long, fp long")
     edges = (
         keyed.repartition("key")
         .sortWithinPartitions("key")
-        .mapInArrow(_edge_rows(distance, width), "a long, b long")
+        .mapInArrow(tidy(_edge_rows(distance, width)), "a long, b long")
     )
     roots = components(edges).select(F.col("node").alias("fp"), "root")
     rooted = each.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -4,6 +4,9 @@ A word is a run of bytes other than ASCII white space, taken unchanged. Memory i
 byte of text at hand, so callers cut batches with ``pieces`` first, and workers that live on keep little.
 """
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,6 +48,28 @@ def mix(h):
     return h ^ (h >> np.uint64(32))
 
 
+def give_back():
+    """Return freed memory to the system, where the C library and Arrow can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not that C library
+
+
+def tidy(rows):
+    """``rows`` from batches to batches for a worker that lives on: when a task ends, freed memory goes back to the system."""
+
+    @functools.wraps(rows)
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def _cuts(column, limit):
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes.astype(np.int64))
