@@ -2,15 +2,18 @@
 
 Texts are folded: case, accents, look-alike letters of other scripts and digits or signs that stand for letters are
 undone, invisible characters dropped, everything else between words becomes a space. Letters that one sign can
-stand for alike share one form (i, l and 1 are all i).
-
-The lexicon holds word beginnings with weights, learned from labelled documents: the logarithm of how much more often a
-toxic document has a word that begins so. An Aho-Corasick automaton finds them in whole texts; in each word the longest
-entry counts. Entries inside an exception phrase, given or learned, do not count. The sum of weights is normalised by
-length, and a logistic curve, fitted on the same training rows, turns it into a score.
+stand for alike share one form (i, l and 1 are all i). A sign such as ! or $ is a letter only inside a word; a word with such signs at its
+border is read without them and with them, and counts as what weighs more.
+
+The lexicon holds word beginnings of three letters or more, whole shorter words, and in scripts without spaces any run of characters,
+with weights learned from labelled documents: the logarithm of how much more often a toxic document has them. An
+Aho-Corasick automaton finds them in whole texts; in each word the longest entry counts. Entries inside an exception
+phrase, given or learned, do not count. The sum of weights is normalised by length, and a logistic curve turns it into a score. The
+curve is fitted on training rows too, but on burdens by lexicons learned without them.
 """
 
 import math
+import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -21,7 +24,9 @@ from pyspark.sql import functions as F
 
 from courtflow.session import staged
 
-SHORTEST, LONGEST = 3, 12
+#: word beginnings go up to LONGEST letters; words of fewer than SHORTEST letters are entries as a whole
+SHORTEST, LONGEST = 3, 32
+UNSPACED_LONGEST = 6
 #: fixed values: look-alikes of Latin letters in Greek and Cyrillic, after lower-casing
 _HOMOGLYPHS = dict(
     zip(
@@ -33,6 +38,10 @@ _HOMOGLYPHS = dict(
 #: fixed values: signs and digits that stand for letters
 _SIGNS = dict(zip("01345789@$!|€£¡ıł", "oieastbgasiielil" + "i", strict=True))
 _SAME = {"l": "i", "j": "i"}
+#: fixed values: those of them that are punctuation at the border of a word
+_BORDER = "@$!|€£¡"
+#: fixed values: scripts written without spaces (Thai, Lao, Burmese, Khmer, kana and Han)
+_UNSPACED = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U000323af]")
 _GONE, _SPACE = 0, 32
 _TABLE = []
 
@@ -50,8 +59,24 @@ def _fold_one(code):
     return ord(c) if unicodedata.category(c)[0] == "L" else _SPACE
 
 
+_EDGED = re.compile(rf"(?<![^\W_])[{_BORDER}]+(?=[^\W_])|(?<=[^\W_])[{_BORDER}]+(?![^\W_{_BORDER}])")
+_EDGED_WORD = re.compile(rf"(?<![^\W_{_BORDER}])[{_BORDER}]*[^\W_](?:[^\W_]|[{_BORDER}])*")
+
+
 def fold(text):
-    """Letters and single-character spaces only; starts and ends with a space."""
+    """Letters and spaces only; starts and ends with a space. Signs at the border of a word are none of its letters."""
+    return _folded(_EDGED.sub(" ", text))
+
+
+def edged(text):
+    """Words with signs at their border, as (folded without them, folded with them)."""
+    for m in _EDGED_WORD.finditer(text):
+        word = m[0]
+        if word[0] in _BORDER or word[-1] in _BORDER:
+            yield _folded(word.strip(_BORDER)).strip(), _folded(word).strip()
+
+
+def _folded(text):
     if not _TABLE:
         table = np.arange(0x110000, dtype=np.uint32)
         for low, high in ((0, 0x3400), (0xFB00, 0xFFFE), (0x1D400, 0x1D800), (0xE0000, 0xE0200)):
@@ -63,7 +88,19 @@ def fold(text):
 
 def _word_sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in texts:
-        yield pa.array([" ".join(sorted(set(fold(t or "").split()))) for t in column.to_pylist()], pa.string())
+        yield pa.array([" ".join(sorted(_words(t or ""))) for t in column.to_pylist()], pa.string())
+
+
+def _words(text):
+    return set(fold(text).split()) | {w for _, with_signs in edged(text) for w in with_signs.split()}
+
+
+def terms(word):
+    """What an entry can be in a word: beginnings, a short word with a space behind it, runs of unspaced characters."""
+    out = [word + " "] if len(word) < SHORTEST else [word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1)]
+    for m in _UNSPACED.finditer(word):
+        out += [word[m.start() : m.start() + k] for k in range(1, min(UNSPACED_LONGEST, len(word) - m.start()) + 1)]
+    return out
 
 
 def _count_rows(batches):
@@ -83,8 +120,7 @@ def _count_rows(batches):
 
     for batch in batches:
         for words, toxic in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            terms = {w[:k] for w in words.split() for k in range(SHORTEST, min(LONGEST, len(w)) + 1)}
-            found.update((t, toxic) for t in terms)
+            found.update((t, toxic) for t in {t for w in words.split() for t in terms(w)})
             if len(found) > 500_000:
                 yield rows()
                 found.clear()
@@ -124,14 +160,14 @@ def learn(rows, weight=3.0, evidence=14.0):
     longer = heavy.groupBy(F.expr("left(term, length(term) - 1)").alias("stem")).agg(F.max("n").alias("most"))
     kept = heavy.join(longer, F.col("term") == F.col("stem"), "left").where("most is null or most < 0.95D * n")
     kept = staged(kept.select("term", "w"), "entries")
-    light = passed.where(f"w < 0 and length(term) > {SHORTEST}")
-    shorter = F.expr(f"transform(sequence({SHORTEST}, length(term) - 1), k -> left(term, k))")
+    light = passed.where("w < 0 and length(term) > 1")
+    shorter = F.expr("transform(sequence(1, length(term) - 1), k -> left(term, k))")
     light = light.select("term", "w", F.explode(shorter).alias("stem")).join(kept.select(F.col("term").alias("stem")), "stem")
     weights = {r.term: r.w for r in kept.union(light.select("term", "w").distinct()).collect()}
     out = {}
     for term in sorted(weights, key=lambda t: (len(t), t)):
         w = weights[term]
-        stem = next((out[term[:k]] for k in range(len(term) - 1, SHORTEST - 1, -1) if term[:k] in out), None)
+        stem = next((out[term[:k]] for k in range(len(term) - 1, 0, -1) if term[:k] in out), None)
         if w < 0:
             if stem:
                 out[term] = 0.0
@@ -145,43 +181,67 @@ def _automaton(lexicon, phrases):
 
     found = ahocorasick.Automaton()
     for term, w in lexicon.items():
-        found.add_word(" " + term, (len(term), w))
+        if _UNSPACED.match(term):
+            found.add_word(term, (len(term) - 1, w))
+        else:
+            found.add_word(" " + term, (len(term), w))
     for phrase in phrases:
         folded = " ".join(fold(phrase).split())
         if folded:
-            found.add_word(f" {folded} ", (len(folded), None))
+            found.add_word(f" {folded} ", (len(folded) + 1, None))
     if len(found):
         found.make_automaton()
         return found
     return None
 
 
-def burden(text, automaton):
-    """Sum of the weights in a text, normalised by the logarithm of its length in words."""
-    folded = " ".join(("", *fold(text or "").split(), ""))
-    if automaton is None or len(folded) < 2:
-        return 0.0
+def _weight(folded, automaton):
+    """Sum of the weights of the entries in folded words with a space before, between and after them."""
     best, spared = {}, []
     for end, (length, w) in automaton.iter(folded):
         if w is None:
             spared.append((end - length, end))
         else:
-            best[end - length + 1] = w  # a longer entry of the same word comes later
+            best[end - length] = (end, w)  # a longer entry of the same place comes later
     for low, high in spared:
         for at in [at for at in best if low <= at < high]:
             del best[at]
-    return sum(best.values()) / math.log2(folded.count(" ") + 1)
-
-
-def burdens(column, lexicon, phrases):
-    """``burden`` of a text column."""
-
-    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        automaton = _automaton(lexicon, phrases)
-        for column in texts:
-            yield pa.array([burden(t, automaton) for t in column.to_pylist()], pa.float64())
-
-    return F.arrow_udf(run, "double")(column)
+    total, upto = 0.0, -1
+    for at in sorted(best):
+        if at >= upto:  # entries of scripts without spaces may overlap: the first counts
+            total += best[at][1]
+            upto = best[at][0]
+    return total
+
+
+def burden(text, *automata):
+    """Sum of the weights in a text, normalised by the logarithm of its length in words; a list of them for several automata."""
+    words = fold(text or "").split()
+    line, signs = f" {' '.join(words)} ", list(edged(text or ""))
+    out = []
+    for automaton in automata:
+        total = _weight(line, automaton) if automaton is not None and words else 0.0
+        if automaton is not None:
+            for without, whole in signs:
+                total += max(0.0, _weight(f" {whole} ", automaton) - _weight(f" {without} ", automaton))
+        out.append(total / math.log2(len(words) + 2))
+    return out[0] if len(out) == 1 else out
+
+
+def burdens(text, fold_of, lexicon, parts, phrases):
+    """burden of a text column by ``lexicon``, and unseen, that by the lexicon among ``parts`` that ``fold_of`` names."""
+
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        whole, automata = _automaton(lexicon, phrases), [_automaton(part, phrases) for part in parts]
+        for texts, folds in columns:
+            found = [
+                (burden(t, whole), None) if k is None else burden(t, whole, automata[k])
+                for t, k in zip(texts.to_pylist(), folds.to_pylist(), strict=True)
+            ]
+            columns = [pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)]
+            yield pa.StructArray.from_arrays(columns, ["burden", "unseen"])
+
+    return F.arrow_udf(run, "struct<burden:double,unseen:double>")(text, fold_of)
 
 
 _BINS = 200  # of a burden's logarithm, to the fortieth
@@ -211,7 +271,7 @@ def calibrate(counts):
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "idiot proof", "pond scum")
 
 
-def score(docs, labels, phrases=EXCEPTIONS):
+def score(docs, labels, phrases=EXCEPTIONS, folds=2):
     """doc_id, held_out, score and predicted for each row of ``docs`` (doc_id, text).
 
     ``labels`` has doc_id and toxic (1 or 0; other values are ignored, repeated labels count once with the greatest).
@@ -228,9 +288,13 @@ def score(docs, labels, phrases=EXCEPTIONS):
     marks = marks.agg(F.max("toxic").cast("int").alias("toxic")).where("doc_id is not null")
     # one shuffle of the distinct words, none of the texts; the same join at every size
     words = rows.where("not held_out").select("doc_id", F.arrow_udf(_word_sets, "string")("text").alias("words"))
-    lexicon = learn(staged(words.join(marks.hint("merge"), "doc_id").select("words", "toxic"), "words"))
-    found = staged(rows.select("doc_id", "held_out", burdens(F.col("text"), lexicon, phrases).alias("burden")), "burdens")
-    at = F.least(F.round(F.log1p("burden") * 40).cast("int"), F.lit(_BINS)).alias("bin")
+    fold_of = F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int")
+    known = staged(words.join(marks.hint("merge"), "doc_id").select("words", "toxic", fold_of.alias("fold")), "words")
+    lexicon = learn(known)
+    parts = [learn(known.where(F.col("fold") != k)) for k in range(folds)]  # what the other folds teach
+    both = burdens(F.col("text"), F.when(~F.col("held_out"), fold_of), lexicon, parts, phrases)
+    found = staged(rows.select("doc_id", "held_out", both.alias("b")).select("doc_id", "held_out", "b.*"), "burdens")
+    at = F.least(F.round(F.log1p("unseen") * 40).cast("int"), F.lit(_BINS)).alias("bin")
     binned = found.where("not held_out").join(marks, "doc_id").select("toxic", at).groupBy("bin", "toxic").count()
     counts = {(r.bin, r.toxic): r["count"] for r in binned.collect()}
     a, b = calibrate(counts) if counts else (-1.0, 0.0)
