@@ -3,9 +3,12 @@
 The DOMs of a host are merged: a node of the style tree is a path of tags with their classes and ids. Its
 presentation importance is the entropy of the child sequences that pages show under it, its content
 importance the entropy of what pages have in it, both to the base of the number of pages that show the node. A branch
-that looks and reads the same on page after page has little of either and is removed from each page. What tags, roles
-and class names say outright (menus, footers, forms, adverts, comments ...) is removed as well, which is all that there
-is to go by on hosts with few pages. Where a page marks its article, only that is kept.
+that looks and reads the same on page after page has little of either and is removed from each page, whatever it is called. What differs from page to page and is no main text all the same (adverts, comments) no entropy tells, and on hosts with few
+pages there is none to go by; there tags, roles and class names decide. A name does not count against the
+body, the main part or the article of a page, nor against an element that is called or holds its main part and has most of its
+text. Where a page marks its article and that is most of what is left, only that is kept.
+
+Pages are scanned once from left to right, whatever quotes and tags are left open, and walked without recursion.
 """
 
 import hashlib
@@ -16,11 +19,8 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 
 #: fixed values: elements by their part in HTML
@@ -57,8 +57,11 @@ _NEVER_NAMES = set(
     "navigation breadcrumb breadcrumbs sidebar aside footer masthead topbar cookie cookies consent gdpr notice notices "
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended recommendations comment comments disqus reply replies respond toolbar pagination pager search skip "
-    "widget widgets".split()
+    "teaser teasers widget widgets".split()
 )
+#: words in a class name that say what an element has, not what it is
+_MODIFIERS = set("has have no not non with without to for is in on under near".split())
+_MAIN_NAMES = set("main content article post story entry text body".split())
 _TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "article", "main", "body", "html", "blockquote", "pre"}
 _SPACES = re.compile(r"[\W_]+")
 
@@ -66,77 +69,130 @@ _SPACES = re.compile(r"[\W_]+")
 class _Node:
     """``path`` is a running hash of the keys from the root on, so that its length does not grow with the depth."""
 
-    __slots__ = ("tag", "key", "path", "never", "main", "inside", "parts", "shape")
+    __slots__ = ("tag", "path", "above", "ruled", "never", "named", "called", "main", "inside", "parts", "shape")
+
+    def __init__(self, tag, path, above, never, named, called, main, inside):
+        self.tag, self.path, self.above, self.ruled, self.named, self.called = tag, path, above, never, named, called
+        self.never = never  # by tag, role or style as ``ruled`` says, or later by name
+        self.main, self.inside, self.parts, self.shape = main, inside, [], []
 
-    def __init__(self, tag, key, path, never, main, inside):
-        self.tag, self.key, self.path, self.never, self.main, self.inside = tag, key, path, never, main, inside
-        self.parts, self.shape = [], []
+
+def _tag_end(page, at):
+    """Where the tag whose name ends at ``at`` closes, past quoted values; -1 where a quote is left open."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        if page[at : m.start()].rstrip().endswith("="):
+            at = page.find(m[0], m.end()) + 1
+            if not at:
+                return -1
+        else:
+            at = m.end()
+    return -1
+
+
+def _tokens(page):
+    """Texts (str) and tags (place behind it, whether it closes, name, attributes) of a page; comments are left out.
+
+    A generator: a place sent to it is where it goes on. Once a quote is left open, tags end at the first >.
+    """
+    at, end, quotes = 0, len(page), True
+    while at < end:
+        low = page.find("<", at)
+        if low < 0:
+            yield page[at:]
+            return
+        if low > at:
+            yield page[at:low]
+        at = low
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            at = close + 3 if close >= 0 else end
+            continue
+        m = _TAG.match(page, at)
+        if m is None and page[at + 1 : at + 2] not in ("!", "?"):
+            yield "<"
+            at += 1
+            continue
+        close = _tag_end(page, m.end()) if m and quotes else -1
+        if close < 0:
+            close = page.find(">", at)
+            quotes = quotes and m is None
+        if close < 0:  # nothing behind here is a tag
+            yield page[at:]
+            return
+        at = close + 1
+        if m:
+            at = (yield at, bool(m[1]), m[2].lower(), page[m.end() : close]) or at
 
 
 def _attributes(text):
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)} if text.strip() else {}
 
 
-def _named(tag, attrs, inside):
-    """Key of an element, whether it is no main text by its own word, and whether it marks the main text."""
-    names = " ".join((attrs.get("class", ""), attrs.get("id", ""))).lower()
+def _said_of(tag, attrs, inside):
+    """Key of an element; whether it is no main text by tag, role or style, or by a name; whether a name or a mark calls it main."""
+    names = " ".join((attrs.get("class", ""), attrs.get("id", ""))).lower().split()
     key = tag + "".join("." + x for x in sorted(set(attrs.get("class", "").lower().split())))
     role = attrs.get("role", "").lower()
-    said = set(_SPACES.split(names))
-    never = (
+    never = tag not in ("html", "body") and (
         tag in _NEVER
         or role in _NEVER_ROLES
-        or bool(said & _NEVER_NAMES)
-        or (not inside and (tag == "header" or "header" in said))
+        or (not inside and tag == "header")
         or "hidden" in attrs
         or attrs.get("aria-hidden") == "true"
         or "display:none" in attrs.get("style", "").replace(" ", "").lower()
     )
+    named = False
+    for name in names if tag not in ("html", "body", "main") and role != "main" else ():
+        words = set(_SPACES.split(name))
+        if words & _MODIFIERS:
+            continue
+        against = _NEVER_NAMES if inside else _NEVER_NAMES | {"header"}
+        named = named or (name in against if tag == "article" else bool(words & against))
     main = tag in ("article", "main") or role in ("article", "main") or attrs.get("itemprop", "") == "articleBody"
-    return key, never, main and not never
+    return key, never, named, not _MAIN_NAMES.isdisjoint(names), main and not never and not named
 
 
 def parse(page):
     """The nodes of a page in order, the root first. ``parts`` holds text (str) and child nodes."""
-    root = _Node("", "", "", False, False, False)
-    nodes, stack, at = [root], [root], 0
+    root = _Node("", "", None, False, False, False, False, False)
+    nodes, stack = [root], [root]
     opened = Counter()
-    end = len(page)
 
     def leave():
         gone = stack.pop().tag
         opened[gone] -= 1
         return gone
 
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            stack[-1].parts.append(page[at:])
+    tokens, goto = _tokens(page), None
+    while True:
+        try:
+            token, goto = tokens.send(goto), None
+        except StopIteration:
             break
-        if m.start() > at:
-            stack[-1].parts.append(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+        if isinstance(token, str):
+            stack[-1].parts.append(token)
             continue
-        tag = tag.lower()
-        if m["close"]:
+        at, closes, tag, said = token
+        if closes:
             if opened[tag]:
                 while leave() != tag:
                     pass
             continue
         if tag in _RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+            goto = close.end() if close else len(page)
             continue
         if tag in _BREAK:
             stack[-1].parts.append(" ")
         # inline elements are part of the text around them, but for those that hold none of the main text
-        if tag in _VOID or tag in _INLINE and not stack[-1].never and not m["attrs"].strip():
+        nested = stack[-1].never or (stack[-1].named and stack[-1].tag in _INLINE)
+        if tag in _VOID or tag in _INLINE and not nested and not said.strip():
             continue
-        attrs = _attributes(m["attrs"])
-        key, never, main = _named(tag, attrs, stack[-1].inside)
-        if tag in _INLINE and not never and not stack[-1].never:
+        attrs = _attributes(said)
+        key, never, named, called, main = _said_of(tag, attrs, stack[-1].inside)
+        if tag in _INLINE and not never and not named and not nested:
             continue
         if tag in _CLOSES_P and stack[-1].tag == "p":
             leave()
@@ -150,16 +206,35 @@ def parse(page):
                 if stack[i].tag in _SCOPES:
                     break
         above = stack[-1]
-        node = _Node(tag, key, _path(above.path, key), never or above.never, main, above.inside or main)
+        node = _Node(tag, _path(above.path, key), above, never or above.never, named, called, main, above.inside or main)
         above.parts.append(node)
         above.shape.append(key)
         nodes.append(node)
-        if not m["attrs"].rstrip().endswith("/"):
+        if not said.rstrip().endswith("/"):
             stack.append(node)
             opened[tag] += 1
+    _judge_names(nodes)
     return nodes
 
 
+def _judge_names(nodes):
+    """Let names count: a named element is no main text, unless it is called or holds the main part and has most of the text."""
+    if not any(node.named for node in nodes):
+        return
+    size, marked = {}, set()
+    for node in reversed(nodes):  # children come after their parents
+        own = sum(len(p.strip()) if isinstance(p, str) else size[id(p)] for p in node.parts)
+        size[id(node)] = 0 if node.never else own
+        if node.main and not node.never:
+            marked.add(id(node))
+        if id(node) in marked and node.above is not None:
+            marked.add(id(node.above))
+    half = size[id(nodes[0])] / 2
+    for node in nodes[1:]:
+        spared = size[id(node)] > half and (node.called or id(node) in marked)
+        node.never = node.never or node.above.never or (node.named and not spared)
+
+
 def _path(above, key):
     return hashlib.blake2b(f"{above}/{key}".encode("utf-8", "replace"), digest_size=16).hexdigest()
 
@@ -207,8 +282,10 @@ def extract(page, low=frozenset()):
 
     def text(keep):
         out = _blocks(nodes[0], keep)
-        marked = any(n.main for n in nodes)
-        return "\n".join(t for t, main in out if main or not marked)
+        marked = [t for t, main in out if main]
+        if 2 * sum(map(len, marked)) >= sum(len(t) for t, _ in out):
+            return "\n".join(marked)
+        return "\n".join(t for t, _ in out)
 
     said = text(lambda n: not n.never and n.path not in low)
     return said if said or not low else text(lambda n: not n.never)
@@ -232,7 +309,7 @@ def _content_hashes(nodes):
     """Hash of the blocks under each node; each piece of text is read once, however deep it lies."""
     out = {}
     for node in reversed(nodes):  # children come after their parents
-        if node.never:
+        if node.ruled:
             continue
         whole, pieces = _NOTHING, []
 
@@ -243,23 +320,23 @@ def _content_hashes(nodes):
         for part in node.parts:
             if isinstance(part, str):
                 pieces.append(part)
-            elif part.tag in _INLINE and part.never:
+            elif part.tag in _INLINE and part.ruled:
                 pieces.append(" ")
             else:
                 whole = flush(whole)
-                if not part.never:
+                if not part.ruled:
                     whole = _then(whole, out[id(part)])
         out[id(node)] = flush(whole)
     return out
 
 
 def branches(page):
-    """(path, digest of its shapes, digest of its content) for each path of a page that its own words don't rule out."""
+    """(path, digest of its shapes, digest of its content) for each path of a page that tags, roles and styles don't rule out."""
     nodes = parse(page)
     hashes = _content_hashes(nodes)
     shapes, contents = {}, {}
     for node in nodes:
-        if node.never or not node.path or node.tag in _TEXTUAL:
+        if node.ruled or not node.path or node.tag in _TEXTUAL:
             continue
         shapes.setdefault(node.path, []).append(",".join(node.shape))
         contents[node.path] = _then(contents.get(node.path, _NOTHING), hashes[id(node)])

@@ -2,7 +2,11 @@
 
 import gzip
 import html
+import math
+import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -86,12 +90,34 @@ def test_op7_all_pages(spark, sf):
         ("<p>cut <a href='x", "cut <a href='x"),
         ("<p>a<span class=ad>b<span>c</span>d</span>e", "a e"),
         ("<!-- open comment <p>x", ""),
+        ('<body class="has-sidebar"><article><p>one</p></article></body>', "one"),
+        ('<body class="no-sidebar"><p>one</p></body>', "one"),
+        ('<main class="with-sidebar"><p>one</p></main>', "one"),
+        ('<article class="post related-to-x"><p>one</p></article>', "one"),
+        ('<div id="main" class="search results"><p>one</p></div><div class="search">no</div>', "one"),
+        ('<div class="post">main story</div><article class="teaser">more</article>', "main story"),
+        ('<div class="page sidebar-layout"><main>a b c</main></div><div class="comments">no</div>', "a b c"),
+        ('<article>s</article><div class="comments">long long long</div>', "s"),
+        ('<p class="x>one', "one"),
+        ("<p title=it's>don't</p>x", "don't\nx"),
+        ("<p>a < b and <3", "a < b and <3"),
     ],
 )
 def test_extract(page, text):
     assert styletree.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "part", ['<p title="', "<a ", "<p title='x", "<!", "<!--", '<div class="a', "<script ", '<p a="x>y</p>', "</", "a='<b c=\"", "<"]
+)
+def test_a_megabyte_of_what_is_left_open(part):
+    page = part * (1_000_000 // len(part)) + "<p>x"
+    start = time.perf_counter()
+    styletree.extract(page)
+    styletree.branches(page)
+    assert time.perf_counter() - start < 20
+
+
 @pytest.mark.parametrize("depth", [190, 250, 30_000])
 def test_extract_below_a_deep_nest(depth):
     nest = "<div>" * depth
@@ -109,6 +135,35 @@ def test_branches_read_alike_for_alike_blocks():
     assert one[top] == two[top] != three[top]
 
 
+def test_importance_against_plain_counts(spark):
+    rng = random.Random(2)
+    rows = [(h, p, rng.randrange(3) if p else 0, rng.randrange(9)) for h in "ab" for p in range(4) for _ in range(rng.randrange(1, 30))]
+    given = spark.createDataFrame([(h, str(p), s, c) for h, p, s, c in rows], "host string, path string, shape long, content long")
+    got = {(r.host, r.path): r.importance for r in styletree.importance(given).collect()}
+
+    def entropy(values):
+        n = len(values)
+        return -sum(k / n * math.log(k / n, n) for k in Counter(values).values()) if n > 1 else 1.0
+
+    for h, p in {r[:2] for r in rows}:
+        shapes, contents = ([r[k] for r in rows if r[:2] == (h, p)] for k in (2, 3))
+        part = 0.9 ** len(set(shapes))
+        assert got[h, str(p)] == pytest.approx((1 - part) * entropy(shapes) + part * entropy(contents))
+
+
+def test_the_tree_decides_where_names_say_nothing(spark):
+    def page(host, i):
+        same = "".join(f"<div class=x{k}>{host} block {k}<a href=/{k}>go {k}</a></div>" for k in range(4))
+        return f"<body>{same}<div class=y><p>story {i} of {host}</p><p>more {i * i}</p></div><div class=z>the end of {host}</div></body>"
+
+    rows = [(100 * h + i, f"http://host{h}/{i}", page(f"host{h}", i)) for h in range(3) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in styletree.main_text(pages).collect()}
+    assert all(got[100 * h + i] == f"story {i} of host{h}\nmore {i * i}" for h in range(3) for i in range(20))
+    without = {i: styletree.extract(html) for i, _, html in rows}
+    assert all("the end of" in without[i] != got[i] for i in got)
+
+
 def test_style_tree_removes_what_a_host_repeats(spark):
     rows = [
         (i, f"https://u@Host.example:80/{i}", f"<div class=strap>Daily news<br>for all</div><div class=text>story {i} of many</div>")
