@@ -17,6 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from courtflow.llm.batches import staged_texts
 from courtflow.llm.words import Text, pieces, tidy
 from courtflow.session import staged
 
@@ -269,7 +270,7 @@ def pack(rows, window=WINDOW):
     Lengths lie between 1 and the window. Sequences are numbered from 0 and their pieces leave no gap. The pieces are written
     once in the shared folder. An empty table stays empty.
     """
-    rows = staged(rows, "pieces")
+    rows = staged_texts(rows, "pieces")
     spark = rows.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("deal", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)).cast("int"))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from courtflow.llm.batches import staged_texts
 from courtflow.llm.words import IN_WORD, PIECE, STARTS_CHARACTER, Text, cut, give_back, mix, windows
 from courtflow.session import staged
 
@@ -258,7 +259,7 @@ def verdicts(docs, labels, risk=0.02, error=0.05):
     the least). Null and empty texts have no words and fail the base. Too few labels certify nothing and
     then only the base rejects, as it does in a language without labels. Null ids are judged like any other row. Other columns are not read.
     """
-    measured = staged(_measured(docs), "quality")
+    measured = staged_texts(_measured(docs), "quality")
     judged = _with_limits(measured, cutoffs(measured, labels, risk, error))
     judged = judged.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn(
         "kept", ~F.col("base_failed") & ~_rejected()
@@ -268,7 +269,7 @@ def verdicts(docs, labels, risk=0.02, error=0.05):
 
 def keep_good(docs, labels, risk=0.02, error=0.05):
     """The rows of ``docs`` that the rules keep, all columns unchanged; the text is not shuffled."""
-    found = cutoffs(staged(_measured(docs), "quality"), labels, risk, error)
+    found = cutoffs(staged_texts(_measured(docs), "quality"), labels, risk, error)
     judged = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col("lang").cast("string").alias("lang"),

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from courtflow.llm.batches import staged_texts
 from courtflow.llm.words import give_back, pieces, tidy
 from courtflow.session import staged
 
@@ -111,7 +112,7 @@ def corpus(docs, share=2e-5):
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
         tidy(_corpus_rows), "kind string, key string, n long"
     )
-    counted = staged(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "corpus")
+    counted = staged_texts(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "corpus")
     pairs = {r.key: r.n for r in counted.where("kind = 'pair'").collect()}
     words = counted.where("kind = 'word'")
     least = share * (words.agg(F.sum("n")).first()[0] or 0)
@@ -302,7 +303,7 @@ def scan(docs, labelled=None, threshold=0.5, path="source", share=2e-5, most=20_
     schema = "doc_id long, key long, start long, end long, value string, label int, " + ", ".join(
         f"{f} double" for f in FEATURES
     )
-    found = staged(rows.mapInArrow(tidy(_candidate_rows(odds, dictionary)), schema), "candidates")
+    found = staged_texts(rows.mapInArrow(tidy(_candidate_rows(odds, dictionary)), schema), "candidates")
     findings = found
     if labelled is not None:
         given = labelled.select("doc_id", "start", F.col("label").cast("int").alias("label"))
@@ -348,7 +349,10 @@ def redact(docs, mark="<SECRET>", **options):
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _key().alias("key"))
     said = F.col("row").getField("text").cast("string")
-    text = F.when(F.col("spans").isNull(), said).otherwise(_replaced(mark)(said, F.col("spans")))
-    rows = rows.join(spans, "key", "left").select("row", text.alias("text"))
+    rows = rows.join(spans, "key", "left")
+    # only texts with secrets go through Python
+    text = _replaced(mark)(F.when(F.col("spans").isNotNull(), said), F.coalesce("spans", F.array()))
+    text = F.when(F.col("spans").isNull(), said).otherwise(text)
+    rows = rows.select("row", text.alias("text"))
     changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in names])

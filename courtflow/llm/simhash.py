@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from courtflow.llm.batches import staged_texts
 from courtflow.llm.components import components
 from courtflow.llm.words import Text, pieces, tidy
 from courtflow.session import staged
@@ -236,13 +237,13 @@ def near_duplicates(docs, shingle=4, distance=4):
     have fingerprint 0 and link like any other. Null ids join their class but never name it (a class of null ids
     only has a null component_id). Rows that repeat an id are classed each. Other columns are not read.
     """
-    prints = staged(fingerprints(docs, shingle), "fingerprints")
+    prints = staged_texts(fingerprints(docs, shingle), "fingerprints")
     return prints.join(classes(prints, distance), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs, shingle=4, distance=4):
     """One row of ``docs`` for each class: the one with the smallest doc_id (null last), all columns unchanged."""
-    prints = staged(fingerprints(docs, shingle), "fingerprints")
+    prints = staged_texts(fingerprints(docs, shingle), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")
     chosen = prints.join(classes(prints, distance), "fp").groupBy("root").agg(first).select("first.key").distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key().alias("key"))
