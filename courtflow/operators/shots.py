@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import d, distance, rounded
-from ..functions.slices import halo, numbered, own, row_blocks, running, slice_of
+from ..functions.slices import SLICES, halo, numbered, own, row_blocks, running, slice_of
 from ..session import staged
 
 # Fixed values of the shot rules (pixels, frames).
@@ -333,35 +333,61 @@ def shot_candidates(points, size=4096):
     return rows
 
 
-def cooldown(shots, wait=COOLDOWN, keys=("game",), peak="peak_frame"):
+def cooldown(shots, wait=COOLDOWN, keys=("game",), peak="peak_frame", size=4096):
     """Accept a shot when its peak is ``wait`` frames past the last accepted one.
 
-    A candidate at least ``wait`` after the previous *candidate* is accepted whatever
-    came before, so runs of closer candidates are independent and short; only inside
-    such a run is the choice sequential.
+    What a slice of frames does depends on its past only by how long ago the last accepted shot was, 1 to ``wait``
+    frames (or more). So each slice is turned into a table of what it makes of each of these cases, tables are composed per
+    group of ``SLICES`` slices and per game, and each slice is then walked once from its true start. A game of
+    candidates that all lie close together is spread over its slices; nothing is gathered but a slice's peaks and tables.
     """
     keys = list(keys)
-    rows = halo(shots.withColumnRenamed(peak, "__peak"), "__peak", before=wait, name="slice")
-    w = Window.partitionBy(*keys, "slice").orderBy("__peak")
-    gap = F.col("__peak") - F.lag("__peak").over(w)
-    rows = own(rows.withColumn("fresh", gap.isNull() | (gap >= wait)))
-    rows = running(
-        rows, keys, ["__peak"], {"run": ("last", F.when(F.col("fresh"), F.col("__peak")))}
+    rows = shots.withColumnRenamed(peak, "__peak").withColumn("slice", slice_of("__peak", size))
+    rows = rows.withColumn("group", slice_of("slice", SLICES))
+    border = F.col("slice") * size
+    after = lambda last, p: F.when(p - last >= wait, p).otherwise(last)
+    walked = lambda since: F.aggregate("peaks", border - since, after)
+    cases = F.sequence(F.lit(1).cast("bigint"), F.lit(wait).cast("bigint"))
+    table = F.transform(cases, lambda since: F.least(border + size - walked(since), F.lit(wait).cast("bigint")))
+    parts = rows.groupBy(*keys, "group", "slice").agg(F.array_sort(F.collect_list("__peak")).alias("peaks"))
+    parts = parts.withColumn("table", table)
+
+    # a slice without candidates is as long as many waits: after it, any shot is accepted
+    free = F.lit(wait).cast("bigint")
+    enter = lambda s, t: F.when(t["at"] == s["at"] + 1, s["since"]).otherwise(free)
+    since = lambda s, t: F.struct(t["at"].alias("at"), F.element_at(t["table"], enter(s, t).cast("int")).alias("since"))
+    start = lambda at, case: F.struct(at.cast("bigint").alias("at"), case.alias("since"))
+    ordered = lambda at: F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), "table")))
+
+    groups = parts.groupBy(*keys, "group").agg(ordered("slice").alias("tables"))
+    first = F.col("group") * SLICES - 1  # the slice before the group
+    through = F.transform(cases, lambda c: F.aggregate("tables", start(first, c), since))
+    idle = F.element_at("tables", -1)["at"] < first + SLICES  # its last slices are empty
+    whole = groups.withColumn("table", F.transform(through, lambda e: F.when(idle, free).otherwise(e["since"])))
+    chain = lambda at, case: F.aggregate(
+        "tables",
+        F.struct(start(at, case).alias("s"), F.array().cast("array<struct<at:bigint,since:bigint>>").alias("out")),
+        lambda acc, t: F.struct(
+            since(acc["s"], t).alias("s"),
+            F.concat(acc["out"], F.array(F.struct(t["at"].alias("at"), enter(acc["s"], t).alias("since")))).alias("out"),
+        ),
+        lambda acc: acc["out"],
     )
-    runs = rows.groupBy(*keys, "run").agg(F.array_sort(F.collect_list("__peak")).alias("peaks"))
+    games = whole.groupBy(*keys).agg(ordered("group").alias("tables"))
+    begun = games.select(*keys, F.inline(chain(F.lit(-(1 << 62)), free))).withColumnsRenamed({"at": "group", "since": "entry"})
+    starts = groups.join(begun, [*keys, "group"]).select(*keys, F.inline(chain(first, F.col("entry")))).withColumnRenamed("at", "slice")
     pick = F.aggregate(
         "peaks",
-        F.array().cast("array<bigint>"),
-        lambda kept, p: F.when(
-            (F.size(kept) == 0) | (p - F.element_at(kept, -1) >= wait),
-            F.concat(kept, F.array(p)),
-        ).otherwise(kept),
-    )
-    kept = runs.select(*keys, F.explode(pick).alias("__peak"), F.lit(True).alias("accepted"))
-    out = rows.join(kept, keys + ["__peak"], "left").withColumn(
-        "accepted", F.coalesce("accepted", F.lit(False))
-    )
-    return out.withColumnRenamed("__peak", peak).drop("slice", "fresh", "run")
+        F.struct((border - F.col("since")).alias("last"), F.array().cast("array<bigint>").alias("kept")),
+        lambda acc, p: F.when(
+            p - acc["last"] >= wait, F.struct(p.alias("last"), F.concat(acc["kept"], F.array(p)).alias("kept"))
+        ).otherwise(acc),
+        lambda acc: acc["kept"],
+    )
+    kept = parts.join(starts, [*keys, "slice"]).select(*keys, "slice", F.explode(pick).alias("__peak"))
+    out = rows.join(kept.withColumn("accepted", F.lit(True)), [*keys, "slice", "__peak"], "left")
+    out = out.withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    return out.select(*[F.col("__peak").alias(peak) if c == peak else c for c in shots.columns], "accepted")
 
 
 def find_shots(points, size=4096):

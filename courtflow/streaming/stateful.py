@@ -141,19 +141,6 @@ def vote_step(window):
     return step
 
 
-def cooldown_step(wait):
-    def step(state, rows):
-        out = []
-        for row in rows:
-            ok = state is None or row.frame - state >= wait
-            if ok:
-                state = int(row.frame)
-            out.append((row.game, row.frame, ok))
-        return state, out
-
-    return step
-
-
 def fill_step(teleport, most, linear):
     """Filled frames between a sighting and the next one, released when that arrives."""
 
@@ -259,9 +246,24 @@ def gap_fill(stream, teleport, most, linear):
     return walk(rows, ["game", "slice"], fill_step(teleport, most, linear), schema)
 
 
-def cooldown(stream, wait):
+def cooldown(stream, wait, size=SLICE):
+    """Accepted shots; the last one accepted before a slice is any candidate of the last ``wait`` frames, or none."""
+
+    def step(last, frame, rows):
+        out = []
+        for row in rows:
+            ok = last is None or frame - last >= wait
+            last = frame if ok else last
+            out.append((row.game, frame, ok))
+        return last, out
+
+    def age(last, frame):
+        return None if last is None or frame - last >= wait else last
+
     rows = stream.select("game", "frame", "event_time")
-    return walk(rows, ["game"], cooldown_step(wait), "game bigint, peak_frame bigint, accepted boolean")
+    starts = lambda before, border: [None] + [frame for frame, _ in before if border - frame < wait]
+    schema = "game bigint, peak_frame bigint, accepted boolean"
+    return relay(rows, step, lambda: None, starts, schema, age=age, before=wait, size=size)
 
 
 def ball_validate(stream, jump, size=SLICE):

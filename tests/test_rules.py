@@ -49,6 +49,23 @@ def test_one_flight_over_many_slices(spark):
     assert got[0].best_k == 1500 and got[0].best_dist == 5.0
 
 
+def test_cooldown_over_slices_and_groups(spark):
+    """One game of close candidates over many slices and groups of slices, one with long silences, against a loop."""
+    rnd, rows, want = random.Random(8), [], set()
+    for game, span, often in ((1, 30_000, 0.2), (2, 300_000, 0.004), (3, 260_000, 0.03)):
+        peaks = [p for p in range(span) if rnd.random() < often and not (game == 3 and 70_000 < p < 205_000)]
+        rows += [(p, f"x{p}", game) for p in peaks]
+        last = None
+        for p in peaks:
+            if last is None or p - last >= 60:
+                last = p
+                want.add((game, p))
+    shuffled = spark.createDataFrame(rows, "peak_frame bigint, other string, game bigint").repartition(5)
+    got = shots.cooldown(shuffled, size=64)
+    assert got.columns == ["peak_frame", "other", "game", "accepted"] and got.count() == len(rows)
+    assert {(r.game, r.peak_frame) for r in got.where("accepted").collect()} == want
+
+
 def test_cooldown(spark):
     peaks = [(0, p) for p in (100, 159, 160, 219, 220, 400, 459, 518)] + [(1, 5), (1, 64), (1, 65)]
     got = shots.cooldown(spark.createDataFrame(peaks, "game bigint, peak_frame bigint"))
