@@ -1,17 +1,17 @@
 """Numbers, teams and colours of tracked players."""
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import d
 from ..functions.slices import own, row_blocks
+from ..session import staged
 from .gates import digit_read_gate
 
 # Fixed values of the colour features and votes.
 CONFIRM_READS = 2
 HUE_BINS, SAT_BINS, HUE_STEP, SAT_STEP = 18, 5, 10, 51
+HIST_BINS = 128
 DARK, GLARE, MIN_SAMPLES = 20, 245, 25
 VOTE_WINDOW = 15
 WOOD_H, WOOD_S, WOOD_V, WOOD_SHARE = (10, 30), (30, 180), (120, 240), 0.15
@@ -60,6 +60,13 @@ def color_histogram(samples, hue_bins=16, sat_bins=8):
     return cells.select("tid", "bin", (F.col("n") / norm).alias("value"))
 
 
+def histogram_vectors(cells, bins=HIST_BINS):
+    """``color_histogram``'s cells (tid, bin, value) as one array of all bins per track."""
+    filled = F.map_from_entries(F.collect_list(F.struct(F.col("bin").cast("int"), "value")))
+    every = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.col("m")[b], d(0)))
+    return cells.groupBy("tid").agg(filled.alias("m")).select("tid", every.alias("histogram"))
+
+
 def range_ratio(samples):
     """Share of floor-coloured samples, and whether it suffices to call the court visible."""
     hit = (
@@ -69,16 +76,67 @@ def range_ratio(samples):
     return per.withColumn("visible", F.col("share") >= WOOD_SHARE)
 
 
-def team_kmeans(features, columns=("hue", "sat"), seed=7, starts=10):
-    """Two teams from colour features: the best of ``starts`` k-means runs, clusters in the order of their centres."""
-    vec = features.withColumn(
-        "features", array_to_vector(F.array(*[F.col(c).cast("double") for c in columns]))
-    )
-    fit = lambda k: KMeans(k=2, maxIter=100, seed=seed + k, featuresCol="features", predictionCol="team").fit(vec)
-    model = min((fit(k) for k in range(starts)), key=lambda m: m.summary.trainingCost)
-    centers = [tuple(c) for c in model.clusterCenters()]
-    teams = model.transform(vec).drop("features")
-    return teams.withColumn("team", 1 - F.col("team")) if centers != sorted(centers) else teams
+def team_kmeans(features, columns=("hue", "sat"), seed=7, starts=10, rounds=100):
+    """Two teams from colour features: the best of ``starts`` k-means runs, clusters in the order of their centres.
+
+    All runs go side by side: a round is one pass over the features, which sums them per run and centre before anything
+    is shuffled. First centres are drawn by hashes of ``seed`` and the features: any row, and one by its squared
+    distance from it. A run that finds an empty cluster keeps that centre; rounds end when no centre moves, or after
+    ``rounds``. ``columns`` are numbers, or one array of numbers (a histogram); rows with a null in them have no team.
+    """
+    one = len(columns) == 1 and dict(features.dtypes)[columns[0]].startswith("array")
+    vector = F.col(columns[0]).cast("array<double>") if one else F.array(*[F.col(c).cast("double") for c in columns])
+    rows = staged(features.withColumn("__x", vector), "team-features")
+    known = rows.where("__x is not null and forall(__x, v -> v is not null)").select("__x")
+    centers = _first_centers(known, seed, starts)
+    if not centers:
+        return features.withColumn("team", F.lit(None).cast("int"))
+    for _ in range(rounds):
+        before, centers = centers, _moved(known, centers)
+        steps = [abs(p - q) for a, b in zip(before, centers) for c, e in zip(a, b) for p, q in zip(c, e)]
+        if max(steps) <= 1e-9 * max(abs(v) for pair in centers for c in pair for v in c):
+            break
+    best = min(_costs(known, centers))[1]
+    pair = sorted(centers[best])
+    team = F.when(_apart(pair[0]) <= _apart(pair[1]), 0).when(_apart(pair[1]).isNotNull(), 1)
+    return rows.withColumn("team", team.cast("int")).drop("__x")
+
+
+def _apart(center):
+    """Squared distance of ``__x`` from a centre."""
+    at = F.array(*[F.lit(float(v)) for v in center])
+    return F.aggregate(F.zip_with("__x", at, lambda a, b: (a - b) * (a - b)), d(0), lambda s, v: s + v)
+
+
+def _first_centers(known, seed, starts):
+    """Two centres per run: the row of the least hash, and the one that wins a race at the rate of its squared distance."""
+    draw = lambda k, side: F.xxhash64(F.lit(seed + k), F.lit(side), "__x")
+    first = known.agg(*[F.min_by("__x", draw(k, 0)).alias(f"c{k}") for k in range(starts)]).first()
+    if first["c0"] is None:
+        return []
+    chance = lambda k: (F.pmod(draw(k, 1), F.lit(1 << 52)) + 1) / float(1 << 52)
+    race = lambda k: F.when(_apart(first[f"c{k}"]) > 0, -F.ln(chance(k)) / _apart(first[f"c{k}"]))
+    second = known.agg(*[F.min_by("__x", race(k)).alias(f"c{k}") for k in range(starts)]).first()
+    return [[list(first[f"c{k}"]), list(second[f"c{k}"] or first[f"c{k}"])] for k in range(starts)]
+
+
+def _moved(known, centers):
+    """The centres of all runs after one round: means of the rows nearest to each, the first one on a tie."""
+    runs = F.array(*[
+        F.struct(F.lit(k).alias("run"), F.when(_apart(a) <= _apart(b), 0).otherwise(1).alias("side"))
+        for k, (a, b) in enumerate(centers)
+    ])
+    sums = [F.avg(F.col("__x")[i]).alias(f"m{i}") for i in range(len(centers[0][0]))]
+    out = [[list(c) for c in pair] for pair in centers]
+    for r in known.select("__x", F.explode(runs).alias("r")).groupBy("r.run", "r.side").agg(*sums).collect():
+        out[r.run][r.side] = [r[f"m{i}"] for i in range(len(sums))]
+    return out
+
+
+def _costs(known, centers):
+    """(cost, run) of each run."""
+    sums = known.agg(*[F.sum(F.least(_apart(a), _apart(b))).alias(f"c{k}") for k, (a, b) in enumerate(centers)]).first()
+    return [(sums[f"c{k}"], k) for k in range(len(centers))]
 
 
 def team_rolling_vote(votes, window=VOTE_WINDOW):

@@ -80,6 +80,14 @@ def team_kmeans(src):
     return rows.select("tid", "hue", "sat", F.col("team").cast("bigint").alias("team"))
 
 
+@query("team_kmeans_histogram")
+def team_kmeans_histogram(src):
+    """Teams from whole colour histograms instead of the dominant bin."""
+    rows = teams.histogram_vectors(teams.color_histogram(src.color_samples))
+    rows = teams.team_kmeans(rows, columns=("histogram",))
+    return rows.select("tid", F.col("team").cast("bigint").alias("team"))
+
+
 @query(
     "team_rolling_vote",
     with_inputs(

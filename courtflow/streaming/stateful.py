@@ -31,7 +31,7 @@ class Walk(StatefulProcessor):
 
     ``waiting`` holds one entry per micro-batch, the rows that the watermark has not passed, and ``state`` the
     step's state (JSON) with the time of its last row. A timer at the last row of a batch
-    wakes the key when its rows are due; another one clears it once it has been silent for ``forget``.
+    wakes the key when its rows are due; another one clears it once it has been silent for ``forget``, or never.
     """
 
     def __init__(self, step, order, names, columns, forget):
@@ -61,9 +61,10 @@ class Walk(StatefulProcessor):
             rest = [r for r in rows if r.at > mark]
             if rest:
                 self.waiting.appendValue((json.dumps(rest),))
-            self.handle.registerTimer(max(due[-1].at + self.forget, mark + 1))
+            if self.forget is not None:
+                self.handle.registerTimer(max(due[-1].at + self.forget, mark + 1))
             yield pd.DataFrame(out, columns=self.columns)
-        elif at is not None and not rows and at + self.forget <= mark:
+        elif self.forget is not None and at is not None and not rows and at + self.forget <= mark:
             self.state.clear()
 
     def close(self):
@@ -71,12 +72,15 @@ class Walk(StatefulProcessor):
 
 
 def walk(stream, keys, step, schema, order=("frame",), forget=FORGET):
-    """``step`` per key over a stream with ``event_time``; ``forget`` counts frames (a second of event time each)."""
+    """``step`` per key over a stream with ``event_time``.
+
+    ``forget`` counts frames (a second of event time each) after which a silent key starts anew; None: it never does.
+    """
     columns = [c.strip().split()[0] for c in schema.split(",")]
     rows = stream.withColumn("at", F.unix_millis("event_time"))
     names = [c for c in rows.columns if c != "event_time"]
     return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=Walk(step, list(order), names, columns, forget * 1000),
+        statefulProcessor=Walk(step, list(order), names, columns, None if forget is None else forget * 1000),
         outputStructType=schema,
         outputMode="append",
         timeMode="EventTime",
@@ -231,13 +235,17 @@ def ghosts(stream, max_age):
 
 
 def jersey_lock(stream, confirm):
+    """A track's number, once for all: the few bytes that say so are kept as long as the stream runs."""
     rows = stream.select("game", "tid", "frame", "num", "event_time")
-    return walk(rows, ["game", "tid"], lock_step(confirm), "game bigint, tid bigint, num string, lock_ord bigint")
+    schema = "game bigint, tid bigint, num string, lock_ord bigint"
+    return walk(rows, ["game", "tid"], lock_step(confirm), schema, forget=None)
 
 
 def team_vote(stream, window):
+    """A track's vote over its last ``window`` ones, however long ago they were; no more than those are kept."""
     rows = stream.select("game", "tid", "frame", "team", "event_time")
-    return walk(rows, ["game", "tid"], vote_step(window), "game bigint, frame bigint, tid bigint, voted bigint")
+    schema = "game bigint, frame bigint, tid bigint, voted bigint"
+    return walk(rows, ["game", "tid"], vote_step(window), schema, forget=None)
 
 
 def gap_fill(stream, teleport, most, linear):
