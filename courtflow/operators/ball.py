@@ -2,7 +2,6 @@
 
 import math
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from ..functions.geometry import (
 )
 from ..functions.settle import settle
 from ..functions.slices import halo, numbered, own, row_blocks, running, slice_of
+from ..session import staged
 
 # Fixed values of the ball rules; pixel values hold for a 1920 wide frame and are scaled.
 SCALE = FRAME_W / 1920.0
@@ -29,7 +29,6 @@ HEAD_NEAR, HEAD_SPREAD, KP_CONF = 80.0, 6.0, 0.30
 SUPPORT_RADIUS = 80.0
 HOOP_MARGIN = 0.08
 FALLBACK_REACH, FALLBACK_LOST, FALLBACK_EVERY, FALLBACK_CONF = 400, 60, 5, 0.20
-WARM_UP = 256
 
 
 def best_detection(dets, by="conf"):
@@ -392,28 +391,92 @@ def gap_fill(boxes, profile="export", most=MAX_FILL):
     return seen.unionByName(filled)
 
 
-def kalman_smooth(boxes, profile="strict", warm_up=WARM_UP, size=4096):
-    """Constant-velocity Kalman filter over the sightings of each game.
+_STATE = ["x", "vx", "y", "vy", "p00", "p01", "p11"]
 
-    A sighting's weight fades geometrically (below 1e-25 after 256 of them), so blocks
-    of sightings are filtered on their own after a warm-up of that many.
+
+def _kalman_taken(state, z, jump):
+    """``steps.kalman_step`` as a column: the state (a struct, its frame null before the first sighting) after sighting ``z``."""
+    q, r = d(steps.KALMAN_Q), d(steps.KALMAN_R)
+    gap = (z["frame"] - state["frame"]).cast("double")
+    fresh = F.struct(
+        z["cx"].alias("x"), d(0).alias("vx"), z["cy"].alias("y"), d(0).alias("vy"),
+        d(steps.KALMAN_P0).alias("p00"), d(0).alias("p01"), d(steps.KALMAN_P0).alias("p11"), z["frame"].alias("frame"),
+    )
+    off = lambda c: z[f"c{c}"] - (state[c] + (gap - 1) * state[f"v{c}"])
+    jumped = (gap <= steps.KALMAN_RESET) & (F.sqrt(off("x") * off("x") + off("y") * off("y")) > d(jump))
+
+    def ahead(m, k):
+        """``steps.kalman_ahead``; speeds stay as they are."""
+        return F.struct(
+            (m["x"] + k * state["vx"]).alias("x"), (m["y"] + k * state["vy"]).alias("y"),
+            (m["p00"] + 2 * k * m["p01"] + k * k * m["p11"]
+             + q * (k * (k - 1) * (k - 2) / 3 + k * (k - 1) / 2 + k)).alias("p00"),
+            (m["p01"] + k * m["p11"] + q * k * (k - 1) / 2).alias("p01"),
+            (m["p11"] + k * q).alias("p11"),
+        )
+
+    def taken(m):
+        s = m["p00"] + r
+        k0, k1 = m["p00"] / s, m["p01"] / s
+        new = {
+            "x": m["x"] + k0 * (z["cx"] - m["x"]), "vx": state["vx"] + k1 * (z["cx"] - m["x"]),
+            "y": m["y"] + k0 * (z["cy"] - m["y"]), "vy": state["vy"] + k1 * (z["cy"] - m["y"]),
+            "p00": (1 - k0) * m["p00"], "p01": (1 - k0) * m["p01"], "p11": m["p11"] - k1 * m["p01"],
+        }
+        return F.struct(*[new[c].alias(c) for c in _STATE], z["frame"].alias("frame"))
+
+    # a one-element array stands for a name: what is predicted is computed once
+    named = F.transform(F.array(ahead(state, gap - 1)), lambda m: ahead(m, d(1)))
+    return F.when(state["frame"].isNull() | jumped, fresh).otherwise(F.transform(named, taken)[0])
+
+
+def kalman_smooth(boxes, profile="strict", size=2048, tolerance=1e-9):
+    """Constant-velocity Kalman filter over the sightings of each game, in column expressions.
+
+    Each block of ``size`` sightings is walked on its own, at first as if it were the beginning. A block that did not start
+    from what the block before really ended with, within ``tolerance``, is walked again from there, until all
+    blocks agree; as a filter forgets, that is mostly one round, but nothing relies on it.
     """
     jump = TELEPORT[profile]
     rows = boxes.select("game", "frame", center_x().alias("cx"), center_y().alias("cy"))
-    rows = row_blocks(rows, ["game"], before=warm_up, size=size)
-
-    def walk(pdf):
-        pdf = pdf.sort_values("frame")
-        state, out = None, []
-        for frame, cx, cy in zip(pdf.frame, pdf.cx, pdf.cy):
-            state = steps.kalman_step(state, frame, cx, cy, jump)
-            out.append(state[:4])
-        got = pd.DataFrame(out, columns=["sx", "svx", "sy", "svy"], index=pdf.index)
-        return pd.concat([pdf[["game", "frame"]], got], axis=1)[pdf.own]
-
-    return rows.groupBy("game", "block").applyInPandas(
-        walk, "game bigint, frame bigint, sx double, svx double, sy double, svy double"
-    )
+    rows = row_blocks(rows, ["game"], size=size)
+    blocks = rows.groupBy("game", "block").agg(F.array_sort(F.collect_list(F.struct("frame", "cx", "cy"))).alias("zs"))
+    blocks = staged(blocks, "sightings")
+    kind = "struct<" + ",".join(f"{c}:double" for c in _STATE) + ",frame:bigint>"
+
+    def walked(some, turn):
+        walk = F.aggregate(
+            "zs",
+            F.struct("start", F.array().cast(f"array<{kind}>").alias("states")),
+            lambda acc, z: F.transform(
+                F.array(_kalman_taken(acc["start"], z, jump)),
+                lambda s: F.struct(s.alias("start"), F.concat(acc["states"], F.array(s)).alias("states")),
+            )[0],
+            lambda acc: acc["states"],
+        )
+        out = some.select("game", "block", "start", walk.alias("states"), F.lit(turn).alias("turn"))
+        return staged(out, "filtered")
+
+    blank = F.struct(*[F.lit(None).cast("double").alias(c) for c in _STATE], F.lit(None).cast("bigint").alias("frame"))
+    done = walked(blocks.withColumn("start", blank), 0)
+    turn, before = 0, Window.partitionBy("game").orderBy("block")
+    while True:
+        latest = F.max_by(F.struct("start", F.element_at("states", -1).alias("end"), "turn"), "turn").alias("b")
+        states = done.groupBy("game", "block").agg(latest).select("game", "block", "b.*")
+        told = states.withColumn("truth", F.lag("end").over(before)).where("truth IS NOT NULL")
+        same = F.col("start.frame").eqNullSafe(F.col("truth.frame"))
+        for c in _STATE:
+            same = same & (F.abs(F.col(f"start.{c}") - F.col(f"truth.{c}")) <= tolerance)
+        wrong = told.where(~F.coalesce(same, F.lit(False))).select("game", "block", F.col("truth").alias("start"))
+        if wrong.isEmpty():
+            break
+        turn += 1
+        done = done.unionByName(walked(blocks.join(wrong, ["game", "block"]), turn))
+    if turn:
+        done = done.join(states.select("game", "block", "turn"), ["game", "block", "turn"], "left_semi")
+    rows = done.select("game", F.explode("states").alias("s"))
+    named = {"x": "sx", "vx": "svx", "y": "sy", "vy": "svy"}
+    return rows.select("game", "s.frame", *[F.col(f"s.{c}").alias(n) for c, n in named.items()])
 
 
 def box_recenter(boxes, smoothed):

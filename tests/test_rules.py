@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,27 @@ def test_one_flight_over_many_slices(spark):
     assert got[0].best_k == 1500 and got[0].best_dist == 5.0
 
 
+@pytest.mark.parametrize("size", [5, 40, 2048])
+def test_kalman_blocks_equal_one_walk(spark, size):
+    """Blocks too short to forget their start, resets and a long gap; x, speed and both games to 1e-9."""
+    rnd, rows, want = random.Random(size), [], {}
+    for game in (1, 2):
+        state, x, y, f = None, 400.0, 300.0, 0
+        for _ in range(160):
+            f += rnd.choice([1, 1, 1, 2, 4, 7]) if rnd.random() > 0.01 else 300_000
+            x, y = (rnd.uniform(0, 1280), rnd.uniform(0, 720)) if rnd.random() < 0.04 else (x + rnd.gauss(3, 8), y + rnd.gauss(0, 8))
+            box = (int(x) - 4, int(y) - 4, int(x) + 4, int(y) + 4)
+            state = steps.kalman_step(state, f, (box[0] + box[2]) / 2, (box[1] + box[3]) / 2, ball.TELEPORT["strict"])
+            rows.append((game, f, *box))
+            want[game, f] = state[:4]
+    boxes = spark.createDataFrame(rows, "game bigint, frame bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint").repartition(3)
+    smoothed = ball.kalman_smooth(boxes, size=size)
+    assert not re.search("Python|Pandas|Arrow", smoothed._jdf.queryExecution().toString())
+    got = {(r.game, r.frame): (r.sx, r.svx, r.sy, r.svy) for r in smoothed.collect()}
+    assert set(got) == set(want)
+    assert all(abs(a - b) <= 1e-7 * max(1, abs(b)) for k, w in want.items() for a, b in zip(got[k], w))
+
+
 def test_cooldown_over_slices_and_groups(spark):
     """One game of close candidates over many slices and groups of slices, one with long silences, against a loop."""
     rnd, rows, want = random.Random(8), [], set()
