@@ -5,12 +5,13 @@ index row per record: archive, offset, length, URL and payload digest. Identical
 others are revisit records. A task that is run again writes the same bytes under the same names.
 
 Reading: index rows are sorted by archive and offset, neighbours are merged into byte ranges, and each range is fetched by
-one read, from which the selected records are cut.
+one read, from which the selected records are cut. Ranges are dealt over as many tasks as their bytes ask for, however small the index.
 """
 
 import base64
 import gzip
 import hashlib
+import json
 import uuid
 
 import pyarrow as pa
@@ -66,6 +67,8 @@ def record(page_id, url, payload, digest, refers_to):
         head.append(f"X-Page-Id: {page_id}")
     if url is None:
         head.append("X-No-Url: 1")
+    elif _line(url) != url or not url:  # a header cannot say it as it is
+        head.append(f"X-Url: {json.dumps(url)}")
     if refers_to is not None:
         head += [
             f"WARC-Profile: {_REVISIT}",
@@ -165,6 +168,12 @@ def write(pages, folder, least_bytes=0, roll=256 << 20):
     return spark.read.schema(index.schema).parquet(path)
 
 
+def _url(fields):
+    if "x-no-url" in fields:
+        return None
+    return json.loads(fields["x-url"]) if "x-url" in fields else fields["warc-target-uri"]
+
+
 def _read_rows(folder, payloads):
     def run(batches):
         store, base = _open(folder)
@@ -183,7 +192,7 @@ def _read_rows(folder, payloads):
                     out.append(
                         {
                             "page_id": None if page is None else int(page),
-                            "url": None if "x-no-url" in fields else fields["warc-target-uri"],
+                            "url": _url(fields),
                             "payload_bytes": int(fields["x-payload-length"]),
                             "payload_digest": digest,
                             "record_type": fields["warc-type"],
@@ -228,12 +237,15 @@ def ranges(index, gap=64 << 10, span=8 << 20):
     )
 
 
-def read(index, folder, payloads=True):
+def read(index, folder, payloads=True, task=16 << 20):
     """The records that the rows of ``index`` point to, payloads checked against their digests.
 
-    Revisit records have no payload of their own; their length and digest are those of the full payload.
+    Revisit records have no payload of their own; their length and digest are those of the full payload. Urls come back
+    as they were given. A task reads about ``task`` bytes of archives.
     """
-    return ranges(index).mapInArrow(_read_rows(folder, payloads), _RECORD)
+    held = index.agg(F.sum("length")).first()[0] or 0
+    dealt = ranges(index).repartition(int(held // task) + 1, "archive", "start")
+    return dealt.mapInArrow(_read_rows(folder, payloads), _RECORD)
 
 
 def round_trip(pages, least_bytes=0, payloads=False):

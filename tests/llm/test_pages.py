@@ -44,6 +44,8 @@ def test_warc_odd_rows(spark):
     )
     bodies = {r.page_id: bytes(r.payload) for r in got if r.payload is not None}
     assert bodies[3] == "é\r\n\r\nWARC/1.1\r\n".encode() and bodies[2] == b""
+    assert sorted(r.url or "-" for r in got) == sorted(r[1] or "-" for r in rows)
+    assert {r.url for r in got if r.page_id == 4} == {""} and {r.url for r in got if r.page_id == 5} == {None}
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
@@ -60,6 +62,17 @@ def test_warc_ranges_cover_selected_records(spark, tmp_path):
     assert warc.ranges(index, gap=0, span=1 << 30).count() == index.select("archive").distinct().count()
 
 
+def test_warc_keeps_urls_and_deals_reads(spark, tmp_path):
+    urls = ["http://h/a  b", " lead", "tab\tand\nline", "é中\u2028x", "", "plain", "q\"uote\\", None]
+    rows = [(i, u, str(i) * 30_000) for i, u in enumerate(urls * 12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    index = warc.write(pages, folder)
+    read = warc.read(index, folder, task=1000)
+    assert read.rdd.getNumPartitions() > 4
+    assert {r.page_id: r.url for r in read.collect()} == {i: u for i, u, _ in rows}
+
+
 def article(page):
     body = re.search(r"<article>(.*)</article>", page, re.S)[1]
     blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", body))
