@@ -3,7 +3,9 @@
 1. ``TrackEvents`` per (game, track): waits for the watermark and turns a track's detections and number reads into
    events: seen, lost, lost anew. The number a track wears is locked here.
 2. ``Meetings`` per (game, grid cell) and (game, number): keeps the open entries of lost tracks that can be met there in
-   a map, and gives each first contact of a track with an entry. Entries leave the map when they expire, at a timer.
+   a map, and gives the first contact of each track with each entry, in a micro-batch. Entries leave the map when
+   they expire, at a timer. (A later contact of the same two changes nothing: at the first one either the track takes
+   something over or the entry is gone.)
 3. ``Choices`` per game: walks contacts only, in order; each track and each entry is used once. Its maps hold
    the entries taken, until they expire, and the tracks that have taken one, until the game ends.
 
@@ -136,21 +138,19 @@ class Meetings(StatefulProcessor):
     def init(self, handle):
         self.handle = handle
         self.open = handle.getMapState("open", "tid long", "lost long, x double, y double, until long")
-        self.met = handle.getMapState("met", "tid long, old long", "lost long")
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows))
         columns = [pdf[c].tolist() for c in ("frame", "kind", "tid", "seq", "x", "y", "since", "until")]
         number = key[1].startswith("#")
         held = {k[0]: tuple(v) for k, v in self.open.iterator()} if self.open.exists() else {}
-        met = {tuple(k): v[0] for k, v in self.met.iterator()} if self.met.exists() else {}
-        before, fresh, out = dict(held), {}, []
+        before, met, out = dict(held), {}, []
         for frame, kind, tid, seq, x, y, since, until in sorted(zip(*columns), key=lambda r: (r[0], r[1], r[2])):
             if kind == SEEN:
                 for old, (lost, ex, ey, last) in held.items():
                     gap = math.sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey))
                     if frame <= last and (number or gap < self.reach) and met.get((tid, old)) != lost:
-                        met[tid, old] = fresh[tid, old] = lost
+                        met[tid, old] = lost
                         out.append((key[0], frame, int(seq), tid, -1.0 if number else gap, lost, old, last, False))
             elif kind == ANEW:
                 held.pop(tid, None)
@@ -164,8 +164,6 @@ class Meetings(StatefulProcessor):
             if before.get(tid) != entry:
                 self.open.updateValue((tid,), entry)
                 self.handle.registerTimer(time_of(entry[3] + 1))
-        for pair, lost in fresh.items():
-            self.met.updateValue(pair, (lost,))
         if out:
             yield _given(out, _CONTACT, timerValues)
 
@@ -173,12 +171,7 @@ class Meetings(StatefulProcessor):
         top = time_of(None, timerValues.getCurrentWatermarkInMs())
         held = {k[0]: tuple(v) for k, v in self.open.iterator()} if self.open.exists() else {}
         for tid in [t for t, e in held.items() if e[3] < top]:
-            del held[tid]
             self.open.removeKey((tid,))
-        met = [(tuple(k), v[0]) for k, v in self.met.iterator()] if self.met.exists() else []
-        for pair, lost in met:
-            if pair[1] not in held or held[pair[1]][0] != lost:
-                self.met.removeKey(pair)
         return iter(())
 
     def close(self):
@@ -197,10 +190,18 @@ class Choices(StatefulProcessor):
         pdf = pd.concat(list(rows))
         columns = [pdf[c].tolist() for c in ("over", "frame", "seq", "tid", "gap", "lost_frame", "old_tid", "until")]
         out, over = [], False
+        asked = {"done": {}, "taken": {}}  # each key is looked up once
+
+        def used(name, item):
+            if item not in asked[name]:
+                asked[name][item] = getattr(self, name).containsKey(item)
+            return asked[name][item]
+
         for ended, frame, _, tid, _, lost, old, until in sorted(zip(*columns)):
             if ended:
                 over = True
-            elif not self.done.containsKey((tid,)) and not self.taken.containsKey((old, lost)):
+            elif not used("done", (tid,)) and not used("taken", (old, lost)):
+                asked["done"][tid,] = asked["taken"][old, lost] = True
                 self.done.updateValue((tid,), (frame,))
                 self.taken.updateValue((old, lost), (until,))
                 self.handle.registerTimer(time_of(until + 1))
