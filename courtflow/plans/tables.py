@@ -188,14 +188,17 @@ def sink_debug_metrics(src):
     return src.spark.read.schema(rows.schema).csv(path, header=True)
 
 
+_SNAPSHOT = "ord BIGINT, frame_path STRING, visibility BIGINT, x DOUBLE, y DOUBLE"
+
+
 def _snapshots(src):
+    """Folder of two snapshots: the labels, and the labels with fixes applied."""
     path = work_folder(src.spark, "snapshots")
     rows = src.label_rows.select("ord", "frame_path", "visibility", "x", "y")
     label_files.write_snapshot(rows, path, "20240101_000000_first")
     fixed = label_plans.patched(src).select(*rows.columns)
     label_files.write_snapshot(fixed, path, "20240102_000000_apply_fixes")
-    schema = "ord BIGINT, frame_path STRING, visibility BIGINT, x DOUBLE, y DOUBLE, snapshot STRING"
-    return label_files.read_snapshots(src.spark, path, schema)
+    return path
 
 
 @query(
@@ -209,7 +212,8 @@ def _snapshots(src):
     ),
 )
 def snapshot_write(src):
-    return _snapshots(src).select("snapshot", "ord", "visibility")
+    rows = label_files.read_snapshots(src.spark, _snapshots(src), f"{_SNAPSHOT}, snapshot STRING")
+    return rows.select("snapshot", "ord", "visibility")
 
 
 @query(
@@ -221,7 +225,7 @@ def snapshot_write(src):
     ),
 )
 def snapshot_latest(src):
-    return label_files.latest_snapshot(_snapshots(src)).select("ord", "visibility")
+    return label_files.read_latest_snapshot(src.spark, _snapshots(src), _SNAPSHOT).select("ord", "visibility")
 
 
 @query(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.geometry import d
+from . import commits
 
 LABEL_CSV = "ord BIGINT, frame_path STRING, visibility BIGINT, x DOUBLE, y DOUBLE"
 DISAGREEMENT_CSV = (
@@ -53,7 +54,7 @@ def _polygon_columns():
     parts = F.split(F.trim("line"), r"\s+")
     return [
         parts[0].try_cast("bigint").alias("cls"),
-        F.transform(F.slice(parts, 2, 1 << 20), lambda v: v.try_cast("double")).alias("coords"),
+        F.transform(F.slice(parts, 2, F.size(parts)), lambda v: v.try_cast("double")).alias("coords"),
     ]
 
 
@@ -115,13 +116,19 @@ def read_review_list(spark, path):
 
 
 def write_snapshot(labels, path, snapshot):
-    """Keep a copy of a label table under a snapshot id; others stay untouched, a retry replaces its own."""
-    rows = labels.withColumn("snapshot", F.lit(snapshot)).write.mode("overwrite")
-    rows.option("partitionOverwriteMode", "dynamic").partitionBy("snapshot").parquet(path)
+    """Keep a copy of a label table under a snapshot id, visible once it is whole; a retry replaces its own."""
+    commits.commit({"labels": labels}, path, snapshot)
 
 
 def read_snapshots(spark, path, schema):
-    return spark.read.schema(schema).parquet(path)
+    """All snapshots; ``schema`` ends in the column snapshot."""
+    columns = schema.rpartition(",")[0]
+    return commits.read(spark, path, "labels", columns).withColumnRenamed("version", "snapshot")
+
+
+def read_latest_snapshot(spark, path, schema):
+    """The newest snapshot (ids sort by time), found by the manifests; ``schema`` without the column snapshot."""
+    return commits.read_latest(spark, path, "labels", schema)
 
 
 def latest_snapshot(snapshots):

@@ -398,8 +398,9 @@ def test_a_snapshot_can_be_written_again(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "ord bigint, stem string")
     for snapshot in ("v1", "v2", "v2"):
         label_files.write_snapshot(rows, path, snapshot)
-    kept = spark.read.parquet(path)
+    kept = label_files.read_snapshots(spark, path, "ord bigint, stem string, snapshot string")
     assert kept.count() == 4 and label_files.latest_snapshot(kept).count() == 2
+    assert label_files.read_latest_snapshot(spark, path, "ord bigint, stem string").count() == 2
 
 
 def test_stream_kalman_carries_on_over_long_gaps(spark):
