@@ -59,21 +59,35 @@ def _fold_one(code):
     return ord(c) if unicodedata.category(c)[0] == "L" else _SPACE
 
 
-_EDGED = re.compile(rf"(?<![^\W_])[{_BORDER}]+(?=[^\W_])|(?<=[^\W_])[{_BORDER}]+(?![^\W_{_BORDER}])")
-_EDGED_WORD = re.compile(rf"(?<![^\W_{_BORDER}])[{_BORDER}]*[^\W_](?:[^\W_]|[{_BORDER}])*")
+_BORDERS = re.compile(f"[{_BORDER}]+")
+
+
+def _inner(run):
+    """What a run of border signs stands for: itself between letters or digits, else a space."""
+    low, high, text = run.start(), run.end(), run.string
+    return run[0] if text[low - 1 : low].isalnum() and text[high : high + 1].isalnum() else " "
 
 
 def fold(text):
     """Letters and spaces only; starts and ends with a space. Signs at the border of a word are none of its letters."""
-    return _folded(_EDGED.sub(" ", text))
+    return _folded(_BORDERS.sub(_inner, text))
 
 
 def edged(text):
     """Words with signs at their border, as (folded without them, folded with them)."""
-    for m in _EDGED_WORD.finditer(text):
-        word = m[0]
-        if word[0] in _BORDER or word[-1] in _BORDER:
-            yield _folded(word.strip(_BORDER)).strip(), _folded(word).strip()
+    upto = 0
+    for m in _BORDERS.finditer(text):
+        if m.start() < upto:
+            continue
+        low, upto = m.start(), m.end()
+        while low and text[low - 1].isalnum():
+            low -= 1
+        while upto < len(text) and (text[upto].isalnum() or text[upto] in _BORDER):
+            upto += 1
+        word = text[low:upto]
+        without = word.strip(_BORDER)
+        if without and without != word:
+            yield _folded(without).strip(), _folded(word).strip()
 
 
 def _folded(text):
@@ -98,13 +112,13 @@ def _words(text):
 def terms(word):
     """What an entry can be in a word: beginnings, a short word with a space behind it, runs of unspaced characters."""
     out = [word + " "] if len(word) < SHORTEST else [word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1)]
-    for m in _UNSPACED.finditer(word):
+    for m in () if word.isascii() else _UNSPACED.finditer(word):
         out += [word[m.start() : m.start() + k] for k in range(1, min(UNSPACED_LONGEST, len(word) - m.start()) + 1)]
     return out
 
 
 def _count_rows(batches):
-    """Documents per word beginning and label, summed per task; ``words`` holds a document's distinct folded words."""
+    """Documents per entry, label and fold, summed per task; ``words`` holds a document's distinct folded words."""
     found = Counter()
 
     def rows():
@@ -113,25 +127,27 @@ def _count_rows(batches):
             [
                 pa.array([k[0] for k in keys], pa.string()),
                 pa.array([k[1] for k in keys], pa.int32()),
+                pa.array([k[2] for k in keys], pa.int32()),
                 pa.array([found[k] for k in keys], pa.int64()),
             ],
-            ["term", "toxic", "n"],
+            ["term", "toxic", "fold", "n"],
         )
 
     for batch in batches:
-        for words, toxic in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            found.update((t, toxic) for t in {t for w in words.split() for t in terms(w)})
+        for words, toxic, part in zip(*(batch.column(c).to_pylist() for c in ("words", "toxic", "fold")), strict=True):
+            found.update((t, toxic, part) for t in {t for w in words.split() for t in terms(w)})
             if len(found) > 500_000:
                 yield rows()
                 found.clear()
     yield rows()
 
 
-def _counted(rows):
-    """term, and how many toxic (n) and clean documents (c) have a word that begins so."""
-    counts = rows.select("words", "toxic").mapInArrow(_count_rows, "term string, toxic int, n long")
-    n, c = (F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias(name) for t, name in ((1, "n"), (0, "c")))
-    return counts.groupBy("term").agg(n, c)
+def _counted(rows, folds):
+    """term, and how many toxic (n0, n1 ...) and clean documents (c0, c1 ...) of each fold have it; counted once for all lexicons."""
+    counts = rows.select("words", "toxic", "fold").mapInArrow(_count_rows, "term string, toxic int, fold int, n long")
+    of = lambda t, k: F.when((F.col("toxic") == t) & (F.col("fold") == k), F.col("n")).otherwise(0)
+    sums = [F.sum(of(t, k)).alias(f"{name}{k}") for t, name in ((1, "n"), (0, "c")) for k in range(folds)]
+    return counts.groupBy("term").agg(*sums)
 
 
 #: log-likelihood gained by giving a word beginning its own toxic share, n of n + c, over the base share
@@ -148,13 +164,24 @@ def learn(rows, weight=3.0, evidence=14.0):
     without losing a twentieth of its toxic documents; longer ones are added where they weigh clearly more. Exceptions
     are beginnings with as much evidence for clean documents, under an entry. Only what passes reaches the driver.
     """
-    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    rows = rows.withColumn("fold", F.lit(0))
+    return _learned(_counted(rows, 1), _sizes(rows), [0], weight, evidence)
+
+
+def _sizes(rows):
+    return {(r.toxic, r.fold): r["count"] for r in rows.groupBy("toxic", "fold").count().collect()}
+
+
+def _learned(counted, sizes, folds, weight=3.0, evidence=14.0):
+    """The lexicon of ``learn`` from the counts of some folds."""
+    n_toxic, n_clean = (sum(sizes.get((t, k), 0) for k in folds) for t in (1, 0))
     if not n_toxic or not n_clean:
         return {}
+    n, c = (sum((F.col(f"{name}{k}") for k in folds[1:]), F.col(f"{name}{folds[0]}")) for name in "nc")
+    counted = counted.select("term", n.alias("n"), c.alias("c")).where("n + c > 0")
     base = n_toxic / (n_toxic + n_clean)
     weighed = F.expr(f"ln((n + 0.5D) / {n_toxic + 1}D) - ln((c + 0.5D) / {n_clean + 1}D)")
-    passed = _counted(rows).withColumn("w", weighed).where(F.expr(_EVIDENCE.format(base=base)) >= evidence)
+    passed = counted.withColumn("w", weighed).where(F.expr(_EVIDENCE.format(base=base)) >= evidence)
     passed = staged(passed.where((F.col("w") >= weight) | (F.col("w") < 0)).select("term", "n", "w"), "beginnings")
     heavy = passed.where(F.col("w") >= weight)
     longer = heavy.groupBy(F.expr("left(term, length(term) - 1)").alias("stem")).agg(F.max("n").alias("most"))
@@ -290,8 +317,9 @@ def score(docs, labels, phrases=EXCEPTIONS, folds=2):
     words = rows.where("not held_out").select("doc_id", F.arrow_udf(_word_sets, "string")("text").alias("words"))
     fold_of = F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int")
     known = staged(words.join(marks.hint("merge"), "doc_id").select("words", "toxic", fold_of.alias("fold")), "words")
-    lexicon = learn(known)
-    parts = [learn(known.where(F.col("fold") != k)) for k in range(folds)]  # what the other folds teach
+    counted, sizes = staged(_counted(known, folds), "counts"), _sizes(known)
+    lexicon = _learned(counted, sizes, list(range(folds)))
+    parts = [_learned(counted, sizes, [j for j in range(folds) if j != k]) for k in range(folds)]  # what the other folds teach
     both = burdens(F.col("text"), F.when(~F.col("held_out"), fold_of), lexicon, parts, phrases)
     found = staged(rows.select("doc_id", "held_out", both.alias("b")).select("doc_id", "held_out", "b.*"), "burdens")
     at = F.least(F.round(F.log1p("unseen") * 40).cast("int"), F.lit(_BINS)).alias("bin")
