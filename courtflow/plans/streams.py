@@ -14,6 +14,7 @@ from .inputs import with_inputs
 from .registry import query, r
 
 LATE = 1_000_000
+MICRO_BATCH = 1_000_000  # rows of a micro-batch of the take-over, each of which may meet dozens of entries
 
 
 def late(rows):
@@ -156,7 +157,7 @@ def stream_reid(src):
     ends = dets.select("game", "tid").distinct().join(last, "game")
     rows = takeover.events(dets, gates.digit_read_gate(src.reads), ends)
     build = lambda s: takeover.reid(s, tracks.REID_DIST, tracks.REID_FRAMES, teams.CONFIRM_READS)
-    out = drain(rows, build, "stream-reid", closing=late(rows.where("kind = 'd'")))
+    out = drain(rows, build, "stream-reid", closing=late(rows.where("kind = 'd'")), most=MICRO_BATCH)
     return out.select("game", "tid", "frame", "old_tid")
 
 

@@ -8,7 +8,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from ..session import work_folder
+from ..session import staged, work_folder
 
 EPOCH = "2024-01-01 00:00:00"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -33,9 +33,12 @@ def time_of(frame, mark=None):
     return _START + 1000 * frame if mark is None else (mark - _START) // 1000
 
 
-def drain(rows, build, name, closing, parts=2, disorder=40, watch=None):
+def drain(rows, build, name, closing, parts=2, disorder=40, watch=None, most=None):
     """Stream ``rows`` in ``parts`` stretches of frames through ``build``; returns the output.
 
+    With ``most`` there are as many more stretches as keep each at about that many rows: what a keyed step holds of
+    one micro-batch does not grow with the table then.
+
     Rows arrive up to ``disorder`` frames late, out of order and across the stretches; the watermark waits
     for that long. ``closing`` rows, far behind all others, arrive last and let the watermark pass.
     ``build`` turns the streaming input into the streaming output; ``watch`` sees each finished query.
@@ -44,6 +47,9 @@ def drain(rows, build, name, closing, parts=2, disorder=40, watch=None):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     base = work_folder(spark, name)
     into, out, state = (os.path.join(base, p) for p in ("in", "out", "state"))
+    if most is not None:
+        rows = staged(rows, f"{name}-rows")
+        parts = max(parts, -(-rows.count() // most))
     top = rows.agg(F.max("frame")).first()[0]
     timed = with_event_time(rows)
     schema = timed.schema

@@ -9,9 +9,7 @@ walked in order then, however they arrived; later ones are dropped by the waterm
 
 import json
 import math
-from collections import namedtuple
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -19,6 +17,7 @@ from ..functions import steps
 from ..functions.geometry import FRAME_H, FRAME_W
 from ..functions.slices import halo
 from ..operators import ball
+from .held import hold, in_frames, in_order, split
 from .relay import SLICE, relay
 from .runner import frame_of
 
@@ -29,9 +28,10 @@ FORGET = 216_000
 class Walk(StatefulProcessor):
     """Runs a step function per key, in order of event time.
 
-    ``waiting`` holds one entry per micro-batch, the rows that the watermark has not passed, and ``state`` the
+    ``waiting`` holds the rows that the watermark has not passed, as columns, and ``state`` the
     step's state (JSON) with the time of its last row. A timer at the last row of a batch
     wakes the key when its rows are due; another one clears it once it has been silent for ``forget``, or never.
+    Rows are walked block by block, and what a block gives is handed on before the next one.
     """
 
     def __init__(self, step, order, names, columns, forget):
@@ -40,31 +40,28 @@ class Walk(StatefulProcessor):
     def init(self, handle):
         self.handle = handle
         self.state = handle.getValueState("state", "at long, data string")
-        self.waiting = handle.getListState("waiting", "data string")
+        self.waiting = handle.getListState("waiting", "data binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows))
-        self.waiting.appendValue((json.dumps(list(zip(*(pdf[c].tolist() for c in self.names)))),))
-        self.handle.registerTimer(int(pdf["at"].max()))
+        _, last = hold(self.waiting, rows, self.names)
+        if last is not None:
+            self.handle.registerTimer(last)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs()
-        row = namedtuple("Row", self.names)
-        rows = [row(*v) for (part,) in self.waiting.get() for v in json.loads(part)] if self.waiting.exists() else []
-        due = sorted((r for r in rows if r.at <= mark), key=lambda r: [getattr(r, c) for c in self.order])
+        due, _ = split(self.waiting, mark)
         at, data = self.state.get() if self.state.exists() else (None, "null")
-        if due:
-            new, out = self.step(json.loads(data), due)
-            self.state.update((due[-1].at, json.dumps(new)))
-            self.waiting.clear()
-            rest = [r for r in rows if r.at > mark]
-            if rest:
-                self.waiting.appendValue((json.dumps(rest),))
+        if due is not None and len(due):
+            state = json.loads(data)
+            for block in in_order(due, self.order, self.names):
+                state, out = self.step(state, block)
+                at = block[-1].at
+                yield from in_frames(out, self.columns)
+            self.state.update((at, json.dumps(state)))
             if self.forget is not None:
-                self.handle.registerTimer(max(due[-1].at + self.forget, mark + 1))
-            yield pd.DataFrame(out, columns=self.columns)
-        elif self.forget is not None and at is not None and not rows and at + self.forget <= mark:
+                self.handle.registerTimer(max(at + self.forget, mark + 1))
+        elif self.forget is not None and at is not None and due is None and at + self.forget <= mark:
             self.state.clear()
 
     def close(self):

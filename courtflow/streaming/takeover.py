@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from .held import hold, in_frames, in_order, split
 from .runner import time_of
 
 # order of what happens within one frame: detections see what was open before the frame
@@ -35,7 +36,7 @@ def _names(schema):
 def _given(rows, schema, timerValues):
     """Output rows, stamped just after the watermark, where later steps will not take them for late."""
     mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs() + 1, unit="ms")
-    return pd.DataFrame([(*r, mark) for r in rows], columns=_names(schema))
+    return in_frames([(*r, mark) for r in rows], _names(schema))
 
 
 class TrackEvents(StatefulProcessor):
@@ -46,54 +47,56 @@ class TrackEvents(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "data string")
+        self.waiting = handle.getListState("waiting", "data binary")
         self.track = handle.getValueState("track", "data string")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows))
-        held = list(zip(*(pdf[c].tolist() for c in ("frame", "kind", "seq", "x", "y", "num", "at"))))
-        self.waiting.appendValue((json.dumps(held),))
-        self.handle.registerTimer(min(r[-1] for r in held))
+        least, _ = hold(self.waiting, rows, ["frame", "kind", "seq", "x", "y", "num", "at"])
+        if least is not None:
+            self.handle.registerTimer(least)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs()
-        rows = [r for (part,) in self.waiting.get() for r in json.loads(part)] if self.waiting.exists() else []
-        due = sorted((r for r in rows if r[-1] <= mark), key=lambda r: (r[0], "drz".index(r[1]), r[2]))
-        rest = [r for r in rows if r[-1] > mark]
+        due, rest = split(self.waiting, mark)
         state = json.loads(self.track.get()[0]) if self.track.exists() else {"counts": {}, "lock": None, "last": None, "open": None}
         out, ended = [], False
-        for frame, kind, seq, x, y, num, _ in due:
-            self._leave(key, state, frame - 1, out)
-            if kind == "d":
-                places = [self._cell(x, y)] + self._worn(state, frame)
-                out += [(key[0], p, frame, SEEN, key[1], seq, x, y, None, None) for p in places]
-                state["last"] = [frame, x, y]
-            elif kind == "r" and state["lock"] is None:
-                state["counts"][num] = state["counts"].get(num, 0) + 1
-                if state["counts"][num] >= self.confirm:
-                    state["lock"], state["counts"] = [num, frame], {}
-                    if state["open"] and frame <= state["open"][0] + self.keep:
-                        out.append(self._entry(key, state["open"], "#" + num, frame))
-            elif kind == "z":
-                ended = True
-                out.append((key[0], "end", frame, OVER, key[1], seq, None, None, None, None))
-        if due or state["last"]:
-            top = time_of(None, mark)
-            if not ended:
-                self._leave(key, state, top, out)
-        self.waiting.clear()
-        if rest:
-            self.waiting.appendValue((json.dumps(rest),))
-            self.handle.registerTimer(min(r[-1] for r in rest))
+        some = due is not None and len(due) > 0
+        if some:
+            due = due.assign(rank=due["kind"].map({"d": 0, "r": 1, "z": 2}))
+            for block in in_order(due, ["frame", "rank", "seq"], ["frame", "kind", "seq", "x", "y", "num"]):
+                for frame, kind, seq, x, y, num in block:
+                    ended = self._taken(key, state, frame, kind, seq, x, y, num, out) or ended
+                yield from _given(out, _EVENT, timerValues)
+                out = []
+        if (some or state["last"]) and not ended:
+            self._leave(key, state, time_of(None, mark), out)
+        if rest is not None:
+            self.handle.registerTimer(rest)
         if ended:
             self.track.clear()
         else:
             self.track.update((json.dumps(state),))
             if state["last"]:
                 self.handle.registerTimer(time_of(state["last"][0] + 1))
-        if out:
-            yield _given(out, _EVENT, timerValues)
+        yield from _given(out, _EVENT, timerValues)
+
+    def _taken(self, key, state, frame, kind, seq, x, y, num, out):
+        """One row of the track; true at the end of its game."""
+        self._leave(key, state, frame - 1, out)
+        if kind == "d":
+            places = [self._cell(x, y)] + self._worn(state, frame)
+            out += [(key[0], p, frame, SEEN, key[1], seq, x, y, None, None) for p in places]
+            state["last"] = [frame, x, y]
+        elif kind == "r" and state["lock"] is None:
+            state["counts"][num] = state["counts"].get(num, 0) + 1
+            if state["counts"][num] >= self.confirm:
+                state["lock"], state["counts"] = [num, frame], {}
+                if state["open"] and frame <= state["open"][0] + self.keep:
+                    out.append(self._entry(key, state["open"], "#" + num, frame))
+        elif kind == "z":
+            out.append((key[0], "end", frame, OVER, key[1], seq, None, None, None, None))
+        return kind == "z"
 
     def _leave(self, key, state, upto, out):
         """The track is lost if it was not seen in the frame after its last one, and that frame lies behind."""
@@ -140,32 +143,33 @@ class Meetings(StatefulProcessor):
         self.open = handle.getMapState("open", "tid long", "lost long, x double, y double, until long")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows))
-        columns = [pdf[c].tolist() for c in ("frame", "kind", "tid", "seq", "x", "y", "since", "until")]
+        names = ["frame", "kind", "tid", "seq", "x", "y", "since", "until"]
+        pdf = pd.concat([part[names] for part in rows], ignore_index=True)
         number = key[1].startswith("#")
         held = {k[0]: tuple(v) for k, v in self.open.iterator()} if self.open.exists() else {}
         before, met, out = dict(held), {}, []
-        for frame, kind, tid, seq, x, y, since, until in sorted(zip(*columns), key=lambda r: (r[0], r[1], r[2])):
-            if kind == SEEN:
-                for old, (lost, ex, ey, last) in held.items():
-                    gap = math.sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey))
-                    if frame <= last and (number or gap < self.reach) and met.get((tid, old)) != lost:
-                        met[tid, old] = lost
-                        out.append((key[0], frame, int(seq), tid, -1.0 if number else gap, lost, old, last, False))
-            elif kind == ANEW:
-                held.pop(tid, None)
-            elif kind == LOST:
-                held[tid] = (int(since), x, y, int(until))
-            else:
-                out.append((key[0], frame, 0, tid, 0.0, 0, 0, 0, True))
+        for block in in_order(pdf, ["frame", "kind", "tid"], names):
+            for frame, kind, tid, seq, x, y, since, until in block:
+                if kind == SEEN:
+                    for old, (lost, ex, ey, last) in held.items():
+                        gap = math.sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey))
+                        if frame <= last and (number or gap < self.reach) and met.get((tid, old)) != lost:
+                            met[tid, old] = lost
+                            out.append((key[0], frame, int(seq), tid, -1.0 if number else gap, lost, old, last, False))
+                elif kind == ANEW:
+                    held.pop(tid, None)
+                elif kind == LOST:
+                    held[tid] = (int(since), x, y, int(until))
+                else:
+                    out.append((key[0], frame, 0, tid, 0.0, 0, 0, 0, True))
+            yield from _given(out, _CONTACT, timerValues)
+            out = []
         for tid in before.keys() - held.keys():
             self.open.removeKey((tid,))
         for tid, entry in held.items():
             if before.get(tid) != entry:
                 self.open.updateValue((tid,), entry)
                 self.handle.registerTimer(time_of(entry[3] + 1))
-        if out:
-            yield _given(out, _CONTACT, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         top = time_of(None, timerValues.getCurrentWatermarkInMs())
@@ -187,9 +191,7 @@ class Choices(StatefulProcessor):
         self.taken = handle.getMapState("taken", "old long, lost long", "until long")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows))
-        columns = [pdf[c].tolist() for c in ("over", "frame", "seq", "tid", "gap", "lost_frame", "old_tid", "until")]
-        out, over = [], False
+        names = ["over", "frame", "seq", "tid", "gap", "lost_frame", "old_tid", "until"]
         asked = {"done": {}, "taken": {}}  # each key is looked up once
 
         def used(name, item):
@@ -197,15 +199,25 @@ class Choices(StatefulProcessor):
                 asked[name][item] = getattr(self, name).containsKey(item)
             return asked[name][item]
 
-        for ended, frame, _, tid, _, lost, old, until in sorted(zip(*columns)):
-            if ended:
-                over = True
-            elif not used("done", (tid,)) and not used("taken", (old, lost)):
-                asked["done"][tid,] = asked["taken"][old, lost] = True
-                self.done.updateValue((tid,), (frame,))
-                self.taken.updateValue((old, lost), (until,))
-                self.handle.registerTimer(time_of(until + 1))
-                out.append((key[0], tid, frame, old, lost))
+        parts, out, over = [], [], False
+        for pdf in rows:
+            over = over or bool(pdf["over"].any())
+            # contacts of a track that has taken an entry go before they take up any memory
+            open_ = [t for t in pdf["tid"].unique().tolist() if not used("done", (t,))]
+            parts.append(pdf.loc[~pdf["over"].astype(bool) & pdf["tid"].isin(open_), names[1:]])
+        pdf = pd.concat(parts, ignore_index=True)
+        left = set(pdf["tid"].unique().tolist())
+        for block in in_order(pdf, ["frame", "seq", "tid", "gap", "lost_frame", "old_tid", "until"], names[1:]):
+            for frame, _, tid, _, lost, old, until in block:
+                if not used("done", (tid,)) and not used("taken", (old, lost)):
+                    asked["done"][tid,] = asked["taken"][old, lost] = True
+                    left.discard(tid)
+                    self.done.updateValue((tid,), (frame,))
+                    self.taken.updateValue((old, lost), (until,))
+                    self.handle.registerTimer(time_of(until + 1))
+                    out.append((key[0], tid, frame, old, lost))
+            if not left:
+                break
         if over:
             self.done.clear()
             self.taken.clear()
