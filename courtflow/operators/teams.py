@@ -1,5 +1,7 @@
 """Numbers, teams and colours of tracked players."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -80,7 +82,7 @@ def team_kmeans(features, columns=("hue", "sat"), seed=7, starts=10, rounds=100)
     """Two teams from colour features: the best of ``starts`` k-means runs, clusters in the order of their centres.
 
     All runs go side by side: a round is one pass over the features, which sums them per run and centre before anything
-    is shuffled. First centres are drawn by hashes of ``seed`` and the features: any row, and one by its squared
+    is shuffled, for the runs whose centres still move. First centres are drawn by hashes of ``seed`` and the features: any row, and one by its squared
     distance from it. A run that finds an empty cluster keeps that centre; rounds end when no centre moves, or after
     ``rounds``. ``columns`` are numbers, or one array of numbers (a histogram); rows with a null in them have no team.
     """
@@ -91,10 +93,15 @@ def team_kmeans(features, columns=("hue", "sat"), seed=7, starts=10, rounds=100)
     centers = _first_centers(known, seed, starts)
     if not centers:
         return features.withColumn("team", F.lit(None).cast("int"))
+    live = list(range(len(centers)))
     for _ in range(rounds):
-        before, centers = centers, _moved(known, centers)
-        steps = [abs(p - q) for a, b in zip(before, centers) for c, e in zip(a, b) for p, q in zip(c, e)]
-        if max(steps) <= 1e-9 * max(abs(v) for pair in centers for c in pair for v in c):
+        before, now = [centers[k] for k in live], _moved(known, [centers[k] for k in live])
+        for k, pair in zip(live, now):
+            centers[k] = pair
+        least = 1e-9 * max(abs(v) for pair in centers for c in pair for v in c)
+        step = lambda a, b: max(abs(p - q) for c, e in zip(a, b) for p, q in zip(c, e))
+        live = [k for k, a, b in zip(live, before, now) if not step(a, b) <= least]
+        if not live:
             break
     best = min(_costs(known, centers))[1]
     pair = sorted(centers[best])
@@ -122,14 +129,35 @@ def _first_centers(known, seed, starts):
 
 def _moved(known, centers):
     """The centres of all runs after one round: means of the rows nearest to each, the first one on a tie."""
-    runs = F.array(*[
-        F.struct(F.lit(k).alias("run"), F.when(_apart(a) <= _apart(b), 0).otherwise(1).alias("side"))
-        for k, (a, b) in enumerate(centers)
-    ])
-    sums = [F.avg(F.col("__x")[i]).alias(f"m{i}") for i in range(len(centers[0][0]))]
+    size = len(centers[0][0])
+
+    def apart(x, center):
+        total = np.zeros(x.shape[1])
+        for i, v in enumerate(center):  # summed in the order of ``_apart``
+            total += (x[i] - v) * (x[i] - v)
+        return total
+
+    def sums(frames):
+        n, total = np.zeros((len(centers), 2), dtype="int64"), np.zeros((len(centers), 2, size))
+        for pdf in frames:
+            if len(pdf):
+                x = np.ascontiguousarray(np.stack(pdf["__x"].to_numpy()).T)
+                for k, (a, b) in enumerate(centers):
+                    near, far = apart(x, a), apart(x, b)
+                    first = (near <= far) | np.isnan(far)  # nothing is greater than nan
+                    for side, mine in enumerate((first, ~first)):
+                        n[k, side] += mine.sum()
+                        total[k, side] += x[:, mine].sum(axis=1)
+        yield pd.DataFrame(
+            [(k, side, int(n[k, side]), total[k, side].tolist()) for k in range(len(centers)) for side in (0, 1) if n[k, side]],
+            columns=["run", "side", "n", "total"],
+        )
+
+    parts = known.select("__x").mapInPandas(sums, "run int, side int, n bigint, total array<double>")
+    means = [(F.sum(F.col("total")[i]) / F.sum("n")).alias(f"m{i}") for i in range(size)]
     out = [[list(c) for c in pair] for pair in centers]
-    for r in known.select("__x", F.explode(runs).alias("r")).groupBy("r.run", "r.side").agg(*sums).collect():
-        out[r.run][r.side] = [r[f"m{i}"] for i in range(len(sums))]
+    for r in parts.groupBy("run", "side").agg(*means).collect():
+        out[r.run][r.side] = [r[f"m{i}"] for i in range(size)]
     return out
 
 
