@@ -29,6 +29,11 @@ def slice_of(order, size=SLICE):
     return F.floor(F.col(order) / F.lit(size)).cast("bigint")
 
 
+def dealt(work, per_task):
+    """Number of tasks for ``work`` rows to come at about ``per_task`` each, however few bytes they are made from."""
+    return max(1, -(-int(work) // per_task))
+
+
 def halo(df, order="frame", before=0, after=0, size=SLICE, name="slice"):
     """Give every slice the rows up to ``before`` ahead of it and ``after`` behind it.
 

@@ -17,7 +17,7 @@ from ..functions.geometry import (
     trunc,
 )
 from ..functions.settle import settle
-from ..functions.slices import halo, numbered, own, row_blocks, running, slice_of
+from ..functions.slices import dealt, halo, numbered, own, row_blocks, running, slice_of
 from ..session import staged
 
 # Fixed values of the ball rules; pixel values hold for a 1920 wide frame and are scaled.
@@ -391,6 +391,7 @@ def gap_fill(boxes, profile="export", most=MAX_FILL):
     return seen.unionByName(filled)
 
 
+SIGHTINGS_PER_TASK = 32_768
 _STATE = ["x", "vx", "y", "vy", "p00", "p01", "p11"]
 
 
@@ -430,21 +431,28 @@ def _kalman_taken(state, z, jump):
     return F.when(state["frame"].isNull() | jumped, fresh).otherwise(F.transform(named, taken)[0])
 
 
-def kalman_smooth(boxes, profile="strict", size=2048, tolerance=1e-9):
+def kalman_smooth(boxes, profile="strict", size=512, warm=128, tolerance=1e-9):
     """Constant-velocity Kalman filter over the sightings of each game, in column expressions.
 
-    Each block of ``size`` sightings is walked on its own, at first as if it were the beginning. A block that did not start
-    from what the block before really ended with, within ``tolerance``, is walked again from there, until all
-    blocks agree; as a filter forgets, that is mostly one round, but nothing relies on it.
+    Each block of ``size`` sightings is walked on its own, from a guess: what the last ``warm`` sightings before it lead to. A
+    block that did not start from what the block before really ended with, within ``tolerance``, is walked again from
+    there, until all blocks agree; as a filter forgets, the guess is mostly right, but nothing relies on it. Blocks are
+    dealt to tasks by sightings, as walking costs far more than reading.
     """
     jump = TELEPORT[profile]
     rows = boxes.select("game", "frame", center_x().alias("cx"), center_y().alias("cy"))
-    rows = row_blocks(rows, ["game"], size=size)
-    blocks = rows.groupBy("game", "block").agg(F.array_sort(F.collect_list(F.struct("frame", "cx", "cy"))).alias("zs"))
+    rows = row_blocks(rows, ["game"], before=warm, size=size)
+    z = F.struct("frame", "cx", "cy")
+    blocks = rows.groupBy("game", "block").agg(
+        F.array_sort(F.collect_list(F.when(F.col("own"), z))).alias("zs"),
+        F.array_sort(F.collect_list(F.when(~F.col("own"), z))).alias("ahead"),
+    ).where(F.size("zs") > 0)
     blocks = staged(blocks, "sightings")
+    tasks = dealt(blocks.agg(F.sum(F.size("zs"))).first()[0] or 0, SIGHTINGS_PER_TASK)
     kind = "struct<" + ",".join(f"{c}:double" for c in _STATE) + ",frame:bigint>"
 
     def walked(some, turn):
+        some = some.repartition(tasks, "game", "block")
         walk = F.aggregate(
             "zs",
             F.struct("start", F.array().cast(f"array<{kind}>").alias("states")),
@@ -458,7 +466,8 @@ def kalman_smooth(boxes, profile="strict", size=2048, tolerance=1e-9):
         return staged(out, "filtered")
 
     blank = F.struct(*[F.lit(None).cast("double").alias(c) for c in _STATE], F.lit(None).cast("bigint").alias("frame"))
-    done = walked(blocks.withColumn("start", blank), 0)
+    guess = F.aggregate("ahead", blank, lambda state, z: _kalman_taken(state, z, jump))
+    done = walked(blocks.withColumn("start", guess), 0)
     turn, before = 0, Window.partitionBy("game").orderBy("block")
     while True:
         latest = F.max_by(F.struct("start", F.element_at("states", -1).alias("end"), "turn"), "turn").alias("b")
