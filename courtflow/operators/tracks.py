@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import center_x, center_y, d, distance, iou
-from ..functions.slices import halo, own, per_slice, row_blocks, running, slice_of
+from ..functions.slices import dealt, halo, own, per_slice, row_blocks, running, slice_of
 from ..session import staged
 
 # Fixed values of the track rules (frames, pixels).
@@ -15,6 +15,8 @@ EXIT_DIST = 80
 REID_FRAMES, REID_DIST = 600, 300
 VELOCITY_ROWS = 5
 GHOST_AGE = 30  # half a second at 60 frames/s
+GHOSTS_PER_TASK = 1_000_000
+PAIRS_PER_TASK = 2_000_000  # of a detection and a lost entry of one time bin
 
 
 def meeting_boxes(a, b, extra=None, cell=128):
@@ -140,17 +142,24 @@ def exit_match(dets, episodes, reach=EXIT_DIST):
     )
 
 
-def _with_next(dets, reach):
-    """Each sighting with the track's next one, if that lies within ``reach`` frames."""
+def _with_next(dets, reach, tasks=None):
+    """Each sighting with the track's next one, if that lies within ``reach`` frames; in ``tasks`` parts, if given."""
     w = Window.partitionBy("game", "tid", "slice").orderBy("frame")
-    rows = halo(dets, after=reach).withColumn("next", F.lead("frame").over(w))
+    rows = halo(dets, after=reach)
+    if tasks is not None:
+        rows = rows.repartition(tasks, "game", "tid", "slice")
+    rows = rows.withColumn("next", F.lead("frame").over(w))
     last = per_slice(dets, ["game"], "frame", last=F.max("frame"))
     return own(rows).join(last, ["game", "slice"]).drop("slice")
 
 
 def ghost_tracks(dets, max_age=GHOST_AGE):
-    """Ghost rows of a track for up to ``max_age`` frames after it was last seen."""
-    rows = _with_next(dets.select("game", "frame", "tid", "x1", "y1", "x2", "y2"), max_age + 1)
+    """Ghost rows of a track for up to ``max_age`` frames after it was last seen.
+
+    A sighting becomes up to ``max_age`` rows, so tasks are dealt by the rows to come, not by those read.
+    """
+    tasks = dealt(dets.count() * max_age, GHOSTS_PER_TASK)
+    rows = _with_next(dets.select("game", "frame", "tid", "x1", "y1", "x2", "y2"), max_age + 1, tasks)
     until = F.least(F.col("next") - 1, F.col("frame") + max_age, F.col("last"))
     rows = rows.withColumn("until", until).where(F.col("until") > F.col("frame"))
     at = F.explode(F.sequence(F.col("frame") + 1, F.col("until")))
@@ -184,30 +193,35 @@ def reid_candidates(dets, lost, reach=REID_DIST, keep=REID_FRAMES):
     """First frame at which each track comes within ``reach`` of each lost entry.
 
     Later frames of the same pair cannot change the outcome: at the first one either the
-    track takes something over or the entry is gone.  Matched by time bins as long as an
-    entry lives and grid cells as wide as the reach.
+    track takes something over or the entry is gone.  An entry lies in the time bin (as long as an
+    entry lives) in which it was lost and a detection is handed to its own bin and the one before, so all that an
+    entry meets is found in one bin; inside, they are matched by grid cells as wide as the reach.
+    Bins are dealt to tasks by the pairs in them.
     """
     grid = lambda c: F.floor(F.col(c) / reach).cast("int")
+    at = slice_of("frame", keep)
     seen = dets.select(
         "game", "tid", "frame", "seq", center_x().alias("x"), center_y().alias("y")
-    ).withColumns({"bin": slice_of("frame", keep), "gx": grid("x"), "gy": grid("y")})
-    near = lambda c: F.explode(F.sequence(grid(c) - 1, grid(c) + 1))
-    entry = (
-        _open_until(lost, keep)
-        .withColumnRenamed("tid", "old_tid")
-        .withColumn("bin", F.explode(F.sequence(
-            F.floor((F.col("lost_frame") + 1) / keep).cast("bigint"),
-            F.floor(F.col("until") / keep).cast("bigint"))))
-        .withColumn("gx", near("cx"))
-        .withColumn("gy", near("cy"))
+    ).withColumn("bin", F.explode(F.array(at, at - 1)))
+    entry = staged(
+        _open_until(lost, keep).withColumnRenamed("tid", "old_tid").withColumn("bin", slice_of("lost_frame", keep)),
+        "open-entries",
     )
+    sizes = seen.groupBy("game", "bin").agg(F.count("*").alias("n")).join(
+        entry.groupBy("game", "bin").agg(F.count("*").alias("m")), ["game", "bin"]
+    )
+    pairs = sizes.agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    tasks = dealt(pairs or 0, PAIRS_PER_TASK)
+    near = lambda c: F.explode(F.sequence(grid(c) - 1, grid(c) + 1))
+    seen = seen.repartition(tasks, "game", "bin").withColumns({"gx": grid("x"), "gy": grid("y")})
+    entry = entry.repartition(tasks, "game", "bin").withColumn("gx", near("cx")).withColumn("gy", near("cy"))
     gap = distance("x", "y", "cx", "cy")
     hits = seen.join(entry, ["game", "bin", "gx", "gy"]).where(
         (F.col("frame") > F.col("lost_frame")) & (F.col("frame") <= F.col("until")) & (gap < reach)
     )
-    return hits.groupBy("game", "tid", "old_tid", "lost_frame").agg(
+    return hits.groupBy("game", "bin", "tid", "old_tid", "lost_frame").agg(
         F.min("frame").alias("frame"), F.min_by("seq", "frame").alias("seq"), F.min_by(gap, "frame").alias("gap")
-    )
+    ).drop("bin")
 
 
 def _number_contacts(dets, lost, locks, keep=REID_FRAMES):
@@ -258,6 +272,41 @@ def _first_contacts(contacts):
     )
 
 
+def _contacts_that_count(dets, lost, locks, first=REID_FRAMES, grow=8):
+    """Contacts of each track from its beginning on, until there are as many as tracks in its game or it ends.
+
+    Detections are taken stretch by stretch of a track's life, each ``grow`` times as long as all before, and only
+    of tracks that have not met enough entries yet; so contacts written grow with those needed, and there are few stretches.
+    """
+    dets, lost = dets.select("game", "frame", "seq", "tid", "x1", "y1", "x2", "y2"), staged(lost, "lost")
+    lives = dets.groupBy("game", "tid").agg(F.min("frame").alias("born"), F.max("frame").alias("end"))
+    rivals = lives.groupBy("game").agg(F.count("*").alias("rivals"))
+    lives = staged(lives.join(rivals, "game"), "lives")
+    found, asked, lo, hi = None, lives, 0, first
+    while True:
+        life = asked.select("game", "tid", "born")
+        age = F.col("frame") - F.col("born")
+        some = dets.join(life, ["game", "tid"]).where((age >= lo) & (age < hi)).drop("born")
+        some = staged(some, "stretch")
+        bins = some.select("game", F.floor(F.col("frame") / REID_FRAMES).alias("bin"))
+        bins = bins.unionByName(bins.withColumn("bin", F.col("bin") - 1)).distinct()
+        # an entry lives for as long as a bin; the next loss of its track may cut it, so those of the bin after count as well
+        bins = bins.unionByName(bins.withColumn("bin", F.col("bin") + 1)).distinct()
+        near = lost.withColumn("bin", F.floor(F.col("lost_frame") / REID_FRAMES)).join(bins, ["game", "bin"], "left_semi")
+        near = near.drop("bin")
+        new = reid_candidates(some, near)
+        if locks is not None:
+            new = new.unionByName(_number_contacts(some, near, locks))
+        new = staged(_first_contacts(new), "contacts")
+        found = new if found is None else staged(_first_contacts(found.unionByName(new)), "contacts")
+        met = found.groupBy("game", "tid").agg(F.count("*").alias("met"))
+        asked = lives.where(F.col("end") - F.col("born") >= hi).join(met, ["game", "tid"], "left")
+        asked = staged(asked.where(F.coalesce("met", F.lit(0)) < F.col("rivals")).drop("met"), "unmet")
+        if asked.isEmpty():
+            return found
+        lo, hi = hi, hi * grow
+
+
 def reid_match(dets, lost, locks=None):
     """Which lost track each track takes over: (game, tid, frame, old_tid, lost_frame).
 
@@ -268,10 +317,7 @@ def reid_match(dets, lost, locks=None):
     succeed, and later ones can be left out without loss.  The rest is cut into groups at
     frames that no track's and no entry's contacts span; each group is walked on its own.
     """
-    contacts = reid_candidates(dets, lost)
-    if locks is not None:
-        contacts = contacts.unionByName(_number_contacts(dets, lost, locks))
-    contacts = staged(_first_contacts(contacts), "contacts")
+    contacts = _contacts_that_count(dets, lost, locks)
     rivals = per_slice(contacts, ["game"], "frame", rivals=F.count_distinct("tid"))
     w = Window.partitionBy("game", "tid").orderBy("frame")
     contacts = contacts.withColumns({"rk": F.rank().over(w), "slice": slice_of("frame")})
