@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -45,6 +46,21 @@ def tune(spark):
     return spark
 
 
+@contextmanager
+def grouped_in_order(spark):
+    """Groups of rows that are sorted by their keys already are aggregated in that order, in one pass.
+
+    For what is written inside, as plans are made then; the setting is put back afterwards.
+    """
+    name = "spark.sql.execution.replaceHashWithSortAgg"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def staged(df, name):
     """Write an intermediate table to the shared work folder and go on from there.
 

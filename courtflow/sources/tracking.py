@@ -8,6 +8,7 @@ long games stay splittable; a whole game in one multi-line file is read as well.
 from pyspark.sql import functions as F
 
 from ..functions.geometry import center_x, center_y, trunc
+from ..session import grouped_in_order
 
 BOX = "center ARRAY<BIGINT>, box ARRAY<BIGINT>"
 FRAME = (
@@ -23,40 +24,38 @@ DOCUMENT = (
     f"frames MAP<STRING, STRUCT<{NESTED}>>"
 )
 SIDES = ("x1", "y1", "x2", "y2")
-KINDS = "array<struct<kind:string,id:bigint,cx:bigint,cy:bigint,x1:bigint,y1:bigint,x2:bigint,y2:bigint,team:bigint>>"
 
 
-def _boxed():
-    center = F.array(trunc(center_x()), trunc(center_y()))
-    return [center.alias("center"), F.array(*[trunc(c) for c in SIDES]).alias("box")]
+def frame_records(balls, hoops, players, stretch=4096):
+    """One nested record per frame, with the ``part`` of ``stretch`` frames it lies in.
 
-
-def frame_records(balls, hoops, players):
-    """One nested record per frame, from a union and one grouping by (game, frame)."""
-    box = "struct<center:array<bigint>,box:array<bigint>>"
-    player = "struct<tid:bigint,center:array<bigint>,box:array<bigint>,team:bigint>"
-    null = lambda t: F.lit(None).cast(t)
-    hoop = f"struct<idx:bigint,v:{box}>"
+    Objects cross one exchange, flat and whole parts to a task; records, and documents of them, are
+    then grouped in the order the rows are sorted in.
+    """
+    flat = lambda df, kind, id_, team: df.select(
+        "game", "frame", F.lit(kind).alias("kind"), id_.cast("bigint").alias("id"), team.cast("bigint").alias("team"),
+        trunc(center_x()).alias("cx"), trunc(center_y()).alias("cy"), *[trunc(c).alias(c) for c in SIDES],
+    )
+    none = F.lit(None)
     rows = (
-        balls.select("game", "frame", F.struct(*_boxed()).alias("b"), null(hoop).alias("h"), null(player).alias("p"))
-        .unionByName(
-            hoops.select(
-                "game", "frame", null(box).alias("b"),
-                F.struct("idx", F.struct(*_boxed()).alias("v")).alias("h"), null(player).alias("p"),
-            )
-        )
-        .unionByName(
-            players.select(
-                "game", "frame", null(box).alias("b"), null(hoop).alias("h"),
-                F.struct("tid", *_boxed(), "team").alias("p"),
-            )
-        )
+        flat(balls, 0, none, none)
+        .unionByName(flat(hoops, 1, F.col("idx"), none))
+        .unionByName(flat(players, 2, F.col("tid"), F.col("team")))
     )
-    return rows.groupBy("game", "frame").agg(
-        F.max("b").alias("ball"),
-        F.array_sort(F.collect_list("h")).alias("h"),
-        F.array_sort(F.collect_list("p")).alias("players"),
-    ).select("game", "frame", "ball", F.col("h.v").alias("hoops"), "players")
+    key = ["part", "game", "frame"]
+    rows = rows.withColumn("part", F.floor(F.col("frame") / stretch)).repartition("part", "game").sortWithinPartitions(*key)
+    boxed = [F.array("cx", "cy").alias("center"), F.array(*SIDES).alias("box")]
+    of = lambda kind, *fields: F.when(F.col("kind") == kind, F.struct(*fields))
+    # built before the grouping, where expressions compile
+    rows = rows.select(
+        *key,
+        of(0, *boxed).alias("b"),
+        of(1, F.col("id").alias("idx"), F.struct(*boxed).alias("v")).alias("h"),
+        of(2, F.col("id").alias("tid"), *boxed, "team").alias("p"),
+    )
+    return rows.groupBy(*key).agg(
+        F.max("b").alias("ball"), F.sort_array(F.collect_list("h")).alias("h"), F.sort_array(F.collect_list("p")).alias("players")
+    ).select("game", "frame", "part", "ball", F.col("h.v").alias("hoops"), "players")
 
 
 def write_frame_lines(records, path):
@@ -64,24 +63,32 @@ def write_frame_lines(records, path):
     line = F.to_json(
         F.struct("game", "frame", "ball", "hoops", "players"), {"ignoreNullFields": "false"}
     )
-    records.select(line.alias("value")).write.text(path)
+    with grouped_in_order(records.sparkSession):
+        records.select(line.alias("value")).write.text(path)
 
 
-def write_documents(records, path, fps=60.0, width=1280, height=720, stretch=4096):
-    """Documents of ``stretch`` frames each, so no record grows with the game."""
-    part = F.floor(F.col("frame") / stretch).alias("part")
+def documents(records, fps=60.0, width=1280, height=720):
+    """A document for each part of a game, frames in order, so no record grows with the game."""
     entry = F.struct(F.col("frame").cast("string"), F.struct("ball", "hoops", "players"))
-    docs = records.groupBy("game", part).agg(
-        F.map_from_entries(F.collect_list(entry)).alias("frames"), F.count("*").alias("total_frames")
+    key = ["part", "game"]
+    rows = records.select(*key, "frame", entry.alias("entry")).sortWithinPartitions(*key, "frame")
+    docs = rows.groupBy(*key).agg(
+        F.map_from_entries(F.collect_list("entry")).alias("frames"), F.count("*").alias("total_frames")
     )
-    docs.select(
+    return docs.select(
         F.concat(F.lit("game_"), F.col("game").cast("string")).alias("video"),
         F.lit(fps).alias("fps"),
         F.lit(width).alias("frame_width"),
         F.lit(height).alias("frame_height"),
         "total_frames",
         "frames",
-    ).write.option("ignoreNullFields", "false").json(path)
+    )
+
+
+def write_documents(records, path, **head):
+    docs = documents(records, **head)
+    with grouped_in_order(records.sparkSession):
+        docs.write.option("ignoreNullFields", "false").json(path)
 
 
 def read_documents(spark, path, multi_line=False):
@@ -98,19 +105,26 @@ def read_objects(spark, path, multi_line=False):
     parsed once, whatever the number of kinds asked for; a filter on ``kind`` comes after that.
     """
 
-    def thing(kind, o, id_, team=None):
-        at = lambda k, i: F.get(o[k], i)
-        return F.struct(
-            F.lit(kind).alias("kind"), id_.cast("bigint").alias("id"),
-            at("center", 0).alias("cx"), at("center", 1).alias("cy"),
-            *[at("box", i).alias(s) for i, s in enumerate(SIDES)],
-            (F.lit(None) if team is None else team).cast("bigint").alias("team"),
-        )
-
-    ball = F.when(F.col("ball").isNotNull(), F.array(thing("ball", F.col("ball"), F.lit(0))))
-    hoops = F.transform("hoops", lambda o, i: thing("hoop", o, i))
-    players = F.transform("players", lambda o: thing("player", o, o["tid"], o["team"]))
-    none = F.array().cast(KINDS)
-    every = F.concat(*[F.coalesce(a, none) for a in (ball, hoops, players)])
+    c = F.col
+    size = lambda a: F.coalesce(F.when(c(a).isNotNull(), F.size(a)), F.lit(0))
     frames = read_documents(spark, path, multi_line)
-    return frames.select("video", "frame", F.explode(every).alias("o")).select("video", "frame", "o.*")
+    frames = frames.withColumns({"nb": c("ball").isNotNull().cast("int"), "nh": size("hoops"), "np": size("players")})
+    # counted instead of transformed: positions and picks compile, lambdas do not
+    every = frames.select("*", F.posexplode(F.array_repeat(F.lit(True), c("nb") + c("nh") + c("np"))).alias("i", "one"))
+    h, p = c("i") - c("nb"), c("i") - c("nb") - c("nh")
+    is_ball, is_hoop = h < 0, p < 0
+    pick = lambda ball, hoop, player: F.when(is_ball, ball).when(is_hoop, hoop).otherwise(player)
+    box = lambda o: F.struct(o["center"].alias("center"), o["box"].alias("box"))
+    player = F.get("players", p)
+    every = every.select(
+        "video", "frame",
+        pick(F.lit("ball"), F.lit("hoop"), F.lit("player")).alias("kind"),
+        pick(F.lit(0).cast("bigint"), h.cast("bigint"), player["tid"]).alias("id"),
+        pick(box(c("ball")), box(F.get("hoops", h)), box(player)).alias("o"),
+        F.when(~is_ball & ~is_hoop, player["team"]).alias("team"),
+    )
+    at = lambda k, i: F.get(c("o")[k], F.lit(i))
+    return every.select(
+        "video", "frame", "kind", "id", at("center", 0).alias("cx"), at("center", 1).alias("cy"),
+        *[at("box", i).alias(s) for i, s in enumerate(SIDES)], "team",
+    )

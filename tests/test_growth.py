@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from courtflow.operators import ball, teams, tracks
 from courtflow.plans.inputs import Inputs
+from courtflow.session import grouped_in_order
+from courtflow.sources import tracking
 from courtflow.streaming.held import BLOCK, in_frames, in_order
 from courtflow.streaming.stateful import Walk, ghost_step
 from tests.test_rules import brute_reid
@@ -105,3 +107,31 @@ def test_rows_are_walked_and_given_in_bounded_blocks():
         state, out = step(state, block)
         sizes += [len(part) for part in in_frames(out, ["game", "frame", "tid", "x1", "y1", "x2", "y2", "age"])]
     assert sum(sizes) == 30 * (n - 1) and max(sizes) <= 10_000 and Walk is not None
+
+
+def test_documents_cross_one_exchange_and_come_back_whole(spark, tmp_path):
+    """Objects move once, are grouped in the order of that sort, and are read back without lambdas."""
+    box = "x1 double, y1 double, x2 double, y2 double"
+    balls = spark.createDataFrame([(0, f, 10.0, 20.0, 13.0, 21.0) for f in range(0, 90, 2)], f"game bigint, frame bigint, {box}")
+    hoops = [(g, f, i, 1.0 + i, 2.0, 3.0, 4.0) for g in (0, 1, None) for f in range(0, 90, 3) for i in (1, 0, 0)]
+    players = [(1, f, t, 5.5, 6.0, 7.0, -8.5, t if t else None) for f in range(90) for t in (12, 0, 7)]
+    hoops = spark.createDataFrame(hoops, f"game bigint, frame bigint, idx bigint, {box}")
+    players = spark.createDataFrame(players, f"game bigint, frame bigint, tid bigint, {box}, team bigint")
+    records = tracking.frame_records(balls, hoops, players, stretch=16)
+    with grouped_in_order(spark):
+        plan = tracking.documents(records)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("SortAggregate") == 2 and "HashAggregate" not in plan
+        assert plan.count("Sort [") == 1  # the second grouping uses the order of the first
+    assert spark.conf.get("spark.sql.execution.replaceHashWithSortAgg") == "false"
+    path = str(tmp_path / "docs")
+    tracking.write_documents(records, path)
+    objects = tracking.read_objects(spark, path)
+    assert "lambda" not in objects._jdf.queryExecution().executedPlan().toString()
+    got = sorted((int(r.video[-1]), *r[1:]) for r in objects.where("video IS NOT NULL").collect())
+    want = [(0, f, "ball", 0, 11, 20, 10, 20, 13, 21, None) for f in range(0, 90, 2)]
+    for g in (0, 1):
+        for f in range(0, 90, 3):
+            want += [(g, f, "hoop", k, 2, 3, 1 + i, 2, 3, 4, None) for k, i in enumerate((0, 0, 1))]
+    want += [(1, f, "player", t, 6, -1, 5, 6, 7, -8, t or None) for f in range(90) for t in (0, 7, 12)]
+    assert got == sorted(want) and objects.where("video IS NULL").count() == 90
+    assert spark.read.json(path).count() == 3 * 6  # a document per part
