@@ -59,13 +59,16 @@ def board_crashes(shots, players):
         F.count("*").alias("votes"),
         F.min("frame").alias("first"),
         F.max("frame").alias("last"),
-        F.min_by(F.struct("cx", "cy", "hoop_x", "hoop_y"), "frame").alias("a"),
-        F.max_by(F.struct("cx", "cy"), "frame").alias("b"),
+        # column by column, as numbers can be aggregated by hashing
+        *[F.min_by(c, "frame").alias(f"a_{c}") for c in ("cx", "cy", "hoop_x", "hoop_y")],
+        *[F.max_by(c, "frame").alias(f"b_{c}") for c in ("cx", "cy")],
     )
+    a = F.struct(*[F.col(f"a_{c}").alias(c) for c in ("cx", "cy", "hoop_x", "hoop_y")])
+    b = F.struct(*[F.col(f"b_{c}").alias(c) for c in ("cx", "cy")])
     rank = F.when(F.col("team").isNotNull(), F.struct("votes", -F.col("first")))
     ends = per_vote.groupBy(*shot_player).agg(
-        F.min_by("a", "first").alias("a"),
-        F.max_by("b", "last").alias("b"),
+        F.min_by(a, "first").alias("a"),
+        F.max_by(b, "last").alias("b"),
         F.max_by("team", rank).alias("team"),
     )
     start = distance("a.cx", "a.cy", "a.hoop_x", "a.hoop_y")

@@ -28,6 +28,7 @@ OVERLAY = 90
 PROB_KEEP, PROB_NEW = 0.85, 0.15
 
 KEY = ["game", "flight"]
+NEAR = ["dist", "n", "frame"]
 
 
 def ball_trajectory(balls, hoops):
@@ -41,12 +42,8 @@ def ball_trajectory(balls, hoops):
     return balls.join(first, ["game", "frame"], "left")
 
 
-def flight_points(points, size=4096):
-    """Points with their flight, their number ``n`` in the game and one-step motion.
-
-    ``n`` counts points of the game and ``hn`` those with a hoop, so differences of
-    them are positions inside a flight.  ``arc`` marks the upward-to-level turn.
-    """
+def _motion(points, size):
+    """Points of each slice with their one-step motion; ``start`` begins a flight, ``arc`` marks the upward-to-level turn."""
     w = Window.partitionBy("game", "slice").orderBy("frame")
     dt = F.col("frame") - F.lag("frame").over(w)
     rows = halo(
@@ -74,9 +71,17 @@ def flight_points(points, size=4096):
             ),
         }
     )
-    rows = own(rows).withColumn("vy_prev", F.when(~F.col("start"), F.col("vy_prev")))
+    return own(rows).withColumn("vy_prev", F.when(~F.col("start"), F.col("vy_prev")))
+
+
+def flight_points(points, size=4096):
+    """Points with their flight, their number ``n`` in the game and one-step motion.
+
+    ``n`` counts points of the game and ``hn`` those with a hoop, so differences of
+    them are positions inside a flight.
+    """
     return running(
-        rows,
+        _motion(points, size),
         ["game"],
         ["frame"],
         {
@@ -87,16 +92,79 @@ def flight_points(points, size=4096):
     )
 
 
-def flight_steps(points, size=4096):
-    """Flight points plus the running closest approach and the previous hoop distance."""
-    rows = flight_points(points, size)
-    here = F.when(
-        F.col("dist").isNotNull(),
-        F.struct("dist", "n", "frame"),
+def _pieces(points, size):
+    """What a slice says of its own points: ``piece``, the flight if it starts in the slice, and running values of the
+    slice (``n``, ``hn``) and of the piece (``near``, ``dist_prev``). ``ends`` marks the last point of a slice."""
+    w = Window.partitionBy("game", "slice").orderBy("frame")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = _motion(points, size).where("game IS NOT NULL AND slice IS NOT NULL").withColumns(
+        {
+            "piece": F.last(F.when(F.col("start"), F.col("frame")), ignorenulls=True).over(upto),
+            "n": F.count(F.lit(1)).over(upto),
+            "hn": F.count("dist").over(upto),
+            "ends": F.lead(F.lit(True), 1, False).over(w) == F.lit(False),
+        }
     )
-    rows = running(
-        rows, KEY, ["frame"], {"near": ("min", here), "dist_prev": ("prev", F.col("dist"))}
+    inside = Window.partitionBy("game", "slice", "piece").orderBy("n")
+    here = F.when(F.col("dist").isNotNull(), F.struct("dist", "n", "frame"))
+    return rows.withColumns(
+        {
+            "near": F.min(here).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+            "dist_prev": F.last("dist", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)),
+        }
     )
+
+
+def _counted(near, before):
+    """``near`` with its point counted from the begin of the game instead of the slice."""
+    return F.when(near.isNotNull(), F.struct(near["dist"].alias("dist"), (near["n"] + before).alias("n"), near["frame"].alias("frame")))
+
+
+def _handed_on(pieces):
+    """What each slice takes over, from the last point of each slice: points so far, the flight that goes on and its
+    closest approach and last hoop distance so far."""
+    c = F.col
+    ends = pieces.where("ends").select(
+        "game", "slice", "piece", "n", "hn", "near", F.coalesce("dist", "dist_prev").alias("dist"), slice_of("slice", SLICES).alias("top")
+    )
+    ends = staged(ends, "slice-ends")  # asked for several times below, found by one look at all points
+    specs = {"n_all": ("sum", c("n")), "hn_all": ("sum", c("hn")), "flight": ("prev", c("piece"))}
+    ends = running(ends, ["game"], ["slice"], specs, unit=["top"])
+    ends = ends.withColumns({"n_before": c("n_all") - c("n"), "hn_before": c("hn_all") - c("hn")})
+    # a flight's slices in order; each first asks what the ones before have left, then adds its own
+    both = F.array(
+        F.struct(F.lit(0).alias("at"), c("flight").alias("of"), F.lit(None).alias("near"), F.lit(None).alias("dist")),
+        F.struct(
+            F.lit(1).alias("at"), F.coalesce("piece", "flight").alias("of"), _counted(c("near"), c("n_before")).alias("near"), c("dist").alias("dist")
+        ),
+    )
+    turns = ends.select("game", "slice", "top", "n_before", "hn_before", F.inline(both))
+    specs = {"near_before": ("min", c("near")), "dist_before": ("last", c("dist"))}
+    turns = running(turns, ["game", "of"], ["slice", "at"], specs, unit=["top"]).where("at = 0")
+    return turns.select("game", "slice", c("of").alias("flight"), "n_before", "hn_before", "near_before", "dist_before")
+
+
+def flight_steps(points, size=4096):
+    """Flight points plus the running closest approach and the previous hoop distance.
+
+    Slices are gone through once and written; what they hand on is one small row each.
+    """
+    pieces = staged(_pieces(points, size), "flight-pieces")
+    handed = staged(_handed_on(pieces), "flight-carries")
+    c = F.col
+    on = c("piece").isNull()
+    before = lambda name: F.coalesce(name, F.lit(0))
+    near = _counted(c("near"), before("n_before"))
+    rows = pieces.join(handed, ["game", "slice"], "left")
+    rows = rows.withColumns(
+        {
+            "flight": F.coalesce("piece", "flight"),
+            "near": F.when(on, F.least(near, c("near_before"))).otherwise(near),
+            "dist_prev": F.coalesce("dist_prev", F.when(on, c("dist_before"))),
+            "n": c("n") + before("n_before"),
+            "hn": c("hn") + before("hn_before"),
+        }
+    ).drop("piece", "ends", "n_before", "hn_before", "near_before", "dist_before")
     rebound = (F.col("near.dist") < 40) & (F.col("dist") > F.col("near.dist") + 35)
     return rows.withColumn("stop", F.coalesce(rebound, F.lit(False)))
 
@@ -125,10 +193,11 @@ def flights(steps):
         F.avg("cy").alias("y_avg"),
         F.max((F.col("vy_prev") < -1.5) & (F.col("vy") > -1)).alias("vy_turn"),
         F.min(F.when(F.col("arc"), F.col("n"))).alias("arc_n"),
-        F.min_by("near", stops).alias("near_at_stop"),
-        F.min("near").alias("near_all"),
+        # field by field, as numbers can be aggregated by hashing: at the first stop, and at the last point
+        *[F.min_by(F.col("near")[f], stops).alias(f"near_stop_{f}") for f in NEAR],
+        *[F.max_by(F.col("near")[f], "n").alias(f"near_all_{f}") for f in NEAR],
     )
-    best = F.coalesce("near_at_stop", "near_all")
+    best = {f: F.coalesce(f"near_stop_{f}", f"near_all_{f}") for f in NEAR}
     return per.select(
         *[c for c in per.columns if not c.startswith("near_")],
         (best["n"] - F.col("n0")).alias("best_k"),
@@ -253,7 +322,7 @@ def _final_distance(points_in_flight):
 
 def shot_candidates(points, size=4096):
     """Every flight with the detector that takes it as a shot, or why it is rejected."""
-    inside = staged(flight_steps(points, size), "flight-steps")
+    inside = flight_steps(points, size)
     per = staged(flights(inside), "flights")
     approach = approach_points(inside, per, size)
     rows = per.join(approach_figures(approach), KEY, "left").join(

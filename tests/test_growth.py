@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from courtflow.operators import ball, teams, tracks
+from courtflow.functions import slices
+from courtflow.operators import ball, shots, teams, tracks
 from courtflow.plans.inputs import Inputs
 from courtflow.session import grouped_in_order
 from courtflow.sources import tracking
@@ -135,3 +137,49 @@ def test_documents_cross_one_exchange_and_come_back_whole(spark, tmp_path):
     want += [(1, f, "player", t, 6, -1, 5, 6, 7, -8, t or None) for f in range(90) for t in (0, 7, 12)]
     assert got == sorted(want) and objects.where("video IS NULL").count() == 90
     assert spark.read.json(path).count() == 3 * 6  # a document per part
+
+
+def test_flight_steps_go_through_slices_once(spark, monkeypatch):
+    """Flights over many slices, with and without hoops, against windows over whole flights."""
+    monkeypatch.setattr(slices, "SLICES", 3)
+    monkeypatch.setattr(shots, "SLICES", 3)
+    rnd, rows = random.Random(9), []
+    for game in (0, 1, 2, None):
+        frame = 1000 * (game or 0)
+        for _ in range(14):
+            hooped = rnd.random()
+            for _ in range(rnd.choice((1, 3, 30, 150))):
+                hoop = 100.0 if rnd.random() < hooped else None
+                rows.append((game, frame, float(rnd.randrange(200)), float(rnd.randrange(200)), hoop, hoop))
+                frame += rnd.choice((1, 1, 2, 9))
+            frame += rnd.choice((11, 60, 400))
+    points = spark.createDataFrame(rows, "game bigint, frame bigint, cx double, cy double, hoop_x double, hoop_y double")
+    read, staged = [], shots.staged
+
+    def watched(df, name):
+        read.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return staged(df, name)
+
+    monkeypatch.setattr(shots, "staged", watched)
+    got = shots.flight_steps(points, size=16)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()  # before: slices computed four times
+    assert [n for n, _ in read] == ["flight-pieces", "slice-ends", "flight-carries"] and read[0][1].count("Exchange") == 1
+    whole = shots.flight_points(points, size=16)
+    w = Window.partitionBy("game", "flight").orderBy("frame")
+    near = F.when(F.col("dist").isNotNull(), F.struct("dist", "n", "frame"))
+    want = whole.withColumns(
+        {
+            "near": F.min(near).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "dist_prev": F.last("dist", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        }
+    )
+    far = F.coalesce((F.col("near.dist") < 40) & (F.col("dist") > F.col("near.dist") + 35), F.lit(False))
+    want = want.withColumn("stop", far)
+    assert sorted(got.columns) == sorted(want.columns) and want.where("game = 2 AND stop").count() > 0
+    lines = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert lines(got) == lines(want) and len(lines(got)) == sum(r[0] is not None for r in rows)
+    best = lambda df: df.groupBy("game", "flight").agg(
+        F.coalesce(F.min_by("near", F.when(F.col("stop"), F.col("n"))), F.min("near")).alias("b")
+    ).select("game", "flight", "b.*")
+    named = [F.col("best_dist").alias("dist"), F.col("best_n").alias("n"), F.col("peak_frame").alias("frame")]
+    assert lines(shots.flights(got).select("game", "flight", *named)) == lines(best(want))
