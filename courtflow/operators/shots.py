@@ -144,12 +144,15 @@ def _handed_on(pieces):
     return turns.select("game", "slice", c("of").alias("flight"), "n_before", "hn_before", "near_before", "dist_before")
 
 
-def flight_steps(points, size=4096):
+def flight_steps(points, size=4096, keep=False):
     """Flight points plus the running closest approach and the previous hoop distance.
 
-    Slices are gone through once and written; what they hand on is one small row each.
+    What slices hand on is one small row each, written here. With ``keep`` the slices themselves are written too,
+    for several consumers; without, one consumer computes the columns it asks for.
     """
-    pieces = staged(_pieces(points, size), "flight-pieces")
+    pieces = _pieces(points, size)
+    if keep:
+        pieces = staged(pieces, "flight-pieces")
     handed = staged(_handed_on(pieces), "flight-carries")
     c = F.col
     on = c("piece").isNull()
@@ -322,7 +325,7 @@ def _final_distance(points_in_flight):
 
 def shot_candidates(points, size=4096):
     """Every flight with the detector that takes it as a shot, or why it is rejected."""
-    inside = flight_steps(points, size)
+    inside = flight_steps(points, size, keep=True)
     per = staged(flights(inside), "flights")
     approach = approach_points(inside, per, size)
     rows = per.join(approach_figures(approach), KEY, "left").join(

@@ -366,7 +366,7 @@ def first_close_approach(src):
     with_inputs("ball_points", "SELECT game, flight, release_frame FROM rel", FLIGHTS + RELEASE),
 )
 def release_frame(src):
-    inside = shots.flight_steps(src.ball_points)
+    inside = shots.flight_steps(src.ball_points, keep=True)
     found = shots.approach_figures(shots.approach_points(inside, shots.flights(inside)))
     return found.select("game", "flight", "release_frame")
 
