@@ -201,6 +201,8 @@ def test_quality_certifies_only_with_enough_labels(spark):
     assert few.where("not kept").count() == 0
     kept = quality.keep_good(docs, marks)
     assert kept.columns == docs.columns and kept.count() == 2400
+    plan = kept._jdf.queryExecution().toString()  # texts are measured before, in batches of few rows
+    assert not re.search("Python|Pandas|Arrow", plan)
 
 
 def test_quality_certifies_every_language_by_itself(spark):
