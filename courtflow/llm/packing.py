@@ -9,13 +9,16 @@ ranks are counted in parts, so a length that a third of all pieces have is no si
 """
 
 import os
-from array import array
+import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from courtflow.llm.batches import staged_texts
 from courtflow.llm.words import Text, pieces, tidy
@@ -25,6 +28,7 @@ WINDOW = 4096
 END = 2
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 _KNOWN = 32 << 20  # bytes of units and ids that a worker remembers, roughly
+_AT_ONCE = 2000  # units in one call of the tokenizer
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -67,57 +71,80 @@ def _units(text, separable):
     return units, np.searchsorted(np.flatnonzero(apart), text.bounds)
 
 
-def _encoder(tokenizer):
-    """Ids of one unit by the tokenizer's own parts, which saves the making of encodings."""
-    model, normal, split = tokenizer.model, tokenizer.normalizer, tokenizer.pre_tokenizer
-
-    def ids(unit):
-        if "<|" in unit or normal is None or split is None:
-            return tokenizer.encode(unit, add_special_tokens=False).ids
-        if unit.isascii() and unit.isalpha() and unit.islower():
-            return [t.id for t in model.tokenize(unit)]
-        said = split.pre_tokenize_str(normal.normalize_str(unit))
-        return [t.id for piece, _ in said for t in model.tokenize(piece)]
-
-    return lambda unit: array("I", ids(unit)).tobytes()
-
-
-def _unit_ids(units, ids, known):
-    """Ids of each distinct unit, flat, and their counts. Units seen before are looked up in ``known``, [bytes held, {unit: ids}]."""
-    found, kept = [], known[1]
-    for unit in units:
-        said = kept.get(unit)
-        if said is None:
-            said = ids(unit)
-            if known[0] > _KNOWN:
-                known[0] = 0
-                kept.clear()
-            known[0] += 150 + 2 * len(unit) + len(said)
-            kept[unit] = said
-        found.append(said)
-    lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    return np.frombuffer(b"".join(found), np.uint32), lengths
+def _joined(tokenizer, units):
+    """Ids of ``units`` in one text, flat, and the place of the unit that each id comes from."""
+    sizes = np.fromiter(map(len, units), np.int64, len(units)) + 1
+    said = tokenizer.encode(" ".join(units), add_special_tokens=False)
+    begin = np.fromiter((at for at, _ in said.offsets), np.int64, len(said))
+    return np.array(said.ids, np.uint32), np.searchsorted(np.cumsum(sizes), begin, side="right")
+
+
+def _plain(tokenizer):
+    """The tokenizer's model behind a split at spaces, where it says of lower-case ASCII words what the tokenizer says."""
+    words = re.findall("[a-z]+", " ".join(_PROBES).lower())
+    model = Tokenizer(tokenizer.model)
+    model.pre_tokenizer = WhitespaceSplit()
+    same = all(np.array_equal(a, b) for a, b in zip(_joined(model, words), _joined(tokenizer, words), strict=True))
+    return model if same else tokenizer
+
+
+class _Known:
+    """Ids of the units that a worker has met, flat; units not met before are encoded many at a time."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.plain = tokenizer, _plain(tokenizer)
+        self._forget()
+
+    def _forget(self):
+        self.places, self.held = {}, 0
+        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode(self, units):
+        """Ids of ``units``, flat, and their counts."""
+        simple = pc.and_(pc.ascii_is_alpha(units), pc.ascii_is_lower(units)).to_numpy(zero_copy_only=False)
+        words = units.to_numpy(zero_copy_only=False)
+        ids, rows = [], []
+        for tokenizer, places in ((self.plain, np.flatnonzero(simple)), (self.tokenizer, np.flatnonzero(~simple))):
+            for at in range(0, len(places), _AT_ONCE):
+                some = places[at : at + _AT_ONCE]
+                flat, of = _joined(tokenizer, words[some].tolist())
+                ids.append(flat)
+                rows.append(some[of])
+        rows = np.concatenate(rows)
+        return np.concatenate(ids)[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(units))
+
+    def ids(self, units):
+        """The ids of each of the distinct ``units``, an Arrow array, as an Arrow list array."""
+        if self.held > _KNOWN:
+            self._forget()
+        words = units.to_numpy(zero_copy_only=False)
+        at = np.fromiter(map(self.places.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            flat, lengths = self._encode(units.take(pa.array(new)))
+            at[new] = np.arange(len(self.places), len(self.places) + len(new))
+            unknown = words[new].tolist()
+            self.places.update(zip(unknown, at[new].tolist(), strict=True))
+            self.flat = np.concatenate([self.flat, flat])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+            self.held += 150 * len(new) + 2 * sum(map(len, unknown)) + flat.nbytes
+        return pa.LargeListArray.from_arrays(self.ends, self.flat).take(pa.array(at))
 
 
 def _token_rows(path, window):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer, known = Tokenizer.from_file(path), [0, {}]
-        separable, ids_of = _separable(tokenizer), _encoder(tokenizer)
+        tokenizer = Tokenizer.from_file(path)
+        separable, known = _separable(tokenizer), _Known(tokenizer)
         for batch in batches:
             for part in pieces(batch, "text"):
                 units, first = _units(Text(part.column("text")), separable)
                 coded = units.dictionary_encode()
-                flat, lengths = _unit_ids(coded.dictionary.to_pylist(), ids_of, known)
-                starts = np.cumsum(lengths) - lengths
-                codes = coded.indices.to_numpy()
-                each = lengths[codes]
-                upto = np.concatenate([[0], np.cumsum(each)])
-                tokens = flat[np.arange(upto[-1]) + np.repeat(starts[codes] - upto[:-1], each)]
+                said = known.ids(coded.dictionary).take(coded.indices)
+                upto, tokens = said.offsets.to_numpy()[first], said.values.to_numpy()
                 columns = {name: [] for name in ("doc_id", "start", "length", "doc_tokens", "ids")}
                 for row, doc_id in enumerate(part.column("doc_id").to_pylist()):
-                    ids = tokens[upto[first[row]] : upto[first[row + 1]]]
-                    ids = np.append(ids, np.uint32(END)).astype("<u4")
+                    ids = np.append(tokens[upto[row] : upto[row + 1]], np.uint32(END)).astype("<u4")
                     for at in range(0, len(ids), window):
                         piece = ids[at : at + window]
                         columns["doc_id"].append(doc_id)

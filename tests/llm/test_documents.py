@@ -376,6 +376,31 @@ def test_packing_odd_texts(spark, odd_docs, no_docs):
     assert packing.pack(packing.tokenize(no_docs, TOKENS)).count() == 0
 
 
+def test_units_are_encoded_many_at_a_time():
+    import pyarrow as pa
+
+    class Counted:
+        """A tokenizer that counts the texts it is given."""
+
+        def __init__(self, tokenizer):
+            self.tokenizer, self.model, self.calls = tokenizer, tokenizer.model, 0
+
+        def encode(self, *args, **options):
+            self.calls += 1
+            return self.tokenizer.encode(*args, **options)
+
+    tokenizer = Tokenizer.from_file(TOKENS)
+    rng = random.Random(5)
+    units = ["".join(rng.choice("abeinortéß'ς.") for _ in range(rng.randint(1, 12))) for _ in range(5000)]
+    units = list(dict.fromkeys([*units, "\u0301a", "\u0301", "x\u3000y", "\x01", "İi", "ΟΔΟΣ", "ﬁ", "<|endoftext|>b", "中文", "😀!"]))
+    want = [tokenizer.encode(u, add_special_tokens=False).ids for u in units]
+    counted = Counted(tokenizer)
+    known = packing._Known(counted)
+    for _ in range(2):
+        assert known.ids(pa.array(units, pa.large_string())).to_pylist() == want
+    assert counted.calls <= 5
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_use_every_piece_with_little_padding(seed):
     rng = random.Random(seed)
