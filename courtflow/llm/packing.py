@@ -8,9 +8,9 @@ templates, whatever the corpus. Each piece then finds its sequence and offset fr
 ranks are counted in parts, so a length that a third of all pieces have is no single task.
 """
 
+import functools
 import os
 import re
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import WhitespaceSplit
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
 from courtflow.llm.batches import staged_texts
 from courtflow.llm.words import Text, pieces, tidy
@@ -27,7 +28,7 @@ from courtflow.session import staged
 WINDOW = 4096
 END = 2
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
-_KNOWN = 32 << 20  # bytes of units and ids that a worker remembers, roughly
+_KNOWN = 24 << 20  # bytes of units and ids that a worker remembers
 _AT_ONCE = 2000  # units in one call of the tokenizer
 
 
@@ -71,12 +72,32 @@ def _units(text, separable):
     return units, np.searchsorted(np.flatnonzero(apart), text.bounds)
 
 
-def _joined(tokenizer, units):
-    """Ids of ``units`` in one text, flat, and the place of the unit that each id comes from."""
-    sizes = np.fromiter(map(len, units), np.int64, len(units)) + 1
+def _last(model):
+    """For each id whether it ends a word, where the model says so of every byte's sign; else None."""
+    if not isinstance(model, BPE) or not model.end_of_word_suffix:
+        return None
+    vocabulary, suffix = Tokenizer(model).get_vocab(), model.end_of_word_suffix
+    if any(sign + suffix not in vocabulary for sign in ByteLevel.alphabet()):
+        return None
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+    return last
+
+
+def _joined(tokenizer, units, last=None):
+    """Ids of ``units`` in one text, flat, and the place of the unit that each id comes from.
+
+    ``last`` tells the ids that end a word. Units have a word at least, so as many words as units are a word each.
+    """
     said = tokenizer.encode(" ".join(units), add_special_tokens=False)
+    ids = np.array(said.ids, np.uint32)
+    if last is not None and ids.max(initial=0) < len(last):
+        ends = last[ids]
+        if np.count_nonzero(ends) == len(units):
+            return ids, np.cumsum(ends) - ends
+    sizes = np.fromiter(map(len, units), np.int64, len(units)) + 1
     begin = np.fromiter((at for at, _ in said.offsets), np.int64, len(said))
-    return np.array(said.ids, np.uint32), np.searchsorted(np.cumsum(sizes), begin, side="right")
+    return ids, np.searchsorted(np.cumsum(sizes), begin, side="right")
 
 
 def _plain(tokenizer):
@@ -89,25 +110,66 @@ def _plain(tokenizer):
 
 
 class _Known:
-    """Ids of the units that a worker has met, flat; units not met before are encoded many at a time."""
+    """Ids of the units that a worker has met, in flat arrays; units not met before are encoded many at a time.
+
+    A unit is found by its hash and compared by its text. That takes some 50 bytes a unit, so many more are held than in a dictionary.
+    """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.plain = tokenizer, _plain(tokenizer)
-        self._forget()
+        self.tokenizer, self.plain, self.last = tokenizer, _plain(tokenizer), _last(tokenizer.model)
+        self._hold()
+
+    def _hold(self, units=(), hashes=(), flat=(), ends=(0,)):
+        """Hold ``units`` and nothing else; none of them has been met again so far."""
+        hashes = np.array(hashes, np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.places = hashes[order], order.astype(np.int32)
+        self.units = pa.array(units, pa.large_string())
+        self.flat, self.ends = np.array(flat, np.uint32), np.array(ends, np.int64)
+        self.again = np.zeros(len(self.units), bool)
+
+    def _held(self):
+        return sum(x.nbytes for x in (self.hashes, self.places, self.units, self.flat, self.ends, self.again))
+
+    def _lists(self):
+        return pa.LargeListArray.from_arrays(self.ends, self.flat)
 
     def _forget(self):
-        self.places, self.held = {}, 0
-        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        """Forget the units that were met only once, and all if that does not free half of the memory."""
+        kept = np.flatnonzero(self.again)
+        hashes = np.empty_like(self.hashes)
+        hashes[self.places] = self.hashes
+        said = self._lists().take(pa.array(kept))
+        self._hold(self.units.take(pa.array(kept)), hashes[kept], said.values, said.offsets)
+        if 2 * self._held() > _KNOWN:
+            self._hold()
+
+    def _find(self, units, hashes):
+        """The place of each unit, -1 if it is not held."""
+        at = np.full(len(units), -1, np.int64)
+        near = np.searchsorted(self.hashes, hashes)
+        hit = np.flatnonzero(near < len(self.hashes))
+        hit = hit[self.hashes[near[hit]] == hashes[hit]]
+        places = self.places[near[hit]]
+        same = pc.equal(self.units.take(pa.array(places)), units.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+        at[hit[same]] = places[same]
+        return at
 
     def _encode(self, units):
         """Ids of ``units``, flat, and their counts."""
         simple = pc.and_(pc.ascii_is_alpha(units), pc.ascii_is_lower(units)).to_numpy(zero_copy_only=False)
+        letters = pc.utf8_is_alpha(units).to_numpy(zero_copy_only=False) & ~simple
         words = units.to_numpy(zero_copy_only=False)
         ids, rows = [], []
-        for tokenizer, places in ((self.plain, np.flatnonzero(simple)), (self.tokenizer, np.flatnonzero(~simple))):
+        for tokenizer, last, which in (
+            (self.plain, self.last, simple),
+            (self.tokenizer, self.last, letters),
+            (self.tokenizer, None, ~(simple | letters)),
+        ):
+            places = np.flatnonzero(which)
             for at in range(0, len(places), _AT_ONCE):
                 some = places[at : at + _AT_ONCE]
-                flat, of = _joined(tokenizer, words[some].tolist())
+                flat, of = _joined(tokenizer, words[some].tolist(), last)
                 ids.append(flat)
                 rows.append(some[of])
         rows = np.concatenate(rows)
@@ -115,27 +177,40 @@ class _Known:
 
     def ids(self, units):
         """The ids of each of the distinct ``units``, an Arrow array, as an Arrow list array."""
-        if self.held > _KNOWN:
-            self._forget()
-        words = units.to_numpy(zero_copy_only=False)
-        at = np.fromiter(map(self.places.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(at < 0)
+        hashes = Text(units).hashes()
+        order = np.argsort(hashes)
+        at = np.empty(len(units), np.int64)
+        at[order] = self._find(units.take(pa.array(order)), hashes[order])
+        self.again[at[at >= 0]] = True
+        new = order[at[order] < 0]
         if len(new):
-            flat, lengths = self._encode(units.take(pa.array(new)))
-            at[new] = np.arange(len(self.places), len(self.places) + len(new))
-            unknown = words[new].tolist()
-            self.places.update(zip(unknown, at[new].tolist(), strict=True))
+            unknown = units.take(pa.array(new))
+            flat, lengths = self._encode(unknown)
+            at[new] = np.arange(len(self.units), len(self.units) + len(new))
+            self.units = pa.concat_arrays([self.units, unknown])
             self.flat = np.concatenate([self.flat, flat])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-            self.held += 150 * len(new) + 2 * sum(map(len, unknown)) + flat.nbytes
-        return pa.LargeListArray.from_arrays(self.ends, self.flat).take(pa.array(at))
+            self.again = np.append(self.again, np.zeros(len(new), bool))
+            where = np.searchsorted(self.hashes, hashes[new])
+            self.hashes = np.insert(self.hashes, where, hashes[new])
+            self.places = np.insert(self.places, where, at[new])
+        said = self._lists().take(pa.array(at))
+        if self._held() > _KNOWN:
+            self._forget()
+        return said
+
+
+@functools.lru_cache(maxsize=1)
+def _loaded(path, changed):
+    """Whether the tokenizer of ``path``, as ``changed`` then, is separable, and its ids that the worker knows; kept from task to task."""
+    tokenizer = Tokenizer.from_file(path)
+    return _separable(tokenizer), _Known(tokenizer)
 
 
 def _token_rows(path, window):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = Tokenizer.from_file(path)
-        separable, known = _separable(tokenizer), _Known(tokenizer)
+        separable, known = _loaded(path, os.stat(path).st_mtime_ns)
         for batch in batches:
             for part in pieces(batch, "text"):
                 units, first = _units(Text(part.column("text")), separable)

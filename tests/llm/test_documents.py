@@ -401,6 +401,53 @@ def test_units_are_encoded_many_at_a_time():
     assert counted.calls <= 5
 
 
+@pytest.fixture
+def encoded(monkeypatch):
+    """The units that the packing's tokenizers are given."""
+    found, joined = [], packing._joined
+    monkeypatch.setattr(packing, "_joined", lambda model, units, *more: found.extend(units) or joined(model, units, *more))
+    return found
+
+
+def test_units_met_before_are_not_encoded_again(encoded):
+    import pyarrow as pa
+
+    known = packing._Known(Tokenizer.from_file(TOKENS))
+    del encoded[:]
+    letters = "abcdefghijklmnop"
+    units = ["".join(letters[n >> 4 * k & 15] for k in range(5)) for n in range(0, 1 << 20, 5)]
+    for _ in range(2):
+        for at in range(0, len(units), 20000):
+            known.ids(pa.array(units[at : at + 20000], pa.large_string()))
+    assert len(encoded) == len(units) > 200000
+
+
+def test_units_are_remembered_from_task_to_task(encoded):
+    import pyarrow as pa
+
+    batch = pa.record_batch({"doc_id": [1, 2], "text": ["Xylophagous qwertzuiop, Ärgernis", "zyxwvut 42 ÄÖÜ ärgernis"]})
+    rows = [pa.Table.from_batches(packing._token_rows(TOKENS, 4096)([batch])).to_pylist() for _ in range(2)]
+    assert rows[0] == rows[1]
+    assert encoded.count("qwertzuiop") <= 1
+
+
+@pytest.mark.parametrize("limit", [0, 3000, 60000])
+def test_units_that_share_a_hash_or_are_forgotten_keep_their_ids(monkeypatch, limit):
+    import pyarrow as pa
+
+    hashes = packing.Text.hashes
+    monkeypatch.setattr(packing.Text, "hashes", lambda text: hashes(text) % np.uint64(97))
+    monkeypatch.setattr(packing, "_KNOWN", limit)
+    tokenizer = Tokenizer.from_file(TOKENS)
+    known, rng = packing._Known(tokenizer), random.Random(3)
+    for _ in range(30):
+        units = {"".join(rng.choice("abñé'İ9.") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 200))}
+        units = sorted(units)
+        want = [tokenizer.encode(u, add_special_tokens=False).ids for u in units]
+        assert known.ids(pa.array(units, pa.large_string())).to_pylist() == want
+        assert known._held() <= max(limit, 16)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_use_every_piece_with_little_padding(seed):
     rng = random.Random(seed)
