@@ -15,6 +15,7 @@ from .registry import query, r
 
 LATE = 1_000_000
 MICRO_BATCH = 1_000_000  # rows of a micro-batch of the take-over, each of which may meet dozens of entries
+FILTER_BATCH = 3_000_000  # rows of a micro-batch of the filter, which also cross, packed by slice, a step per game
 
 
 def late(rows):
@@ -65,7 +66,7 @@ def stream_sliding_triplet(src):
 def stream_kalman(src):
     rows = ball_plans.best(src).select("game", "frame", center_x().alias("cx"), center_y().alias("cy"))
     build = lambda s: stateful.kalman(s, ball.TELEPORT["strict"])
-    out = drain(rows, build, "stream-kalman", closing=late(rows))
+    out = drain(rows, build, "stream-kalman", closing=late(rows), most=FILTER_BATCH)
     return out.select("game", "frame", *[rounded(c, 3).alias(c) for c in ("sx", "svx", "sy", "svy")])
 
 

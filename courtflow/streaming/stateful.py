@@ -199,7 +199,8 @@ def sliding_triplet(stream):
 def kalman(stream, jump, size=SLICE):
     """Smoothing of each game's ball; the filter carries on over gaps of any length.
 
-    Walks from far apart starts forget them after some dozen sightings; they count as met within 1e-9.
+    Walks from far apart starts forget them after some dozen sightings; they count as met within 1e-9. A start unlike those
+    tried (a ball too fast for a filter that has not learnt its speed) may take longer: its slice is walked to the end.
     """
 
     def step(state, frame, rows):
@@ -222,7 +223,7 @@ def kalman(stream, jump, size=SLICE):
 
     rows = stream.select("game", "frame", "cx", "cy", "event_time")
     schema = "game bigint, frame bigint, sx double, svx double, sy double, svy double"
-    return relay(rows, step, lambda: None, starts, schema, same=same, size=size, margin=32)
+    return relay(rows, step, lambda: None, starts, schema, same=same, size=size, margin=32, sure=False)
 
 
 def ghosts(stream, max_age):

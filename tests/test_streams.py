@@ -71,6 +71,22 @@ def test_kalman_slices_equal_one_walk_over_a_long_gap(spark):
     assert all(abs(a - b) <= 1e-9 * max(1, abs(b)) for f, w in want.items() for a, b in zip(got[f][2:], w))
 
 
+def test_kalman_slice_that_no_tried_start_leads_into(spark):
+    """A ball that gets too fast for a filter that starts anew at a border, but not for one that knows its speed."""
+    rows, x, state, want = [], 0.0, None, {}
+    for f in range(0, 1000, 2):
+        x += min(f / 2, 80) + f % 7 / 10
+        rows.append((0, f, x, 300.0))
+        state = steps.kalman_step(state, f, x, 300.0, 50)
+        want[f] = state[:4]
+    assert max(b[2] - a[2] for a, b in zip(rows, rows[1:])) > 50 and min(w[1] for f, w in want.items() if f > 200) > 35
+    given = spark.createDataFrame(rows, "game bigint, frame bigint, cx double, cy double")
+    got = drain(given, lambda s: stateful.kalman(s, 50, size=128), "stream-fast", closing=closing_row(given))
+    got = {r.frame: r for r in got.collect()}
+    assert set(got) == set(want)
+    assert all(abs(a - b) <= 1e-9 * max(1, abs(b)) for f, w in want.items() for a, b in zip(got[f][2:], w))
+
+
 @pytest.mark.parametrize("hoops", [0.0, 0.3, 1.0])
 def test_validation_slices_equal_one_walk(spark, hoops):
     rnd, rows = random.Random(int(10 * hoops)), []
