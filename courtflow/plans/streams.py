@@ -14,7 +14,7 @@ from .inputs import with_inputs
 from .registry import query, r
 
 LATE = 1_000_000
-MICRO_BATCH = 1_000_000  # rows of a micro-batch of the take-over, each of which may meet dozens of entries
+MICRO_BATCH = 3_000_000  # rows of a micro-batch of the take-over, each of which becomes up to ten events
 FILTER_BATCH = 3_000_000  # rows of a micro-batch of the filter, which also cross, packed by slice, a step per game
 
 

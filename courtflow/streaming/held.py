@@ -13,7 +13,8 @@ import pyarrow as pa
 BLOCK = 4096
 
 
-def _packed(pdf):
+def packed(pdf):
+    """Rows as the bytes of Arrow columns."""
     table = pa.Table.from_pandas(pdf, preserve_index=False)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
@@ -21,12 +22,16 @@ def _packed(pdf):
     return sink.getvalue().to_pybytes()
 
 
+def unpacked(part):
+    return pa.ipc.open_stream(part).read_pandas()
+
+
 def hold(waiting, frames, names):
     """Append rows to a list state, an entry per batch they come in; returns the least and greatest ``at``."""
     least = most = None
     for pdf in frames:
         if len(pdf):
-            waiting.appendValue((_packed(pdf[names]),))
+            waiting.appendValue((packed(pdf[names]),))
             lo, hi = int(pdf["at"].min()), int(pdf["at"].max())
             least, most = (lo, hi) if least is None else (min(least, lo), max(most, hi))
     return least, most
@@ -36,7 +41,7 @@ def held(waiting):
     """All rows of a list state as one frame, None if there are none."""
     if not waiting.exists():
         return None
-    return pd.concat([pa.ipc.open_stream(part).read_pandas() for (part,) in waiting.get()], ignore_index=True)
+    return pd.concat([unpacked(part) for (part,) in waiting.get()], ignore_index=True)
 
 
 def split(waiting, mark):

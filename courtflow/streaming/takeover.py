@@ -1,31 +1,41 @@
 """Take-over of lost tracks on a stream, in three keyed steps.
 
 1. ``TrackEvents`` per (game, track): waits for the watermark and turns a track's detections and number reads into
-   events: seen, lost, lost anew. The number a track wears is locked here.
-2. ``Meetings`` per (game, grid cell) and (game, number): keeps the open entries of lost tracks that can be met there in
-   a map, and gives the first contact of each track with each entry, in a micro-batch. Entries leave the map when
+   events: new, seen, lost, lost anew. The number a track wears is locked here. All rows due are worked on as columns.
+2. ``Meetings`` per (game, grid cell) and (game, bucket of numbers): keeps the open entries of lost tracks that can be met
+   there in a map, and gives the first contact of each track with each entry. Entries leave the map when
    they expire, at a timer. (A later contact of the same two changes nothing: at the first one either the track takes
    something over or the entry is gone.)
 3. ``Choices`` per game: walks contacts only, in order; each track and each entry is used once. Its maps hold
    the entries taken, until they expire, and the tracks that have taken one, until the game ends.
 
+A track that has met as many entries as there are tracks in its game has taken one over, as each of the other tracks takes
+one at most. So that every place knows their number, a track makes itself known to all places when it is first seen, and
+there are few of them: cells beyond the frame count as its border, numbers share buckets. What a place has to say about a
+track ends there, however long the track goes on, and rows of such tracks are passed over as columns.
+
 A step gives out, at each watermark, everything up to it, so the next one gets all rows of a frame in one micro-batch,
 earlier frames in earlier ones, and can walk them at once.
 """
 
 import json
 import math
+import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from .held import hold, in_frames, in_order, split
+from ..functions.geometry import FRAME_H, FRAME_W
+from .held import BLOCK, hold, in_frames, in_order, packed, split, unpacked
 from .runner import time_of
 
 # order of what happens within one frame: detections see what was open before the frame
-SEEN, ANEW, LOST, OVER = 0, 1, 2, 3
-_EVENT = "game bigint, place string, frame bigint, kind int, tid bigint, seq bigint, x double, y double, since bigint, until bigint"
+NEW, SEEN, ANEW, LOST, OVER = -1, 0, 1, 2, 3
+BUCKETS, END = 16, -1  # places that numbers share; the place where a game ends
+_TOLD = ["frame", "kind", "seq", "num", "x", "y", "since"]
+_EVENTS = "game bigint, place bigint, tid bigint, events binary"  # of one track at one place, columns of ``_TOLD``
 _CONTACT = "game bigint, frame bigint, seq bigint, tid bigint, gap double, lost_frame bigint, old_tid bigint, until bigint, over boolean"
 
 
@@ -33,17 +43,50 @@ def _names(schema):
     return [c.strip().split()[0] for c in schema.split(",")] + ["mark"]
 
 
+def _stamp(timerValues):
+    """Just after the watermark, where later steps will not take rows for late."""
+    return pd.Timestamp(timerValues.getCurrentWatermarkInMs() + 1, unit="ms")
+
+
 def _given(rows, schema, timerValues):
-    """Output rows, stamped just after the watermark, where later steps will not take them for late."""
-    mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs() + 1, unit="ms")
+    mark = _stamp(timerValues)
     return in_frames([(*r, mark) for r in rows], _names(schema))
 
 
+class _Grid:
+    """Cells of twice the reach, so an entry can be met in four at most; positions beyond the frame belong to its border."""
+
+    def __init__(self, reach):
+        self.reach, self.size = reach, 2 * reach
+        self.wide, self.high = math.ceil(FRAME_W / self.size), math.ceil(FRAME_H / self.size)
+        self.places = np.arange(self.wide * self.high + BUCKETS)  # cells first
+
+    def _at(self, v, most):
+        return np.nan_to_num(np.clip(np.floor(v / self.size), 0, most - 1)).astype(np.int64)
+
+    def cell(self, x, y):
+        return self._at(x, self.wide) * self.high + self._at(y, self.high)
+
+    def around(self, x, y):
+        """First and last column and row of the cells from which (x, y) is within reach."""
+        return [self._at(v + by, most) for v, most in ((x, self.wide), (y, self.high)) for by in (-self.reach, self.reach)]
+
+    def corners(self, box):
+        """The cells of ``around`` as (which rows, columns, rows), corner by corner."""
+        x0, x1, y0, y1 = box
+        for i in (0, 1):
+            for j in (0, 1):
+                yield (x0 + i <= x1) & (y0 + j <= y1), x0 + i, y0 + j
+
+    def bucket(self, num):
+        return self.wide * self.high + zlib.crc32(num.encode()) % BUCKETS
+
+
 class TrackEvents(StatefulProcessor):
     """Rows: frame, kind (d detection, r read, z end of the game), seq, x, y, num."""
 
     def __init__(self, reach, keep, confirm):
-        self.reach, self.keep, self.confirm = reach, keep, confirm
+        self.keep, self.confirm, self.grid = keep, confirm, _Grid(reach)
 
     def init(self, handle):
         self.handle = handle
@@ -59,123 +102,213 @@ class TrackEvents(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs()
         due, rest = split(self.waiting, mark)
-        state = json.loads(self.track.get()[0]) if self.track.exists() else {"counts": {}, "lock": None, "last": None, "open": None}
-        out, ended = [], False
-        some = due is not None and len(due) > 0
-        if some:
-            due = due.assign(rank=due["kind"].map({"d": 0, "r": 1, "z": 2}))
-            for block in in_order(due, ["frame", "rank", "seq"], ["frame", "kind", "seq", "x", "y", "num"]):
-                for frame, kind, seq, x, y, num in block:
-                    ended = self._taken(key, state, frame, kind, seq, x, y, num, out) or ended
-                yield from _given(out, _EVENT, timerValues)
-                out = []
-        if (some or state["last"]) and not ended:
-            self._leave(key, state, time_of(None, mark), out)
         if rest is not None:
             self.handle.registerTimer(rest)
+        state = {"counts": {}, "lock": None, "last": None, "open": None, "known": False}
+        if self.track.exists():
+            state = json.loads(self.track.get()[0])
+        some = due is not None and len(due) > 0
+        if not some and not state["last"] or None in key:  # no rule looks for a track without a name
+            return
+        ended, upto = False, time_of(None, mark)
+        if some:
+            rank = due["kind"].map({"d": 0, "r": 1, "z": 2}).to_numpy()
+            order = np.lexsort([due["seq"].to_numpy(), rank, due["frame"].to_numpy()])
+            due, rank = due.iloc[order], rank[order]
+            ended = bool((rank == 2).any())
+            if ended:
+                upto = int(due["frame"].iloc[-1]) - 1
+        else:
+            rank, due = np.zeros(0, dtype=np.int64), pd.DataFrame({c: [] for c in ("frame", "seq", "x", "y", "num")})
+        parts = self._events(state, due, rank, upto)
         if ended:
+            ends = due["frame"].to_numpy()[rank == 2]
+            seqs = due["seq"].to_numpy()[rank == 2]
+            parts.append((END, ends, OVER, seqs, "", 0.0, 0.0, 0))
+            if state["known"]:
+                parts.append((self.grid.places, np.full(len(self.grid.places), ends[0]), OVER, 0, "", 0.0, 0.0, 0))
             self.track.clear()
         else:
             self.track.update((json.dumps(state),))
             if state["last"]:
                 self.handle.registerTimer(time_of(state["last"][0] + 1))
-        yield from _given(out, _EVENT, timerValues)
-
-    def _taken(self, key, state, frame, kind, seq, x, y, num, out):
-        """One row of the track; true at the end of its game."""
-        self._leave(key, state, frame - 1, out)
-        if kind == "d":
-            places = [self._cell(x, y)] + self._worn(state, frame)
-            out += [(key[0], p, frame, SEEN, key[1], seq, x, y, None, None) for p in places]
-            state["last"] = [frame, x, y]
-        elif kind == "r" and state["lock"] is None:
+        yield from self._frames(key, parts, _stamp(timerValues))
+
+    def _events(self, state, due, rank, upto):
+        """Events of the rows due, as (places, frames, kind, seqs, number, xs, ys, sinces); changes the state."""
+        grid, dets = self.grid, due[rank == 0]
+        frame, seq = dets["frame"].to_numpy(dtype=np.int64), dets["seq"].to_numpy()
+        x, y = dets["x"].to_numpy(dtype=float), dets["y"].to_numpy(dtype=float)
+        parts, fresh = [], state["lock"] is None
+        if fresh:
+            self._lock(state, due[rank == 1])
+        if len(frame) and not state["known"]:
+            state["known"] = True
+            parts.append((grid.places, np.full(len(grid.places), frame[0]), NEW, 0, "", 0.0, 0.0, 0))
+        parts.append((grid.cell(x, y), frame, SEEN, seq, "", x, y, 0))
+        num, since = state["lock"] or (None, None)
+        if num is not None:
+            worn, place = frame > since, grid.bucket(num)
+            parts.append((place, frame[worn], SEEN, seq[worn], num, x[worn], y[worn], 0))
+        # a track is lost if it was not seen in the frame after its last one, and that frame lies behind
+        if state["last"]:
+            was = state["last"]
+            frame, x, y = np.r_[was[0], frame].astype(np.int64), np.r_[was[1], x].astype(float), np.r_[was[2], y].astype(float)
+        if not len(frame):
+            return parts
+        gone = np.r_[frame[1:], upto + 1] > frame + 1
+        state["last"] = None if gone[-1] else [int(frame[-1]), float(x[-1]), float(y[-1])]
+        lost, x, y = frame[gone] + 1, x[gone], y[gone]
+        # of entries open when the number was locked only the last one is met by it, from then on
+        if fresh and num is not None:
+            before = [state["open"]] if state["open"] else []
+            before += [[int(a), b, c] for a, b, c in zip(lost[lost < since][-1:], x[lost < since][-1:], y[lost < since][-1:])]
+            if before and since <= before[-1][0] + self.keep:
+                at, ex, ey = before[-1]
+                parts.append((place, np.array([since]), LOST, 0, num, ex, ey, at))
+        if not len(lost):
+            return parts
+        box = grid.around(x, y)
+        for some, i, j in grid.corners(box):
+            parts.append(((i * grid.high + j)[some], lost[some], LOST, 0, "", x[some], y[some], lost[some]))
+        if num is not None:
+            own = lost >= since
+            parts.append((place, lost[own], LOST, 0, num, x[own], y[own], lost[own]))
+        # an entry takes the place of the one before; where that cannot be met any more, it is told to go
+        then, kept = (x, y), slice(1, None)
+        if state["open"]:
+            then, kept = (np.r_[state["open"][1], x], np.r_[state["open"][2], y]), slice(0, None)
+        was = [v[:-1] for v in grid.around(*then)]
+        x0, x1, y0, y1 = (v[kept] for v in box)
+        for some, i, j in grid.corners(was):
+            some = some & ~((i >= x0) & (i <= x1) & (j >= y0) & (j <= y1))
+            parts.append(((i * grid.high + j)[some], lost[kept][some], ANEW, 0, "", 0.0, 0.0, 0))
+        state["open"] = [int(lost[-1]), float(x[-1]), float(y[-1])]
+        return parts
+
+    def _lock(self, state, reads):
+        for frame, num in zip(reads["frame"].tolist(), reads["num"].tolist()):
             state["counts"][num] = state["counts"].get(num, 0) + 1
             if state["counts"][num] >= self.confirm:
-                state["lock"], state["counts"] = [num, frame], {}
-                if state["open"] and frame <= state["open"][0] + self.keep:
-                    out.append(self._entry(key, state["open"], "#" + num, frame))
-        elif kind == "z":
-            out.append((key[0], "end", frame, OVER, key[1], seq, None, None, None, None))
-        return kind == "z"
-
-    def _leave(self, key, state, upto, out):
-        """The track is lost if it was not seen in the frame after its last one, and that frame lies behind."""
-        last = state["last"]
-        if last is None or last[0] + 1 > upto:
-            return
-        lost = last[0] + 1
-        if state["open"]:
-            before, x, y = state["open"]
-            places = self._around(x, y) + (["#" + state["lock"][0]] if state["lock"] else [])
-            out += [(key[0], p, lost, ANEW, key[1], None, x, y, before, None) for p in places]
-        state["open"], state["last"] = [lost, *last[1:]], None
-        out += [self._entry(key, state["open"], p, lost) for p in self._around(*last[1:])]
-        if state["lock"]:
-            out.append(self._entry(key, state["open"], "#" + state["lock"][0], max(lost, state["lock"][1])))
-
-    def _entry(self, key, entry, place, frame):
-        lost, x, y = entry
-        return (key[0], place, frame, LOST, key[1], None, x, y, lost, lost + self.keep)
-
-    def _cell(self, x, y):
-        return f"{math.floor(x / self.reach)},{math.floor(y / self.reach)}"
-
-    def _around(self, x, y):
-        gx, gy = math.floor(x / self.reach), math.floor(y / self.reach)
-        return [f"{gx + i},{gy + j}" for i in (-1, 0, 1) for j in (-1, 0, 1)]
+                state["lock"], state["counts"] = [num, int(frame)], {}
+                break
 
-    @staticmethod
-    def _worn(state, frame):
-        return ["#" + state["lock"][0]] if state["lock"] and state["lock"][1] < frame else []
+    def _frames(self, key, parts, mark, size=100_000):
+        """Events packed by place: what goes through a stateful step costs by the row."""
+        names = ["place", *_TOLD]
+        parts = [{c: np.broadcast_to(v, len(part[1])) for c, v in zip(names, part)} for part in parts]
+        told = pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in names}) if parts else pd.DataFrame(columns=names)
+        rows = []
+        for place, some in told.groupby("place", sort=False):
+            for k in range(0, len(some), size):
+                rows.append((key[0], int(place), key[1], packed(some[_TOLD][k : k + size]), mark))
+        if rows:
+            yield pd.DataFrame(rows, columns=_names(_EVENTS))
 
     def close(self):
         pass
 
 
 class Meetings(StatefulProcessor):
-    """First contacts of tracks with the open entries of one grid cell or one number."""
+    """First contacts of tracks with the open entries of one grid cell or one bucket of numbers."""
 
-    def __init__(self, reach):
-        self.reach = reach
+    def __init__(self, reach, keep):
+        self.reach, self.keep = reach, keep
 
     def init(self, handle):
         self.handle = handle
-        self.open = handle.getMapState("open", "tid long", "lost long, x double, y double, until long")
+        self.open = handle.getMapState("open", "tid long", "lost long, x double, y double, num string")
+        self.known = handle.getValueState("known", "data string")
 
     def handleInputRows(self, key, rows, timerValues):
-        names = ["frame", "kind", "tid", "seq", "x", "y", "since", "until"]
-        pdf = pd.concat([part[names] for part in rows], ignore_index=True)
-        number = key[1].startswith("#")
-        held = {k[0]: tuple(v) for k, v in self.open.iterator()} if self.open.exists() else {}
-        before, met, out = dict(held), {}, []
-        for block in in_order(pdf, ["frame", "kind", "tid"], names):
-            for frame, kind, tid, seq, x, y, since, until in block:
-                if kind == SEEN:
-                    for old, (lost, ex, ey, last) in held.items():
-                        gap = math.sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey))
-                        if frame <= last and (number or gap < self.reach) and met.get((tid, old)) != lost:
-                            met[tid, old] = lost
-                            out.append((key[0], frame, int(seq), tid, -1.0 if number else gap, lost, old, last, False))
+        names = ["tid", *_TOLD]
+        given = ((tid, unpacked(events)) for pdf in rows for tid, events in zip(pdf["tid"].tolist(), pdf["events"]))
+        if key[1] == END:
+            over = [(key[0], frame, 0, tid, 0.0, 0, 0, 0, True) for tid, told in given for frame in told["frame"].tolist()]
+            yield from _given(over, _CONTACT, timerValues)
+            return
+        before = self._held()
+        held, tracks, over, met, full = dict(before), 0, 0, {}, {}
+        if self.known.exists():
+            told = json.loads(self.known.get()[0])
+            tracks, over, full = told["tracks"], told["over"], dict.fromkeys(told["full"], -1)
+            met = {t: [n, dict(entries)] for t, n, entries in told["met"]}
+        # what tracks have seen that have taken one over goes before it takes up any memory
+        columns = {c: [] for c in names}
+        for tid, told in given:
+            told = told[told["kind"] != SEEN] if tid in full else told
+            for c, parts in columns.items():
+                parts.append(told[c].to_numpy() if c != "tid" else np.full(len(told), tid))
+        columns = {c: np.concatenate(parts) for c, parts in columns.items()}
+        order = np.lexsort([columns["since"], columns["kind"], columns["frame"]])
+        for k in range(0, len(order), BLOCK):
+            part = {c: v[order[k : k + BLOCK]] for c, v in columns.items()}
+            passed = np.isin(part["tid"], [t for t, frame in full.items() if frame < part["frame"][0]])
+            asked = (part["kind"] == SEEN) & ~passed
+            if not asked.any() and not (part["kind"] == OVER).any():
+                tracks += int((part["kind"] == NEW).sum())
+                self._entered(part, held)
+                continue
+            out = []
+            wanted = asked | (part["kind"] != SEEN)
+            for tid, frame, kind, seq, num, x, y, since in zip(*(part[c][wanted].tolist() for c in names)):
+                if kind == NEW:
+                    tracks += 1
+                elif kind == SEEN:
+                    if full.get(tid, frame) < frame:
+                        continue
+                    mine = met.setdefault(tid, [0, {}])
+                    for old, (lost, ex, ey, worn) in held.items():
+                        if frame > lost + self.keep or worn != num or mine[1].get(old) == lost:
+                            continue
+                        gap = -1.0 if num else math.sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey))
+                        if gap < self.reach:
+                            mine[1][old] = lost
+                            mine[0] += 1
+                            out.append((key[0], frame, int(seq), tid, gap, lost, old, lost + self.keep, False))
+                    if mine[0] >= tracks:
+                        full.setdefault(tid, frame)
                 elif kind == ANEW:
                     held.pop(tid, None)
                 elif kind == LOST:
-                    held[tid] = (int(since), x, y, int(until))
+                    held[tid] = (since, x, y, num)
                 else:
-                    out.append((key[0], frame, 0, tid, 0.0, 0, 0, 0, True))
+                    over += 1
+                    met.pop(tid, None)
+                    full.pop(tid, None)
             yield from _given(out, _CONTACT, timerValues)
-            out = []
+        top = time_of(None, timerValues.getCurrentWatermarkInMs())
+        self._keep(before, {t: e for t, e in held.items() if e[0] + self.keep >= top})
+        if over >= tracks:
+            self.known.clear()
+            return
+        met = [[t, n, [e for e in m.items() if e[1] + self.keep >= top]] for t, (n, m) in met.items() if t not in full]
+        self.known.update((json.dumps({"tracks": tracks, "over": over, "full": list(full), "met": met}),))
+
+    def _entered(self, part, held):
+        """Entries after a block of rows that nobody asks about: the last word on each track."""
+        some = np.flatnonzero((part["kind"] == ANEW) | (part["kind"] == LOST))[::-1]
+        for k in some[np.unique(part["tid"][some], return_index=True)[1]].tolist():
+            if part["kind"][k] == LOST:
+                held[int(part["tid"][k])] = (int(part["since"][k]), float(part["x"][k]), float(part["y"][k]), part["num"][k])
+            else:
+                held.pop(int(part["tid"][k]), None)
+
+    def _held(self):
+        return {k[0]: tuple(v) for k, v in self.open.iterator()} if self.open.exists() else {}
+
+    def _keep(self, before, held):
         for tid in before.keys() - held.keys():
             self.open.removeKey((tid,))
         for tid, entry in held.items():
             if before.get(tid) != entry:
                 self.open.updateValue((tid,), entry)
-                self.handle.registerTimer(time_of(entry[3] + 1))
+        if held:
+            self.handle.registerTimer(time_of(min(e[0] for e in held.values()) + self.keep + 1))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        top = time_of(None, timerValues.getCurrentWatermarkInMs())
-        held = {k[0]: tuple(v) for k, v in self.open.iterator()} if self.open.exists() else {}
-        for tid in [t for t, e in held.items() if e[3] < top]:
-            self.open.removeKey((tid,))
+        top, held = time_of(None, timerValues.getCurrentWatermarkInMs()), self._held()
+        self._keep(held, {t: e for t, e in held.items() if e[0] + self.keep >= top})
         return iter(())
 
     def close(self):
@@ -255,10 +388,10 @@ def reid(stream, reach, keep, confirm):
     rows = stream.withColumn("at", F.unix_millis("event_time"))
     step = {"outputMode": "append", "timeMode": "EventTime"}
     seen = rows.groupBy("game", "tid").transformWithStateInPandas(
-        TrackEvents(reach, keep, confirm), f"{_EVENT}, mark timestamp", **step, eventTimeColumnName="mark"
+        TrackEvents(reach, keep, confirm), f"{_EVENTS}, mark timestamp", **step, eventTimeColumnName="mark"
     )
     contacts = seen.groupBy("game", "place").transformWithStateInPandas(
-        Meetings(reach), f"{_CONTACT}, mark timestamp", **step, eventTimeColumnName="mark"
+        Meetings(reach, keep), f"{_CONTACT}, mark timestamp", **step, eventTimeColumnName="mark"
     )
     schema = "game bigint, tid bigint, frame bigint, old_tid bigint, lost_frame bigint"
     return contacts.groupBy("game").transformWithStateInPandas(Choices(), schema, **step)

@@ -13,7 +13,9 @@ from courtflow.plans.inputs import Inputs
 from courtflow.session import grouped_in_order
 from courtflow.sources import tracking
 from courtflow.streaming.held import BLOCK, in_frames, in_order
+from courtflow.streaming.runner import time_of
 from courtflow.streaming.stateful import Walk, ghost_step
+from courtflow.streaming.takeover import Meetings, TrackEvents
 from tests.test_rules import brute_reid
 
 DET = "game bigint, frame bigint, seq bigint, tid bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint"
@@ -195,3 +197,74 @@ def test_a_frame_given_twice_has_a_closest_approach(spark):
     points = spark.createDataFrame(rows, "game bigint, frame bigint, cx double, cy double, hoop_x double, hoop_y double")
     found = shots.flights(shots.flight_steps(points)).select("points", "best_dist", "peak_frame").collect()
     assert [tuple(r) for r in found] == [(24, 0.0, 10)]
+
+
+class Kept:
+    """A list, value or map of a state store."""
+
+    def __init__(self):
+        self.values = []
+        self.map = {}
+
+    def exists(self):
+        return bool(self.values or self.map)
+
+    def get(self):
+        return self.values[0] if isinstance(self.values, tuple) else iter(self.values)
+
+    def update(self, value):
+        self.values = (value,)
+
+    def appendValue(self, value):
+        self.values = [*self.values, value]
+
+    def clear(self):
+        self.values = []
+
+    def iterator(self):
+        return iter(list(self.map.items()))
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.map.pop(key, None)
+
+
+class Handle:
+    def __getattr__(self, name):
+        return (lambda *_: None) if name == "registerTimer" else (lambda *_: Kept())
+
+
+class At:
+    def __init__(self, frame):
+        self.frame = frame
+
+    def getCurrentWatermarkInMs(self):
+        return time_of(self.frame)
+
+
+def test_stream_contacts_end_when_a_track_must_have_taken_over(spark):
+    """As many contacts of a track as there are tracks decide; events reach the next step as a few packed rows."""
+    rows, _ = blinking(spark, frames=3000, tids=8)
+    tracks = {t: TrackEvents(300, 600, 2) for t in range(8)}
+    for step in tracks.values():
+        step.init(Handle())
+    places, contacts, passed = {}, 0, 0
+    for upto in (1000, 2000, 3000):
+        events = []
+        for tid, step in tracks.items():
+            mine = [(f, "d", seq, (x1 + x2) / 2.0, (y1 + y2) / 2.0, None, time_of(f)) for _, f, seq, t, x1, y1, x2, y2 in rows
+                    if t == tid and upto - 1000 <= f < upto]
+            pdf = pd.DataFrame(mine, columns=["frame", "kind", "seq", "x", "y", "num", "at"])
+            list(step.handleInputRows((0, tid), iter([pdf]), At(upto)))
+            events += list(step.handleExpiredTimer((0, tid), At(upto), None))
+        events = pd.concat(events)
+        passed += len(events)
+        for place, some in events.groupby("place"):
+            if place not in places:
+                places[place] = Meetings(300, 600)
+                places[place].init(Handle())
+            contacts += sum(len(p) for p in places[place].handleInputRows((0, place), iter([some]), At(upto)))
+    assert 8 <= contacts <= 8 * 2 * 8  # before: every track with every entry, more than the rows
+    assert passed < len(rows) / 3

@@ -50,6 +50,27 @@ def test_take_over_by_number_and_distance(spark, seed):
     assert sum(held[-1]) <= 6 < max(map(sum, held[:-1]))
 
 
+def test_take_over_of_blinking_tracks(spark):
+    """Tracks lost again and again all over the place, and beyond its border: each meets many more entries than there are tracks."""
+    rnd, rows, reads = random.Random(8), [], []
+    for f in range(900):
+        for tid in range(f // 90, 9 + f // 150):
+            if rnd.random() < 0.15:
+                x, y = rnd.randrange(-900, 2200), rnd.randrange(-300, 1000)
+                rows.append((0, f, tid + 1, tid, x, y, x + 40, y + 80))
+    locks = {tid: (str(tid % 3), 40 + 70 * tid) for tid in range(0, 12, 2)}
+    reads = [(0, tid, frame - late, num) for tid, (num, frame) in locks.items() for late in (3, 0)]
+    last = max(r[1] for r in rows)
+    dets = spark.createDataFrame(rows, DET)
+    worn = spark.createDataFrame(reads, "game bigint, tid bigint, frame bigint, num string")
+    ends = dets.select("game", "tid").distinct().withColumn("frame", F.lit(last + 1).cast("bigint"))
+    given = takeover.events(dets, worn, ends)
+    build = lambda s: takeover.reid(s, tracks.REID_DIST, tracks.REID_FRAMES, teams.CONFIRM_READS)
+    got = drain(given, build, "stream-blinking", closing=closing_row(given.where("kind = 'd'")), parts=4)
+    want = brute_reid(rows, locks, last)
+    assert sorted(tuple(r)[:4] for r in got.collect()) == want and len(want) > 9
+
+
 def closing_row(rows, frame=10**6):
     return rows.orderBy(F.desc("frame")).limit(1).withColumn("frame", F.lit(frame).cast("bigint"))
 
