@@ -15,6 +15,7 @@ from .registry import query, r
 
 LATE = 1_000_000
 MICRO_BATCH = 3_000_000  # rows of a micro-batch of the take-over, each of which becomes up to ten events
+VOTE_BATCH = 10_000_000  # rows of a micro-batch of votes, which wait in the state as columns
 FILTER_BATCH = 3_000_000  # rows of a micro-batch of the filter, which also cross, packed by slice, a step per game
 
 
@@ -115,7 +116,7 @@ def stream_jersey_lock(src):
 def stream_team_vote(src):
     rows = src.players.where("team IS NOT NULL").select("game", "frame", "tid", "team")
     build = lambda s: stateful.team_vote(s, teams.VOTE_WINDOW)
-    return drain(rows, build, "stream-votes", closing=late(rows))
+    return drain(rows, build, "stream-votes", closing=late(rows), most=VOTE_BATCH)
 
 
 @query(

@@ -4,6 +4,7 @@ A key may hold millions of rows of one micro-batch. They stay columns (8 bytes a
 batches they come in until the block that is walked; only that block becomes Python objects.
 """
 
+import itertools
 from collections import namedtuple
 
 import numpy as np
@@ -15,7 +16,10 @@ BLOCK = 4096
 
 def packed(pdf):
     """Rows as the bytes of Arrow columns."""
-    table = pa.Table.from_pandas(pdf, preserve_index=False)
+    return _bytes(pa.Table.from_pandas(pdf, preserve_index=False))
+
+
+def _bytes(table):
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
@@ -26,6 +30,45 @@ def unpacked(part):
     return pa.ipc.open_stream(part).read_pandas()
 
 
+def packs(keys, names, size=200_000):
+    """For ``mapInArrow``: the rows of each key in a stretch of a partition as one row of keys, ``upto``, ``least``, bytes.
+
+    Rows must have ``event_time`` and its milliseconds ``at``; the bytes hold the columns ``names``.
+    """
+
+    def packed_rows(table):
+        code = np.zeros(len(table), dtype=np.int64)
+        for key in keys:
+            coded = table[key].combine_chunks().dictionary_encode(null_encoding="encode")
+            code = np.unique(code * (len(coded.dictionary) + 1) + coded.indices.to_numpy(), return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        table, code = table.take(pa.array(order)), code[order]
+        found = []
+        for lo, hi in itertools.pairwise([0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]):
+            part = table.slice(lo, hi - lo)
+            at = part["at"].to_numpy()
+            found.append({k: part[k][0].as_py() for k in keys} | {
+                "event_time": part["event_time"][int(at.argmax())].as_py(), "upto": int(at.max()), "least": int(at.min()),
+                "rows": _bytes(part.select(names).combine_chunks()),
+            })
+        kinds = [table.schema.field(c) for c in (*keys, "event_time")]
+        kinds += [pa.field("upto", pa.int64()), pa.field("least", pa.int64()), pa.field("rows", pa.binary())]
+        return pa.RecordBatch.from_pylist(found, schema=pa.schema(kinds))
+
+    def run(batches):
+        some = []
+        for batch in batches:
+            if batch.num_rows:
+                some.append(batch)
+            if sum(b.num_rows for b in some) >= size:
+                yield packed_rows(pa.Table.from_batches(some))
+                some = []
+        if some:
+            yield packed_rows(pa.Table.from_batches(some))
+
+    return run
+
+
 def hold(waiting, frames, names):
     """Append rows to a list state, an entry per batch they come in; returns the least and greatest ``at``."""
     least = most = None

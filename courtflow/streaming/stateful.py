@@ -10,14 +10,17 @@ walked in order then, however they arrived; later ones are dropped by the waterm
 import json
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import steps
 from ..functions.geometry import FRAME_H, FRAME_W
 from ..functions.slices import halo
 from ..operators import ball
-from .held import hold, in_frames, in_order, split
+from .held import hold, in_frames, in_order, packed, packs, split, unpacked
 from .relay import SLICE, relay
 from .runner import frame_of
 
@@ -54,20 +57,60 @@ class Walk(StatefulProcessor):
         at, data = self.state.get() if self.state.exists() else (None, "null")
         if due is not None and len(due):
             state = json.loads(data)
-            for block in in_order(due, self.order, self.names):
+            for last, block in self.blocks(due):
                 state, out = self.step(state, block)
-                at = block[-1].at
-                yield from in_frames(out, self.columns)
+                at = last
+                yield from self.given(key, out)
             self.state.update((at, json.dumps(state)))
             if self.forget is not None:
                 self.handle.registerTimer(max(at + self.forget, mark + 1))
         elif self.forget is not None and at is not None and due is None and at + self.forget <= mark:
             self.state.clear()
 
+    def blocks(self, due):
+        return ((block[-1].at, block) for block in in_order(due, self.order, self.names))
+
+    def given(self, key, out):
+        return in_frames(out, self.columns)
+
     def close(self):
         pass
 
 
+class ColumnWalk(Walk):
+    """``Walk`` for steps on columns, ``step(state, columns) -> (state, output columns)``, over rows that come packed by key.
+
+    What goes through a stateful step costs by the row; packed rows go into its state as they are.
+    """
+
+    def __init__(self, step, order, names, columns, forget, keys):
+        super().__init__(step, order, names, columns, forget)
+        self.keys = keys
+
+    def handleInputRows(self, key, rows, timerValues):
+        mark, last = timerValues.getCurrentWatermarkInMs(), None
+        for pdf in rows:
+            for upto, least, data in zip(pdf["upto"].tolist(), pdf["least"].tolist(), pdf["rows"]):
+                if least <= mark:  # some are later than the watermark
+                    some = unpacked(data)
+                    data = packed(some[some["at"] > mark])
+                if upto > mark:
+                    self.waiting.appendValue((data,))
+                    last = upto if last is None else max(last, upto)
+        if last is not None:
+            self.handle.registerTimer(last)
+        return iter(())
+
+    def blocks(self, due, size=100_000):
+        due = due.iloc[np.lexsort([due[c].to_numpy() for c in reversed(self.order)])]
+        for k in range(0, len(due), size):
+            block = {c: v.to_numpy()[k : k + size] for c, v in due.items()}
+            yield int(block["at"][-1]), block
+
+    def given(self, key, out):
+        yield pd.DataFrame({**dict(zip(self.keys, key)), **out})[self.columns]
+
+
 def walk(stream, keys, step, schema, order=("frame",), forget=FORGET):
     """``step`` per key over a stream with ``event_time``.
 
@@ -84,6 +127,21 @@ def walk(stream, keys, step, schema, order=("frame",), forget=FORGET):
     )
 
 
+def walk_columns(stream, keys, step, schema, order=("frame",), forget=FORGET):
+    """``walk`` for a step on columns, which gives all columns of ``schema`` but the keys."""
+    columns = [c.strip().split()[0] for c in schema.split(",")]
+    rows = stream.withColumn("at", F.unix_millis("event_time"))
+    names = [c for c in rows.columns if c != "event_time" and c not in keys]
+    kinds = T.StructType([rows.schema[c] for c in (*keys, "event_time")])  # the watermark is told in the metadata
+    kinds = kinds.add("upto", T.LongType()).add("least", T.LongType()).add("rows", T.BinaryType())
+    return rows.mapInArrow(packs(list(keys), names), kinds).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=ColumnWalk(step, list(order), names, columns, None if forget is None else forget * 1000, list(keys)),
+        outputStructType=schema,
+        outputMode="append",
+        timeMode="EventTime",
+    )
+
+
 # ---- steps --------------------------------------------------------------------------
 
 
@@ -130,14 +188,16 @@ def lock_step(confirm):
 
 
 def vote_step(window):
-    def step(state, rows):
-        votes, out = state or [], []
-        for row in rows:
-            votes = (votes + [int(row.team)])[-window:]
-            ones = sum(votes)
-            voted = 1 if 2 * ones > len(votes) else 0 if 2 * ones < len(votes) else votes[0]
-            out.append((row.game, row.frame, row.tid, voted))
-        return votes, out
+    """On columns: the vote after each row counts the last ``window`` ones, and a tie goes to the oldest of them."""
+
+    def step(votes, rows):
+        before = len(votes or [])
+        team = np.r_[votes or [], rows["team"]].astype(np.int64)
+        ones, at = np.cumsum(team), np.arange(before, len(team))
+        oldest = np.maximum(at - window + 1, 0)
+        twice, n = 2 * (ones[at] - ones[oldest] + team[oldest]), at - oldest + 1
+        voted = np.where(twice > n, 1, np.where(twice < n, 0, team[oldest]))
+        return team[-window:].tolist(), {"frame": rows["frame"], "voted": voted}
 
     return step
 
@@ -243,7 +303,7 @@ def team_vote(stream, window):
     """A track's vote over its last ``window`` ones, however long ago they were; no more than those are kept."""
     rows = stream.select("game", "tid", "frame", "team", "event_time")
     schema = "game bigint, frame bigint, tid bigint, voted bigint"
-    return walk(rows, ["game", "tid"], vote_step(window), schema, forget=None)
+    return walk_columns(rows, ["game", "tid"], vote_step(window), schema, forget=None)
 
 
 def gap_fill(stream, teleport, most, linear):

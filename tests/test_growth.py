@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,9 +13,9 @@ from courtflow.operators import ball, shots, teams, tracks
 from courtflow.plans.inputs import Inputs
 from courtflow.session import grouped_in_order
 from courtflow.sources import tracking
-from courtflow.streaming.held import BLOCK, in_frames, in_order
+from courtflow.streaming.held import BLOCK, in_frames, in_order, packs, unpacked
 from courtflow.streaming.runner import time_of
-from courtflow.streaming.stateful import Walk, ghost_step
+from courtflow.streaming.stateful import ColumnWalk, Walk, ghost_step, vote_step
 from courtflow.streaming.takeover import Meetings, TrackEvents
 from tests.test_rules import brute_reid
 
@@ -268,3 +269,35 @@ def test_stream_contacts_end_when_a_track_must_have_taken_over(spark):
             contacts += sum(len(p) for p in places[place].handleInputRows((0, place), iter([some]), At(upto)))
     assert 8 <= contacts <= 8 * 2 * 8  # before: every track with every entry, more than the rows
     assert passed < len(rows) / 3
+
+
+def test_votes_reach_the_stateful_step_packed_by_track():
+    """A row per track and stretch goes through the step, not one per vote; what comes later than the watermark is dropped."""
+    rnd, rows = random.Random(4), []
+    for tid in (0, 1, None):
+        rows += [(0, tid, f, rnd.randrange(2)) for f in range(600) if rnd.random() < 0.7]
+    rnd.shuffle(rows)
+    frames = pa.array([r[2] for r in rows])
+    table = pa.table({
+        "game": pa.array([r[0] for r in rows]), "tid": pa.array([r[1] for r in rows], pa.int64()), "frame": frames,
+        "team": pa.array([r[3] for r in rows]), "at": pa.array([time_of(r[2]) for r in rows]),
+        "event_time": pa.array([time_of(r[2]) * 1000 for r in rows], pa.timestamp("us", "UTC")),
+    })
+    given = [b.to_pylist() for b in packs(["game", "tid"], ["frame", "team", "at"], size=400)(table.to_batches(max_chunksize=150))]
+    assert sum(map(len, given)) <= 3 * len(given) < len(rows) / 30
+    for tid in (0, 1, None):
+        mine = [r for part in given for r in part if r["tid"] == tid]
+        assert sorted(f for r in mine for f in unpacked(r["rows"])["frame"]) == sorted(r[2] for r in rows if r[1] == tid)
+        assert all(r["upto"] == unpacked(r["rows"])["at"].max() == r["event_time"].timestamp() * 1000 for r in mine)
+        walk = ColumnWalk(vote_step(15), ["frame"], ["frame", "team", "at"], ["game", "frame", "tid", "voted"], None, ["game", "tid"])
+        walk.init(Handle())
+        list(walk.handleInputRows((0, tid), iter([pd.DataFrame(mine)]), At(-1)))
+        got = [r for upto in (40, 300, 700) for out in walk.handleExpiredTimer((0, tid), At(upto), None) for r in out.itertuples(index=False)]
+        list(walk.handleInputRows((0, tid), iter([pd.DataFrame(mine)]), At(550)))
+        late = [r for out in walk.handleExpiredTimer((0, tid), At(700), None) for r in out.itertuples(index=False)]
+        assert sorted(r.frame for r in late) == sorted(r[2] for r in rows if r[1] == tid and r[2] > 550)
+        votes, want = [], []
+        for _, _, frame, team in sorted((r for r in rows if r[1] == tid), key=lambda r: r[2]):
+            votes = (votes + [team])[-15:]
+            want.append((0, frame, tid, 1 if 2 * sum(votes) > len(votes) else 0 if 2 * sum(votes) < len(votes) else votes[0]))
+        assert [(r.game, r.frame, None if pd.isna(r.tid) else r.tid, r.voted) for r in got] == want
