@@ -30,7 +30,7 @@ def unpacked(part):
     return pa.ipc.open_stream(part).read_pandas()
 
 
-def packs(keys, names, size=200_000):
+def packs(keys, names, size=500_000):
     """For ``mapInArrow``: the rows of each key in a stretch of a partition as one row of keys, ``upto``, ``least``, bytes.
 
     Rows must have ``event_time`` and its milliseconds ``at``; the bytes hold the columns ``names``.

@@ -60,7 +60,7 @@ class Walk(StatefulProcessor):
             for last, block in self.blocks(due):
                 state, out = self.step(state, block)
                 at = last
-                yield from self.given(key, out)
+                yield from self.given(out)
             self.state.update((at, json.dumps(state)))
             if self.forget is not None:
                 self.handle.registerTimer(max(at + self.forget, mark + 1))
@@ -70,7 +70,7 @@ class Walk(StatefulProcessor):
     def blocks(self, due):
         return ((block[-1].at, block) for block in in_order(due, self.order, self.names))
 
-    def given(self, key, out):
+    def given(self, out):
         return in_frames(out, self.columns)
 
     def close(self):
@@ -83,10 +83,6 @@ class ColumnWalk(Walk):
     What goes through a stateful step costs by the row; packed rows go into its state as they are.
     """
 
-    def __init__(self, step, order, names, columns, forget, keys):
-        super().__init__(step, order, names, columns, forget)
-        self.keys = keys
-
     def handleInputRows(self, key, rows, timerValues):
         mark, last = timerValues.getCurrentWatermarkInMs(), None
         for pdf in rows:
@@ -107,8 +103,8 @@ class ColumnWalk(Walk):
             block = {c: v.to_numpy()[k : k + size] for c, v in due.items()}
             yield int(block["at"][-1]), block
 
-    def given(self, key, out):
-        yield pd.DataFrame({**dict(zip(self.keys, key)), **out})[self.columns]
+    def given(self, out):
+        yield pd.DataFrame(out, columns=self.columns)
 
 
 def walk(stream, keys, step, schema, order=("frame",), forget=FORGET):
@@ -128,14 +124,14 @@ def walk(stream, keys, step, schema, order=("frame",), forget=FORGET):
 
 
 def walk_columns(stream, keys, step, schema, order=("frame",), forget=FORGET):
-    """``walk`` for a step on columns, which gives all columns of ``schema`` but the keys."""
+    """``walk`` for a step on columns."""
     columns = [c.strip().split()[0] for c in schema.split(",")]
     rows = stream.withColumn("at", F.unix_millis("event_time"))
-    names = [c for c in rows.columns if c != "event_time" and c not in keys]
+    names = [c for c in rows.columns if c != "event_time"]
     kinds = T.StructType([rows.schema[c] for c in (*keys, "event_time")])  # the watermark is told in the metadata
     kinds = kinds.add("upto", T.LongType()).add("least", T.LongType()).add("rows", T.BinaryType())
     return rows.mapInArrow(packs(list(keys), names), kinds).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=ColumnWalk(step, list(order), names, columns, None if forget is None else forget * 1000, list(keys)),
+        statefulProcessor=ColumnWalk(step, list(order), names, columns, None if forget is None else forget * 1000),
         outputStructType=schema,
         outputMode="append",
         timeMode="EventTime",
@@ -197,7 +193,7 @@ def vote_step(window):
         oldest = np.maximum(at - window + 1, 0)
         twice, n = 2 * (ones[at] - ones[oldest] + team[oldest]), at - oldest + 1
         voted = np.where(twice > n, 1, np.where(twice < n, 0, team[oldest]))
-        return team[-window:].tolist(), {"frame": rows["frame"], "voted": voted}
+        return team[-window:].tolist(), {**{c: rows[c] for c in ("game", "frame", "tid")}, "voted": voted}
 
     return step
 

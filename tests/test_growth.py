@@ -283,13 +283,13 @@ def test_votes_reach_the_stateful_step_packed_by_track():
         "team": pa.array([r[3] for r in rows]), "at": pa.array([time_of(r[2]) for r in rows]),
         "event_time": pa.array([time_of(r[2]) * 1000 for r in rows], pa.timestamp("us", "UTC")),
     })
-    given = [b.to_pylist() for b in packs(["game", "tid"], ["frame", "team", "at"], size=400)(table.to_batches(max_chunksize=150))]
+    given = [b.to_pylist() for b in packs(["game", "tid"], ["game", "tid", "frame", "team", "at"], size=400)(table.to_batches(max_chunksize=150))]
     assert sum(map(len, given)) <= 3 * len(given) < len(rows) / 30
     for tid in (0, 1, None):
         mine = [r for part in given for r in part if r["tid"] == tid]
         assert sorted(f for r in mine for f in unpacked(r["rows"])["frame"]) == sorted(r[2] for r in rows if r[1] == tid)
         assert all(r["upto"] == unpacked(r["rows"])["at"].max() == r["event_time"].timestamp() * 1000 for r in mine)
-        walk = ColumnWalk(vote_step(15), ["frame"], ["frame", "team", "at"], ["game", "frame", "tid", "voted"], None, ["game", "tid"])
+        walk = ColumnWalk(vote_step(15), ["frame"], ["game", "tid", "frame", "team", "at"], ["game", "frame", "tid", "voted"], None)
         walk.init(Handle())
         list(walk.handleInputRows((0, tid), iter([pd.DataFrame(mine)]), At(-1)))
         got = [r for upto in (40, 300, 700) for out in walk.handleExpiredTimer((0, tid), At(upto), None) for r in out.itertuples(index=False)]
